@@ -44,3 +44,54 @@ def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
 
 def parts_for(total: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(total / max(1, each)))
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, written once as a table in the shared folder; it is deleted when the session's JVM ends."""
+    spark = df.sparkSession
+    path = new_table(spark, name)
+    df.write.parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def slices(batch, limit: int = 4 << 20, text: str = "text"):
+    """An Arrow batch in slices of about ``limit`` text bytes (one row at least)."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    if not batch.num_rows:
+        return
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = np.cumsum(sizes) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        yield batch.slice(a, b - a)
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, component) for edges (u, v) of long ids: component is the smallest id reachable.
+
+    Alternating large-star and small-star rounds on the cluster; each round's edges are cut in the shared folder.
+    A node's neighbours are never gathered: minima are aggregated before the shuffle and joined back.
+    """
+    def state(df: DataFrame):
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
+        return row["n"], row["x"]
+
+    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    last = state(now)
+    while last[0]:
+        both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        kept = large.join(least, "u")
+        small = kept.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(kept.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        now = cut(small)
+        new = state(now)
+        if new == last:
+            break
+        last = new
+    return now.groupBy("u").agg(F.min("v").alias("component")).select(F.col("u").alias("node"), "component")

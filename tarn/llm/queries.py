@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm.ngram_join import NgramJoin
 from tarn.llm.substring_dedup import substring_dedup
 
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
@@ -33,10 +34,30 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) A
 FROM d LEFT JOIN k USING (r)
 """
 
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return NgramJoin(table(spark, sf_dir, "documents"), width=3, num=90, den=100).components()
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP10_SQL = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.replace("text", _LOWER, 1)} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + 2], ' ') AS x
+      FROM (SELECT doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [1] ELSE range(1, len(w) - 1) END) AS p FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS i FROM s a JOIN s b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM o JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * i >= 90 * (a.n + b.n - i)),
+r AS (SELECT doc_id, doc_id AS c FROM d UNION SELECT l.u, r.c FROM r JOIN l ON l.v = r.doc_id)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m.c AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
+    "op10_ngram_join": OP10_SQL,
 }

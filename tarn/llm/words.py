@@ -146,10 +146,10 @@ class Words:
             if b - a >= width:
                 out.append(np.unique(w[a : b - width + 1]))
             elif b > a:
-                one = np.uint64(b - a)
+                one = np.array([b - a], dtype=np.uint64)
                 for k in range(a, b):
-                    one = mix(np.array([one * np.uint64(31) + h[k]], dtype=np.uint64))[0]
-                out.append(np.array([one], dtype=np.uint64))
+                    one = mix(one * np.uint64(31) + h[k : k + 1])
+                out.append(one)
             else:
                 out.append(np.zeros(0, dtype=np.uint64))
         return out
