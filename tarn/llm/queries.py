@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm import bpe_codec
 from tarn.llm.ngram_join import NgramJoin
 from tarn.llm.substring_dedup import substring_dedup
+from tarn.llm.token_count import token_counts
 
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
@@ -35,6 +38,18 @@ FROM d LEFT JOIN k USING (r)
 """
 
 
+def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), *own), *own)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
+
+
+def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+    return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJoin(table(spark, sf_dir, "documents"), width=3, num=90, den=100).components()
 
@@ -54,6 +69,8 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_bpe_codec": op3_bpe_codec,
+    "op4_token_count": op4_token_count,
     "op10_ngram_join": op10_ngram_join,
 }
 
