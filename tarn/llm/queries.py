@@ -7,9 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import bpe_codec
+from tarn.llm.decontamination import contaminations
 from tarn.llm.ngram_join import NgramJoin
+from tarn.llm.sharding import shard
 from tarn.llm.substring_dedup import substring_dedup
 from tarn.llm.token_count import token_counts
+from tarn.llm.toxicity import ToxicityModel, held_out
 
 _WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
@@ -50,6 +53,22 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = ToxicityModel.fit(docs, table(spark, sf_dir, "labels")).score(docs)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = shard(table(spark, sf_dir, "documents"), shards=24)
+    size = (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long")
+    return placed.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJoin(table(spark, sf_dir, "documents"), width=3, num=90, den=100).components()
 
@@ -67,14 +86,30 @@ SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, m.c AS component_
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP BY doc_id) m USING (doc_id)
 """
 
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.replace("text", _LOWER, 1)} AS w FROM documents),
+b AS (SELECT row_number() OVER () AS q, item_id, {_WORDS.replace("text", _LOWER, 1)} AS w FROM benchmark),
+s AS (SELECT DISTINCT r, doc_id, array_to_string(w[p:p + 4], ' ') AS x
+      FROM (SELECT r, doc_id, w, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [1] ELSE range(1, len(w) - 3) END) AS p FROM d)),
+t AS (SELECT DISTINCT q, item_id, array_to_string(w[p:p + 4], ' ') AS x
+      FROM (SELECT q, item_id, w, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [1] ELSE range(1, len(w) - 3) END) AS p FROM b)),
+n AS (SELECT q, count(*) AS n FROM t GROUP BY q)
+SELECT any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, any_value(n) AS n_shingles, count(*) AS n_shared
+FROM s JOIN t USING (x) JOIN n USING (q) GROUP BY r, q HAVING 100 * count(*) >= 80 * any_value(n)
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_token_count": op4_token_count,
+    "op5_decontamination": op5_decontamination,
+    "op7_toxicity": op7_toxicity,
+    "op8_histogram_shards": op8_histogram_shards,
     "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
+    "op5_decontamination": OP5_SQL,
     "op10_ngram_join": OP10_SQL,
 }

@@ -45,6 +45,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def short_shingle(h: np.ndarray) -> np.ndarray:
+    """The one shingle of a text with fewer words than a shingle has, from its words' hashes."""
+    one = np.array([len(h)], dtype=np.uint64)
+    for k in range(len(h)):
+        one = mix(one * np.uint64(31) + h[k : k + 1])
+    return one
+
+
 class Words:
     """The words of a batch: byte ranges, and the range of words of each document."""
 
@@ -83,8 +91,8 @@ class Words:
     def __len__(self) -> int:
         return len(self.starts)
 
-    def hashes(self, seed: int = 0) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def hashes(self, seed: int = 0, size: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, or of its first ``size`` bytes."""
         out = np.empty(len(self), dtype=np.uint64)
         at, base = 0, _BASES[seed]
         while at < len(self):
@@ -95,6 +103,8 @@ class Words:
             total = np.zeros(high - low + 1, dtype=np.uint64)
             np.cumsum((self.bytes[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=total[1:])
             s, e = self.starts[at:to] - low, self.ends[at:to] - low
+            if size is not None:
+                e = np.minimum(e, s + size)
             out[at:to] = (total[e] - total[s]) * inverse[s]
             at = to
         return mix(out)
@@ -146,10 +156,7 @@ class Words:
             if b - a >= width:
                 out.append(np.unique(w[a : b - width + 1]))
             elif b > a:
-                one = np.array([b - a], dtype=np.uint64)
-                for k in range(a, b):
-                    one = mix(one * np.uint64(31) + h[k : k + 1])
-                out.append(one)
+                out.append(short_shingle(h[a:b]))
             else:
                 out.append(np.zeros(0, dtype=np.uint64))
         return out
