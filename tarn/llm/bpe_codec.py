@@ -36,6 +36,10 @@ class Codec(dict):
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.split = regex.compile(pattern).findall
         self.longest = max(map(len, self.ranks))
+        self.one = [0] * (max(self.ranks.values()) + 1)
+        self.many: dict[int, list[int]] = {}
+        self.words = [0] * (len(self.one) // 256 + 1)
+        self.marks = [1 << k for k in range(max(256, len(self.words)))]
         self.vocabulary = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.vocabulary[rank] = token
@@ -57,11 +61,10 @@ class Codec(dict):
         return ids
 
     def merge(self, raw: bytes) -> tuple[int, ...]:
-        n, get, longest = len(raw), self.ranks.get, self.longest
-        push, pop = heapq.heappush, heapq.heappop
-        # The rank queue: positions by rank; which ranks of each 256 have positions; which of these words aren't 0.
-        buckets: dict[int, list[int]] = {}
-        words: dict[int, int] = {}
+        n, get, ranks, longest = len(raw), self.ranks.get, self.ranks, self.longest
+        # The rank queue is empty between calls: one position (+ 1) of each rank, or -1 and a heap of them; the ranks of
+        # each 256 that have positions; and which of these words aren't 0.
+        one, many, words, marks = self.one, self.many, self.words, self.marks
         top = 0
         after = list(range(1, n + 1))  # of each part's first byte: where it ends and the next part begins
         before = list(range(-1, n - 1))
@@ -69,48 +72,67 @@ class Codec(dict):
         pair[-1] = None
         for p, r in enumerate(pair):
             if r is not None:
-                if r in buckets:
-                    buckets[r].append(p)
+                if not (held := one[r]):
+                    one[r] = p + 1
+                    words[r >> 8] |= marks[r & 255]
+                    top |= marks[r >> 8]
+                elif held > 0:
+                    one[r], many[r] = -1, [held - 1, p]
                 else:
-                    buckets[r] = [p]
-                    words[r >> 8] = words.get(r >> 8, 0) | 1 << (r & 255)
-                    top |= 1 << (r >> 8)
+                    many[r].append(p)
         while top:
             i = (top & -top).bit_length() - 1
             word = words[i]
             bit = word & -word
             rank = i << 8 | bit.bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                p = pop(bucket)
-            else:
-                p = buckets.pop(rank)[0]
+            p = one[rank] - 1
+            if p >= 0 or len(many[rank]) == 1:
+                if p < 0:
+                    p = many.pop(rank)[0]
+                one[rank] = 0
                 words[i] = word = word ^ bit
                 if not word:
-                    top ^= 1 << i
+                    top ^= marks[i]
+            else:
+                p = heapq.heappop(many[rank])
             if pair[p] != rank:
                 continue  # stale
             q = after[p]
-            end = after[p] = after[q]
             pair[q] = None
-            for o, stop in ((p, after[end] if end < n else 0), (before[p], end)):
-                if o < 0:
-                    continue
-                r = get(raw[o:stop]) if o < stop <= o + longest else None
+            end = after[p] = after[q]
+            r = None
+            if end < n:
+                before[end] = p
+                if (stop := after[end]) - p <= longest:
+                    r = get(raw[p:stop])
+            pair[p] = r
+            if r is not None:
+                if not (held := one[r]):
+                    one[r] = p + 1
+                    words[r >> 8] |= marks[r & 255]
+                    top |= marks[r >> 8]
+                elif held > 0:
+                    one[r], many[r] = -1, sorted((held - 1, p))
+                else:
+                    heapq.heappush(many[r], p)
+            if p:
+                o = before[p]
+                r = get(raw[o:end]) if end - o <= longest else None
                 pair[o] = r
                 if r is not None:
-                    if r in buckets:
-                        push(buckets[r], o)
+                    if not (held := one[r]):
+                        one[r] = o + 1
+                        words[r >> 8] |= marks[r & 255]
+                        top |= marks[r >> 8]
+                    elif held > 0:
+                        one[r], many[r] = -1, sorted((held - 1, o))
                     else:
-                        buckets[r] = [o]
-                        words[r >> 8] = words.get(r >> 8, 0) | 1 << (r & 255)
-                        top |= 1 << (r >> 8)
-            if end < n:
-                before[end] = p
+                        heapq.heappush(many[r], o)
         ids, p = [], 0
         while p < n:
-            ids.append(self.ranks[raw[p : after[p]]])
-            p = after[p]
+            q = after[p]
+            ids.append(ranks[raw[p:q]])
+            p = q
         return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
