@@ -46,13 +46,18 @@ def parts_for(total: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(total / max(1, each)))
 
 
+def delete_on_exit(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder when the session's JVM ends."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once as a table in the shared folder; it is deleted when the session's JVM ends."""
     spark = df.sparkSession
     path = new_table(spark, name)
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    delete_on_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

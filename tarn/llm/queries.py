@@ -6,9 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm import bpe_codec
+from tarn.llm import bpe_codec, warc
+from tarn.llm.common import delete_on_exit, new_table
 from tarn.llm.decontamination import contaminations
+from tarn.llm.html_extract import extract
 from tarn.llm.ngram_join import NgramJoin
+from tarn.llm.quality import quality
 from tarn.llm.sharding import shard
 from tarn.llm.substring_dedup import substring_dedup
 from tarn.llm.token_count import token_counts
@@ -41,6 +44,10 @@ FROM d LEFT JOIN k USING (r)
 """
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     coded = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), *own), *own)
@@ -57,6 +64,14 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_table(spark, "warc")
+    delete_on_exit(spark, path)
+    warc.write(warc.plan_records(table(spark, sf_dir, "pages")), path)
+    found = warc.read(spark, path, payloads=False).where("kind = 'record'")
+    return found.select(F.regexp_extract("record_id", r"^urn:page:(-?\d+)$", 1).try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.regexp_extract("refers_to", r"^urn:page:(-?\d+)$", 1).try_cast("long").alias("refers_to"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = ToxicityModel.fit(docs, table(spark, sf_dir, "labels")).score(docs)
@@ -69,6 +84,10 @@ def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", size.alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJoin(table(spark, sf_dir, "documents"), width=3, num=90, den=100).components()
 
@@ -98,18 +117,30 @@ SELECT any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, any_value(n)
 FROM s JOIN t USING (x) JOIN n USING (q) GROUP BY r, q HAVING 100 * count(*) >= 80 * any_value(n)
 """
 
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+d AS (SELECT page_id, CAST(strlen(x) AS BIGINT) AS payload_bytes, sha1(x) AS payload_digest FROM p),
+m AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first <> page_id THEN first END AS refers_to FROM m
+"""
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_html_extract": op2_html_extract,
     "op3_bpe_codec": op3_bpe_codec,
     "op4_token_count": op4_token_count,
     "op5_decontamination": op5_decontamination,
+    "op6_warc": op6_warc,
     "op7_toxicity": op7_toxicity,
     "op8_histogram_shards": op8_histogram_shards,
+    "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
 }
 
 ORACLE_SQL = {
     "op1_substring_dedup": OP1_SQL,
     "op5_decontamination": OP5_SQL,
+    "op6_warc": OP6_SQL,
     "op10_ngram_join": OP10_SQL,
 }
