@@ -23,11 +23,16 @@ raise ``chunk_bytes`` with the square root of the corpus (8 MB suits up to some
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from tarn.llm import packed
 from tarn.llm.common import parts_for, text_bytes
 from tarn.llm.words import Words
 
@@ -36,56 +41,9 @@ WINDOW = 35
 CHUNK_BYTES = 8 << 20
 _BITS = 48
 _LOW = np.uint64((1 << _BITS) - 1)
-_MESSAGE = "step int, chunk int, bucket int, n long, wide boolean, gaps binary, check binary, often binary, asked binary"
-_ANSWER = "chunk int, step int, bucket int, n long, bits binary"
 _RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,stop:long>>, kept_text string"
 
 
-def _pack(bits: np.ndarray) -> bytes:
-    return np.packbits(bits).tobytes()
-
-
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    return np.unpackbits(np.frombuffer(data, dtype=np.uint8), count=n).astype(bool)
-
-
-def _gaps(sorted_values: np.ndarray) -> tuple[bool, bytes]:
-    gaps = np.diff(sorted_values, prepend=np.uint64(0))
-    wide = bool(len(gaps) > 1 and gaps[1:].max() >> np.uint64(32))
-    head = sorted_values[:1].astype("<u8").tobytes()
-    return wide, head + gaps[1:].astype("<u8" if wide else "<u4").tobytes()
-
-
-def _ungap(data: bytes, wide: bool) -> np.ndarray:
-    if not data:
-        return np.zeros(0, dtype=np.uint64)
-    rest = np.frombuffer(data, dtype="<u8" if wide else "<u4", offset=8).astype(np.uint64)
-    return np.cumsum(np.concatenate((np.frombuffer(data[:8], dtype="<u8"), rest)), dtype=np.uint64)
-
-
-def _messages(step: int, chunk: int, values: np.ndarray, top: int, often: np.ndarray, asked: np.ndarray | None, check: np.ndarray | None, buckets: int):
-    """Split sorted values (below 2**top) by bucket; buckets are equal ranges of their upper bits."""
-    bucket = ((values >> np.uint64(top - 32)) * np.uint64(buckets)) >> np.uint64(32)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-    out = {k: [] for k in ("step", "chunk", "bucket", "n", "wide", "gaps", "check", "often", "asked")}
-    for b in range(buckets):
-        lo, hi = edges[b], edges[b + 1]
-        if lo == hi:
-            continue
-        wide, gaps = _gaps(values[lo:hi])
-        for k, v in (("step", step), ("chunk", chunk), ("bucket", b), ("n", hi - lo), ("wide", wide), ("gaps", gaps), ("check", None if check is None else check[lo:hi].tobytes()), ("often", _pack(often[lo:hi])), ("asked", None if asked is None else _pack(asked[lo:hi]))):
-            out[k].append(v)
-    return _table(out, _MESSAGE)
-
-
-_TYPES = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string(), "array<struct<start:long,stop:long>>": pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))}
-
-
-def _table(columns: dict, ddl: str) -> pa.Table:
-    fields = [f.split(" ", 1) for f in ddl.split(", ")]
-    return pa.table([pa.array(columns[k], type=_TYPES[t]) for k, t in fields], names=[k for k, _ in fields])
-
-
 class _Chunk:
     """What every step needs to know about a chunk's documents; depends on the set of rows only."""
 
@@ -131,23 +89,17 @@ class _Chunk:
         return at, order, a, b, fresh
 
 
-def _answers(rows: pa.Table, step: int) -> np.ndarray:
-    picked = [r for r in rows.select(["step", "bucket", "n", "bits"]).to_pylist() if r["step"] == step]
-    picked.sort(key=lambda r: r["bucket"])
-    return np.concatenate([_unpack(r["bits"], r["n"]) for r in picked]) if picked else np.zeros(0, dtype=bool)
-
-
 def _hit_blocks(chunk: _Chunk, answers: pa.Table) -> np.ndarray:
     distinct, _, is_block, rank = chunk.probes()
     flags = np.zeros(len(distinct), dtype=bool)
-    flags[is_block] = _answers(answers, 1)
+    flags[is_block] = packed.answers(answers, 1)
     return flags[rank]
 
 
 def _probe(window: int, buckets: int):
     def run(docs: pa.Table) -> pa.Table:
         distinct, often, is_block, _ = _Chunk(docs, window).probes()
-        return _messages(1, docs.column("chunk")[0].as_py(), distinct, _BITS, often, is_block, None, buckets)
+        return packed.messages(1, docs.column("chunk")[0].as_py(), distinct, _BITS, often, is_block, None, buckets)
 
     return run
 
@@ -155,46 +107,16 @@ def _probe(window: int, buckets: int):
 def _extend(window: int, buckets: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _table({k: [] for k in ("step", "chunk", "bucket", "n", "wide", "gaps", "check", "often", "asked")}, _MESSAGE)
+            return packed.table({k: [] for k in ("step", "chunk", "bucket", "n", "wide", "gaps", "check", "often", "asked")}, packed.MESSAGE)
         chunk = _Chunk(docs, window)
         _, _, a, b, fresh = chunk.candidates(_hit_blocks(chunk, answers))
         times = np.diff(np.append(np.flatnonzero(fresh), len(a)))
-        return _messages(2, docs.column("chunk")[0].as_py(), a[fresh], 64, times > 1, None, b[fresh], buckets)
+        return packed.messages(2, docs.column("chunk")[0].as_py(), a[fresh], 64, times > 1, None, b[fresh], buckets)
 
     return run
 
 
-def _count(rows: pa.Table) -> pa.Table:
-    """Of one bucket: which entries of each chunk occur twice or more over all chunks."""
-    rows = rows.to_pylist()
-    values = np.concatenate([_ungap(r["gaps"], r["wide"]) for r in rows])
-    often = np.concatenate([_unpack(r["often"], r["n"]) for r in rows])
-    if rows[0]["step"] == 1:
-        order = np.argsort(values)
-        s = values[order]
-        same = s[1:] == s[:-1]
-    else:
-        checks = np.concatenate([np.frombuffer(r["check"], dtype="<u4") for r in rows])
-        order = np.lexsort((checks, values))
-        s, c = values[order], checks[order]
-        same = (s[1:] == s[:-1]) & (c[1:] == c[:-1])
-    twice = often[order]
-    twice[1:] |= same
-    twice[:-1] |= same
-    found = np.empty(len(values), dtype=bool)
-    found[order] = twice
-    out, at = {k: [] for k in ("chunk", "step", "bucket", "n", "bits")}, 0
-    for r in rows:
-        bits = found[at : at + r["n"]]
-        at += r["n"]
-        if r["asked"] is not None:
-            bits = bits[_unpack(r["asked"], r["n"])]
-        for k, v in (("chunk", r["chunk"]), ("step", r["step"]), ("bucket", r["bucket"]), ("n", len(bits)), ("bits", _pack(bits))):
-            out[k].append(v)
-    return _table(out, _ANSWER)
-
-
-def _remove(window: int):
+def _remove(window: int, original: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         chunk = _Chunk(docs, window)
         w = chunk.words
@@ -202,7 +124,7 @@ def _remove(window: int):
         covered = np.zeros(len(w), dtype=bool)
         if len(a):
             repeated = np.empty(len(at), dtype=bool)
-            repeated[order] = _answers(answers, 2)[np.cumsum(fresh) - 1]
+            repeated[order] = packed.answers(answers, 2)[np.cumsum(fresh) - 1]
             begin = at[repeated]
             edge = np.zeros(len(w) + 1, dtype=np.int32)
             edge[begin] += 1
@@ -217,27 +139,34 @@ def _remove(window: int):
                 continue
             steps = np.diff(covered[lo:hi].astype(np.int8), prepend=0, append=0)
             spans.append([{"start": s, "stop": e} for s, e in zip(np.flatnonzero(steps == 1).tolist(), np.flatnonzero(steps == -1).tolist(), strict=True)])
-        return pa.table([docs.column("doc_id").cast(pa.int64()), pa.array(w.counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, _TYPES["array<struct<start:long,stop:long>>"]), pa.array(w.joined(~covered), pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "spans", "kept_text"])
+        kept = pa.array(w.joined(~covered), pa.binary()).cast(pa.string())
+        if original:
+            kept = pc.if_else(pa.array(removed == 0), docs.column("text").combine_chunks().cast(pa.string()), kept)
+        out = {"doc_id": docs.column("doc_id").cast(pa.int64()), "n_words": pa.array(w.counts, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "spans": pa.array(spans, packed.TYPES["array<struct<start:long,stop:long>>"]), "kept_text": kept}
+        if "rest" in docs.column_names:
+            out["rest"] = docs.column("rest")
+        return pa.table(out)
 
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, rest: Sequence[str] = (), original: bool = False) -> DataFrame:
     """Remove each word that a repeated window covers; one row a document row.
 
-    Reads columns ``doc_id`` and ``text`` alone. Returns doc_id, n_words, n_removed, spans (word ranges
-    removed: the maximal exact repeats) and kept_text (kept words joined by one space).
+    Reads columns ``doc_id`` and ``text``. Returns doc_id, n_words, n_removed, spans (word ranges removed: the
+    maximal exact repeats) and kept_text: kept words joined by one space, or with ``original`` the text as it was
+    where nothing is removed. Columns named in ``rest`` are passed on in a struct ``rest``.
 
-    Null and empty texts have no words and an empty kept_text. Texts shorter than ``window`` words keep
-    all. Rows that repeat (same doc_id or same text) count as occurrences of their own, so both lose
+    Null and empty texts have no words and an empty kept_text (with ``original`` they stay). Texts shorter than ``window``
+    words keep all. Rows that repeat (same doc_id or same text) count as occurrences of their own, so both lose
     the repeat. A null doc_id is a document like others. An empty table gives no rows.
     """
     _, total = text_bytes(docs)
     chunks = parts_for(total, chunk_bytes)
     width = max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk")).repartition(width, "chunk")
-    grouped = dealt.groupBy("chunk")
-    hit = grouped.applyInArrow(_probe(window, chunks), _MESSAGE).repartition(width, "bucket").groupBy("bucket").applyInArrow(_count, _ANSWER)
-    repeated = dealt.groupBy("chunk").cogroup(hit.repartition(width, "chunk").groupBy("chunk")).applyInArrow(_extend(window, chunks), _MESSAGE).repartition(width, "bucket").groupBy("bucket").applyInArrow(_count, _ANSWER)
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), *([F.struct(*rest).alias("rest")] if rest else [])).repartition(width, "chunk")
+    result = StructType.fromDDL(_RESULT) if not rest else StructType([*StructType.fromDDL(_RESULT), dealt.schema["rest"]])
+    hit = dealt.groupBy("chunk").applyInArrow(_probe(window, chunks), packed.MESSAGE).repartition(width, "bucket").groupBy("bucket").applyInArrow(packed.count, packed.ANSWER)
+    repeated = dealt.groupBy("chunk").cogroup(hit.repartition(width, "chunk").groupBy("chunk")).applyInArrow(_extend(window, chunks), packed.MESSAGE).repartition(width, "bucket").groupBy("bucket").applyInArrow(packed.count, packed.ANSWER)
     answers = hit.unionByName(repeated).repartition(width, "chunk")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(window), _RESULT)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(window, original), result)

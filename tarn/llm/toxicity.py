@@ -81,7 +81,7 @@ class FactorizationMachine:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @classmethod
-    def fit(cls, doc: np.ndarray, term: np.ndarray, labels: np.ndarray, terms: int, factors: int = 8, epochs: int = 12, batch: int = 128, rate: float = 0.1, decay: float = 1e-4, seed: int = 7) -> FactorizationMachine:
+    def fit(cls, doc: np.ndarray, term: np.ndarray, labels: np.ndarray, terms: int, factors: int = 8, epochs: int = 20, batch: int = 128, rate: float = 0.2, decay: float = 1e-5, seed: int = 7) -> FactorizationMachine:
         """Adaptive gradient descent on the logistic loss; (doc, term) ordered by doc."""
         random = np.random.default_rng(seed)
         rate_of_positive = float(np.clip((labels.sum() + 0.5) / (len(labels) + 1), 1e-6, 1 - 1e-6))
@@ -199,16 +199,16 @@ class ToxicityModel:
         term = np.array([t for r in rows for t in r["terms"]], dtype=np.int64)
         return cls(selected, FactorizationMachine.fit(doc, term, np.array([r["label"] for r in rows], dtype=np.float64), len(selected)))
 
-    def score(self, docs: DataFrame) -> DataFrame:
-        """All columns of ``docs`` and ``score`` (0 to 1). Null and empty texts have no features: the bias scores them."""
+    def score(self, docs: DataFrame, into: str = "score") -> DataFrame:
+        """All columns of ``docs`` and the score (0 to 1) in ``into``, which replaces a column of that name. Null and empty texts have no features: the bias scores them."""
         own = docs.sparkSession.sparkContext.broadcast((self.terms.hashes, self.machine))
-        plain = docs.drop("score")
+        plain = docs.drop(into)
 
         def run(batches):
             hashes, machine = own.value
             terms = Terms(hashes)
             for batch in batches:
                 for part in slices(batch):
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(machine.scores(*terms.features(part.column("text"))))], names=[*part.schema.names, "score"])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(machine.scores(*terms.features(part.column("text"))))], names=[*part.schema.names, into])
 
-        return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField("score", DoubleType())]))
+        return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField(into, DoubleType())]))
