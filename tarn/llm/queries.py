@@ -67,7 +67,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table(spark, "warc")
     delete_on_exit(spark, path)
-    warc.write(warc.plan_records(table(spark, sf_dir, "pages")), path)
+    warc.write(warc.plan_records(table(spark, sf_dir, "pages")), path, compression="gzip")
     found = warc.read(spark, path, payloads=False).where("kind = 'record'")
     return found.select(F.regexp_extract("record_id", r"^urn:page:(-?\d+)$", 1).try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.regexp_extract("refers_to", r"^urn:page:(-?\d+)$", 1).try_cast("long").alias("refers_to"))
 

@@ -24,21 +24,22 @@ RECORDS_PER_FILE = 500
 _MAGIC = b"\x1f\x8b\x08"
 _END = b"\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: Refuse members that unpack to more than this.
-_MEMBER_LIMIT = 1 << 31
+#: Packed bytes that are unpacked at once; what comes before damage is lost by so much at most.
+_PIECE = 4096
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _URN = "urn:page:"
-_SCHEMA = "path string, offset long, length long, kind string, reason string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
+_SCHEMA = "path string, offset long, inner long, length long, kind string, reason string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
 
 
 @dataclass
 class Record:
-    """A valid record: where it was, its fields (names in lower case) and its block."""
+    """A valid record: where it was (``inner``: in the unpacked member), its fields (names in lower case) and its block."""
 
     offset: int
     length: int
     fields: dict[str, str]
     block: bytes
+    inner: int = 0
 
     @property
     def payload(self) -> bytes:
@@ -50,9 +51,12 @@ class Record:
 
 @dataclass
 class Gap:
+    """Bytes that hold no valid record, and the first check that failed there."""
+
     offset: int
     length: int
     reason: str
+    inner: int = 0
 
 
 @dataclass
@@ -60,6 +64,14 @@ class _Bad(Exception):
     reason: str = field(default="")
 
 
+class _Damaged(Exception):
+    """A gzip member that breaks off after some valid records."""
+
+    def __init__(self, reason: str, records: list[Record]):
+        super().__init__(reason)
+        self.reason, self.records = reason, records
+
+
 def _digest_fits(stated: str, data: bytes) -> bool:
     name, _, value = stated.partition(":")
     if name.lower() != "sha1":
@@ -111,50 +123,89 @@ def _plain(data: bytes, at: int) -> Record:
     return record
 
 
-def _member(data: bytes, at: int) -> Record:
-    """The record in the gzip member at ``at``."""
-    unpack = zlib.decompressobj(31)
+def _unpack(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """What the gzip member at ``at`` unpacks to, its end, and what is wrong with it ('' if nothing)."""
+    unpack, pieces, pos = zlib.decompressobj(31), [], at
     try:
-        plain = unpack.decompress(data[at:], _MEMBER_LIMIT)
+        while not unpack.eof and pos < len(data):
+            pieces.append(unpack.decompress(data[pos : pos + _PIECE]))
+            pos += _PIECE
     except zlib.error:
-        raise _Bad("gzip member is damaged") from None
+        return b"".join(pieces), pos, "gzip member is damaged"
     if not unpack.eof:
-        raise _Bad("gzip member has no end")
-    record = _plain(plain, 0)
-    if record.length != len(plain):
-        raise _Bad("gzip member holds more than a record")
-    record.offset, record.length = at, len(data) - at - len(unpack.unused_data)
-    return record
+        return b"".join(pieces), len(data), "gzip member has no end"
+    return b"".join(pieces), min(pos, len(data)) - len(unpack.unused_data), ""
+
+
+def _inside(plain: bytes, at: int, length: int) -> list[Record | Gap]:
+    """Records and gaps of an unpacked member; their offset is the member's, ``inner`` their place in it."""
+    out = list(_salvage_plain(plain))
+    for x in out:
+        x.inner, x.offset, x.length = x.offset, at, length
+    return out
+
+
+def _salvage_plain(data: bytes) -> Iterator[Record | Gap]:
+    at, size = 0, len(data)
+    while at < size:
+        begin, reason, record = at, "", None
+        while at < size:
+            try:
+                record = _plain(data, at)
+                break
+            except _Bad as bad:
+                reason = reason or bad.reason
+                at = data.find(b"WARC/1.", at + 1)
+                if at < 0:
+                    at = size
+        if at > begin:
+            yield Gap(begin, at - begin, reason)
+        if record is not None:
+            yield record
+            at = record.offset + record.length
 
 
-def _record(data: bytes, at: int) -> Record:
-    return _member(data, at) if data.startswith(_MAGIC, at) else _plain(data, at)
+def _at(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
+    """Records that begin at ``at`` (one, or those of a gzip member) and where they end."""
+    if not data.startswith(_MAGIC, at):
+        record = _plain(data, at)
+        return [record], at + record.length
+    plain, end, wrong = _unpack(data, at)
+    found = _inside(plain, at, end - at)
+    if not found or not isinstance(found[0], Record):
+        raise _Bad(wrong or "gzip member doesn't begin with a record")
+    if wrong:  # whole records before the damage are good; the rest of the member is searched for other starts
+        raise _Damaged(wrong, [x for x in found if isinstance(x, Record)])
+    return found, end
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
-    """Valid records and gaps of an archive, in order; together they cover every byte."""
+    """Valid records and gaps of an archive, in order; together they cover every byte.
+
+    Plain records, members of one record (as the standard has it) and members of many are read.
+    """
     at, size = 0, len(data)
     while at < size:
-        try:
-            record = _record(data, at)
-        except _Bad as bad:
-            begin, reason = at, bad.reason
-            while True:
-                found = _START.search(data, at + 1)
-                if found is None:
-                    at, record = size, None
-                    break
-                at = found.start()
-                try:
-                    record = _record(data, at)
-                    break
-                except _Bad:
-                    continue
+        begin, reason = at, ""
+        saved: list[Record | Gap] = []
+        found: list[Record | Gap] = []
+        end = size
+        while at < size:
+            try:
+                found, end = _at(data, at)
+                break
+            except _Damaged as damaged:
+                saved += damaged.records
+                reason = reason or damaged.reason
+            except _Bad as bad:
+                reason = reason or bad.reason
+            m = _START.search(data, at + 1)
+            at = m.start() if m else size
+        yield from saved
+        if at > begin:
             yield Gap(begin, at - begin, reason)
-            if record is None:
-                return
-        yield record
-        at = record.offset + record.length
+        yield from found
+        at = end if found else size
 
 
 def record_bytes(kind: str, record_id: str, uri: str, payload: bytes, refers_to: str | None = None, compress: bool = False) -> bytes:
@@ -183,8 +234,11 @@ def plan_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, salts: in
     return found.select("page_id", "url", "payload", "digest", "size", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
-def write(planned: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write planned records as WARC 1.1 files under ``path``, through Spark's own writer (any store it can write to)."""
+def write(planned: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "none") -> None:
+    """Write planned records as WARC 1.1 files under ``path``, through Spark's own writer (any store it can write to).
+
+    ``compression`` "gzip" makes a file one gzip member of ``records_per_file`` records.
+    """
     line = "\r\n"
     revisit = F.col("record_type") == "revisit"
     block = F.concat(F.lit(_HTTP), F.when(revisit, "").otherwise(F.col("payload")))
@@ -195,7 +249,7 @@ def write(planned: DataFrame, path: str, records_per_file: int = RECORDS_PER_FIL
         F.when(revisit, F.concat(F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{line}WARC-Refers-To: <{_URN}"), F.col("refers_to").cast("string"), F.lit(f">{line}"))).otherwise(""),
         F.lit(f"Content-Type: application/http; msgtype=response{line}Content-Length: "), F.octet_length(block).cast("string"), F.lit(line + line), block, F.lit(line),
     )
-    planned.select(head.alias("value")).write.option("lineSep", line).option("maxRecordsPerFile", records_per_file).text(path)
+    planned.select(head.alias("value")).write.option("lineSep", line).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
@@ -211,11 +265,11 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
                 rows = []
                 for x in salvage(data.as_py()):
                     if isinstance(x, Gap):
-                        rows.append({"path": name, "offset": x.offset, "length": x.length, "kind": "gap", "reason": x.reason})
+                        rows.append({"path": name, "offset": x.offset, "inner": x.inner, "length": x.length, "kind": "gap", "reason": x.reason})
                         continue
                     f, payload = x.fields, x.payload
                     again = f["warc-type"] == "revisit"
-                    rows.append({"path": name, "offset": x.offset, "length": x.length, "kind": "record", "record_type": f["warc-type"], "record_id": f["warc-record-id"].strip("<>"), "target_uri": f.get("warc-target-uri"), "refers_to": f.get("warc-refers-to", "").strip("<>") or None, "payload_digest": f.get("warc-payload-digest", "").rpartition(":")[2] if again else hashlib.sha1(payload).hexdigest(), "payload_bytes": int(f.get("payload-length", 0)) if again else len(payload), "payload": payload if payloads and not again else None})
+                    rows.append({"path": name, "offset": x.offset, "inner": x.inner, "length": x.length, "kind": "record", "record_type": f["warc-type"], "record_id": f["warc-record-id"].strip("<>"), "target_uri": f.get("warc-target-uri"), "refers_to": f.get("warc-refers-to", "").strip("<>") or None, "payload_digest": f.get("warc-payload-digest", "").rpartition(":")[2] if again else hashlib.sha1(payload).hexdigest(), "payload_bytes": int(f.get("payload-length", 0)) if again else len(payload), "payload": payload if payloads and not again else None})
                     if len(rows) >= 200:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows = []
