@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import base64
 import heapq
-from itertools import chain
+import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -23,18 +24,21 @@ from pyspark.sql import functions as F
 from tarn.llm.common import slices
 
 #: Encoded pre-tokens that a worker keeps.
-CACHE = 250_000
+CACHE = 350_000
 
 
 class Codec(dict):
-    """Token ids of pre-tokens; as a dict, the encoded pre-tokens that were met lately, in two generations."""
+    """Token ids of pre-tokens; as a dict, the encoded pre-tokens (packed 32-bit ids) that were met lately, in two generations."""
 
     def __init__(self, rank_file: str, pattern: str):
         super().__init__()
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, bytes] = {}
         with open(rank_file, "rb") as lines:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        self.split = regex.compile(pattern).findall
+        self.split = self.split_ascii = regex.compile(pattern).findall
+        plain = pattern.replace(r"[^\s\p{L}\p{N}]", r"[^\sA-Za-z0-9]").replace(r"\p{L}", "[A-Za-z]").replace(r"\p{N}", "[0-9]")
+        if "\\p" not in plain:  # the same matches in ASCII texts, by a faster engine
+            self.split_ascii = re.compile(plain, re.ASCII).findall
         self.longest = max(map(len, self.ranks))
         self.one = [0] * (max(self.ranks.values()) + 1)
         self.many: dict[int, list[int]] = {}
@@ -47,12 +51,12 @@ class Codec(dict):
         self.begins = np.cumsum(self.lengths) - self.lengths
         self.flat = np.frombuffer(b"".join(self.vocabulary), dtype=np.uint8)
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         ids = self.older.pop(piece, None)
         if ids is None:
             raw = piece.encode("utf-8")
             whole = self.ranks.get(raw)
-            ids = (whole,) if whole is not None else self.merge(raw)
+            ids = array("i", (whole,) if whole is not None else self.merge(raw)).tobytes()
         if len(piece) <= 64:
             if len(self) >= CACHE:
                 self.older = self.copy()
@@ -60,7 +64,7 @@ class Codec(dict):
             self[piece] = ids
         return ids
 
-    def merge(self, raw: bytes) -> tuple[int, ...]:
+    def merge(self, raw: bytes) -> list[int]:
         n, get, ranks, longest = len(raw), self.ranks.get, self.ranks, self.longest
         # The rank queue is empty between calls: one position (+ 1) of each rank, or -1 and a heap of them; the ranks of
         # each 256 that have positions; and which of these words aren't 0.
@@ -133,10 +137,11 @@ class Codec(dict):
             q = after[p]
             ids.append(ranks[raw[p:q]])
             p = q
-        return tuple(ids)
+        return ids
 
-    def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.__getitem__, self.split(text))))
+    def encode(self, text: str) -> np.ndarray:
+        split = self.split_ascii if text.isascii() else self.split
+        return np.frombuffer(b"".join(map(self.__getitem__, split(text))), dtype=np.int32)
 
     def decode(self, ids: np.ndarray) -> bytes:
         lengths = self.lengths[ids]
@@ -155,21 +160,30 @@ def codec(rank_file: str, pattern: str) -> Codec:
     return _codecs[key]
 
 
-def encode(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+def _lists(ids: list[np.ndarray]) -> pa.ListArray:
+    at = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids)))
+
+
+def encode(docs: DataFrame, rank_file: str, pattern: str, decoded: bool = False) -> DataFrame:
     """(doc_id, ids array<int>) of each row's whole text, read from columns doc_id and text alone.
 
-    Null and empty texts have no ids. Repeated rows each give a row. An empty table gives no rows.
+    With ``decoded``, also what the ids decode to (binary), by the same worker. Null and empty texts have no ids. Repeated rows
+    each give a row. An empty table gives no rows.
     """
 
     def run(batches):
         own = codec(rank_file, pattern)
         for batch in batches:
             for part in slices(batch, 2 << 20):
-                ids = [np.array(own.encode(t), dtype=np.int32) if t else np.zeros(0, np.int32) for t in part.column("text").to_pylist()]
-                at = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(ids)))], names=["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+                ids = [own.encode(t or "") for t in part.column("text").to_pylist()]
+                columns = [part.column("doc_id"), _lists(ids)]
+                if decoded:
+                    columns.append(pa.array([own.decode(x) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:

@@ -50,7 +50,7 @@ def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe_codec.decode(bpe_codec.encode(table(spark, sf_dir, "documents"), *own), *own)
+    coded = bpe_codec.encode(table(spark, sf_dir, "documents"), *own, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 
