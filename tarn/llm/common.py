@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import inspect
 import math
 import os
 import uuid
@@ -58,10 +60,58 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = new_table(spark, name)
     df.write.parquet(path)
     delete_on_exit(spark, path)
+    gc.collect()  # so that Spark drops the shuffle files behind the table now, not some time later
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch, limit: int = 4 << 20, text: str = "text"):
+#: Rows of an Arrow batch of texts; texts of some KB each then stay within some MB.
+TEXT_ROWS = 1000
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches of whole texts small for the rest of the session: their size is only bounded by rows."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > TEXT_ROWS:
+        spark.conf.set(key, TEXT_ROWS)
+
+
+def release_memory() -> None:
+    """Give memory that a worker has freed back to the system; idle workers stay alive between tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        pass
+
+
+def tidy(run):
+    """A worker function (of batches, or of a group's tables) that gives its memory back when it ends."""
+
+    def batches(made):
+        try:
+            yield from made
+        finally:
+            release_memory()
+
+    def wrapped(*tables):
+        out = run(*tables)
+        if hasattr(out, "__next__"):
+            return batches(out)
+        release_memory()
+        return out
+
+    # applyInArrow tells the forms of a group function apart by its parameters
+    if sum(p.default is p.empty for p in inspect.signature(run).parameters.values()) == 2:
+        return lambda left, right: wrapped(left, right)
+    return lambda rows: wrapped(rows)
+
+
+def slices(batch, limit: int = 1 << 20, text: str = "text"):
     """An Arrow batch in slices of about ``limit`` text bytes (one row at least)."""
     import numpy as np
     import pyarrow.compute as pc

@@ -4,9 +4,10 @@ A document's set holds its distinct ``width``-word shingles (hashes of 64 bits).
 ``den * intersection >= num * union``. Steps:
 
 1. *Classes.* Documents with equal sets are one class; the class stands for all its copies.
-2. *Matrix.* A class that links to another shares a token with it among its first
-   ``n - ceil(t n) + 1`` tokens of any fixed order (tokens that many documents hold come last).
-   These tokens that two or more classes hold are the matrix's rows.
+2. *Matrix.* Which tokens two or more classes hold is found by packed messages (``packed``). A class of which the others
+   hold fewer than ``ceil(t n)`` tokens links with nothing. Any other shares a token with its partner among its first
+   ``n - ceil(t n) + 1`` tokens of a fixed order, in which tokens that no other holds come first and tokens that
+   very many hold come last. The shared ones among these are the matrix's rows.
 3. *Groups.* A class joins the group of the smallest class that shares such a token with it, so that near
    copies come together. A group is cut by size (sizes of a link differ by t at most) and by weight
    into blocks of bounded size; the matrix holds each token once for each block.
@@ -15,7 +16,8 @@ A document's set holds its distinct ``width``-word shingles (hashes of 64 bits).
    overlap with its members counted, exactly and for all members at once.
 5. *Components.* Each comparison gives a spanning forest of its links, so hot groups don't grow by pairs.
 
-No step gathers a key's rows unboundedly: blocks are bounded, minima and counts are aggregated before the shuffle.
+Texts are exchanged once, by chunks of documents. No step gathers a key's rows unboundedly: blocks are bounded,
+minima and counts are aggregated before the shuffle.
 """
 
 from __future__ import annotations
@@ -25,10 +27,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import connected_components, materialize, slices
+from tarn.llm import packed
+from tarn.llm.common import connected_components, materialize, parts_for, slices, text_batches, text_bytes, tidy
 from tarn.llm.words import Words
 
 #: Most tokens that are ordered last, by how many documents hold them; it only affects speed.
@@ -36,8 +40,12 @@ COMMON_TOKENS = 1 << 16
 #: A block holds about so many classes and tokens at most.
 BLOCK_CLASSES, BLOCK_TOKENS = 256, 200_000
 #: Pairs of blocks in one Arrow batch; bounds a worker's memory (about 3 MB a pair at most).
-PAIRS_PER_BATCH = 32
-_SETS = "doc_id long, n long, k1 long, k2 long, head array<long>"
+PAIRS_PER_BATCH = 16
+CHUNK_BYTES = 8 << 20
+_BITS = 48
+_LOW = np.uint64((1 << _BITS) - 1)
+_SETS = "doc_id long, n long, k1 long, k2 long"
+_CANDIDATES = "lo long, k1 long, n long, shared array<long>, tokens binary"
 
 
 def _key(s: np.ndarray) -> tuple[int, int]:
@@ -77,56 +85,87 @@ def _common(width: int):
     return run
 
 
-def _sets(width: int, num: int, den: int, common):
+def _keys(width: int):
+    """Size and key of each document's set."""
+
     def run(batches):
-        last = common.value
         for batch in batches:
             for part in slices(batch):
-                ids, ns, k1, k2, heads = part.column("doc_id"), [], [], [], []
-                for s in Words(part.column("text"), lower=True).shingle_sets(width):
-                    n = len(s)
-                    head = n + (-num * n // den) + 1 if n else 0
-                    if len(last) and n:
-                        rare = s[: head * 2 + 64]
-                        at = np.searchsorted(last, rare)
-                        rare = rare[last[np.minimum(at, len(last) - 1)] != rare]
-                        if len(rare) < head:
-                            at = np.minimum(np.searchsorted(last, s), len(last) - 1)
-                            late = last[at] == s
-                            rare = np.concatenate((s[~late], s[late]))
-                    else:
-                        rare = s
-                    a, b = _key(s)
-                    ns.append(n)
-                    k1.append(a)
-                    k2.append(b)
-                    heads.append(rare[:head].view(np.int64))
-                lengths = np.concatenate(([0], np.cumsum([len(x) for x in heads]))).astype(np.int32)
-                flat = np.concatenate(heads) if heads else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(ns, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(flat))], names=["doc_id", "n", "k1", "k2", "head"])
+                sets = Words(part.column("text"), lower=True).shingle_sets(width)
+                keys = [_key(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64())], names=["doc_id", "n", "k1", "k2"])
 
     return run
 
 
-def _whole_sets(width: int):
-    """The sets of the documents that stand for a class; rows that share the id but not the set go."""
+class _Classes:
+    """The classes of a chunk: sets of the rows that stand for one, and the ranks of their tokens among the chunk's."""
+
+    def __init__(self, docs: pa.Table, side: pa.Table, width: int):
+        own = side.filter(pc.is_valid(side.column("lo")))
+        wanted = set(zip(own.column("lo").to_pylist(), own.column("k1").to_pylist(), own.column("k2").to_pylist(), strict=True))
+        docs = docs.filter(pc.is_in(docs.column("doc_id"), value_set=own.column("lo").combine_chunks()))
+        self.ids, self.k1, self.sets = [], [], []
+        for i, s in zip(docs.column("doc_id").to_pylist(), Words(docs.column("text"), lower=True).shingle_sets(width), strict=True):
+            a, b = _key(s)
+            if (i, a, b) in wanted:
+                wanted.remove((i, a, b))
+                self.ids.append(i)
+                self.k1.append(a)
+                self.sets.append(s)
+        at = np.cumsum([0, *map(len, self.sets)])
+        self.cuts = list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True))
+        flat = np.concatenate([np.zeros(0, np.uint64), *self.sets]) & _LOW
+        order = np.argsort(flat)
+        s = flat[order]
+        fresh = np.concatenate((np.ones(min(1, len(s)), bool), s[1:] != s[:-1]))
+        self.values = s[fresh]
+        self.times = np.diff(np.append(np.flatnonzero(fresh), len(s)))
+        self.rank = np.empty(len(s), dtype=np.int64)
+        self.rank[order] = np.cumsum(fresh) - 1
+
+
+def _send(width: int, buckets: int):
+    def run(docs: pa.Table, side: pa.Table) -> pa.Table:
+        if not docs.num_rows or not side.num_rows:
+            return packed.table({k.split()[0]: [] for k in packed.MESSAGE.split(", ")}, packed.MESSAGE)
+        own = _Classes(docs, side, width)
+        return packed.messages(1, docs.column("chunk")[0].as_py(), own.values, _BITS, own.times > 1, None, None, buckets)
 
-    def run(batches):
-        for batch in batches:
-            for part in slices(batch):
-                sets = Words(part.column("text"), lower=True).shingle_sets(width)
-                fits = [i for i, (s, a, b) in enumerate(zip(sets, part.column("k1").to_pylist(), part.column("k2").to_pylist(), strict=True)) if _key(s) == (a, b)]
-                rows = part.take(pa.array(fits, pa.int64()))
-                yield pa.RecordBatch.from_arrays([rows.column("lo"), rows.column("block"), pa.array([sets[i].tobytes() for i in fits], pa.binary())], names=["lo", "block", "tokens"])
+    return run
+
+
+def _candidates(width: int, num: int, den: int, common):
+    """Classes of which other classes hold enough tokens for a link: the tokens of their head that others hold, and the whole set.
+
+    In the common order the tokens that no other class holds come first and the ones that very many hold come last.
+    """
+
+    def run(docs: pa.Table, side: pa.Table) -> pa.Table:
+        out = {k.split()[0]: [] for k in _CANDIDATES.split(", ")}
+        if docs.num_rows and side.num_rows:
+            own, last = _Classes(docs, side, width), common.value
+            held = packed.answers(side, 1)[own.rank] if len(own.rank) else np.zeros(0, bool)
+            for i, k, s, (a, b) in zip(own.ids, own.k1, own.sets, own.cuts, strict=True):
+                n, shared = len(s), s[held[a:b]]
+                size = len(shared) + (-num * n // den) + 1
+                if size <= 0:
+                    continue
+                if len(last):
+                    late = last[np.minimum(np.searchsorted(last, shared), len(last) - 1)] == shared
+                    shared = np.concatenate((shared[~late], shared[late]))
+                for name, v in (("lo", i), ("k1", k), ("n", n), ("shared", shared[:size].view(np.int64)), ("tokens", s.tobytes())):
+                    out[name].append(v)
+        return pa.table([pa.array(out["lo"], pa.int64()), pa.array(out["k1"], pa.int64()), pa.array(out["n"], pa.int64()), pa.array(out["shared"], pa.list_(pa.int64())), pa.array(out["tokens"], pa.binary())], names=list(out))
 
     return run
 
 
 class _Block:
     def __init__(self, members: list[dict]):
-        found = {m["lo"]: m["tokens"] for m in members}
-        self.ids = sorted(found)
-        self.sets = [np.frombuffer(found[i], dtype=np.uint64) for i in self.ids]
+        members.sort(key=lambda m: m["lo"])
+        self.ids = [m["lo"] for m in members]
+        self.sets = [np.frombuffer(m["tokens"], dtype=np.uint64) for m in members]
         self.n = np.array([len(s) for s in self.sets], dtype=np.int64)
 
     def union(self):
@@ -200,54 +239,73 @@ class NgramJoin:
     links or equal sets. An empty table gives no rows.
     """
 
-    def __init__(self, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100):
-        self.width, self.num, self.den = width, num, den
-        spark = docs.sparkSession
+    def __init__(self, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, chunk_bytes: int = CHUNK_BYTES):
+        text_batches(docs.sparkSession)
+        self.width, self.num, self.den, self.chunk_bytes = width, num, den, chunk_bytes
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        often = self.docs.select("text").mapInArrow(_common(width), "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-        common = [r["token"] for r in often.orderBy(F.desc("times"), "token").limit(COMMON_TOKENS).select("token").collect()]
-        last = spark.sparkContext.broadcast(np.sort(np.array(common, dtype=np.int64).view(np.uint64)))
-        self.sets = materialize(self.docs.mapInArrow(_sets(width, num, den, last), _SETS), "sets")
-        self._links = {}
+        self.keys = materialize(self.docs.mapInArrow(tidy(_keys(width)), _SETS), "keys")
+        self._links: dict[bool, DataFrame] = {}
 
     def _classes(self) -> DataFrame:
-        own = self.sets.where("n > 0 and doc_id is not null")
-        return own.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.first("n").alias("n"), F.first("head").alias("head"))
+        own = self.keys.where("n > 0 and doc_id is not null")
+        return own.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"))
+
+    def _candidates(self) -> DataFrame:
+        spark = self.docs.sparkSession
+        often = self.docs.select("text").mapInArrow(tidy(_common(self.width)), "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+        tokens = [r["token"] for r in often.orderBy(F.desc("times"), "token").limit(COMMON_TOKENS).select("token").collect()]
+        common = spark.sparkContext.broadcast(np.sort(np.array(tokens, dtype=np.int64).view(np.uint64)))
+        _, total = text_bytes(self.docs)
+        chunks = parts_for(total, self.chunk_bytes)
+        width = max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+        def chunk(column: str):
+            return F.pmod(F.xxhash64(column), F.lit(chunks)).cast("int").alias("chunk")
+
+        dealt = self.docs.where("doc_id is not null").select("doc_id", "text", chunk("doc_id")).repartition(width, "chunk")
+        classes = self._classes().select(chunk("lo"), "lo", "k1", "k2").repartition(width, "chunk")
+        sent = dealt.groupBy("chunk").cogroup(classes.groupBy("chunk")).applyInArrow(tidy(_send(self.width, chunks)), packed.MESSAGE)
+        answers = sent.repartition(width, "bucket").groupBy("bucket").applyInArrow(tidy(packed.count), packed.ANSWER)
+        side = classes.unionByName(answers, allowMissingColumns=True).repartition(width, "chunk")
+        return materialize(dealt.groupBy("chunk").cogroup(side.groupBy("chunk")).applyInArrow(tidy(_candidates(self.width, self.num, self.den, common)), _CANDIDATES), "candidates")
 
     def links(self, every: bool = True) -> DataFrame:
+        """Pairs (u, v): all links, or only a spanning forest of each comparison's."""
         if every in self._links:
             return self._links[every]
-        classes = materialize(self._classes(), "classes")
-        heads = classes.select("lo", "n", "k1", "k2", F.explode("head").alias("token"))
-        held = heads.groupBy("token").agg(F.min("lo").alias("least"), F.max("lo").alias("most")).where("least < most").select("token", "least")
-        matrix = materialize(heads.join(held, "token"), "matrix")
+        found = self._candidates()
+        matrix = found.select("lo", "k1", "n", F.explode("shared").alias("token"))
+        leaders = matrix.groupBy("token").agg(F.min("lo").alias("leader"))
         step = math.log(self.den / self.num)
-        group = matrix.groupBy("lo", "k1", "k2").agg(F.min("least").alias("leader"), F.first("n").alias("n")).withColumn("size", F.floor(F.log("n") / F.lit(step)).cast("long"))
+        group = matrix.join(leaders, "token").groupBy("lo", "k1").agg(F.min("leader").alias("leader"), F.first("n").alias("n")).withColumn("size", F.floor(F.log("n") / F.lit(step)).cast("long"))
+        group = materialize(group, "groups")
         weight = group.groupBy("leader", "size").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_CLASSES)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS))).cast("long").alias("cuts"))
-        blocks = materialize(group.join(weight, ["leader", "size"]).withColumn("block", F.xxhash64("leader", "size", F.pmod(F.xxhash64("k1", "k2"), F.col("cuts")))).select("lo", "k1", "k2", "size", "block"), "blocks")
-        tokens = matrix.join(blocks, ["lo", "k1", "k2"]).select("token", "block", "size").distinct()
+        blocks = group.join(weight, ["leader", "size"]).select("lo", "k1", "size", F.xxhash64("leader", "size", F.pmod(F.xxhash64("lo", "k1"), F.col("cuts"))).alias("block"))
+        blocks = materialize(blocks, "blocks")
+        tokens = matrix.join(blocks, ["lo", "k1"]).select("token", "block", "size").distinct()
         left, right = tokens.select("token", F.col("block").alias("a"), F.col("size").alias("sa")), tokens.select("token", F.col("block").alias("b"), F.col("size").alias("sb"))
         pairs = left.join(right, "token").where("(sb = sa and a < b) or sb = sa + 1").select("a", "b").distinct()
         within = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("block").alias("a"), F.lit(None).cast("long").alias("b"))
-        held = self.docs.join(blocks.select(F.col("lo").alias("doc_id"), "lo", "k1", "k2", "block"), "doc_id")
-        whole = held.select("lo", "k1", "k2", "block", "text").mapInArrow(_whole_sets(self.width), "lo long, block long, tokens binary")
-        packed = materialize(whole.groupBy("block").agg(F.collect_list(F.struct("lo", "tokens")).alias("members")), "packed")
-        one, two = packed.select(F.col("block").alias("a"), F.col("members").alias("left")), packed.select(F.col("block").alias("b"), F.col("members").alias("right"))
-        opened = pairs.unionByName(within).join(one, "a").join(two, "b", "left").select("left", "right")
+        todo = materialize(pairs.unionByName(within), "pairs")
+        held = found.select("lo", "k1", "tokens").join(blocks.select("lo", "k1", "block"), ["lo", "k1"])
+        members = held.groupBy("block").agg(F.collect_list(F.struct("lo", "tokens")).alias("members"))
+        one, two = members.select(F.col("block").alias("a"), F.col("members").alias("left")), members.select(F.col("block").alias("b"), F.col("members").alias("right"))
+        opened = todo.join(one, "a").join(two, "b", "left").select("left", "right")
         conf, key = self.docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
         before = conf.get(key)
         conf.set(key, PAIRS_PER_BATCH)  # a row holds two blocks
         try:
-            self._links[every] = materialize(opened.mapInArrow(_compare(self.num, self.den, every), "u long, v long").distinct(), "links")
+            self._links[every] = materialize(opened.mapInArrow(tidy(_compare(self.num, self.den, every)), "u long, v long").distinct(), "links")
         finally:
             conf.set(key, before)
         return self._links[every]
 
     def members(self) -> DataFrame:
-        low = self.sets.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"))
-        found = self.sets.join(low, ["k1", "k2"], "left")
+        """(doc_id, n_shingles, representative), one row a document row."""
+        found = self.keys.join(self._classes(), ["k1", "k2"], "left")
         return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.coalesce("lo", "doc_id")).alias("representative"))
 
     def components(self) -> DataFrame:
+        """(doc_id, n_shingles, component_id), one row a document row."""
         found = connected_components(self.links(every=False))
         return self.members().join(found, F.col("representative") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "representative").alias("component_id"))
