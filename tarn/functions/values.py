@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -18,6 +19,11 @@ _H = "[0-9A-Fa-f]{1,4}"
 IPV6 = "(?:" + "|".join([rf"(?:{_H}:){{7}}{_H}", rf"(?:{_H}:){{6}}{IPV4}", *(rf"(?:{_H}(?::{_H}){{0,{left - 1}}})?::(?:{_H}(?::{_H}){{0,{6 - left}}})?" if left else rf"::(?:{_H}(?::{_H}){{0,6}})?" for left in range(0, 7)), rf"(?:{_H}:){{7}}:", rf"(?:(?:{_H}:){{0,5}}{_H})?::(?:{_H}:){{0,4}}{IPV4}"]) + ")"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once a row, however often the body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def matches(text: Column, pattern: str) -> Column:
     """Whether the whole text matches."""
     return F.coalesce(text.rlike(rf"\A(?:{pattern})\z"), F.lit(False))
@@ -36,15 +42,13 @@ def given(value: Column) -> Column:
 
 def number(value: Column, most: float | None = None) -> Column:
     """A non-negative decimal (double), or null: redacted, malformed or above ``most``."""
-    trimmed = F.trim(value)
-    found = F.when(matches(trimmed, r"[0-9]+(?:\.[0-9]+)?"), trimmed.try_cast("double"))
-    return found if most is None else F.when(found <= most, found)
+    found = F.when(matches(value, r"(?U)\s*[0-9]+(?:\.[0-9]+)?\s*"), F.trim(value).try_cast("double"))
+    return found if most is None else let(found, lambda n: F.when(n <= most, n))
 
 
 def port(value: Column) -> Column:
     """A port number, or null."""
-    n = number(value, 65535)
-    return F.when(n == F.floor(n), n.cast("int"))
+    return let(number(value, 65535), lambda n: F.when(n == F.floor(n), n.cast("int")))
 
 
 def port_range(value: Column) -> Column:
@@ -73,6 +77,5 @@ def is_address(value: Column) -> Column:
 
 def endpoint_port(endpoint: Column) -> Column:
     """The port of interface:address/port, or null: absent, redacted or invalid."""
-    rest = F.when(F.instr(endpoint, ":") > 0, F.regexp_replace(endpoint, r"\A[^:]*:", ""))
-    digits = F.regexp_extract(rest, r"/([0-9]+)\z", 1)
-    return F.when(F.length(digits).between(1, 9), F.when(digits.try_cast("int") <= 65535, digits.try_cast("int")))
+    found = let(F.regexp_extract(endpoint, r"(?s)\A[^:]*:.*/([0-9]{1,9})\z", 1), lambda d: d.try_cast("int"))
+    return let(found, lambda n: F.when(n <= 65535, n))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tarn.contract import FACTS, facts, with_facts
+from tarn.functions.values import let
 from tarn.operators import decoders
 
 _NESTED = StructType([StructField("nested_route", StringType()), *FACTS.fields])
@@ -63,25 +64,20 @@ def classify(rows: DataFrame, message: str = "message_sanitized") -> DataFrame:
     raw = F.coalesce(F.col(message).cast("string"), F.lit(""))
     rows = rows.drop("route", "supported", "facts").withColumn("__raw", raw)
     raw = F.col("__raw")
+    line = F.coalesce(decoders.asa_deny(raw), decoders.syslog_body(raw), decoders.vpc_flow(raw), decoders.flow_line(raw))
     maybe = F.contains(raw, F.lit('"')) | F.contains(raw, F.lit("CEF:")) | raw.rlike(r"(?U)\A<[\w-]+\s+xmlns=")
-    rows = rows.withColumns({"__asa": decoders.asa_deny(raw), "__nested": _nested(F.when(maybe, raw))})
-    nested = F.col("__nested")
-    nested_facts = F.struct(*[nested[f.name].alias(f.name) for f in FACTS.fields])
-    as_decoded = F.struct(nested["nested_route"].alias("route"), F.lit(True).alias("supported"), nested_facts.alias("facts"))
-    rows = rows.withColumn(
-        "__found",
-        decoders.first_of(
-            F.when(raw.rlike(r"(?U)\A\s*\z"), decoders.decoded("empty", False)),
-            F.col("__asa"),
-            F.when(nested["nested_route"] != "bounded_payload", as_decoded),
-            decoders.syslog_body(raw),
-            decoders.vpc_flow(raw),
-            decoders.flow_line(raw),
-            F.when(nested["nested_route"].isNotNull(), as_decoded),
-            decoders.decoded("unsupported", False),
-        ),
+    rows = rows.withColumn("__line", line).withColumn("__nested", _nested(F.when(maybe, raw)))
+    nested, line = F.col("__nested"), F.col("__line")
+    as_decoded = F.struct(nested["nested_route"].alias("route"), F.lit(True).alias("supported"), F.struct(*[nested[f.name].alias(f.name) for f in FACTS.fields]).alias("facts"))
+    unknown = F.struct(F.lit("unsupported").alias("route"), F.lit(False).alias("supported"), F.coalesce(decoders.firewall_patch(raw), facts()).alias("facts"))
+    found = (
+        F.when(raw.rlike(r"(?U)\A\s*\z"), decoders.decoded("empty", False))
+        .when(line["route"] == "asa", line)
+        .when(nested["nested_route"] != "bounded_payload", as_decoded)
+        .when(line.isNotNull(), line)
+        .when(nested["nested_route"].isNotNull(), as_decoded)
+        .otherwise(unknown)
     )
-    route = F.col("__found")["route"]
-    observed = F.when(route == "unsupported", F.coalesce(decoders.firewall_patch(raw), facts())).otherwise(F.col("__found")["facts"])
-    rows = rows.withColumns({"route": route, "supported": F.col("__found")["supported"], "facts": observed})
-    return rows.withColumn("facts", semantics(F.col("route"), F.col("facts"))).drop("__raw", "__asa", "__nested", "__found")
+    meant = lambda v: F.struct(v["route"].alias("route"), v["supported"].alias("supported"), semantics(v["route"], v["facts"]).alias("facts"))
+    rows = rows.withColumn("__found", let(found, meant))
+    return rows.withColumns({name: F.col("__found")[name] for name in ("route", "supported", "facts")}).drop("__raw", "__line", "__nested", "__found")

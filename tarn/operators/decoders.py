@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarn.contract import facts
-from tarn.functions.values import MARKER, MONTH, captures, endpoint_port, given, is_address, matches, number, port, port_range, protocol_name, role
+from tarn.functions.values import MARKER, MONTH, captures, endpoint_port, given, is_address, let, matches, number, port, port_range, protocol_name, role
 
 _I = "(?iuUd)"
 _U = "(?Ud)"
@@ -48,19 +48,24 @@ _TIMES = (
 
 def asa_deny(text: Column) -> Column:
     """Deny by access group, at the end of the message, after nothing or a checked collector's prefix."""
-    pattern = _I + _ASA
-    part = lambda k: F.regexp_extract(text, pattern, k)
-    prefix = F.regexp_replace(F.regexp_replace(text, "(?s)" + _I + rf"{_ASA}", ""), _I + _ASA_CODE, "")
+    # One pass over the message: what stands before the body, and the body's groups.
+    parts = captures(text, rf"(?s){_I}(.*?){_ASA[:-1]}", 6)
+
+    def found(c: Column) -> Column:
+        proto = F.lower(c[1])
+        icmp = lambda k: number(c[k], 255).cast("int")
+        ends = let(F.array(endpoint_port(c[2]), endpoint_port(c[3])), lambda e: decoded("asa", action=F.lit("deny"), outcome=F.lit("blocked"), transport_protocol=F.when(proto.isin("tcp", "udp", "icmp", "icmp6"), proto), src_role=role(c[2]), dst_role=role(c[3]), icmp_type=icmp(4), icmp_code=icmp(5), **_endpoints(e[0], e[1])))
+        return F.when(c.isNotNull() & _checked_prefix(F.regexp_replace(c[0], _I + _ASA_CODE, "")), ends)
+
+    return F.when(F.contains(F.lower(text), F.lit("deny")), let(parts, found))
+
+
+def _checked_prefix(prefix: Column) -> Column:
+    """Nothing, or a prefix with a time and at most two names besides redacted identities."""
     timeless = reduce(lambda c, p: F.regexp_replace(c, _I + p, " TIME "), _TIMES, F.regexp_replace(prefix, _I + r"^\s*<\d{1,3}>\s*(?:1\s+)?", ""))
     tokens = F.split(F.trim(F.regexp_replace(F.regexp_replace(timeless, _U + MARKER, " ENTITY "), r"(?U)[:\s]+", " ")), " ")
-    others = F.filter(tokens, lambda t: ~t.isin("TIME", "ENTITY", "-", ""))
-    clean = F.array_contains(tokens, "TIME") & (F.size(others) <= 2) & F.forall(others, lambda t: matches(t, r"(?U)[A-Za-z][\w.-]*"))
-    checked = matches(prefix, r"(?U)\s*") | clean
-    proto = F.lower(part(1))
-    transport = F.when(proto.isin("tcp", "udp", "icmp", "icmp6"), proto)
-    icmp = lambda k: given(number(part(k), 255).cast("int").cast("string")).cast("int")
-    found = decoded("asa", action=F.lit("deny"), outcome=F.lit("blocked"), transport_protocol=transport, src_role=role(part(2)), dst_role=role(part(3)), icmp_type=icmp(4), icmp_code=icmp(5), **_endpoints(endpoint_port(part(2)), endpoint_port(part(3))))
-    return F.when(F.contains(F.lower(text), F.lit("deny")) & text.rlike(pattern) & checked, found)
+    clean = let(tokens, lambda t: F.array_contains(t, "TIME") & let(F.filter(t, lambda x: ~x.isin("TIME", "ENTITY", "-", "")), lambda o: (F.size(o) <= 2) & F.forall(o, lambda x: matches(x, r"(?U)[A-Za-z][\w.-]*"))))
+    return matches(prefix, r"(?U)\s*") | clean
 
 
 # --- syslog wrapper and bodies ------------------------------------------------------------------------------------
@@ -68,24 +73,29 @@ def asa_deny(text: Column) -> Column:
 _CLOCK = rf"(?:[0-2][0-9]:[0-5][0-9]:[0-5][0-9](?:\.[0-9]+)?|{MARKER}|-)"
 # collectors' headers, in the order in which they are tried.
 _WRAPPERS = (
-    rf"{_U}(?s)\A<(\d{{1,3}})>1\s+\S+\s+\S+\s+\S+\s+\S+\s+\S+\s+-\s+(.+)\z",
-    rf"{_I}(?s)\A(?:<([0-9]{{1,3}})>)?{MONTH}\s+[0-9]{{1,2}}\s+(?:(?:[0-9]{{4}}|{MARKER})\s+)?{_CLOCK}:?\s+\S+\s+(.+)\z",
-    rf"{_U}(?s)\A<([0-9]{{1,3}})>\S+\s+\S+\s+(.+)\z",
+    rf"{_U}(?s)<(\d{{1,3}})>1\s+\S+\s+\S+\s+\S+\s+\S+\s+\S+\s+-\s+(.+)",
+    rf"{_I}(?s)(?:<([0-9]{{1,3}})>)?{MONTH}\s+[0-9]{{1,2}}\s+(?:(?:[0-9]{{4}}|{MARKER})\s+)?{_CLOCK}:?\s+\S+\s+(.+)",
+    rf"{_U}(?s)<([0-9]{{1,3}})>\S+\s+\S+\s+(.+)",
 )
 
 
 def syslog_payload(text: Column) -> Column:
     """The message behind a collector's header of priority 191 at most; null without one."""
-    tried = [F.when(text.rlike(p) & (F.coalesce(F.regexp_extract(text, p, 1).try_cast("int"), F.lit(0)) <= 191), F.regexp_extract(text, p, 2)) for p in _WRAPPERS]
-    return first_of(*tried)
+
+    def tried(pattern: str) -> Column:
+        return let(captures(text, pattern, 2), lambda c: F.when(F.coalesce(c[0].try_cast("int"), F.lit(0)) <= 191, c[1]))
+
+    return F.when(text.rlike(rf"(?i)\A(?:<|{MONTH})"), first_of(*map(tried, _WRAPPERS)))
 
 
 def syslog_body(text: Column) -> Column:
     """Audit records, literal denials, explicit payloads, aggregate and PAM authentication inside a collector's header."""
-    whole = syslog_payload(text)
-    usable = ~F.contains(whole, F.lit("CEF:")) & ~whole.rlike(r"(?U)\A\s*[{\[]")
-    body = F.when(usable, F.regexp_replace(whole, _U + r"\A[\w.-]+(?:\[[^\]\s]+\])?:\s+", ""))
-    return first_of(_audit(body), _acl_denial(body), _protocol_denial(body), _format_payload(body), _authentication(body))
+
+    def payload(whole: Column) -> Column:
+        usable = whole.isNotNull() & ~F.contains(whole, F.lit("CEF:")) & ~whole.rlike(r"(?U)\A\s*[{\[]")
+        return F.when(usable, let(F.regexp_replace(whole, _U + r"\A[\w.-]+(?:\[[^\]\s]+\])?:\s+", ""), lambda body: first_of(_audit(body), _acl_denial(body), _protocol_denial(body), _format_payload(body), _authentication(body))))
+
+    return let(syslog_payload(text), payload)
 
 
 # Fields of audit records that are read.
@@ -93,29 +103,34 @@ _AUDIT_FIELD = r'(?U)(?<!\S)(name|cwd|exe|comm|proctitle|arch|syscall|success|ex
 
 
 def _audit(body: Column) -> Column:
-    head = rf"{_U}\A(?:node=\S+\s+)?type=(PATH|SYSCALL|CWD|PROCTITLE|EXECVE|{MARKER})\s+msg=audit\([^\s)]+\):\s*"
-    kind = F.regexp_extract(body, head, 1)
-    rest = F.regexp_replace(body, head, "")
-    names = F.regexp_extract_all(rest, F.lit(_AUDIT_FIELD), F.lit(1))
-    values = F.transform(F.regexp_extract_all(rest, F.lit(_AUDIT_FIELD), F.lit(2)), lambda v: F.regexp_replace(v, r'\A"|"\z', ""))
-    once = F.size(F.array_distinct(names)) == F.size(names)
-    field = F.map_from_arrays(F.when(once, names), F.when(once, values))
-    success = field["success"]
-    leave = field["exit"]
-    found = decoded("audit_fields", operation_record=F.when(~kind.rlike(MARKER), F.lower(kind)), outcome=F.when(success == "yes", "success").when(success == "no", "failure"), exit_category=F.when(matches(leave, r"-?[0-9]{1,18}"), leave.try_cast("long")))
-    return F.when(body.rlike(head) & once, found)
+    parts = captures(body, rf"{_U}(?s)(?:node=\S+\s+)?type=(PATH|SYSCALL|CWD|PROCTITLE|EXECVE|{MARKER})\s+msg=audit\([^\s)]+\):\s*(.*)", 2)
+
+    def record(kind: Column, names: Column, values: Column) -> Column:
+        value = lambda name: F.get(F.filter(values, lambda v, k: F.get(names, k) == name), F.lit(0))
+        leave = F.regexp_replace(value("exit"), r'\A"|"\z', "")
+        success = F.regexp_replace(value("success"), r'\A"|"\z', "")
+        return F.when(
+            F.size(F.array_distinct(names)) == F.size(names),
+            decoded("audit_fields", operation_record=F.when(~kind.rlike(MARKER), F.lower(kind)), outcome=F.when(success == "yes", "success").when(success == "no", "failure"), exit_category=F.when(matches(leave, r"-?[0-9]{1,18}"), leave.try_cast("long"))),
+        )
+
+    def fields(c: Column) -> Column:
+        found = let(F.regexp_extract_all(c[1], F.lit(_AUDIT_FIELD), F.lit(1)), lambda names: let(F.regexp_extract_all(c[1], F.lit(_AUDIT_FIELD), F.lit(2)), lambda values: record(c[0], names, values)))
+        return F.when(c.isNotNull(), found)
+
+    return F.when(F.contains(body, F.lit("msg=audit(")), let(parts, fields))
 
 
 def _acl_denial(body: Column) -> Column:
-    c = captures(body, _I + r"(TCP|UDP|ICMP)\s+\S+\s+denied by ACL from (?:\S+)/(\S+) to ([^:\s]+):(?:\S+)/(\S+)\s*", 4)
-    proto = F.lower(c[0])
-    return F.when(c.isNotNull(), decoded("asa_acl", action=F.lit("deny"), outcome=F.lit("blocked"), transport_protocol=proto, dst_role=role(c[2]), **_endpoints(port(c[1]), port(c[3]))))
+    parts = captures(body, _I + r"(TCP|UDP|ICMP)\s+\S+\s+denied by ACL from (?:\S+)/(\S+) to ([^:\s]+):(?:\S+)/(\S+)\s*", 4)
+    found = lambda c: F.when(c.isNotNull(), let(F.array(port(c[1]), port(c[3])), lambda p: decoded("asa_acl", action=F.lit("deny"), outcome=F.lit("blocked"), transport_protocol=F.lower(c[0]), dst_role=role(c[2]), **_endpoints(p[0], p[1]))))
+    return F.when(F.contains(F.lower(body), F.lit(" denied by acl from ")), let(parts, found))
 
 
 def _protocol_denial(body: Column) -> Column:
-    c = captures(body, _I + r'Deny protocol ([0-9]{1,3}) src ([^:\s]+):\S+ dst ([^:\s]+):\S+ by \S+-group "[^"]+" \[[^\]]+\]\s*', 3)
-    n = c[0].try_cast("int")
-    return F.when(n <= 255, decoded("asa_protocol", action=F.lit("deny"), outcome=F.lit("blocked"), transport_protocol=F.concat(F.lit("ipproto_"), n.cast("string")), src_role=role(c[1]), dst_role=role(c[2])))
+    parts = captures(body, _I + r'Deny protocol ([0-9]{1,3}) src ([^:\s]+):\S+ dst ([^:\s]+):\S+ by \S+-group "[^"]+" \[[^\]]+\]\s*', 3)
+    found = lambda c: F.when(c[0].try_cast("int") <= 255, decoded("asa_protocol", action=F.lit("deny"), outcome=F.lit("blocked"), transport_protocol=F.concat(F.lit("ipproto_"), c[0].try_cast("int").cast("string")), src_role=role(c[1]), dst_role=role(c[2])))
+    return F.when(body.rlike("(?i)\\Adeny protocol "), let(parts, found))
 
 
 def _format_payload(body: Column) -> Column:
@@ -125,14 +140,13 @@ def _format_payload(body: Column) -> Column:
 
 def _authentication(body: Column) -> Column:
     other = body.rlike(_I + r"\A(?:Site:|\[|Category\s*=)")
-    c = captures(body, _I + r"\S+\s+Duration:\s*(\S+)\s+Count:\s*([^;]+);\s+[^:;]+:\s+Authentication (failure|success)\.\s*\x00?", 3)
-    clock = F.split(F.when(matches(c[0], r"\d+:[0-5]\d:[0-5]\d(?:\.\d+)?"), c[0]), ":")
-    seconds = clock[0].cast("double") * 3600 + clock[1].cast("double") * 60 + clock[2].cast("double")
-    aggregate = F.when(c.isNotNull(), decoded("syslog_auth", outcome=F.lower(c[2]), attempt_count=number(c[1]), duration_seconds=seconds))
+    parts = captures(body, _I + r"\S+\s+Duration:\s*(\S+)\s+Count:\s*([^;]+);\s+[^:;]+:\s+Authentication (failure|success)\.\s*\x00?", 3)
+    seconds = lambda t: let(F.split(F.when(matches(t, r"\d+:[0-5]\d:[0-5]\d(?:\.\d+)?"), t), ":"), lambda k: k[0].cast("double") * 3600 + k[1].cast("double") * 60 + k[2].cast("double"))
+    aggregate = let(parts, lambda c: F.when(c.isNotNull(), decoded("syslog_auth", outcome=F.lower(c[2]), attempt_count=number(c[1]), duration_seconds=seconds(c[0]))))
     failed = F.when(body.rlike(_I + r"\Apam_unix\([^:()]+:auth\):\s+authentication failure(?:;|\s|$)"), decoded("syslog_body", outcome=F.lit("failure")))
     session = _I + r"\Apam_unix\([^:()]+:session\):\s+session (opened|closed)\b"
     turned = F.when(body.rlike(session), decoded("syslog_body", action=F.when(F.contains(F.lower(body), F.lit("session opened")), "open").otherwise("close")))
-    return F.when(~other, first_of(aggregate, failed, turned))
+    return F.when(~other, first_of(F.when(F.contains(F.lower(body), F.lit("authentication ")), first_of(aggregate, failed)), turned))
 
 
 # --- flow logs ----------------------------------------------------------------------------------------------------
@@ -140,19 +154,22 @@ def _authentication(body: Column) -> Column:
 
 def vpc_flow(text: Column) -> Column:
     """VPC flow log record, version 2: fourteen fields."""
-    a = F.split(F.regexp_replace(text, r"(?U)\A\s+|\s+\z", ""), r"(?U)\s+", -1)
     address = lambda c: (c == "-") | c.rlike(MARKER) | is_address(c)
-    valid = (F.size(a) == 14) & (a[0] == "2") & matches(a[1], r"(?i:\d{12}|-|unknown)") & (a[2].startswith("eni-") | matches(a[2], MARKER) | (a[2] == "-")) & address(a[3]) & address(a[4]) & a[12].isin("ACCEPT", "REJECT", "-")
-    found = decoded(
-        "vpc_v2",
-        action=F.when(a[12] == "ACCEPT", "allow").when(a[12] == "REJECT", "deny"),
-        outcome=F.when(a[12] == "ACCEPT", "allowed").when(a[12] == "REJECT", "blocked"),
-        transport_protocol=protocol_name(number(a[7], 255)),
-        packets=number(a[8]),
-        bytes=number(a[9]),
-        **_endpoints(port(a[5]), port(a[6])),
-    )
-    return F.when(valid, found)
+
+    def found(a: Column) -> Column:
+        valid = (F.size(a) == 14) & (a[0] == "2") & matches(a[1], r"(?i:\d{12}|-|unknown)") & (a[2].startswith("eni-") | matches(a[2], MARKER) | (a[2] == "-")) & a[12].isin("ACCEPT", "REJECT", "-") & address(a[3]) & address(a[4])
+        record = lambda p: decoded(
+            "vpc_v2",
+            action=F.when(a[12] == "ACCEPT", "allow").when(a[12] == "REJECT", "deny"),
+            outcome=F.when(a[12] == "ACCEPT", "allowed").when(a[12] == "REJECT", "blocked"),
+            transport_protocol=let(number(a[7], 255), protocol_name),
+            packets=number(a[8]),
+            bytes=number(a[9]),
+            **_endpoints(p[0], p[1]),
+        )
+        return F.when(valid, let(F.array(port(a[5]), port(a[6])), record))
+
+    return F.when(text.rlike(r"(?U)\A\s*2\s"), let(F.split(F.regexp_replace(text, r"(?U)\A\s+|\s+\z", ""), r"(?U)\s+", -1), found))
 
 
 # The layout of flow and firewall lines.
@@ -164,24 +181,30 @@ _FLOW = (
 
 def flow_line(text: Column) -> Column:
     """Flow and layer-7 firewall lines; where the explicit action, the decision and the pattern differ, the action is withheld."""
-    c = captures(F.regexp_replace(text, r"(?U)\A\s+|\s+\z", ""), _I + _FLOW, 10)
-    kind, action, decision, pattern = F.lower(c[1]), given(F.lower(c[2])), given(F.lower(c[9])), given(c[8])
-    digits = F.when(matches(c[3], "[0-9]+"), c[3].try_cast("int"))
-    proto = F.when(digits.isNotNull(), protocol_name(digits)).when(F.lower(c[3]) == "icmpv6", "icmp6").otherwise(F.lower(c[3]))
-    valid = (c[0].try_cast("int") <= 191) & (digits.isNull() | (digits <= 255)) & F.when(kind == "l7_firewall", decision.isNotNull()).otherwise(pattern.isNotNull() | action.isNotNull())
-    p = captures(F.trim(pattern), _I + r"(0|1|allow|deny)\s+(?:all|dst\s+(\S+))", 2)
-    stated = F.when((p[1] == "") | is_address(p[1]), F.when(F.lower(p[0]).isin("0", "allow"), "allow").otherwise("deny"))
-    said = F.filter(F.array(action, F.when(decision == "blocked", "deny").when(decision == "allowed", "allow"), stated), lambda x: x.isNotNull())
-    agreed = F.when(F.size(F.array_distinct(said)) == 1, said[0])
-    tcp_udp, icmp = proto.isin("tcp", "udp"), proto.isin("icmp", "icmp6")
-    observed = {
-        "action": agreed,
-        "outcome": F.when(agreed == "deny", "blocked").when(agreed == "allow", "allowed"),
-        "transport_protocol": proto,
-        "icmp_type": F.when(icmp, number(c[6], 255).cast("int")),
-        "icmp_code": F.when(icmp, number(c[7], 255).cast("int")),
-    } | _endpoints(F.when(tcp_udp, port(c[4])), F.when(tcp_udp, port(c[5])))
-    return F.when(valid, F.when(kind == "flows", decoded("native_flow", **observed)).otherwise(decoded("native_firewall", **observed)))
+
+    def found(c: Column) -> Column:
+        kind, action, decision, pattern = F.lower(c[1]), given(F.lower(c[2])), given(F.lower(c[9])), given(c[8])
+        digits = F.when(matches(c[3], "[0-9]+"), c[3].try_cast("int"))
+        valid = (c[0].try_cast("int") <= 191) & F.coalesce(digits <= 255, F.lit(True)) & F.when(kind == "l7_firewall", decision.isNotNull()).otherwise(pattern.isNotNull() | action.isNotNull())
+        proto = F.when(matches(c[3], "[0-9]+"), let(digits, protocol_name)).when(F.lower(c[3]) == "icmpv6", "icmp6").otherwise(F.lower(c[3]))
+        stated = let(captures(F.trim(pattern), _I + r"(0|1|allow|deny)\s+(?:all|dst\s+(\S+))", 2), lambda p: F.when((p[1] == "") | is_address(p[1]), F.when(F.lower(p[0]).isin("0", "allow"), "allow").otherwise("deny")))
+        said = F.array_distinct(F.filter(F.array(action, F.when(decision == "blocked", "deny").when(decision == "allowed", "allow"), stated), lambda x: x.isNotNull()))
+
+        def record(v: Column) -> Column:
+            agreed, tcp_udp, icmp = v["agreed"], v["proto"].isin("tcp", "udp"), v["proto"].isin("icmp", "icmp6")
+            observed = {
+                "action": agreed,
+                "outcome": F.when(agreed == "deny", "blocked").when(agreed == "allow", "allowed"),
+                "transport_protocol": v["proto"],
+                "icmp_type": F.when(icmp, number(c[6], 255).cast("int")),
+                "icmp_code": F.when(icmp, number(c[7], 255).cast("int")),
+            } | _endpoints(F.when(tcp_udp, v["src"]), F.when(tcp_udp, v["dst"]))
+            return F.when(kind == "flows", decoded("native_flow", **observed)).otherwise(decoded("native_firewall", **observed))
+
+        agreed = let(said, lambda s: F.when(F.size(s) == 1, s[0]))
+        return F.when(valid, let(F.struct(agreed.alias("agreed"), proto.alias("proto"), port(c[4]).alias("src"), port(c[5]).alias("dst")), record))
+
+    return F.when(F.contains(F.lower(text), F.lit(">original address=")), let(captures(F.regexp_replace(text, r"(?U)\A\s+|\s+\z", ""), _I + _FLOW, 10), found))
 
 
 # --- firewall lines of no route: facts only -----------------------------------------------------------------------
@@ -193,45 +216,53 @@ _DATE = r"(?:\d{4}|USER-\d+)/\d{2}/\d{2} \d{2}:\d{2}:\d{2}"
 _ACTIONS = {"deny": "deny", "drop": "deny", "drop-all-packets": "deny", "block-url": "deny", "reset-client": "deny", "reset-server": "deny", "reset-both": "deny", "allow": "allow", "alert": "alert"}
 
 
-def _token_port(token: Column, mixed: bool) -> tuple[Column, Column]:
-    """Whether a port token is well formed, and its number (null for a redacted one)."""
+def _token_port(token: Column, mixed: bool) -> Column:
+    """(ok, port) of a port token: well formed, and its number (null for a redacted one)."""
     hidden = matches(token, rf"(?i:{_NAMED})") | (token == "-")
     if mixed:
         hidden = hidden | (matches(token, r"(?:[0-9]+|(?:CRED|USER|HOST|ORG)-[0-9]+(?:-[0-9]+)*)+") & token.rlike("(?:CRED|USER|HOST|ORG)-"))
-    n = F.when(~hidden & matches(token, "[0-9]{1,9}"), token.try_cast("int"))
-    return hidden | (n <= 65535), n
+    n = F.when(matches(token, "[0-9]{1,9}"), token.try_cast("int"))
+    return let(F.struct(hidden.alias("hidden"), n.alias("n")), lambda v: F.struct(F.coalesce(v["hidden"] | (v["n"] <= 65535), F.lit(False)).alias("ok"), F.when(~v["hidden"], v["n"]).alias("port")))
+
+
+def _with_ports(source: Column, target: Column, made) -> Column:
+    return let(F.array(source, target), lambda p: F.when(p[0]["ok"] & p[1]["ok"], made(p[0]["port"], p[1]["port"])))
 
 
 def firewall_patch(text: Column) -> Column:
     """Facts of literal denial sentences and of CSV traffic lines, for messages that no decoder takes; else null."""
     trimmed = F.regexp_replace(text, r"(?U)\A\s+|\s+\z", "")
-    body = captures(trimmed, _I + _LINE + rf"(?:(?:\d{{4}}|USER-\d+)\s+)?\d{{2}}:\d{{2}}:\d{{2}}:?\s+\S+\s+(Deny\s+.*?)\s*", 1)[0]
-    return first_of(_sentence(body), _role_sentence(body), _traffic(trimmed))
+    body = let(captures(trimmed, _I + _LINE + r"(?:(?:\d{4}|USER-\d+)\s+)?\d{2}:\d{2}:\d{2}:?\s+\S+\s+(Deny\s+.*?)\s*", 1), lambda c: c[0])
+    sentences = F.when(F.contains(F.lower(text), F.lit("deny")), let(body, lambda b: first_of(_sentence(b), _role_sentence(b))))
+    traffic = F.when(F.contains(text, F.lit(",TRAFFIC,")) | F.contains(text, F.lit(",THREAT,")), let(captures(trimmed, _I + _LINE + r"\d{2}:\d{2}:\d{2}\s+\S+\s+(.*)", 1), lambda c: _traffic(c[0])))
+    return F.when(text.startswith("<") | text.rlike(r"(?U)\A\s+<"), first_of(sentences, traffic))
 
 
 def _sentence(body: Column) -> Column:
-    c = captures(body, _I + r"Deny\s+(?:inbound|outbound)\s+(TCP|UDP)\s+from\s+([^\s/]+)/([^\s/]+)\s+to\s+([^\s/]+)/([^\s/]+)(?:\s+on\s+[^\r\n]+| due to DNS Response)", 5)
+    parts = captures(body, _I + r"Deny\s+(?:inbound|outbound)\s+(TCP|UDP)\s+from\s+([^\s/]+)/([^\s/]+)\s+to\s+([^\s/]+)/([^\s/]+)(?:\s+on\s+[^\r\n]+| due to DNS Response)", 5)
     address = lambda a: matches(a, rf"(?i:{_NAMED})") | is_address(a)
-    (good_a, a), (good_b, b) = _token_port(c[2], False), _token_port(c[4], False)
-    return F.when(address(c[1]) & address(c[3]) & good_a & good_b, facts(action=F.lit("deny"), outcome=F.lit("blocked"), transport_protocol=F.lower(c[0]), **_endpoints(a, b)))
+    made = lambda c: _with_ports(_token_port(c[2], False), _token_port(c[4], False), lambda a, b: facts(action=F.lit("deny"), outcome=F.lit("blocked"), transport_protocol=F.lower(c[0]), **_endpoints(a, b)))
+    return let(parts, lambda c: F.when(c.isNotNull() & address(c[1]) & address(c[3]), made(c)))
 
 
 def _role_sentence(body: Column) -> Column:
-    c = captures(body, _I + r'Deny (tcp|udp) src (inside|outside|dmz):([^/\s]+)/([^\s]+) dst (inside|outside|dmz):([^/\s]+)/([^\s]+) by \S+-group "[^"\r\n]+" \[[^\]\r\n]+\]', 7)
-    (good_a, a), (good_b, b) = _token_port(c[3], True), _token_port(c[6], True)
-    return F.when(is_address(c[2]) & is_address(c[5]) & good_a & good_b, facts(action=F.lit("deny"), outcome=F.lit("blocked"), transport_protocol=F.lower(c[0]), src_role=F.lower(c[1]), dst_role=F.lower(c[4]), **_endpoints(a, b)))
-
-
-def _traffic(trimmed: Column) -> Column:
-    row = captures(trimmed, _I + _LINE + r"\d{2}:\d{2}:\d{2}\s+\S+\s+(.*)", 1)[0]
-    f = F.transform(F.split(row, r',(?=(?:[^"]*"[^"]*")*[^"]*\z)', -1), lambda v: F.when(v.rlike(r'\A".*"\z'), F.regexp_replace(F.substring(v, 2, F.length(v) - 2), '""', '"')).otherwise(v))
-    at = lambda k: F.get(f, F.lit(k))
-    action = reduce(lambda c, kv: c.when(at(30) == kv[0], kv[1]), list(_ACTIONS.items())[1:], F.when(at(30) == "deny", "deny"))
-    (good_a, a), (good_b, b) = _token_port(at(24), True), _token_port(at(25), True)
-    proto = at(29)
-    valid = (
-        (F.size(f) >= 46) & (at(0) == "1") & at(3).isin("TRAFFIC", "THREAT") & matches(at(1), _DATE) & matches(at(6), _DATE) & at(15).startswith("vsys") & matches(at(28), "0x[0-9a-fA-F]+")
-        & proto.isin("tcp", "udp", "icmp", "icmp6", "gre") & action.isNotNull() & is_address(at(7)) & is_address(at(8)) & good_a & good_b
-    )
-    with_ports = proto.isin("tcp", "udp")
-    return F.when(valid, facts(action=action, outcome=F.when(action == "deny", "blocked").when(action == "allow", "allowed"), transport_protocol=F.when(proto != "gre", proto), **_endpoints(F.when(with_ports, a), F.when(with_ports, b))))
+    parts = captures(body, _I + r'Deny (tcp|udp) src (inside|outside|dmz):([^/\s]+)/([^\s]+) dst (inside|outside|dmz):([^/\s]+)/([^\s]+) by \S+-group "[^"\r\n]+" \[[^\]\r\n]+\]', 7)
+    made = lambda c: _with_ports(_token_port(c[3], True), _token_port(c[6], True), lambda a, b: facts(action=F.lit("deny"), outcome=F.lit("blocked"), transport_protocol=F.lower(c[0]), src_role=F.lower(c[1]), dst_role=F.lower(c[4]), **_endpoints(a, b)))
+    return let(parts, lambda c: F.when(c.isNotNull() & is_address(c[2]) & is_address(c[5]), made(c)))
+
+
+def _traffic(row: Column) -> Column:
+    cells = F.transform(F.split(row, r',(?=(?:[^"]*"[^"]*")*[^"]*\z)', -1), lambda v: F.when(v.rlike(r'\A".*"\z'), F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), '""', '"')).otherwise(v))
+
+    def found(f: Column) -> Column:
+        at = lambda k: F.get(f, F.lit(k))
+        action = reduce(lambda c, kv: c.when(at(30) == kv[0], kv[1]), list(_ACTIONS.items())[1:], F.when(at(30) == "deny", "deny"))
+        valid = (
+            (F.size(f) >= 46) & (at(0) == "1") & at(3).isin("TRAFFIC", "THREAT") & at(29).isin("tcp", "udp", "icmp", "icmp6", "gre") & action.isNotNull() & at(15).startswith("vsys")
+            & matches(at(28), "0x[0-9a-fA-F]+") & matches(at(1), _DATE) & matches(at(6), _DATE) & is_address(at(7)) & is_address(at(8))
+        )
+        ported = at(29).isin("tcp", "udp")
+        made = lambda a, b: let(action, lambda done: facts(action=done, outcome=F.when(done == "deny", "blocked").when(done == "allow", "allowed"), transport_protocol=F.when(at(29) != "gre", at(29)), **_endpoints(F.when(ported, a), F.when(ported, b))))
+        return F.when(valid, _with_ports(_token_port(at(24), True), _token_port(at(25), True), made))
+
+    return let(cells, found)
