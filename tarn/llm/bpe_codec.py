@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import slices
+from tarn.llm.common import slices, text_batches, tidy
 
 #: Encoded pre-tokens that a worker keeps.
-CACHE = 350_000
+CACHE = 250_000
 
 
 class Codec(dict):
@@ -181,9 +181,11 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, decoded: bool = False)
                 if decoded:
                     columns.append(pa.array([own.decode(x) for x in ids], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded"][: len(columns)])
+        own.older = {}  # the worker may be idle for long
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>" + ", decoded binary" * decoded)
+    return rows.mapInArrow(tidy(run), "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
@@ -199,4 +201,4 @@ def decode(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:
                 out = [own.decode(flat[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
 
-    return tokens.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
+    return tokens.select("doc_id", F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(tidy(run), "doc_id long, ids array<int>, decoded binary")

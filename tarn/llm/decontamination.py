@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import parts_for, slices, text_bytes
+from tarn.llm.common import parts_for, slices, text_batches, text_bytes, tidy
 from tarn.llm.words import Words, short_shingle
 
 #: Benchmark text that is searched for at once.
@@ -97,6 +97,7 @@ class Searcher:
 
 def _blocks(benchmark: DataFrame, width: int, num: int, den: int):
     """Searchers over all items, a bounded number of bytes at a time."""
+    text_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     _, total = text_bytes(items)
     parts = parts_for(total, BLOCK_BYTES)
@@ -124,7 +125,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, width: int = 5, num: i
                     d, m, n = searcher.search(part.column("text"))
                     yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(d, pa.int64())), pa.array([searcher.ids[k] for k in m], pa.int64()), pa.array([int(searcher.sizes[k]) for k in m], pa.int64()), pa.array(n, pa.int64())], names=["doc_id", "item_id", "n_shingles", "n_shared"])
 
-        found = rows.mapInArrow(run, "doc_id long, item_id long, n_shingles long, n_shared long")
+        found = rows.mapInArrow(tidy(run), "doc_id long, item_id long, n_shingles long, n_shared long")
         out = found if out is None else out.unionAll(found)
     return out
 
@@ -140,5 +141,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, num: in
                     keep[own.value.search(part.column("text"))[0]] = False
                     yield part.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

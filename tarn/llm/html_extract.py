@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import slices
+from tarn.llm.common import slices, text_batches, tidy
 
 #: Standard deviations of the paths' smoothed ratios that a content path reaches.
 CUT = 0.5
@@ -307,5 +307,6 @@ def extract(pages: DataFrame) -> DataFrame:
             for part in slices(batch, text="html"):
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([main_text(p) for p in part.column("html").to_pylist()], pa.string())], names=["page_id", "url", "text"])
 
+    text_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string")
+    return rows.mapInArrow(tidy(run), "page_id long, url string, text string")

@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import slices
+from tarn.llm.common import slices, text_batches, tidy
 from tarn.llm.words import Words, mix
 
 _SYMBOL = np.zeros(256, dtype=bool)
@@ -168,5 +168,6 @@ def quality(docs: DataFrame, model_file: str) -> DataFrame:
                 columns = [part.column("doc_id"), *(pa.array(v, pa.int64()) for v in base.values()), pa.array(failed), pa.array(scripts, pa.string()), *(pa.array(list(v), t) for v, t in zip(zip(*measures, strict=True), (pa.int64(), pa.float64(), pa.float64(), pa.float64()), strict=True)), pa.array(kept, pa.bool_())]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _RESULT.split(", ")])
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, _RESULT)
+    return rows.mapInArrow(tidy(run), _RESULT)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tarn.llm import packed
-from tarn.llm.common import parts_for, text_bytes
+from tarn.llm.common import parts_for, text_bytes, tidy
 from tarn.llm.words import Words
 
 #: The contract's window.
@@ -166,7 +166,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CH
     width = max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), *([F.struct(*rest).alias("rest")] if rest else [])).repartition(width, "chunk")
     result = StructType.fromDDL(_RESULT) if not rest else StructType([*StructType.fromDDL(_RESULT), dealt.schema["rest"]])
-    hit = dealt.groupBy("chunk").applyInArrow(_probe(window, chunks), packed.MESSAGE).repartition(width, "bucket").groupBy("bucket").applyInArrow(packed.count, packed.ANSWER)
-    repeated = dealt.groupBy("chunk").cogroup(hit.repartition(width, "chunk").groupBy("chunk")).applyInArrow(_extend(window, chunks), packed.MESSAGE).repartition(width, "bucket").groupBy("bucket").applyInArrow(packed.count, packed.ANSWER)
+    hit = dealt.groupBy("chunk").applyInArrow(tidy(_probe(window, chunks)), packed.MESSAGE).repartition(width, "bucket").groupBy("bucket").applyInArrow(tidy(packed.count), packed.ANSWER)
+    repeated = dealt.groupBy("chunk").cogroup(hit.repartition(width, "chunk").groupBy("chunk")).applyInArrow(tidy(_extend(window, chunks)), packed.MESSAGE).repartition(width, "bucket").groupBy("bucket").applyInArrow(tidy(packed.count), packed.ANSWER)
     answers = hit.unionByName(repeated).repartition(width, "chunk")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(window, original), result)
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(tidy(_remove(window, original)), result)

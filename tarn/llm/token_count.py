@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import slices
+from tarn.llm.common import slices, text_batches, tidy
 
 #: Counted pre-tokens that a worker keeps.
 CACHE = 400_000
@@ -117,6 +117,8 @@ def token_counts(docs: DataFrame, tokenizer_file: str, pattern: str) -> DataFram
             for part in slices(batch, 2 << 20):
                 n = [own.count(t) if t else 0 for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("n_bytes"), pa.array(n, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+        own.older = {}  # the worker may be idle for long
 
+    text_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long")

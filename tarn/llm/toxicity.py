@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tarn.llm.common import slices
+from tarn.llm.common import slices, text_batches, tidy
 from tarn.llm.words import Words, mix
 
 #: Labelled rows that are fitted on, at most.
@@ -130,6 +130,7 @@ class ToxicityModel:
         Rows with a null label or id are left out; a doc_id labelled more than once counts as positive if any label is.
         Without rows of both classes the score is the smoothed share of positives.
         """
+        text_batches(docs.sparkSession)
         eligible = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("label")).where(~held_out())
         sample = eligible.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
         chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # max_labels rows of two numbers
@@ -157,7 +158,7 @@ class ToxicityModel:
             if held:
                 yield counted()
 
-        found = chosen.where("label = 1").select("text").mapInArrow(positives, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3")
+        found = chosen.where("label = 1").select("text").mapInArrow(tidy(positives), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3")
         rows = found.orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()
         candidates = np.sort(np.array([r["term"] for r in rows], dtype=np.int64).view(np.uint64))
         spark = docs.sparkSession
@@ -176,7 +177,7 @@ class ToxicityModel:
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], names=["k", "n0", "n1"])
 
         n = np.zeros((2, len(candidates) + 1))
-        for r in chosen.select("text", "label").mapInArrow(counts, "k long, n0 long, n1 long").groupBy("k").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect():
+        for r in chosen.select("text", "label").mapInArrow(tidy(counts), "k long, n0 long, n1 long").groupBy("k").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect():
             n[:, r["k"]] = r["n0"], r["n1"]
         total = np.maximum(n[:, -1], 1)
         share = n[:, :-1] / total[:, None]
@@ -193,7 +194,7 @@ class ToxicityModel:
                     at = np.searchsorted(doc, np.arange(docs_here + 1)).astype(np.int32)
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(term.astype(np.int32)))], names=["doc_id", "label", "terms"])
 
-        rows = chosen.select("doc_id", "label", "text").mapInArrow(featured, "doc_id long, label int, terms array<int>").collect()
+        rows = chosen.select("doc_id", "label", "text").mapInArrow(tidy(featured), "doc_id long, label int, terms array<int>").collect()
         rows.sort(key=lambda r: (r["doc_id"], r["terms"]))
         doc = np.repeat(np.arange(len(rows)), [len(r["terms"]) for r in rows]) if rows else np.zeros(0, np.int64)
         term = np.array([t for r in rows for t in r["terms"]], dtype=np.int64)
@@ -201,6 +202,7 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, into: str = "score") -> DataFrame:
         """All columns of ``docs`` and the score (0 to 1) in ``into``, which replaces a column of that name. Null and empty texts have no features: the bias scores them."""
+        text_batches(docs.sparkSession)
         own = docs.sparkSession.sparkContext.broadcast((self.terms.hashes, self.machine))
         plain = docs.drop(into)
 
@@ -211,4 +213,4 @@ class ToxicityModel:
                 for part in slices(batch):
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(machine.scores(*terms.features(part.column("text"))))], names=[*part.schema.names, into])
 
-        return plain.mapInArrow(run, StructType([*plain.schema.fields, StructField(into, DoubleType())]))
+        return plain.mapInArrow(tidy(run), StructType([*plain.schema.fields, StructField(into, DoubleType())]))

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tarn.llm.common import tidy
+
 #: Payloads from this many bytes on are written once and revisited.
 REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 500
@@ -278,4 +280,4 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
 
     types = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
     schema = pa.schema([(k, types[t]) for k, t in (x.split() for x in _SCHEMA.split(", "))])
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _SCHEMA)
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(tidy(run), _SCHEMA)
