@@ -61,22 +61,32 @@ class Router:
     weights: np.ndarray  # features x classes
     intercept: np.ndarray
 
+    def probabilities(self, spark: SparkSession):
+        """A function of a sparse vector column to an array of class probabilities (the softmax of the scores)."""
+        return self._udf(spark, True)
+
     def scores(self, spark: SparkSession):
-        """A function of a sparse vector column to an array of scores. The weights are of fixed size (66,287 x 3)."""
+        """A function of a sparse vector column to an array of scores."""
+        return self._udf(spark, False)
+
+    def _udf(self, spark: SparkSession, probabilities: bool):
+        # The weights are of fixed size (66,287 x 3) and sent to executors once.
         shared = spark.sparkContext.broadcast((self.weights, self.intercept))
 
         @F.pandas_udf(ArrayType(DoubleType()))
         def run(vectors: pd.Series) -> pd.Series:
             weights, intercept = shared.value
-            out = []
-            for v in vectors:
+            out = np.tile(intercept, (len(vectors), 1))
+            for k, v in enumerate(vectors):
                 if v is None or not len(v):
-                    out.append(intercept.tolist())
                     continue
                 i = np.fromiter((e["i"] for e in v), dtype=np.int64, count=len(v))
                 x = np.fromiter((e["v"] for e in v), dtype=np.float64, count=len(v))
-                out.append((x @ weights[i] + intercept).tolist())
-            return pd.Series(out)
+                out[k] += x @ weights[i]
+            if probabilities:
+                out = np.exp(out - out.max(axis=1, keepdims=True))
+                out /= out.sum(axis=1, keepdims=True)
+            return pd.Series(out.tolist())
 
         return run
 

@@ -352,7 +352,7 @@ def _weights(size: int) -> tuple[list[list[float]], list[float]]:
 
 
 def _score_sql() -> str:
-    term = "list_sum(list_transform(range(1, len(embedding) + 1), k -> CAST(embedding[k] AS DOUBLE) * (((7 * (k - 1) + {c}) % 11) - 5) / 4.0)) + {b}"
+    term = "list_sum(list_transform(range(1, len(embedding) + 1), lambda k: CAST(embedding[k] AS DOUBLE) * (((7 * (k - 1) + {c}) % 11) - 5) / 4.0)) + {b}"
     scores = ", ".join(f"{term.format(c=3 * c, b=b)} AS s{c}" for c, b in enumerate((0.25, -0.5, 0.125)))
     return f"(SELECT vec_id, s0, s1, s2, exp(s0 - m) AS e0, exp(s1 - m) AS e1, exp(s2 - m) AS e2 FROM (SELECT *, greatest(s0, s1, s2) AS m FROM (SELECT vec_id, {scores} FROM embeddings)))"
 
@@ -382,3 +382,30 @@ def body_length_guard(spark, sf_dir):
     error = F.when(size == 0, "asa_body_empty").when(size > MAX_BODY_BYTES, F.concat(F.lit("asa_body_too_long:"), size, F.lit(f">{MAX_BODY_BYTES}")))
     return table(spark, sf_dir, "documents").select("doc_id", size.alias("length"), error.alias("error"))
 
+
+
+@query()
+def router_fit(spark, sf_dir):
+    """A router fitted on the embeddings' signs, and its hits by class."""
+    from tarn.plans.train import RouterConfig, fit_router
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.pmod("label", F.lit(3)).cast("int").alias("label"), F.transform("embedding", lambda v, i: F.struct(i.cast("int").alias("i"), v.cast("float").alias("v"))).alias("full"))
+    size = rows.select(F.size("full").alias("n")).first()["n"]
+    router = fit_router(rows, RouterConfig(iterations=20), width=size)
+    done = scoring.decide(rows.withColumn("probabilities", router.probabilities(spark)(F.col("full"))))
+    return metrics.confusion(done, predicted="pred_class")
+
+
+@query()
+def neural_forward(spark, sf_dir):
+    """A small fixed sequence model over the embeddings as features and the ids' digits as bodies."""
+    import numpy as np
+
+    from tarn.operators.neural import Base, EnsembleLayer, Residual, SequenceModel, score_sequences
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v, i: F.struct(i.cast("int").alias("i"), v.cast("float").alias("v"))).alias("header"), F.encode(F.col("vec_id").cast("string"), "UTF-8").alias("body"))
+    size = rows.select(F.size("header").alias("n")).first()["n"]
+    g = np.random.default_rng(1)
+    layer = lambda outputs, inputs: EnsembleLayer(g.normal(0, 0.1, (outputs, inputs)), g.normal(1, 0.1, (4, inputs)), g.normal(1, 0.1, (4, outputs)), g.normal(0, 0.1, (4, outputs)))
+    model = SequenceModel(Base(layer(16, size), layer(16, 16), layer(3, 16), layer(3, size // 2), size - size // 2), Residual.initial(2))
+    return score_sequences(rows, model, "p").select("vec_id", *[F.round(F.col("p")[c], 6).alias(f"p{c}") for c in range(3)])
