@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
 
 from tarn.contract import BITS, BYTE_FEATURES, ENUMS, FACT_FEATURES, NUMERIC, PORT_FEATURES, SEMANTIC_ENUMS
+from tarn.functions.values import let
 
 VECTOR = "array<struct<i:int,v:float>>"
 _DOUBLES = "array<struct<i:int,v:double>>"
@@ -24,15 +25,21 @@ def byte_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate((b, 256 + b[:-1] * 256 + b[1:])), return_counts=True)
 
 
+def byte_weights(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and weights 1 + ln(count), of length 1 together."""
+    i, n = byte_counts(text)
+    w = 1 + np.log(n)
+    norm = np.sqrt((w**2).sum())
+    return i.astype(np.int32), (w / norm if norm else w).astype(np.float32)
+
+
 @F.pandas_udf(StructType([StructField("i", ArrayType(IntegerType())), StructField("v", ArrayType(FloatType()))]))
 def _byte_vector(texts: pd.Series) -> pd.DataFrame:
     codes, weights = [], []
     for text in texts:
-        i, n = byte_counts(text or "")
-        w = (1 + np.log(n)).astype(np.float32)
-        norm = np.sqrt((w.astype(np.float64) ** 2).sum())
-        codes.append(i.astype(np.int32))
-        weights.append((w / norm).astype(np.float32) if norm else w)
+        i, w = byte_weights(text or "")
+        codes.append(i)
+        weights.append(w)
     return pd.DataFrame({"i": codes, "v": weights})
 
 
@@ -87,27 +94,38 @@ def raw_fact_vector(facts: Column) -> Column:
 
 def fact_error(facts: Column) -> Column:
     """Why facts can't be encoded, or null."""
-    wrong = F.when(F.lit(False), "")
-    for name in NUMERIC:
-        wrong = wrong.when((facts[name] < 0) | F.isnan(facts[name]) | (facts[name] == float("inf")), F.lit(f"fact_encoding_error:{name}"))
-    for name, (_, missing) in BITS.items():
-        wrong = wrong.when(~facts[name].between(0, missing), F.lit(f"fact_encoding_error:{name}"))
-    return wrong
+
+    def wrong(f: Column) -> Column:
+        out = F.when(F.lit(False), "")
+        for name in NUMERIC:
+            out = out.when((f[name] < 0) | F.isnan(f[name]) | (f[name] == float("inf")), F.lit(f"fact_encoding_error:{name}"))
+        for name, (_, missing) in BITS.items():
+            out = out.when(~f[name].between(0, missing), F.lit(f"fact_encoding_error:{name}"))
+        return out
+
+    return let(facts, wrong)
 
 
 def normalised(vector: Column) -> Column:
     """A vector of length 1; one of zeros stays."""
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, e: s + e["v"] * e["v"]))
-    return F.transform(vector, lambda e: F.struct(e["i"].alias("i"), F.when(norm > 0, e["v"] / norm).otherwise(e["v"]).alias("v")))
+
+    def scaled(v: Column) -> Column:
+        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, e: s + e["v"] * e["v"]))
+        return let(norm, lambda n: F.transform(v, lambda e: F.struct(e["i"].alias("i"), F.when(n > 0, e["v"] / n).otherwise(e["v"]).alias("v"))))
+
+    return let(vector, scaled)
 
 
 def fact_vector(facts: Column) -> Column:
-    return normalised(raw_fact_vector(facts)).cast(VECTOR)
+    return let(facts, lambda f: normalised(raw_fact_vector(f))).cast(VECTOR)
 
 
 def record_port(value: Column) -> Column:
     """(port, state) of a record's port as it was given: digits alone count, without blanks or a decimal point."""
-    text = value.cast("string")
+    return let(value.cast("string"), _record_port)
+
+
+def _record_port(text: Column) -> Column:
     digits = text.rlike(r"\A[0-9]+\z")
     n = F.regexp_replace(text, r"\A0+(?=[0-9])", "")
     known = digits & (F.length(n) <= 5) & (n.try_cast("int") <= 65535)

@@ -106,14 +106,30 @@ def span_ledger(messages: pd.Series) -> pd.Series:
     return messages.map(cover)
 
 
+# Identities inside of words, and placeholders with remains of their prefix.
+_INNER = r"(?:USER|HOST|CRED|ORG)-[0-9]+(?:-[0-9]+)*"
+_CLUSTER = r"[ \t]*(?:(?:CRED|HOST|USER|ORG)-[ \t]*)*<IDENTITY>[ \t]*"
+_INNER_COMPILED, _CLUSTER_COMPILED = re.compile(_INNER), re.compile(_CLUSTER)
+
+
+def stable_text(text: str) -> str:
+    """``stable`` of a string."""
+    return _INNER_COMPILED.sub(" <IDENTITY> ", text)
+
+
+def collapse_text(text: str) -> str:
+    """``collapse`` of a string."""
+    return _CLUSTER_COMPILED.sub(" <IDENTITY> ", text)
+
+
 def stable(text: Column) -> Column:
     """Identities inside of words become placeholders too."""
-    return F.regexp_replace(text, r"(?:USER|HOST|CRED|ORG)-[0-9]+(?:-[0-9]+)*", " <IDENTITY> ")
+    return F.regexp_replace(text, _INNER, " <IDENTITY> ")
 
 
 def collapse(text: Column) -> Column:
     """Prefix remains around a placeholder are dropped, and its blanks made one on each side."""
-    return F.regexp_replace(text, r"[ \t]*(?:(?:CRED|HOST|USER|ORG)-[ \t]*)*<IDENTITY>[ \t]*", " <IDENTITY> ")
+    return F.regexp_replace(text, _CLUSTER, " <IDENTITY> ")
 
 
 def drop_fragments(text: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,19 +56,22 @@ def semantics(route: Column, found: Column) -> Column:
     )
 
 
-def classify(rows: DataFrame, message: str = "message_sanitized") -> DataFrame:
+def classify(rows: DataFrame, message: str = "message_sanitized", beside: Callable[[Column, Column], dict[str, Column]] | None = None) -> DataFrame:
     """``rows`` with route, supported and facts, replacing columns of these names.
 
     The first decoder that accepts a message names the route. A null message is an empty one. Facts of literal
     firewall lines are added to messages that no decoder takes, without changing their route. Messages that can't hold
-    a nested payload reach the Arrow decoder as nulls.
+    a nested payload reach the Arrow decoder as nulls. ``beside`` makes further columns from the message and from whether it is
+    an access-list denial; worker functions among them run in the same pass as the decoder of nested payloads.
     """
     raw = F.coalesce(F.col(message).cast("string"), F.lit(""))
     rows = rows.drop("route", "supported", "facts").withColumn("__raw", raw)
     raw = F.col("__raw")
     line = F.coalesce(decoders.asa_deny(raw), decoders.syslog_body(raw), decoders.vpc_flow(raw), decoders.flow_line(raw))
     maybe = F.contains(raw, F.lit('"')) | F.contains(raw, F.lit("CEF:")) | raw.rlike(r"(?U)\A<[\w-]+\s+xmlns=")
-    rows = rows.withColumn("__line", line).withColumn("__nested", _nested(F.when(maybe, raw)))
+    rows = rows.withColumn("__line", line)
+    asa = F.coalesce(F.col("__line")["route"] == "asa", F.lit(False))
+    rows = rows.withColumns({"__nested": _nested(F.when(maybe, raw))} | (beside(raw, asa) if beside else {}))
     nested, line = F.col("__nested"), F.col("__line")
     as_decoded = F.struct(nested["nested_route"].alias("route"), F.lit(True).alias("supported"), F.struct(*[nested[f.name].alias(f.name) for f in FACTS.fields]).alias("facts"))
     unknown = F.struct(F.lit("unsupported").alias("route"), F.lit(False).alias("supported"), F.coalesce(decoders.firewall_patch(raw), facts()).alias("facts"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, FloatType, IntegerType, StringType, StructField, StructType
 
 from tarn.contract import MAX_BODY_BYTES
 from tarn.functions import features, masking
-from tarn.functions.values import MONTH
+from tarn.functions.values import MONTH, let
 from tarn.operators.decode import classify
 
 # The sanitised event name of the registered denial, and headers that may stand before it.
@@ -20,8 +22,27 @@ _PLAIN_HEADER = rf"(?Ud)\A{_LEAD}(?:(?:\d{{4}}|USER-\d+)\s+)?\d{{2}}:\d{{2}}:\d{
 _HIDDEN_END = rf"(?Ud){_HIDDEN_CLOCK}:?\s*\z"
 
 
-def _clean(masked: Column) -> Column:
-    return masking.collapse(masking.stable(masked))
+_TEXTS = StructType(
+    [StructField("text", StringType()), StructField("body", BinaryType()), StructField("gi", ArrayType(IntegerType())), StructField("gv", ArrayType(FloatType())), StructField("hi", ArrayType(IntegerType())), StructField("hv", ArrayType(FloatType()))]
+)
+
+
+@F.pandas_udf(_TEXTS)
+def _texts(raw: pd.Series, asa: pd.Series, behind: pd.Series, plain: pd.Series) -> pd.DataFrame:
+    """Masked text and its byte n-grams; of an ASA body (null: none) also its bytes and its header's n-grams."""
+    out = {f.name: [] for f in _TEXTS.fields}
+    for message, is_asa, body, is_plain in zip(raw, asa, behind, plain, strict=True):
+        masked = masking.stable_text(masking.mask(message))
+        text = masking.collapse_text(masked) if is_asa else masked
+        gi, gv = features.byte_weights(text)
+        clean = header = None
+        if body is not None:
+            hidden = masking.mask(body)
+            clean = masking.collapse_text(masking.stable_text(hidden)).encode("utf-8", "surrogatepass")
+            header = features.byte_weights(text if is_plain else masking.collapse_text(masking.stable_text(f" <ABSOLUTE_CLOCK> {hidden}")))
+        for name, v in zip(out, (text, clean, gi, gv, *(header or (None, None))), strict=True):
+            out[name].append(v)
+    return pd.DataFrame(out)
 
 
 def prepare(records: DataFrame) -> DataFrame:
@@ -32,38 +53,43 @@ def prepare(records: DataFrame) -> DataFrame:
     unless the candidate is usable. port_state, port_conflict: of the record's own port. error: why a row
     isn't as the model expects it, or null. Every row is kept, and no body is cut.
     """
-    rows = classify(records)
-    raw = F.coalesce(F.col("message_sanitized").cast("string"), F.lit(""))
+
+    def beside(raw: Column, asa: Column) -> dict[str, Column]:
+        head = F.when(asa, F.regexp_extract(raw, _HEADER, 0)).otherwise("")
+        plain = asa & raw.rlike(_PLAIN_HEADER)
+
+        def registered(h: Column) -> Column:
+            behind = F.substr(raw, F.length(h) + 1)
+            return F.when((h != "") & behind.startswith(f"{_EVENT} Deny ") & (plain | h.rlike(_HIDDEN_END)), behind)
+
+        return {"__texts": _texts(raw, asa, let(head, registered), plain), "__event": raw.rlike(_ASA_EVENT)}
+
+    rows = classify(records, beside=beside).withColumn("__fact_error", features.fact_error(F.col("facts")))
     asa = F.col("route") == "asa"
-    candidate = asa | ((F.col("route") == "unsupported") & raw.rlike(_ASA_EVENT))
-    has_header = asa & raw.rlike(_HEADER)
-    head = F.regexp_extract(raw, _HEADER, 0)
-    body = F.when(has_header, F.regexp_replace(raw, _HEADER, ""))
-    fits = has_header & body.startswith(f"{_EVENT} Deny ")
-    rows = rows.withColumns({"__masked": masking.masked(raw), "__body": masking.masked(F.coalesce(body, F.lit(""))), "__fits": fits, "__plain": raw.rlike(_PLAIN_HEADER), "__hidden": head.rlike(_HIDDEN_END), "__candidate": candidate})
-    clean_body = _clean(F.col("__body"))
-    usable = F.col("__fits") & (F.col("__plain") | F.col("__hidden"))
-    size = F.octet_length(clean_body)
-    error = F.coalesce(
-        features.fact_error(F.col("facts")),
-        F.when(F.col("__candidate") & ~asa, "asa_parser_unsupported").when(asa & ~usable, "asa_grammar_unsupported").when(asa & (size == 0), "asa_body_empty").when(asa & (size > MAX_BODY_BYTES), F.concat(F.lit("asa_body_too_long:"), size, F.lit(f">{MAX_BODY_BYTES}"))),
+    rows = rows.withColumns(
+        {
+            "is_asa_source": asa | ((F.col("route") == "unsupported") & F.col("__event")),
+            "__facts": features.fact_vector(F.when(F.col("__fact_error").isNull(), F.col("facts"))),
+            "__port": features.record_port(F.col("src_port")),
+        }
     )
-    rows = rows.withColumns({"error": error, "is_asa_source": F.col("__candidate"), "text": F.when(asa, _clean(F.col("__masked"))).otherwise(masking.stable(F.col("__masked")))})
-    good = F.col("is_asa_source") & asa & F.col("error").isNull()
-    header_text = F.when(F.col("__plain"), _clean(F.col("__masked"))).otherwise(_clean(F.concat(F.lit(" <ABSOLUTE_CLOCK> "), F.col("__body"))))
-    facts = F.when(features.fact_error(F.col("facts")).isNull(), F.col("facts"))
-    rows = rows.withColumns({"__facts": features.fact_vector(facts), "__port": features.record_port(F.col("src_port")), "__text": features.byte_vector(F.col("text")), "__header": features.byte_vector(F.when(good, header_text)), "body": F.when(good, F.encode(clean_body, "UTF-8"))})
-    port, message_port = F.col("__port")["port"], F.col("facts")["src_port_fixed"]
-    vector = features.port_vector(port, message_port)
-    return rows.withColumns(
+    texts, size = F.col("__texts"), F.octet_length(F.col("__texts")["body"])
+    problem = F.when(F.col("is_asa_source") & ~asa, "asa_parser_unsupported").when(asa & texts["body"].isNull(), "asa_grammar_unsupported").when(size == 0, "asa_body_empty").when(size > MAX_BODY_BYTES, F.concat(F.lit("asa_body_too_long:"), size, F.lit(f">{MAX_BODY_BYTES}")))
+    rows = rows.withColumns({"error": F.coalesce("__fact_error", problem), "__ports": features.port_vector(F.col("__port")["port"], F.col("facts")["src_port_fixed"])})
+    good = asa & F.col("error").isNull()
+    vector = lambda i, v: features.full_vector(F.arrays_zip(texts[i].alias("i"), texts[v].alias("v")).cast(features.VECTOR), F.col("__facts"), F.col("__ports"))
+    out = rows.withColumns(
         {
-            "full": features.full_vector(F.col("__text"), F.col("__facts"), vector),
-            "header": F.when(good, features.full_vector(F.col("__header"), F.col("__facts"), vector)),
-            "length": F.when(good, F.octet_length("body")),
+            "text": texts["text"],
+            "full": vector("gi", "gv"),
+            "header": F.when(good, vector("hi", "hv")),
+            "body": F.when(good, texts["body"]),
+            "length": F.when(good, size),
             "port_state": F.col("__port")["state"],
-            "port_conflict": features.port_conflict(port, message_port),
+            "port_conflict": features.port_conflict(F.col("__port")["port"], F.col("facts")["src_port_fixed"]),
         }
-    ).drop("__masked", "__body", "__fits", "__plain", "__hidden", "__candidate", "__facts", "__port", "__text", "__header")
+    )
+    return out.drop(*[c for c in out.columns if c.startswith("__")])
 
 
 def port_summary(prepared: DataFrame) -> DataFrame:

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
+from tarn.contract import LABELS
+
 
 def softmax(scores: Column) -> Column:
     """Probabilities of an array of scores, stable against large ones."""
@@ -37,12 +39,12 @@ def argmax(values: Column) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
-def mean_of(arrays: Sequence[Column]) -> Column:
-    """Element-wise mean of arrays of one length (members of an ensemble, or folds)."""
-    total = arrays[0]
-    for a in arrays[1:]:
-        total = F.zip_with(total, a, lambda x, y: x + y)
-    return F.transform(total, lambda x: x / len(arrays))
+def mean_of(arrays: Sequence[Column], size: int = len(LABELS)) -> Column:
+    """Element-wise mean of arrays of ``size`` elements (members of an ensemble, or folds).
+
+    Without a lambda: the arrays may come from workers, whose results can't be an argument of one.
+    """
+    return F.array(*[sum((a[k] for a in arrays[1:]), arrays[0][k]) / len(arrays) for k in range(size)])
 
 
 def dense_scores(vector: Column, weights: Sequence[Sequence[float]], intercept: Sequence[float]) -> Column:
@@ -61,6 +63,12 @@ class Router:
     weights: np.ndarray  # features x classes
     intercept: np.ndarray
 
+    def apply(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Probabilities of rows of (indices, values)."""
+        z = np.stack([v @ self.weights[i] for i, v in rows]) + self.intercept if rows else np.zeros((0, len(self.intercept)))
+        e = np.exp(z - z.max(axis=1, keepdims=True)) if rows else z
+        return e / e.sum(axis=1, keepdims=True) if rows else e
+
     def probabilities(self, spark: SparkSession):
         """A function of a sparse vector column to an array of class probabilities (the softmax of the scores)."""
         return self._udf(spark, True)
@@ -98,9 +106,9 @@ def routed(asa: Column, linear: Column) -> Column:
 
 def decide(rows: DataFrame, probabilities: str = "probabilities") -> DataFrame:
     """``rows`` with the class code and its label; probabilities that aren't finite raise."""
-    from tarn.contract import LABELS
-
     p = F.col(probabilities)
-    bad = F.exists(p, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    bad = F.lit(False)  # without a lambda: see ``mean_of``
+    for k in range(len(LABELS)):
+        bad = bad | p[k].isNull() | F.isnan(p[k]) | (F.abs(p[k]) == float("inf"))
     code = F.when(bad, F.raise_error(F.lit("probabilities aren't finite")).cast("int")).otherwise(argmax(p))
     return rows.withColumn("pred_class", code).withColumn("pred_label", F.element_at(F.array(*map(F.lit, LABELS)), F.col("pred_class") + 1))

@@ -7,11 +7,15 @@ import time
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from tarn.contract import LABELS
 from tarn.operators import coverage, scoring
-from tarn.operators.neural import SequenceModel, score_sequences
+from tarn.operators.neural import SequenceModel
 from tarn.operators.prepare import prepare, refuse_errors
 from tarn.operators.scoring import Router
 from tarn.plans.publish import counts, file_sha256, publish_csv, write_report
@@ -31,25 +35,42 @@ class Ensemble:
     folds: Sequence[Fold] = field(default_factory=list)
 
 
+def _rows_of(vectors: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray] | None]:
+    """(indices, values) of each sparse vector; None for a null one."""
+    at, flat = vectors.offsets.to_numpy(), vectors.values
+    i, v = flat.field("i").to_numpy(zero_copy_only=False), flat.field("v").to_numpy(zero_copy_only=False).astype(np.float64)
+    return [(i[a:b], v[a:b]) if ok else None for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), vectors.is_valid().to_pylist(), strict=True)]
+
+
+def _probabilities(folds: Sequence[Fold], full: list, headers: list, bodies: list) -> np.ndarray:
+    """Mean over folds: the sequence model's probabilities where a row has a header and a body, else the router's."""
+    total = np.zeros((len(full), len(LABELS)))
+    usable = [k for k, (h, b) in enumerate(zip(headers, bodies, strict=True)) if h is not None and b is not None]
+    for fold in folds:
+        p = fold.router.apply(full)
+        if fold.sequence is not None and usable:
+            p[usable] = fold.sequence.probabilities([headers[k] for k in usable], [bodies[k] for k in usable])
+        total += p
+    return total / len(folds)
+
+
 def predict(records: DataFrame, model: Ensemble, strict: bool = False) -> DataFrame:
     """Prepared records with the folds' mean probabilities, class and label; one lazy plan.
 
     Rows that the sequence model can't read are scored by the router and say why in ``error``; with ``strict`` they raise.
+    All folds score a batch in one pass of a worker; the weights are of fixed size and sent to executors once.
     """
     rows = prepare(records)
     if strict:
         rows = refuse_errors(rows)
-    parts = []
-    for k, fold in enumerate(model.folds):
-        linear = fold.router.probabilities(records.sparkSession)(F.col("full"))
-        rows = rows.withColumn(f"__linear{k}", linear)
-        if fold.sequence is not None:
-            rows = score_sequences(rows, fold.sequence, f"__asa{k}")
-            parts.append(scoring.routed(F.col(f"__asa{k}"), F.col(f"__linear{k}")))
-        else:
-            parts.append(F.col(f"__linear{k}"))
-    rows = rows.withColumn("probabilities", scoring.mean_of(parts))
-    return scoring.decide(rows).drop(*[c for c in rows.columns if c.startswith(("__linear", "__asa"))])
+    shared = records.sparkSession.sparkContext.broadcast(list(model.folds))
+
+    def run(batches):
+        for batch in batches:
+            p = _probabilities(shared.value, _rows_of(batch.column("full")), _rows_of(batch.column("header")), batch.column("body").to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(p), pa.list_(pa.float64()))], names=[*batch.schema.names, "probabilities"])
+
+    return scoring.decide(rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("probabilities", ArrayType(DoubleType()))])))
 
 
 def predict_file(spark: SparkSession, source: str, output: str, model: Ensemble, strict: bool = False, report: str | None = None) -> dict:

@@ -20,8 +20,8 @@ def read_submission(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     if first is None or next(csv.reader([first[0].removeprefix("\ufeff")]), []) != HEADER:
         raise ContractError(f"the header isn't {','.join(HEADER)}")
     schema = StructType([StructField(n, StringType()) for n in (*HEADER, "__bad")])
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("columnNameOfCorruptRecord", "__bad").csv(path).cache()
-    bad = rows.where("__bad is not null").count()
+    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("columnNameOfCorruptRecord", "__bad").csv(path)
+    bad = rows.agg(F.count("__bad").alias("bad"), F.count("event_id").alias("ids")).first()["bad"]
     return rows.where("__bad is null").select(*[F.coalesce(c, F.lit("")).alias(c) for c in HEADER]), bad
 
 
