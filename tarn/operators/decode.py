@@ -20,16 +20,15 @@ _NESTED = StructType([StructField("nested_route", StringType()), *FACTS.fields])
 def _nested(messages: pd.Series) -> pd.DataFrame:
     from tarn.functions.lexical import decode_nested
 
-    rows = []
-    for raw in messages:
-        route, found = decode_nested(raw) if raw is not None else (None, {})
-        rows.append({"nested_route": route, **found})
-    out = pd.DataFrame(rows, columns=[f.name for f in _NESTED.fields], dtype=object)
-    for f in FACTS.fields:
-        kind = f.dataType.simpleString()
-        if kind != "string":
-            out[f.name] = out[f.name].astype({"double": "Float64", "int": "Int32", "bigint": "Int64"}[kind])
-    return out
+    columns: dict[str, list] = {f.name: [None] * len(messages) for f in _NESTED.fields}
+    for k, raw in enumerate(messages):
+        if raw is None:
+            continue
+        columns["nested_route"][k], found = decode_nested(raw)
+        for name, value in found.items():
+            columns[name][k] = value
+    kinds = {"string": object, "double": "Float64", "int": "Int32", "bigint": "Int64"}
+    return pd.DataFrame({f.name: pd.Series(columns[f.name], dtype=kinds[f.dataType.simpleString()]) for f in _NESTED.fields})
 
 
 # Message types of RFC 792 and reasons of RFC 1812 that have names.
