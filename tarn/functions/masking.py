@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -74,6 +75,7 @@ def spans(raw: str) -> list[tuple[int, int, str]]:
     return taken
 
 
+@lru_cache(maxsize=4096)  # logs repeat themselves
 def mask(raw: str) -> str:
     """The message with each span replaced by its kind."""
     out, at = [], 0

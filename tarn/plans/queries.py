@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.functions import features, masking
-from tarn.operators import coverage, metrics, scoring
+from tarn.functions import features, masking, text
+from tarn.operators import coverage, metrics, scoring, summaries
 from tarn.operators.decode import classify
 from tarn.plans import lines
 from tarn.plans.lines import table
@@ -409,3 +409,40 @@ def neural_forward(spark, sf_dir):
     layer = lambda outputs, inputs: EnsembleLayer(g.normal(0, 0.1, (outputs, inputs)), g.normal(1, 0.1, (4, inputs)), g.normal(1, 0.1, (4, outputs)), g.normal(0, 0.1, (4, outputs)))
     model = SequenceModel(Base(layer(16, size), layer(16, 16), layer(3, 16), layer(3, size // 2), size - size // 2), Residual.initial(2))
     return score_sequences(rows, model, "p").select("vec_id", *[F.round(F.col("p")[c], 6).alias(f"p{c}") for c in range(3)])
+
+
+@query("""
+SELECT event_type AS value, 'action' AS fact, count(*) AS n FROM events WHERE lower(event_type) NOT IN ('allow', 'deny', 'open', 'close') GROUP BY event_type
+""")
+def unknown_facts(spark, sf_dir):
+    from tarn.contract import facts
+
+    rows = table(spark, sf_dir, "events").select(facts(action=F.col("event_type"), transport_protocol=F.concat(F.lit("ipproto_"), F.pmod("event_id", F.lit(256)))).alias("facts"))
+    return summaries.unknown_facts(rows).select("value", "fact", "n")
+
+
+@query("SELECT CAST(i - 1 AS INT) AS i, round(greatest(1, max(abs(CAST(v AS DOUBLE)))), 6) AS scale FROM (SELECT unnest(embedding) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY i")
+def max_abs_scale(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select(F.transform("embedding", lambda v, i: F.struct(i.cast("int").alias("i"), v.cast("float").alias("v"))).alias("v"))
+    return summaries.max_abs_scale(rows, "v").select("i", F.round("scale", 6).alias("scale"))
+
+
+@query("SELECT l_orderkey, l_linenumber, concat_ws(' ', CASE l_returnflag WHEN 'A' THEN 'action allow' WHEN 'R' THEN 'action deny' END, CASE l_returnflag WHEN 'A' THEN 'outcome allowed' WHEN 'R' THEN 'outcome blocked' END, 'src_port_fixed ' || (l_orderkey * 7 % 65536)) AS facts_text FROM lineitem")
+def facts_text(spark, sf_dir):
+    made = classify(lines.vpc(table(spark, sf_dir, "lineitem")))
+    return made.select("l_orderkey", "l_linenumber", text.facts_text(F.col("facts"), ["src_port_fixed", "outcome", "action"]).alias("facts_text"))
+
+
+@query("""
+SELECT o_orderkey, 'outside' AS interface, CAST(CASE WHEN o_custkey % 5 <> 0 AND o_custkey % 70000 <= 65535 THEN o_custkey % 70000 END AS INT) AS port,
+       CASE WHEN o_custkey % 5 = 0 THEN 'redacted' WHEN o_custkey % 70000 <= 65535 THEN 'observed' ELSE 'invalid' END AS state FROM orders
+""")
+def endpoint_states(spark, sf_dir):
+    made = F.concat(F.lit("Outside:10.9.8.7/"), F.when(F.pmod("o_custkey", F.lit(5)) == 0, "USER-0012").otherwise(F.pmod("o_custkey", F.lit(70000)).cast("string")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.endpoint(made).alias("e")).select("o_orderkey", "e.interface", "e.port", "e.state")
+
+
+@query("SELECT c_custkey, 'id entity of entity at entity, hash entity end' AS payload FROM customer")
+def payload_texts(spark, sf_dir):
+    made = F.concat(F.lit("ID  12345678-1234-1234-1234-"), F.lpad(F.col("c_custkey").cast("string"), 12, "0"), F.lit("\n of xUSER-"), F.col("c_custkey"), F.lit(" at 10.0.0."), F.pmod("c_custkey", F.lit(256)), F.lit(", hash 0123456789ABCDEF0 END"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.payload_text(made).alias("payload"))

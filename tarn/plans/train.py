@@ -80,8 +80,11 @@ def _loss(rows: DataFrame, width: int):
     return run
 
 
-def fit_router(rows: DataFrame, config: RouterConfig = RouterConfig(), width: int = WIDTH) -> Router:
-    """Fit on rows of (full, label): limited-memory quasi-Newton steps with backtracking, from the classes' log rates."""
+def fit_router(rows: DataFrame, config: RouterConfig = RouterConfig(), width: int = WIDTH, history: list[dict] | None = None) -> Router:
+    """Fit on rows of (full, label): limited-memory quasi-Newton steps with backtracking, from the classes' log rates.
+
+    ``history`` gets the objective and the largest gradient of each step.
+    """
     rows = rows.select("full", "label").cache()
     try:
         support = {r["label"]: r["support"] for r in metrics.class_support(rows).collect()}
@@ -100,7 +103,9 @@ def fit_router(rows: DataFrame, config: RouterConfig = RouterConfig(), width: in
         p = np.concatenate((np.zeros(width * classes), b0))
         value, gradient = objective(p)
         steps: list[tuple[np.ndarray, np.ndarray, float]] = []
-        for _ in range(config.iterations):
+        for step_number in range(config.iterations):
+            if history is not None:
+                history.append({"step": step_number, "objective": value, "gradient": float(np.abs(gradient).max())})
             if np.abs(gradient).max() <= config.tolerance:
                 break
             q, alphas = gradient.copy(), []
@@ -183,9 +188,11 @@ def _arrays(model: SequenceModel) -> dict[str, np.ndarray]:
 
 
 def save_bundle(model: Ensemble, folder: str, config: RouterConfig | None = None) -> None:
-    """Arrays of each fold and a manifest with their sizes and hashes; an existing folder is an error."""
+    """Arrays of each fold and a manifest with their sizes and hashes; an existing bundle is an error."""
     at = Path(folder)
-    at.mkdir(parents=True)
+    at.mkdir(parents=True, exist_ok=True)
+    if (at / "manifest.json").exists():
+        raise FileExistsError(at / "manifest.json")
     files = {}
     for k, fold in enumerate(model.folds):
         arrays = {"router.weights": fold.router.weights, "router.intercept": fold.router.intercept} | (_arrays(fold.sequence) if fold.sequence else {})
@@ -221,15 +228,25 @@ def load_bundle(folder: str) -> Ensemble:
 
 
 def train_bundle(spark: SparkSession, train: DataFrame, validation: DataFrame, folder: str, config: RouterConfig = RouterConfig()) -> dict:
-    """Check both sets, fit the router, save, load again and evaluate the loaded bundle; receipts beside it.
+    """Check both sets, fit the router, save, load again and evaluate the loaded bundle.
+
+    Receipts beside it: plan, history of the fit, and result or failure; an existing folder is an error.
 
     ``train`` and ``validation`` are prepared and labelled. Data that is refused leaves no folder.
     """
     checks = validate_datasets(train, validation)
     plan = {"checks": checks, "configuration": asdict(config), "train_digest": dataset_digest(train), "validation_digest": dataset_digest(validation)}
-    model = Ensemble([Fold(fit_router(train, config))])
-    save_bundle(model, folder, config)
-    Path(folder, "plan.json").write_text(json.dumps(plan, indent=2) + "\n")
-    result = evaluate(validation, load_bundle(folder))
-    Path(folder, "result.json").write_text(json.dumps(result, indent=2) + "\n")
+    at, history = Path(folder), []
+    at.mkdir(parents=True)
+    (at / "plan.json").write_text(json.dumps(plan, indent=2) + "\n")
+    try:
+        model = Ensemble([Fold(fit_router(train, config, history=history))])
+        save_bundle(model, folder, config)
+        result = evaluate(validation, load_bundle(folder))
+    except Exception as error:
+        (at / "failure.json").write_text(json.dumps({"error": f"{type(error).__name__}: {error}"[:2000]}) + "\n")
+        raise
+    finally:
+        (at / "history.jsonl").write_text("".join(json.dumps(h) + "\n" for h in history))
+    (at / "result.json").write_text(json.dumps(result, indent=2) + "\n")
     return result

@@ -217,6 +217,8 @@ def test_train_save_load(spark, tmp_path):
     result = train_bundle(spark, train, validation, str(at), RouterConfig(iterations=15))
     assert result["macro_f1"] == 1.0 and result["errors"] == 0 and json.loads((at / "plan.json").read_text())["checks"]["shared_inputs"] == 6
     load_bundle(str(at))
+    steps = [json.loads(x) for x in (at / "history.jsonl").read_text().splitlines()]
+    assert len(steps) > 2 and steps[-1]["objective"] < steps[0]["objective"] and not (at / "failure.json").exists()
     with open(at / "fold0.npz", "r+b") as f:
         f.seek(100)
         f.write(b"??")
