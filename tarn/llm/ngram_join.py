@@ -39,6 +39,10 @@ from tarn.llm.words import Words
 COMMON_TOKENS = 1 << 16
 #: A block holds about so many classes and tokens at most.
 BLOCK_CLASSES, BLOCK_TOKENS = 256, 200_000
+#: Tasks over which the copies of one text are spread.
+SALTS = 16
+#: Classes of a token from which on its rows are spread.
+HOT_TOKEN = 256
 #: Pairs of blocks in one Arrow batch; bounds a worker's memory (about 3 MB a pair at most).
 PAIRS_PER_BATCH = 16
 CHUNK_BYTES = 8 << 20
@@ -226,6 +230,20 @@ def _compare(num: int, den: int, every: bool):
     return run
 
 
+def _with_leaders(matrix: DataFrame) -> DataFrame:
+    """(lo, k1, n, leader) of each row of the matrix: the smallest class that holds its token.
+
+    Tokens of more than ``HOT_TOKEN`` classes are looked up by token and salt, the others by token.
+    """
+    least = matrix.groupBy("token").agg(F.min("lo").alias("leader"), F.count(F.lit(1)).alias("rows"))
+    hot = least.where(F.col("rows") > HOT_TOKEN).select("token", F.col("leader").alias("hot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    cold = least.where(F.col("rows") <= HOT_TOKEN).select(F.col("token").alias("look"), "leader")
+    own = F.xxhash64("lo", "k1")
+    rows = matrix.withColumn("salt", F.pmod(own, F.lit(SALTS)).cast("int")).join(hot, ["token", "salt"], "left")
+    rows = rows.withColumn("look", F.when(F.col("hot").isNull(), F.col("token")).otherwise(own))  # found ones are spread, whatever they meet
+    return rows.join(cold, "look", "left").select("lo", "k1", "n", F.coalesce("hot", "leader").alias("leader"))
+
+
 class NgramJoin:
     """The join over ``docs`` (columns doc_id, text; others are not read).
 
@@ -275,9 +293,8 @@ class NgramJoin:
             return self._links[every]
         found = self._candidates()
         matrix = found.select("lo", "k1", "n", F.explode("shared").alias("token"))
-        leaders = matrix.groupBy("token").agg(F.min("lo").alias("leader"))
         step = math.log(self.den / self.num)
-        group = matrix.join(leaders, "token").groupBy("lo", "k1").agg(F.min("leader").alias("leader"), F.first("n").alias("n")).withColumn("size", F.floor(F.log("n") / F.lit(step)).cast("long"))
+        group = _with_leaders(matrix).groupBy("lo", "k1").agg(F.min("leader").alias("leader"), F.first("n").alias("n")).withColumn("size", F.floor(F.log("n") / F.lit(step)).cast("long"))
         group = materialize(group, "groups")
         weight = group.groupBy("leader", "size").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_CLASSES)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS))).cast("long").alias("cuts"))
         blocks = group.join(weight, ["leader", "size"]).select("lo", "k1", "size", F.xxhash64("leader", "size", F.pmod(F.xxhash64("lo", "k1"), F.col("cuts"))).alias("block"))
@@ -301,8 +318,14 @@ class NgramJoin:
         return self._links[every]
 
     def members(self) -> DataFrame:
-        """(doc_id, n_shingles, representative), one row a document row."""
-        found = self.keys.join(self._classes(), ["k1", "k2"], "left")
+        """(doc_id, n_shingles, representative), one row a document row.
+
+        Only classes of two rows or more are looked up, by key and salt, so the copies of one text spread over ``SALTS`` tasks.
+        """
+        own = self.keys.where("n > 0 and doc_id is not null")
+        several = own.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        several = several.select("k1", "k2", "lo", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        found = self.keys.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(several, ["k1", "k2", "salt"], "left")
         return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.coalesce("lo", "doc_id")).alias("representative"))
 
     def components(self) -> DataFrame:
