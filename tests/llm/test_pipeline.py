@@ -66,3 +66,21 @@ def test_empty_table(spark, planted, tmp_path):
     docs = spark.read.parquet(f"{at}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, at).count() == 0
+
+
+def test_clashing_columns_and_repeated_rows(spark, planted):
+    """Columns with the operators' own names pass through; rows that repeat a doc_id share its fate."""
+    at, _, _ = planted
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{at}/documents.parquet").where("doc_id >= 1000 or doc_id in (1, 2, 3)")
+    docs = docs.unionAll(docs.where("doc_id = 1"))
+    for name in ("score", "rest", "chunk", "kept_text", "n_removed", "lo", "shard", "label", "component_id"):
+        docs = docs.withColumn(name, F.lit(name))
+    n, columns = docs.count(), docs.columns
+    for _, stage in pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, at)
+        assert docs.columns == columns
+    rows = docs.collect()
+    assert all(r["rest"] == "rest" and r["label"] == "label" for r in rows)
+    assert len(rows) == n - 3 and sorted(r["doc_id"] for r in rows)[:2] == [1, 1]
