@@ -32,13 +32,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates the document with the smallest doc_id, unchanged.
+    """Of each component of near duplicates one row, unchanged: the one with the smallest doc_id, a null doc_id last.
 
-    Rows without words are in no component and stay, as do rows without a doc_id. Rows that share a doc_id share its fate.
+    Each row is a document of its own, so rows that repeat a doc_id and copies without a doc_id meet in a component too.
+    Rows without words are in no component; of those with equal doc_id and text one stays.
     """
-    found = NgramJoin(docs, width=SHINGLE, num=SIMILAR, den=100).components()
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti").select(*docs.columns)
+    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # written, so that a row's key is the same in every read
+    found = NgramJoin(rows.select(F.col("__row").alias("doc_id"), "text"), width=SHINGLE, num=SIMILAR, den=100).components()
+    found = found.select(F.col("doc_id").alias("__row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"))
+    blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
+    own = rows.select("__row", F.col("doc_id").cast("long").alias("id"), F.when(blank, F.col("doc_id")).alias("blank_id"), F.when(blank, F.col("text")).alias("blank_text"))
+    kept = own.join(found, "__row").groupBy("component", "blank_id", "blank_text").agg(F.min(F.struct(F.col("id").isNull(), "id", "__row")).alias("first"))
+    return rows.join(kept.select(F.col("first").getField("__row").alias("__row")), "__row", "left_semi").select(*docs.columns)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

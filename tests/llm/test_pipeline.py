@@ -84,3 +84,18 @@ def test_clashing_columns_and_repeated_rows(spark, planted):
     rows = docs.collect()
     assert all(r["rest"] == "rest" and r["label"] == "label" for r in rows)
     assert len(rows) == n - 3 and sorted(r["doc_id"] for r in rows)[:2] == [1, 1]
+
+
+def test_one_row_of_equal_rows_keeps_its_whole_text(spark, planted):
+    """A repeated row and a copy without a doc_id leave one row, and its text stays whole through all stages."""
+    at, texts, _ = planted
+    docs = spark.read.parquet(f"{at}/documents.parquet").where("doc_id in (1, 2, 3)")
+    rows = [(1, texts[1], "en", "s", 1), (None, texts[2], "en", "s", 1), (None, texts[4], "en", "s", 1), (None, texts[4], "en", "s", 1), (3, texts[6], "en", "s", 1)]
+    rows += [(7, None, None, None, 0), (7, None, None, None, 0), (8, None, None, None, 0), (7, " ", None, None, 0)]
+    docs = docs.unionAll(spark.createDataFrame(rows, docs.schema))
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        if k:
+            got = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=str)
+        docs = stage(spark, docs, at)
+    assert got == sorted([(1, texts[1]), (2, texts[2]), (3, texts[3]), (None, texts[4]), (3, texts[6]), (7, None), (7, " "), (8, None)], key=str)
+    assert sorted(r["n_tokens"] > 0 for r in docs.collect()) == [False] * 2 + [True] * 6
