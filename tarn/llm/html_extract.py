@@ -10,8 +10,9 @@ remaining text nodes:
 3. *Smooth*: nodes take a Gaussian mean of their neighbours' ratios in page order, paths the mean of their nodes.
 4. *Threshold*: paths with at least ``CUT`` standard deviations are content.
 
-The container of the content is the article or main element, or else the deepest element, that holds most content
-text; its blocks (headings, list items and short lines too) are the main text, except lists of links.
+All blocks with a content path are the main text, in page order. Other blocks (headings, list items and short lines)
+are added where they stand between content blocks or in its containers: each article, or else main element, that holds
+content; on pages without these the common ancestor of all content. Lists of links are left out.
 """
 
 from __future__ import annotations
@@ -28,8 +29,6 @@ from tarn.llm.common import slices, text_batches, tidy
 
 #: Standard deviations of the paths' smoothed ratios that a content path reaches.
 CUT = 0.5
-#: Share of the content text that its container holds at least.
-HOLDS = 0.85
 _KERNEL = [math.exp(-(k * k) / 2) for k in range(3)]
 _PUNCTUATION = re.compile(r"[.,;:!?…،。，；：！？、]")
 _TOKEN = re.compile(
@@ -269,23 +268,23 @@ def main_text(page: str | None) -> str:
                 e = e.parent
     if not total:
         return ""
-    marked = [e for e in elements.values() if e.tag in ("article", "main") and e.content >= 0.4 * total]
-    if marked:
-        most = max(e.content for e in marked)
-        container = max((e for e in marked if e.content >= HOLDS * most), key=lambda e: (e.tag == "article", e.content, e.depth))
-    else:
-        container = max((e for e in elements.values() if e.content >= HOLDS * total), key=lambda e: e.depth)
+    homes = {id(e) for e in elements.values() if e.tag == "article"}
+    for e in elements.values():
+        if e.tag == "main" and e.content > sum(i.content for i in elements.values() if i.tag == "article" and _nearest(i.parent, ("article", "main")) is e):
+            homes.add(id(e))  # content beside its articles
+    if not homes:
+        container = max((e for e in elements.values() if e.content == total), key=lambda e: e.depth)
         while container.parent is not None and container.parent.tag not in ("", "html") and (container.tag not in _BLOCK or container.tag in ("p", "li", "ul", "ol", "blockquote", "pre", "td", "tr", "tbody") or container.tag in _HEADINGS):
             container = container.parent
+        homes.add(id(container))
     blocks: dict[int, list[_Text]] = {}
     for t in texts:
-        e = t.element
-        while e is not None and e is not container:
-            e = e.parent
-        if e is container:
-            blocks.setdefault(t.block, []).append(t)
+        blocks.setdefault(t.block, []).append(t)
+    chosen = [k for k, nodes in blocks.items() if any(t.size and t.element.path in content for t in nodes)]
     out = []
-    for nodes in blocks.values():
+    for k, nodes in blocks.items():
+        if not chosen[0] <= k <= chosen[-1]:
+            nodes = [t for t in nodes if _inside(t.element, homes)]
         size = sum(t.size for t in nodes)
         linked = sum(t.size for t in nodes if t.links)
         if linked > 0.6 * size and size < 200 and not any(t.element.path in content for t in nodes) and nodes[0].element.tag not in _HEADINGS:
@@ -295,6 +294,18 @@ def main_text(page: str | None) -> str:
     return " ".join(out)
 
 
+def _nearest(e: _Element | None, tags: tuple[str, ...]) -> _Element | None:
+    while e is not None and e.tag not in tags:
+        e = e.parent
+    return e
+
+
+def _inside(e: _Element | None, homes: set[int]) -> bool:
+    while e is not None and id(e) not in homes:
+        e = e.parent
+    return e is not None
+
+
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text): the main text of every row, from columns page_id, url and html alone.
 

@@ -127,6 +127,18 @@ def test_html_templates():
     assert page(f"<div class='cookie-notice'>We use cookies.</div><p>{long}</p>") == long.strip()
 
 
+def test_html_content_in_several_containers():
+    """Two articles, and a body split over sibling blocks, are output whole."""
+    prose = lambda k: " ".join(f"Sentence {k}.{i}, which goes on, and on, and ends." for i in range(8))
+    page = "<html><body><nav><a href=/>Home</a></nav>{}<footer>x</footer></body></html>"
+    two = page.format(f"<article><h2>One</h2><p>{prose(1)}</p></article><article><h2>Two</h2><p>{prose(2)}</p><p>End.</p></article>")
+    assert main_text(two) == f"One {prose(1)} Two {prose(2)} End."
+    split = page.format(f"<div class=intro><p>{prose(1)}</p></div><h2>Then</h2><div class=story>" + "".join(f"<p>{prose(k)}</p>" for k in range(2, 10)) + f"</div><div class=last><p>{prose(10)}</p></div>")
+    assert main_text(split) == " ".join([prose(1), "Then", *(prose(k) for k in range(2, 11))])
+    beside = page.format(f"<main><p>{prose(1)}</p><article><p>{prose(2)}</p></article><p>{prose(3)}</p></main>")
+    assert main_text(beside) == " ".join(prose(k) for k in (1, 2, 3))
+
+
 def test_html_table(spark):
     rows = [(1, "u", "<p>x</p>", 5), (1, "u", "<p>x</p>", 5), (None, None, None, None), (3, "v", "", 0), (4, "w", "<p>" + "y " * 200_000, 1)]
     got = extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int")).collect()
