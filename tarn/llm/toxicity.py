@@ -1,12 +1,14 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-Terms of a text: its lower-cased words and their first 4, 5 and 6 bytes, hashed. A text's features are the
-selected terms that occur in it. The score is a logistic of bias + linear weights + pairwise interactions
-<v_i, v_j> of all its features (for instance an insult with the mention of a group), in time linear in the
-features: 1/2 sum_f [(sum_i v_if)^2 - sum_i v_if^2].
-
-Fitting takes a bounded sample of ``max_labels`` labelled rows (those with the smallest hashes of their ids). Terms are
-selected by their association with the positive label in that sample. Scoring covers every whole text.
+Terms of a text: its lower-cased words and their first 4, 5 and 6 bytes, hashed into ``2 ** SPACE_BITS`` features. All
+terms of the fitted rows are features: none is chosen by its own association, so a term that is neutral alone counts
+where a pair with it isn't. A text of n features gives each the value ``scale(n)``. The score is a logistic of bias +
+linear weights + pairwise interactions <v_i, v_j> of all its features (for instance an insult with the mention of a
+group), in time linear in the features: 1/2 sum_f [(sum_i v_if)^2 - sum_i v_if^2].
+
+Fitting takes a bounded sample of ``max_labels`` labelled rows (those with the smallest hashes of their ids). Penalties
+on weights (L1) and on factors (by group) shrink features that tell nothing; positive rows weigh ``BALANCE`` times what
+balances the classes. Scoring covers every whole text.
 """
 
 from __future__ import annotations
@@ -19,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tarn.llm.common import slices, text_batches, tidy
+from tarn.llm.common import materialize, slices, text_batches, tidy
 from tarn.llm.words import Words, mix
 
 #: Labelled rows that are fitted on, at most.
 MAX_LABELS = 30_000
-#: Terms of positive rows that are looked at, and terms that are kept, at most.
-MAX_CANDIDATES, MAX_TERMS = 1 << 16, 1 << 13
+#: Terms are hashed into a space of two to this power.
+SPACE_BITS = 20
+#: Weight of all positive rows, as a multiple of the weight of all others.
+BALANCE = 1.5
 _PREFIXES = (None, 4, 5, 6)
 
 
@@ -44,26 +48,19 @@ def term_hashes(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(out), np.concatenate(at)
 
 
-class Terms:
-    """A sorted list of term hashes with a first test that most others fail."""
+def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
+    """Distinct pairs (text, feature), ordered, and the number of texts."""
+    words = Words(texts, lower=True)
+    if not len(words):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), words.docs
+    h, at = term_hashes(words)
+    pairs = np.unique((words.doc_of(at) << SPACE_BITS) | (h >> np.uint64(64 - SPACE_BITS)).astype(np.int64))
+    return pairs >> SPACE_BITS, pairs & ((1 << SPACE_BITS) - 1), words.docs
 
-    def __init__(self, hashes: np.ndarray):
-        self.hashes = np.sort(hashes.astype(np.uint64))
-        self.first = np.zeros(1 << 16, dtype=bool)
-        self.first[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
 
-    def features(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
-        """Distinct pairs (text, term), ordered, and the number of texts."""
-        words = Words(texts, lower=True)
-        if not len(words) or not len(self.hashes):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), words.docs
-        h, at = term_hashes(words)
-        maybe = self.first[(h & np.uint64(0xFFFF)).astype(np.int64)]
-        h, at = h[maybe], at[maybe]
-        k = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        hit = self.hashes[k] == h
-        pairs = np.unique(words.doc_of(at[hit]) * len(self.hashes) + k[hit])
-        return pairs // len(self.hashes), pairs % len(self.hashes), words.docs
+def scale(n: np.ndarray) -> np.ndarray:
+    """The value of each feature of texts with n features."""
+    return 0.5 * np.maximum(n, 1).astype(np.float32) ** -0.35
 
 
 @dataclass
@@ -73,42 +70,57 @@ class FactorizationMachine:
     factors: np.ndarray
 
     def scores(self, doc: np.ndarray, term: np.ndarray, n: int) -> np.ndarray:
-        """Probability of the positive label for texts 0 to n - 1 with the features (doc, term)."""
-        z = np.full(n, self.bias) + np.bincount(doc, self.linear[term], n)
+        """Probability of the positive label (classes weighted as in the fit) for texts 0 to n - 1 with the features (doc, term)."""
+        x = scale(np.bincount(doc, minlength=n))
+        z = self.bias + x * np.bincount(doc, self.linear[term], n)
         v = self.factors[term]
         for f in range(self.factors.shape[1]):
-            z += 0.5 * (np.bincount(doc, v[:, f], n) ** 2 - np.bincount(doc, v[:, f] ** 2, n))
+            z += 0.5 * x**2 * (np.bincount(doc, v[:, f], n) ** 2 - np.bincount(doc, v[:, f] ** 2, n))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     @classmethod
-    def fit(cls, doc: np.ndarray, term: np.ndarray, labels: np.ndarray, terms: int, factors: int = 8, epochs: int = 20, batch: int = 128, rate: float = 0.2, decay: float = 1e-5, seed: int = 7) -> FactorizationMachine:
-        """Adaptive gradient descent on the logistic loss; (doc, term) ordered by doc."""
+    def fit(cls, first: np.ndarray, term: np.ndarray, labels: np.ndarray, space: int = 1 << SPACE_BITS, factors: int = 8, epochs: int = 10, batch: int = 128, rate: float = 60.0, factor_rate: float = 10.0, l1: float = 7e-4, group: float = 3e-3, seed: int = 7) -> FactorizationMachine:
+        """Proximal descent on the logistic loss with one adaptive step for all weights and one for all factors; row k has the features term[first[k]:first[k + 1]]."""
         random = np.random.default_rng(seed)
         rate_of_positive = float(np.clip((labels.sum() + 0.5) / (len(labels) + 1), 1e-6, 1 - 1e-6))
-        own = cls(float(np.log(rate_of_positive / (1 - rate_of_positive))), np.zeros(terms), random.normal(0, 0.05, (terms, factors)))
-        if not terms or not 0 < labels.sum() < len(labels):
-            own.factors[:] = 0
+        own = cls(float(np.log(rate_of_positive / (1 - rate_of_positive))), np.zeros(space, np.float32), np.zeros((space, factors), np.float32))
+        if not len(term) or not 0 < labels.sum() < len(labels):
             return own
-        first = np.searchsorted(doc, np.arange(len(labels) + 1))
-        gb, gw, gv = 1e-8, np.full(terms, 1e-8), np.full((terms, factors), 1e-8)
+        seen = np.zeros(space, dtype=bool)
+        for k in range(0, len(term), 1 << 20):
+            seen[term[k : k + (1 << 20)]] = True
+        own.factors[seen] = 0.3 * random.standard_normal((int(seen.sum()), factors), dtype=np.float32)  # features of no fitted row stay 0
+        x = scale(np.diff(first))
+        weight = np.where(labels == 1, BALANCE * (len(labels) - labels.sum()) / labels.sum(), 1.0)
+        gb, gw, gv = 1e-6, 1e-8, 1e-8
         for _ in range(epochs):
             order = random.permutation(len(labels))
             for k in range(0, len(order), batch):
                 rows = order[k : k + batch]
                 sizes = first[rows + 1] - first[rows]
                 at = np.repeat(first[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
-                d, t = np.repeat(np.arange(len(rows)), sizes), term[at]
-                error = own.scores(d, t, len(rows)) - labels[rows]
-                v, e = own.factors[t], error[d]
-                sums = np.stack([np.bincount(d, v[:, f], len(rows)) for f in range(factors)], axis=1)
-                dw = np.bincount(t, e, terms) / len(rows) + decay * own.linear * np.bincount(t, minlength=terms).astype(bool)
-                dv = np.zeros((terms, factors))
-                np.add.at(dv, t, e[:, None] * (sums[d] - v) / len(rows) + decay * v / len(rows))
-                db = error.mean()
-                gb, gw, gv = gb + db * db, gw + dw * dw, gv + dv * dv
-                own.bias -= rate * db / gb**0.5
-                own.linear -= rate * dw / np.sqrt(gw)
-                own.factors -= 0.3 * rate * dv / np.sqrt(gv)
+                d = np.repeat(np.arange(len(rows)), sizes)
+                t, place = np.unique(term[at], return_inverse=True)
+                w, v = own.linear[t], own.factors[t]
+                xd = x[rows][d]
+                xv = v[place] * xd[:, None]
+                sums = np.stack([np.bincount(d, xv[:, f], len(rows)) for f in range(factors)], axis=1)
+                z = own.bias + np.bincount(d, xd * w[place], len(rows)) + 0.5 * ((sums**2).sum(axis=1) - np.bincount(d, (xv**2).sum(axis=1), len(rows)))
+                error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[rows]) * weight[rows] / len(rows)
+                e = error[d] * xd
+                dw = np.bincount(place, e, len(t))
+                g = e[:, None] * (sums[d] - xv)
+                dv = np.stack([np.bincount(place, g[:, f], len(t)) for f in range(factors)], axis=1)
+                db = error.sum()
+                gb, gw, gv = gb + db * db, gw + (dw**2).sum(), gv + (dv**2).sum()
+                own.bias -= 0.1 * db / gb**0.5
+                step = rate / gw**0.5
+                w = w - step * dw
+                own.linear[t] = np.sign(w) * np.maximum(np.abs(w) - step * l1, 0)
+                step = factor_rate / gv**0.5
+                v = v - step * dv
+                own.factors[t] = v * np.maximum(1 - step * group / np.maximum(np.sqrt((v**2).sum(axis=1, keepdims=True)), 1e-9), 0)
+        own.bias = float(own.bias)
         return own
 
 
@@ -118,10 +130,10 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 class ToxicityModel:
-    """Fitted terms and machine; ``score`` covers every row of a table."""
+    """A fitted machine; ``score`` covers every row of a table."""
 
-    def __init__(self, terms: np.ndarray, machine: FactorizationMachine):
-        self.terms, self.machine = Terms(terms), machine
+    def __init__(self, machine: FactorizationMachine):
+        self.machine = machine
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> ToxicityModel:
@@ -135,82 +147,33 @@ class ToxicityModel:
         sample = eligible.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
         chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # max_labels rows of two numbers
 
-        def positives(batches):
-            held, size = [], 0
-
-            def counted():
-                s, n = np.unique(np.concatenate(held), return_counts=True)
-                return pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(n)], names=["term", "n"])
-
-            for batch in batches:
-                for part in slices(batch):
-                    words = Words(part.column("text"), lower=True)
-                    h, at = term_hashes(words)
-                    if not len(h):
-                        continue
-                    order = np.lexsort((h, doc := words.doc_of(at)))
-                    h, doc = h[order], doc[order]
-                    held.append(h[np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))])
-                    size += len(held[-1])
-                    if size > 2_000_000:
-                        yield counted()
-                        held, size = [], 0
-            if held:
-                yield counted()
-
-        found = chosen.where("label = 1").select("text").mapInArrow(tidy(positives), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where("n >= 3")
-        rows = found.orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES).collect()
-        candidates = np.sort(np.array([r["term"] for r in rows], dtype=np.int64).view(np.uint64))
-        spark = docs.sparkSession
-
-        def counts(batches, own=spark.sparkContext.broadcast(candidates)):
-            terms = Terms(own.value)
-            n = np.zeros((2, len(terms.hashes) + 1), dtype=np.int64)
-            for batch in batches:
-                for part in slices(batch):
-                    doc, term, docs_here = terms.features(part.column("text"))
-                    label = part.column("label").to_numpy()
-                    for c in (0, 1):
-                        n[c, :-1] += np.bincount(term[label[doc] == c], minlength=len(terms.hashes))
-                        n[c, -1] += int((label == c).sum())
-            at = np.flatnonzero(n.any(axis=0))
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0, at]), pa.array(n[1, at])], names=["k", "n0", "n1"])
-
-        n = np.zeros((2, len(candidates) + 1))
-        for r in chosen.select("text", "label").mapInArrow(tidy(counts), "k long, n0 long, n1 long").groupBy("k").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect():
-            n[:, r["k"]] = r["n0"], r["n1"]
-        total = np.maximum(n[:, -1], 1)
-        share = n[:, :-1] / total[:, None]
-        mean = n[:, :-1].sum(axis=0) / total.sum()
-        z = (share[1] - share[0]) / np.sqrt(np.maximum(mean * (1 - mean) * (1 / total[0] + 1 / total[1]), 1e-12))
-        best = np.argsort(-z, kind="stable")[:MAX_TERMS]
-        selected = candidates[np.sort(best[z[best] > 4])]
-
-        def featured(batches, own=spark.sparkContext.broadcast(selected)):
-            terms = Terms(own.value)
+        def featured(batches):
             for batch in batches:
                 for part in slices(batch):
-                    doc, term, docs_here = terms.features(part.column("text"))
-                    at = np.searchsorted(doc, np.arange(docs_here + 1)).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.int32()), pa.ListArray.from_arrays(pa.array(at), pa.array(term.astype(np.int32)))], names=["doc_id", "label", "terms"])
-
-        rows = chosen.select("doc_id", "label", "text").mapInArrow(tidy(featured), "doc_id long, label int, terms array<int>").collect()
-        rows.sort(key=lambda r: (r["doc_id"], r["terms"]))
-        doc = np.repeat(np.arange(len(rows)), [len(r["terms"]) for r in rows]) if rows else np.zeros(0, np.int64)
-        term = np.array([t for r in rows for t in r["terms"]], dtype=np.int64)
-        return cls(selected, FactorizationMachine.fit(doc, term, np.array([r["label"] for r in rows], dtype=np.float64), len(selected)))
+                    doc, term, docs_here = features(part.column("text"))
+                    at = np.searchsorted(doc, np.arange(docs_here + 1))
+                    term = term.astype("<i4")
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.int32()), pa.array([term[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "label", "terms"])
+
+        found = materialize(chosen.select("doc_id", "label", "text").mapInArrow(tidy(featured), "doc_id long, label int, terms binary"), "features")
+        labels, sizes, flat = [], [], bytearray()
+        for r in found.orderBy("doc_id", "terms").toLocalIterator():  # a partition at a time, so the driver holds each feature once
+            labels.append(r["label"])
+            sizes.append(len(r["terms"]) // 4)
+            flat += r["terms"]
+        first, term, labels = np.cumsum([0, *sizes]), np.frombuffer(flat, dtype="<i4"), np.array(labels, dtype=np.float64)
+        return cls(FactorizationMachine.fit(first, term, labels))
 
     def score(self, docs: DataFrame, into: str = "score") -> DataFrame:
         """All columns of ``docs`` and the score (0 to 1) in ``into``, which replaces a column of that name. Null and empty texts have no features: the bias scores them."""
         text_batches(docs.sparkSession)
-        own = docs.sparkSession.sparkContext.broadcast((self.terms.hashes, self.machine))
+        own = docs.sparkSession.sparkContext.broadcast(self.machine)
         plain = docs.drop(into)
 
         def run(batches):
-            hashes, machine = own.value
-            terms = Terms(hashes)
+            machine = own.value
             for batch in batches:
                 for part in slices(batch):
-                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(machine.scores(*terms.features(part.column("text"))))], names=[*part.schema.names, into])
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(machine.scores(*features(part.column("text"))))], names=[*part.schema.names, into])
 
         return plain.mapInArrow(tidy(run), StructType([*plain.schema.fields, StructField(into, DoubleType())]))

@@ -318,6 +318,22 @@ def test_toxicity_learns_and_never_sees_the_held_out(spark, nothing):
         assert model.score(nothing).count() == 0
 
 
+def test_toxicity_learns_a_pair_of_neutral_words(spark):
+    """Only the pair tells: neither word alone goes with the label."""
+    r = random.Random(8)
+    rows, labels = [], []
+    for i in range(1200):
+        act, group = r.choice(["badly", "kindly"]), r.choice(["northern", "southern"])
+        words = [f"f{r.randrange(300)}" for _ in range(r.randrange(5, 30))]
+        for w in (act, group):
+            words.insert(r.randrange(len(words)), w)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int((act == "badly") == (group == "northern"))))
+    docs, truth = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {x["doc_id"]: x["score"] for x in ToxicityModel.fit(docs, truth).score(docs).where(held_out()).collect()}
+    assert len(got) > 300 and sum((got[i] >= 0.7) == bool(t) for i, t in labels if i in got) / len(got) > 0.95
+
+
 # --- shards -------------------------------------------------------------------------------------------------------
 
 
