@@ -31,6 +31,9 @@ def _nested(messages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({f.name: pd.Series(columns[f.name], dtype=kinds[f.dataType.simpleString()]) for f in _NESTED.fields})
 
 
+#: So that a filter on the facts isn't pushed below it, into a lambda that can't hold a worker's function.
+_nested = _nested.asNondeterministic()
+
 # Message types of RFC 792 and reasons of RFC 1812 that have names.
 _ICMP = {0: "echo_reply", 8: "echo_request", 3: "destination_unreachable", 11: "time_exceeded", 12: "parameter_problem"}
 _UNREACHABLE = {0: "network", 1: "host", 2: "protocol", 3: "port", 4: "fragmentation_needed", 5: "source_route", 13: "administratively_prohibited"}

@@ -15,8 +15,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 #: Sequence model: width, heads, layers, and the width of the layers between.
 DIM, HEADS, LAYERS, HIDDEN = 64, 4, 2, 128
-#: Rows and members that are computed at once; bounds a worker's memory.
-ROWS, MEMBERS_AT_ONCE = 256, 4
+#: Rows that are computed at once; bounds a worker's memory.
+ROWS = 256
 
 
 def softmax(x: np.ndarray) -> np.ndarray:
@@ -62,9 +62,8 @@ class EnsembleLayer:
         x = np.zeros((len(rows), len(used)))
         np.add.at(x, (np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows]), at), np.concatenate([v for _, v in rows]))
         w = self.weight[:, used]
-        for k in range(0, len(self.r), MEMBERS_AT_ONCE):
-            for m in range(k, min(k + MEMBERS_AT_ONCE, len(self.r))):
-                out[:, m] += (x * self.r[m, used]) @ w.T * self.s[m]
+        for m in range(len(self.r)):  # a member at a time: rows x columns are held once
+            out[:, m] += (x * self.r[m, used]) @ w.T * self.s[m]
         return out
 
 

@@ -11,6 +11,7 @@ from tarn.contract import MAX_BODY_BYTES
 from tarn.functions import features, masking
 from tarn.functions.values import MONTH, let
 from tarn.operators.decode import classify
+from tarn.sources.raw import ORDER
 
 # The sanitised event name of the registered denial, and headers that may stand before it.
 _EVENT = "USER-0010-0324"
@@ -45,6 +46,10 @@ def _texts(raw: pd.Series, asa: pd.Series, behind: pd.Series, plain: pd.Series)
     return pd.DataFrame(out)
 
 
+#: So that a filter on what is made from it isn't pushed below it, into a lambda that can't hold a worker's function.
+_texts = _texts.asNondeterministic()
+
+
 def prepare(records: DataFrame) -> DataFrame:
     """Columns added to records (event_id, message_sanitized, src_port):
 
@@ -98,6 +103,18 @@ def port_summary(prepared: DataFrame) -> DataFrame:
     return prepared.agg(F.count(F.when(observed, 1)).alias("observed"), F.count(F.when(observed & F.col("facts.src_port_fixed").isNull(), 1)).alias("message_unobserved_record_observed"), F.count(F.when(F.col("port_conflict"), 1)).alias("conflicting_observations"))
 
 
+class UnsupportedRecord(ValueError):
+    """A record that strict mode refuses."""
+
+
 def refuse_errors(prepared: DataFrame) -> DataFrame:
-    """The same rows; reading one with an error raises (strict mode)."""
-    return prepared.withColumn("error", F.when(F.col("error").isNotNull(), F.raise_error(F.concat(F.lit("unsupported record "), F.col("event_id"), F.lit(": "), F.col("error")))).otherwise(F.lit(None).cast("string")))
+    """The same rows, if none has an error; else UnsupportedRecord names the first one (strict mode).
+
+    First by place in the source where the rows have one (``source_order``), else by event_id and error. One pass over
+    the rows is made at once, and one row is brought to the driver, so the outcome doesn't depend on which task ends first.
+    """
+    first = [F.col(ORDER)] if ORDER in prepared.columns else []
+    found = prepared.agg(F.min(F.when(F.col("error").isNotNull(), F.struct(*first, "event_id", "error"))).alias("first")).first()["first"]
+    if found is not None:
+        raise UnsupportedRecord(f"unsupported record {found['event_id']}: {found['error']}")
+    return prepared

@@ -18,6 +18,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         p.add_argument(name)
     p.add_argument("--report")
     p.add_argument("--strict", action="store_true")
+    p.add_argument("--folder", action="store_true", help="write a CSV folder by the executors, on any store")
     p = commands.add_parser("train")
     for name in ("train", "validation", "bundle"):
         p.add_argument(name)
@@ -29,10 +30,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("tarn").getOrCreate()
     try:
         if a.command == "predict":
-            from tarn.plans.predict import predict_file
+            from tarn.plans.predict import predict_file, predict_table
             from tarn.plans.train import load_bundle
 
-            out = predict_file(spark, a.input, a.output, load_bundle(a.bundle), a.strict, a.report)
+            model = load_bundle(a.bundle)
+            out = predict_table(spark, a.input, a.output, model, a.strict) if a.folder else predict_file(spark, a.input, a.output, model, a.strict, a.report)
         elif a.command == "train":
             from tarn.operators.prepare import prepare
             from tarn.plans.train import train_bundle

@@ -18,8 +18,8 @@ from tarn.operators import coverage, scoring
 from tarn.operators.neural import SequenceModel
 from tarn.operators.prepare import prepare, refuse_errors
 from tarn.operators.scoring import Router
-from tarn.plans.publish import counts, file_sha256, publish_csv, write_report
-from tarn.sources.raw import ContractError, read_raw
+from tarn.plans.publish import counts, file_sha256, publish_csv, publish_table, write_report
+from tarn.sources.raw import ORDER, ContractError, read_raw
 
 
 @dataclass
@@ -54,38 +54,72 @@ def _probabilities(folds: Sequence[Fold], full: list, headers: list, bodies: lis
     return total / len(folds)
 
 
-def predict(records: DataFrame, model: Ensemble, strict: bool = False) -> DataFrame:
-    """Prepared records with the folds' mean probabilities, class and label; one lazy plan.
+def score_rows(rows: DataFrame, model: Ensemble) -> DataFrame:
+    """Prepared rows with ``probabilities``, class and label.
 
-    Rows that the sequence model can't read are scored by the router and say why in ``error``; with ``strict`` they raise.
     All folds score a batch in one pass of a worker; the weights are of fixed size and sent to executors once.
     """
-    rows = prepare(records)
-    if strict:
-        rows = refuse_errors(rows)
-    shared = records.sparkSession.sparkContext.broadcast(list(model.folds))
+    shared = rows.sparkSession.sparkContext.broadcast(list(model.folds))
 
     def run(batches):
         for batch in batches:
-            p = _probabilities(shared.value, _rows_of(batch.column("full")), _rows_of(batch.column("header")), batch.column("body").to_pylist())
+            empty = [None] * batch.num_rows
+            headers, bodies = (_rows_of(batch.column("header")), batch.column("body").to_pylist()) if "body" in batch.schema.names else (empty, empty)
+            p = _probabilities(shared.value, _rows_of(batch.column("full")), headers, bodies)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(p), pa.list_(pa.float64()))], names=[*batch.schema.names, "probabilities"])
 
     return scoring.decide(rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("probabilities", ArrayType(DoubleType()))])))
 
 
+def predict(records: DataFrame, model: Ensemble, strict: bool = False) -> DataFrame:
+    """Prepared records with the folds' mean probabilities, class and label; one lazy plan.
+
+    Rows that the sequence model can't read are scored by the router and say why in ``error``; with ``strict`` the first of
+    them raises at once.
+    """
+    rows = prepare(records)
+    return score_rows(refuse_errors(rows) if strict else rows, model)
+
+
+def fingerprint(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Names, sizes and times of change of a source's files, on any store that Spark can read."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(at, True)
+    found = []
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
+def predict_table(spark: SparkSession, source: str, output: str, model: Ensemble, strict: bool = False) -> dict:
+    """Predict a source of any size into a CSV folder on any store; executors read and write all rows.
+
+    Duplicate ids, an input that changes meanwhile and an existing output raise. The folder is written once, and counted from there.
+    """
+    before, records = fingerprint(spark, source), read_raw(spark, source)
+    if coverage.duplicate_ids(records).limit(1).count():
+        raise ContractError("event_id repeats")
+    publish_table(predict(records, model, strict).select("event_id", "pred_label"), output)
+    labels = counts(spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(output), "pred_label")
+    if fingerprint(spark, source) != before or not labels:
+        raise ContractError("the input changed, or is empty")
+    return {"counts_by_label": labels, "rows": sum(labels.values()), "folds": len(model.folds)}
+
+
 def predict_file(spark: SparkSession, source: str, output: str, model: Ensemble, strict: bool = False, report: str | None = None) -> dict:
-    """Predict a Parquet or CSV file and publish one CSV in the order of the source, with a report.
+    """Predict a source and publish one local CSV in the order of the source, with a report; ``predict_table`` has no such limits.
 
-    Duplicate ids raise and leave nothing behind, as does an input file that changes meanwhile. The result is cached while it is
+    Duplicate ids raise and leave nothing behind, as does an input that changes meanwhile. The result is cached while it is
     counted and written.
     """
     if os.path.exists(output) or report and os.path.exists(report):
         raise FileExistsError(output)
-    began, before = time.time(), os.stat(source)
-    records = read_raw(spark, source)
+    began, before = time.time(), fingerprint(spark, source)
+    records = read_raw(spark, source, order=True)
     if coverage.duplicate_ids(records).limit(1).count():
         raise ContractError("event_id repeats")
-    done = predict(records, model, strict).select("event_id", "pred_label", "route", "error", "port_state").cache()
+    done = predict(records, model, strict).select("event_id", "pred_label", "route", "error", "port_state", ORDER).cache()
     try:
         made = {
             "counts_by_label": counts(done, "pred_label"),
@@ -93,9 +127,8 @@ def predict_file(spark: SparkSession, source: str, output: str, model: Ensemble,
             "counts_by_fallback": counts(done.where("error is not null").withColumn("reason", F.substring_index("error", ":", 1)), "reason"),
             "folds": len(model.folds),
         }
-        made["rows"] = publish_csv(done.select("event_id", "pred_label").toLocalIterator(), output)
-        after = os.stat(source)
-        if (before.st_size, before.st_mtime_ns) != (after.st_size, after.st_mtime_ns) or made["rows"] != sum(made["counts_by_label"].values()) or not made["rows"]:
+        made["rows"] = publish_csv(done.orderBy(ORDER).select("event_id", "pred_label").toLocalIterator(), output)
+        if fingerprint(spark, source) != before or made["rows"] != sum(made["counts_by_label"].values()) or not made["rows"]:
             os.unlink(output)
             raise ContractError("the input changed, or is empty")
     finally:

@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.contract import LABELS, WIDTH
-from tarn.operators import coverage, metrics, scoring
+from tarn.operators import coverage, metrics
 from tarn.operators.neural import Base, EnsembleLayer, Residual, SequenceModel
 from tarn.operators.scoring import Router
-from tarn.plans.predict import Ensemble, Fold
+from tarn.plans.predict import Ensemble, Fold, score_rows
 from tarn.plans.publish import file_sha256
 
 #: Name of the bundle's layout.
@@ -156,17 +156,19 @@ def validate_datasets(train: DataFrame, validation: DataFrame) -> dict:
 
 
 def dataset_digest(rows: DataFrame) -> str:
-    """A digest of the set of rows (event_id, label, full), whatever their order: exclusive or and count of row hashes."""
+    """A digest of the multiset of rows (event_id, label, full), whatever their order: the count, and sums of four parts of the row hashes.
+
+    Repeated rows count as often as they occur.
+    """
     row = F.sha2(F.to_json(F.struct("event_id", "label", "full")), 256)
-    part = lambda k: F.bit_xor(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("long"))
+    part = lambda k: F.sum(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)"))
     found = rows.agg(F.count(F.lit(1)).alias("n"), *[part(k).alias(f"p{k}") for k in range(4)]).first()
     return "-".join(str(v) for v in found)
 
 
 def evaluate(rows: DataFrame, model: Ensemble) -> dict:
-    """Confusion matrix and class metrics of a model over prepared, labelled rows."""
-    linear = rows.select("label", *[f.router.probabilities(rows.sparkSession)(F.col("full")).alias(f"p{k}") for k, f in enumerate(model.folds)])
-    done = scoring.decide(linear.select("label", scoring.mean_of([F.col(f"p{k}") for k in range(len(model.folds))]).alias("probabilities")))
+    """Confusion matrix and class metrics over prepared, labelled rows, scored as ``predict`` scores them (sequence models too)."""
+    done = score_rows(rows.select("label", "full", *[c for c in ("header", "body") if c in rows.columns]), model)
     matrix = metrics.confusion(done, predicted="pred_class").cache()
     out = {"confusion": [r.asDict() for r in matrix.orderBy("label", "predicted").collect()], "classes": [r.asDict() for r in metrics.class_metrics(matrix).orderBy("label").collect()], **metrics.macro(matrix).first().asDict()}
     matrix.unpersist()

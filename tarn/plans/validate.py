@@ -2,22 +2,19 @@
 
 from __future__ import annotations
 
-import csv
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tarn.operators.coverage import coverage_report
-from tarn.sources.raw import ContractError, read_ids
+from tarn.sources.raw import ContractError, header_of, read_ids
 
 HEADER = ["event_id", "pred_label"]
 
 
 def read_submission(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
     """(event_id, pred_label) rows of a CSV result, and the number of malformed rows (too long or too short)."""
-    first = spark.read.text(path).first()
-    if first is None or next(csv.reader([first[0].removeprefix("\ufeff")]), []) != HEADER:
+    if header_of(spark, path) != HEADER:
         raise ContractError(f"the header isn't {','.join(HEADER)}")
     schema = StructType([StructField(n, StringType()) for n in (*HEADER, "__bad")])
     rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"').option("columnNameOfCorruptRecord", "__bad").csv(path)

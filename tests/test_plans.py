@@ -8,14 +8,14 @@ from pyspark.sql import functions as F
 from tarn.contract import LABELS, MAX_BODY_BYTES, WIDTH
 from tarn.operators import metrics, scoring
 from tarn.operators.neural import Base, EnsembleLayer, Residual, SequenceModel, erf
-from tarn.operators.prepare import port_summary, prepare, refuse_errors
+from tarn.operators.prepare import UnsupportedRecord, port_summary, prepare, refuse_errors
 from tarn.operators.scoring import Router
 from tarn.plans import cli
-from tarn.plans.predict import Ensemble, Fold, predict, predict_file
+from tarn.plans.predict import Ensemble, Fold, predict, predict_file, predict_table
 from tarn.plans.publish import publish_csv
-from tarn.plans.train import RouterConfig, TrainingError, fit_router, load_bundle, save_bundle, train_bundle
+from tarn.plans.train import RouterConfig, TrainingError, dataset_digest, evaluate, fit_router, load_bundle, save_bundle, train_bundle
 from tarn.plans.validate import validate_submission
-from tarn.sources.raw import ContractError, read_ids, read_raw
+from tarn.sources.raw import ContractError, read_ids, read_labelled, read_raw
 
 ASA = '<166>Jan 02 USER-0021 11:22:33: USER-0010-0324 Deny tcp src outside:1.2.3.4/9936 dst dmz-1:10.0.0.1/55000 by access-group "acl_in" [0x0, 0x0]'
 
@@ -49,6 +49,8 @@ def test_csv_source(spark, tmp_path):
         at.write_text(bad)
         with pytest.raises(ContractError):
             read_raw(spark, str(at))
+    at.write_text('event_id,message_sanitized,"two\nlines"\n1,2,3\n')
+    assert read_raw(spark, str(at)).first()["message_sanitized"] == "2"
     at.write_text("event_id,message_sanitized\n1,2,3\n")
     with pytest.raises(Exception):  # noqa: B017  Spark's own error for a row that is too long
         read_raw(spark, str(at)).collect()
@@ -96,6 +98,10 @@ def test_prepared_rows(spark):
     assert (summary["observed"], summary["conflicting_observations"]) == (3, 2)
     with pytest.raises(Exception, match="asa_grammar_unsupported"):
         refuse_errors(prepare(records(spark, rows))).select("event_id", "error").collect()
+    with pytest.raises(UnsupportedRecord, match="record 5: asa_grammar_unsupported"):
+        refuse_errors(prepare(records(spark, rows).repartition(7)))
+    assert refuse_errors(prepare(records(spark, rows[:5]))).count() == 5
+    assert sorted(r["event_id"] for r in prepare(records(spark, rows)).where("error is not null and route <> 'empty'").collect()) == ["5", "6", "8"]
 
 
 # --- scoring ------------------------------------------------------------------------------------------------------
@@ -147,6 +153,18 @@ def test_predict_routes_and_folds(spark):
     assert not np.allclose(got[0]["probabilities"], got[1]["probabilities"]) and math.isclose(sum(got[0]["probabilities"]), 1)
 
 
+def test_evaluation_is_prediction(spark):
+    """Metrics of an ensemble with a sequence model are those of its predictions."""
+    g = np.random.default_rng(2)
+    small = Base(layer(g, 4, WIDTH, 2), layer(g, 4, 4, 2), layer(g, 3, 4, 2), layer(g, 3, WIDTH - 65792, 2), 65792)
+    model = Ensemble([Fold(Router(np.zeros((WIDTH, 3)), np.log([0.2, 0.7, 0.1])), SequenceModel(small))])
+    rows = records(spark, [(ASA, None), ("x", None), (ASA.replace("tcp", "udp"), "80")]).withColumn("label", F.lit(0))
+    done = predict(rows, model)
+    want = sorted((r["label"], r["pred_class"]) for r in done.collect())
+    got = evaluate(prepare(rows), model)["confusion"]
+    assert sorted((r["label"], r["predicted"]) for r in got for _ in range(r["n"])) == want and {p for _, p in want} != {1}
+
+
 # --- files --------------------------------------------------------------------------------------------------------
 
 
@@ -158,10 +176,26 @@ def test_predict_file(spark, tmp_path):
     assert made["rows"] == 3 and json.loads(report.read_text())["counts_by_label"] == {"malicious": 3}
     with pytest.raises(FileExistsError):
         predict_file(spark, str(source), str(out), constant([0.2, 0.7, 0.1]))
+    assert predict_table(spark, str(source), str(tmp_path / "folder"), constant([0.2, 0.7, 0.1])) == {"counts_by_label": {"malicious": 3}, "rows": 3, "folds": 1}
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        predict_table(spark, str(source), str(tmp_path / "folder"), constant([0.2, 0.7, 0.1]))
     source.write_text("event_id,message_sanitized\n001,a\n001,b\n")
     with pytest.raises(ContractError):
         predict_file(spark, str(source), str(tmp_path / "two.csv"), constant([0.2, 0.7, 0.1]))
-    assert sorted(p.name for p in tmp_path.iterdir()) == ["in.csv", "report.json", "res.csv"]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["folder", "in.csv", "report.json", "res.csv"]
+
+
+def test_order_of_the_source(spark, tmp_path):
+    """Rows come in the order of file names and of rows in them, however large the files are and however they are read."""
+    at = tmp_path / "in.parquet"
+    for k, n in enumerate((3, 400, 50)):
+        spark.createDataFrame([(f"{k}-{i}", "x" * i, "benign") for i in range(n)], "event_id string, message_sanitized string, label_binary string").coalesce(1).write.parquet(str(tmp_path / f"p{k}"))
+        at.mkdir(exist_ok=True)
+        next((tmp_path / f"p{k}").glob("*.parquet")).rename(at / f"{k}.parquet")
+    want = [f"{k}-{i}" for k, n in enumerate((3, 400, 50)) for i in range(n)]
+    assert [r["event_id"] for r in read_labelled(spark, str(at), 300).collect()] == want[:300]
+    predict_file(spark, str(at), str(tmp_path / "out.csv"), constant([0.2, 0.7, 0.1]))
+    assert (tmp_path / "out.csv").read_text().split("\n")[1:-1] == [f"{i},malicious" for i in want]
 
 
 def test_publish_leaves_nothing_behind(tmp_path):
@@ -215,6 +249,7 @@ def test_train_save_load(spark, tmp_path):
     train, validation = labelled(spark, [(f"t{k}", k % 3) for k in range(9)]), labelled(spark, [(f"v{k}", k % 3) for k in range(6)])
     at = tmp_path / "bundle"
     result = train_bundle(spark, train, validation, str(at), RouterConfig(iterations=15))
+    assert dataset_digest(train) == dataset_digest(train.repartition(3)) != dataset_digest(train.union(train.limit(1)).union(train.limit(1)))
     assert result["macro_f1"] == 1.0 and result["errors"] == 0 and json.loads((at / "plan.json").read_text())["checks"]["shared_inputs"] == 6
     load_bundle(str(at))
     steps = [json.loads(x) for x in (at / "history.jsonl").read_text().splitlines()]
