@@ -6,6 +6,8 @@ on the UTF-8 bytes. Nothing here looks at one document or one word at a time in
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 
@@ -13,26 +15,14 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-#: Bytes or words that are hashed at once; bounds the scratch memory for very long texts.
-_BLOCK = 1 << 19
-_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power_tables(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**0..n and its inverses modulo 2**64."""
-    have = _powers.get(base)
-    if have is None or len(have[0]) <= n:
-        size = max(n, _BLOCK + 64) + 1
-        tables = []
-        for b in (base, pow(base, -1, 1 << 64)):
-            t = np.full(size, b, dtype=np.uint64)
-            t[0] = 1
-            tables.append(np.multiply.accumulate(t))
-        if n > 4 * _BLOCK:  # one huge word: not worth keeping
-            return tables[0], tables[1]
-        _powers[base] = have = (tables[0], tables[1])
-    return have
+#: Words that are hashed at once; their scratch memory stays in the processor's cache.
+_BLOCK = 1 << 15
+#: Odd constants of the three independent families of hashes.
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+#: Words of more bytes are hashed one by one.
+_LONG = 64
+#: For 0 to 8 bytes, the lanes' bits that belong to a word.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -45,6 +35,18 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def pair(a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of two hashes in their order; not linear in either, so no pattern of words cancels out."""
+    h = a * np.uint64(_SEEDS[seed])
+    h ^= h >> np.uint64(32)
+    h += b
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def short_shingle(h: np.ndarray) -> np.ndarray:
     """The one shingle of a text with fewer words than a shingle has, from its words' hashes."""
     one = np.array([len(h)], dtype=np.uint64)
@@ -92,42 +94,61 @@ class Words:
         return len(self.starts)
 
     def hashes(self, seed: int = 0, size: int | None = None) -> np.ndarray:
-        """A 64-bit hash of each word's bytes, or of its first ``size`` bytes."""
+        """A 64-bit hash of each word's bytes, or of its first ``size`` bytes.
+
+        Eight bytes at a time are mixed in, not linearly; words of more than 64 bytes are hashed by BLAKE2b.
+        """
         out = np.empty(len(self), dtype=np.uint64)
-        at, base = 0, _BASES[seed]
-        while at < len(self):
-            low = self.starts[at]
-            to = max(at + 1, int(np.searchsorted(self.ends, low + _BLOCK, side="right")))
-            high = self.ends[to - 1]
-            power, inverse = _power_tables(base, int(high - low))
-            total = np.zeros(high - low + 1, dtype=np.uint64)
-            np.cumsum((self.bytes[low:high].astype(np.uint64) + np.uint64(1)) * power[: high - low], out=total[1:])
-            s, e = self.starts[at:to] - low, self.ends[at:to] - low
+        padded = np.concatenate((self.bytes, np.zeros(8, np.uint8)))
+        lanes = np.ndarray((len(self.bytes) + 1,), dtype="<u8", buffer=padded.data, strides=(1,))
+        salt = _SEEDS[seed].to_bytes(8, "little")
+        for at in range(0, len(self), _BLOCK):
+            start = self.starts[at : at + _BLOCK]
+            length = self.ends[at : at + _BLOCK] - start
             if size is not None:
-                e = np.minimum(e, s + size)
-            out[at:to] = (total[e] - total[s]) * inverse[s]
-            at = to
-        return mix(out)
+                length = np.minimum(length, size)
+            h = length.astype(np.uint64)
+            h += np.uint64(_SEEDS[seed])
+            live, begin = np.arange(len(start)), start
+            for k in range(_LONG // 8):
+                rest = length[live] - 8 * k if k else length
+                lane = lanes[begin + 8 * k] & _KEEP[np.minimum(rest, 8)]
+                if k:
+                    h[live] = pair(h[live], lane, seed)
+                else:
+                    h = pair(h, lane, seed)
+                live = live[rest > 8]
+                if not len(live):
+                    break
+                begin = start[live]
+            for k in np.flatnonzero(length > _LONG).tolist():
+                word = self.bytes[start[k] : start[k] + length[k]]
+                h[k] = int.from_bytes(hashlib.blake2b(word.tobytes(), digest_size=8, key=salt).digest(), "little")
+            out[at : at + _BLOCK] = h
+        return out
 
     def windows(self, hashes: np.ndarray, width: int, seed: int = 1) -> np.ndarray:
-        """A 64-bit hash of the ``width`` words from each word on; see ``whole`` for the ones within a document."""
+        """A 64-bit hash of the ``width`` words from each word on; see ``whole`` for the ones within a document.
+
+        Two windows of half the length are mixed into one, not linearly, so windows of the same words in another order differ.
+        """
         n = len(hashes) - width + 1
         if n <= 0:
             return np.zeros(0, dtype=np.uint64)
-        if width <= 6:
-            out = np.zeros(n, dtype=np.uint64)
-            for k in range(width):
-                out += hashes[k : n + k] * np.uint64(pow(_BASES[seed], k + 1, 1 << 64))
-            return mix(out)
-        out, base = np.empty(n, dtype=np.uint64), _BASES[seed]
+        if width <= 4:
+            out = hashes[:n] + np.uint64(_SEEDS[seed])
+            for k in range(1, width):
+                out = pair(out, hashes[k : n + k], seed)
+            return out if width > 1 else mix(out)
+        out = np.empty(n, dtype=np.uint64)
         for at in range(0, n, _BLOCK):
-            to = min(n, at + _BLOCK)
-            m = to - at + width - 1
-            power, inverse = _power_tables(base, m)
-            total = np.zeros(m + 1, dtype=np.uint64)
-            np.cumsum(hashes[at : at + m] * power[:m], out=total[1:])
-            out[at:to] = (total[width:] - total[:-width])[: to - at] * inverse[: to - at]
-        return mix(out)
+            h, size = hashes[at : at + _BLOCK + width - 1] + np.uint64(_SEEDS[seed]), 1
+            while size < width:
+                step = min(size, width - size)  # the last two halves may overlap; together they are the window
+                h = pair(h[:-step], h[step:], seed)
+                size += step
+            out[at : at + _BLOCK] = h
+        return out
 
     def whole(self, width: int) -> np.ndarray:
         """Whether the window of ``width`` words from each word on (as many as ``windows`` returns) ends in its document."""
