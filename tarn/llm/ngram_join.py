@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import packed
-from tarn.llm.common import connected_components, materialize, parts_for, slices, text_batches, text_bytes, tidy
+from tarn.llm.common import connected_components, materialize, slices, text_batches, text_bytes, tidy
 from tarn.llm.words import Words
 
 #: Most tokens that are ordered last, by how many documents hold them; it only affects speed.
@@ -45,10 +45,9 @@ SALTS = 16
 HOT_TOKEN = 256
 #: Pairs of blocks in one Arrow batch; bounds a worker's memory (about 3 MB a pair at most).
 PAIRS_PER_BATCH = 16
-CHUNK_BYTES = 8 << 20
 _BITS = 48
 _LOW = np.uint64((1 << _BITS) - 1)
-_SETS = "doc_id long, n long, k1 long, k2 long"
+_SETS = "doc_id long, th long, n long, k1 long, k2 long"
 _CANDIDATES = "lo long, k1 long, n long, shared array<long>, tokens binary"
 
 
@@ -97,7 +96,7 @@ def _keys(width: int):
             for part in slices(batch):
                 sets = Words(part.column("text"), lower=True).shingle_sets(width)
                 keys = [_key(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64())], names=["doc_id", "n", "k1", "k2"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in keys], pa.int64()), pa.array([b for _, b in keys], pa.int64())], names=["doc_id", "th", "n", "k1", "k2"])
 
     return run
 
@@ -257,16 +256,16 @@ class NgramJoin:
     links or equal sets. An empty table gives no rows.
     """
 
-    def __init__(self, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, chunk_bytes: int = CHUNK_BYTES):
+    def __init__(self, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, chunk_bytes: int | None = None):
         text_batches(docs.sparkSession)
         self.width, self.num, self.den, self.chunk_bytes = width, num, den, chunk_bytes
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.keys = materialize(self.docs.mapInArrow(tidy(_keys(width)), _SETS), "keys")
+        self.keys = materialize(self.docs.withColumn("th", F.xxhash64("text")).mapInArrow(tidy(_keys(width)), _SETS), "keys")
         self._links: dict[bool, DataFrame] = {}
 
     def _classes(self) -> DataFrame:
         own = self.keys.where("n > 0 and doc_id is not null")
-        return own.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"))
+        return own.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "th")).alias("first")).select("first.*", "k1", "k2").withColumnRenamed("doc_id", "lo")
 
     def _candidates(self) -> DataFrame:
         spark = self.docs.sparkSession
@@ -274,14 +273,15 @@ class NgramJoin:
         tokens = [r["token"] for r in often.orderBy(F.desc("times"), "token").limit(COMMON_TOKENS).select("token").collect()]
         common = spark.sparkContext.broadcast(np.sort(np.array(tokens, dtype=np.int64).view(np.uint64)))
         _, total = text_bytes(self.docs)
-        chunks = parts_for(total, self.chunk_bytes)
-        width = max(chunks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        chunks = packed.chunks_for(total, tasks, self.chunk_bytes)
+        width = max(chunks, tasks)
 
-        def chunk(column: str):
-            return F.pmod(F.xxhash64(column), F.lit(chunks)).cast("int").alias("chunk")
+        def chunk(doc_id: str, text_hash):
+            return F.pmod(F.xxhash64(doc_id, text_hash), F.lit(chunks)).cast("int").alias("chunk")
 
-        dealt = self.docs.where("doc_id is not null").select("doc_id", "text", chunk("doc_id")).repartition(width, "chunk")
-        classes = self._classes().select(chunk("lo"), "lo", "k1", "k2").repartition(width, "chunk")
+        dealt = self.docs.where("doc_id is not null").select("doc_id", "text", chunk("doc_id", F.xxhash64("text"))).repartition(width, "chunk")
+        classes = self._classes().select(chunk("lo", "th"), "lo", "k1", "k2").repartition(width, "chunk")
         sent = dealt.groupBy("chunk").cogroup(classes.groupBy("chunk")).applyInArrow(tidy(_send(self.width, chunks)), packed.MESSAGE)
         answers = sent.repartition(width, "bucket").groupBy("bucket").applyInArrow(tidy(packed.count), packed.ANSWER)
         side = classes.unionByName(answers, allowMissingColumns=True).repartition(width, "chunk")

@@ -8,13 +8,33 @@ that very many documents hold is one entry a chunk, so no bucket is hot.
 
 from __future__ import annotations
 
+import math
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 
+from tarn.llm.common import parts_for
+
+#: Bytes of text in a chunk, at least (unless more tasks than chunks are there to work), and in the smallest chunk.
+CHUNK_BYTES, LEAST_BYTES = 8 << 20, 256 << 10
+#: Bytes of input for each message, at least: chunks grow with the square root of the input, messages in proportion to it.
+MESSAGE_BYTES = 640
 MESSAGE = "step int, chunk int, bucket int, n long, wide boolean, gaps binary, check binary, often binary, asked binary"
 ANSWER = "chunk int, step int, bucket int, n long, bits binary"
 
 
+def chunks_for(total: int, tasks: int, chunk_bytes: int | None = None) -> int:
+    """How many chunks, and as many buckets, suit ``total`` bytes of text.
+
+    C chunks send C * C messages. With chunks of max(8 MB, sqrt(640 * total)) these are never more than total / 640: 8 MB up to
+    100 GB, 253 MB for 100 TB. Small inputs are cut into one chunk a task, down to 256 KB.
+    """
+    if chunk_bytes is not None:
+        return parts_for(total, chunk_bytes)
+    return max(parts_for(total, max(CHUNK_BYTES, math.isqrt(MESSAGE_BYTES * total))), min(tasks, parts_for(total, LEAST_BYTES)))
+
+
 def pack(bits: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
@@ -38,16 +58,13 @@ def ungap(data: bytes, wide: bool) -> np.ndarray:
 
 
 def messages(step: int, chunk: int, values: np.ndarray, top: int, often: np.ndarray, asked: np.ndarray | None, check: np.ndarray | None, buckets: int):
-    """Split sorted values (below 2**top) by bucket; buckets are equal ranges of their upper bits."""
+    """Split sorted values (below 2**top) by bucket; buckets are equal ranges of their upper bits. One pass over the buckets that are hit."""
     bucket = ((values >> np.uint64(top - 32)) * np.uint64(buckets)) >> np.uint64(32)
-    edges = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
+    edges = np.flatnonzero(np.diff(bucket, prepend=np.uint64(buckets)))
     out = {k: [] for k in ("step", "chunk", "bucket", "n", "wide", "gaps", "check", "often", "asked")}
-    for b in range(buckets):
-        lo, hi = edges[b], edges[b + 1]
-        if lo == hi:
-            continue
+    for lo, hi in pairwise([*edges.tolist(), len(values)]):
         wide, packed = gaps(values[lo:hi])
-        for k, v in (("step", step), ("chunk", chunk), ("bucket", b), ("n", hi - lo), ("wide", wide), ("gaps", packed), ("check", None if check is None else check[lo:hi].tobytes()), ("often", pack(often[lo:hi])), ("asked", None if asked is None else pack(asked[lo:hi]))):
+        for k, v in (("step", step), ("chunk", chunk), ("bucket", int(bucket[lo])), ("n", hi - lo), ("wide", wide), ("gaps", packed), ("check", None if check is None else check[lo:hi].tobytes()), ("often", pack(often[lo:hi])), ("asked", None if asked is None else pack(asked[lo:hi]))):
             out[k].append(v)
     return table(out, MESSAGE)
 

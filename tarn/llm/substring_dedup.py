@@ -9,16 +9,15 @@ of its document's non-overlapping blocks of ``(window + 1) // 2`` words whole. S
 2. *Extend.* Around each block that was hit, all windows that cover it are compared by their
    whole word sequence. Overlapping repeated windows together are the maximal exact repeats.
 
-Documents are dealt by the hash of their id into chunks of about ``chunk_bytes``. A chunk
+Documents are dealt by the hash of their id and text into chunks of bounded size (``packed.chunks_for``). A chunk
 sends each range of hash values (bucket) its *distinct sorted* hashes, packed as differences:
 a passage that a third of all documents hold costs one entry a chunk, so no bucket is hot, and
 no pairs are made. The bucket answers with one bit an entry. The chunk that recomputes its
 sorted hashes can read the answer by rank, whatever order its rows come in after a lost task.
 
-Block hashes have 48 bits (a false hit only costs a comparison), window comparisons 96 bits.
-With C chunks and as many buckets there are C*C messages of ``words of a chunk / C`` entries:
-raise ``chunk_bytes`` with the square root of the corpus (8 MB suits up to some 100 GB,
-256 MB with executors to match 100 TB).
+Block hashes have 48 bits (a false hit only costs a comparison). Windows are compared by 96 bits of two independent
+hashes that mix words one into the other, not by their bytes, which lie in other chunks: among 10^13 windows (some 100 TB) one pair
+of different ones would be taken for equal with a probability of about 1 in 1,000, and no pattern of words makes it likelier.
 """
 
 from __future__ import annotations
@@ -33,12 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from tarn.llm import packed
-from tarn.llm.common import parts_for, text_bytes, tidy
+from tarn.llm.common import text_bytes, tidy
 from tarn.llm.words import Words
 
 #: The contract's window.
 WINDOW = 35
-CHUNK_BYTES = 8 << 20
 _BITS = 48
 _LOW = np.uint64((1 << _BITS) - 1)
 _RESULT = "doc_id long, n_words long, n_removed long, spans array<struct<start:long,stop:long>>, kept_text string"
@@ -150,7 +148,7 @@ def _remove(window: int, original: bool):
     return run
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CHUNK_BYTES, rest: Sequence[str] = (), original: bool = False) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int | None = None, rest: Sequence[str] = (), original: bool = False) -> DataFrame:
     """Remove each word that a repeated window covers; one row a document row.
 
     Reads columns ``doc_id`` and ``text``. Returns doc_id, n_words, n_removed, spans (word ranges removed: the
@@ -159,12 +157,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, chunk_bytes: int = CH
 
     Null and empty texts have no words and an empty kept_text (with ``original`` they stay). Texts shorter than ``window``
     words keep all. Rows that repeat (same doc_id or same text) count as occurrences of their own, so both lose
-    the repeat. A null doc_id is a document like others. An empty table gives no rows.
+    the repeat. A null doc_id is a document like others; rows of one doc_id, or of none, are spread by their texts (and the
+    columns of ``rest``). An empty table gives no rows. ``chunk_bytes`` fixes the size of chunks.
     """
     _, total = text_bytes(docs)
-    chunks = parts_for(total, chunk_bytes)
-    width = max(chunks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int").alias("chunk"), *([F.struct(*rest).alias("rest")] if rest else [])).repartition(width, "chunk")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = packed.chunks_for(total, tasks, chunk_bytes)
+    width = max(chunks, tasks)
+    spread = ["doc_id", "text", *rest]
+    dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64(*[F.col(c) for c in spread]), F.lit(chunks)).cast("int").alias("chunk"), *([F.struct(*rest).alias("rest")] if rest else [])).repartition(width, "chunk")
     result = StructType.fromDDL(_RESULT) if not rest else StructType([*StructType.fromDDL(_RESULT), dealt.schema["rest"]])
     hit = dealt.groupBy("chunk").applyInArrow(tidy(_probe(window, chunks)), packed.MESSAGE).repartition(width, "bucket").groupBy("bucket").applyInArrow(tidy(packed.count), packed.ANSWER)
     repeated = dealt.groupBy("chunk").cogroup(hit.repartition(width, "chunk").groupBy("chunk")).applyInArrow(tidy(_extend(window, chunks)), packed.MESSAGE).repartition(width, "bucket").groupBy("bucket").applyInArrow(tidy(packed.count), packed.ANSWER)

@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tarn.llm import bpe_codec, queries, token_count, warc
+from tarn.llm import bpe_codec, packed, queries, token_count, warc
 from tarn.llm.decontamination import contaminations, decontaminate
 from tarn.llm.html_extract import extract, main_text
 from tarn.llm.ngram_join import NgramJoin
@@ -79,6 +79,54 @@ def test_words(texts):
     assert len(w.whole(3)) == max(0, len(w) - 2)
 
 
+def thue_morse(n):
+    """Two different words over {a, b} that polynomials modulo a power of two can't tell apart."""
+    swap, word = str.maketrans("ab", "ba"), "a"
+    while len(word) < n:
+        word += word.translate(swap)
+    return word, word.translate(swap)
+
+
+def test_words_without_structure():
+    """Patterns of letters or words that cancel out in linear hashes don't in these."""
+    r = random.Random(9)
+    for n in (8, 64, 128, 1024, 4096):
+        a, b = thue_morse(n)
+        assert len(set(Words(pa.array([f"{a} {b}"])).hashes().tolist())) == 2
+        w = Words(pa.array([" ".join(a), " ".join(b)]))
+        for width in {2, 3, 5, min(n, 35), n}:
+            both = w.windows(w.hashes(), width)
+            assert both[0] != both[n]
+    seen = {}
+    for _ in range(3000):
+        word = "".join(r.choice("ab\x01é") for _ in range(r.randrange(1, 130)))
+        for size in (None, 5):
+            h = Words(pa.array([f"pad {word} pad"])).hashes(size=size)[1]
+            assert seen.setdefault((word.encode()[:size], size), h) == h
+    assert len({h for (_, size), h in seen.items() if size is None}) == len([1 for _, size in seen if size is None])
+
+
+def test_hash_twins_are_not_taken_for_equal(spark):
+    """Texts that differ in such words only are no repeats, no near copies and no leaks."""
+    a, b = thue_morse(1024)
+    texts = [(1, " ".join([a] * 40)), (2, " ".join([b] * 40)), (3, " ".join(thue_morse(64)[0])), (4, " ".join(thue_morse(64)[1]))]
+    rows = spark.createDataFrame(texts, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup(rows, 5).collect()}
+    assert got == brute_dedup(texts, 5)
+    want, _, _ = brute_join(texts, 3, 90, 100)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in NgramJoin(rows, 3, 90).components().collect()} == want
+    items = spark.createDataFrame(texts[::2], "item_id long, text string")
+    assert sorted(tuple(r) for r in contaminations(rows, items).collect()) == brute_contaminations(texts, texts[::2], 5, 80, 100)
+
+
+def test_messages_grow_with_the_input():
+    """C chunks send C * C messages, never more than one for 640 bytes, whatever the size."""
+    for total in (10**6, 10**9, 10**11, 10**12, 10**13, 10**14, 10**15):
+        assert packed.chunks_for(total, 200) ** 2 <= max(200**2, total / packed.MESSAGE_BYTES * 1.01 + 1)
+    assert packed.chunks_for(10**14, 1) * (253 << 20) == pytest.approx(10**14, rel=0.1)
+    assert packed.chunks_for(0, 8) == 1 and packed.chunks_for(55 << 20, 211) == 211
+
+
 # --- substring dedup ----------------------------------------------------------------------------------------------
 
 
@@ -112,6 +160,19 @@ def test_substring_dedup_spans_and_columns(docs, nothing):
     assert substring_dedup(nothing).count() == 0
 
 
+def test_substring_dedup_repeated_and_null_ids(spark):
+    """Rows of one doc_id, or of none, are documents of their own; equal rows are occurrences of their own."""
+    r = random.Random(11)
+    prose = lambda n: " ".join(f"v{r.randrange(50)}" for _ in range(n))
+    shared, other = prose(40), prose(60)
+    texts = [(None, f"{prose(9)} {shared}"), (None, f"{shared} {prose(7)}"), (5, other), (5, other), (5, prose(50)), (5, None), (None, None), (None, "")]
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    want = brute_dedup(list(enumerate(t for _, t in texts)), 35)
+    for chunk in (None, 200):
+        got = Counter((x["doc_id"], x["n_words"], x["n_removed"], x["kept_text"]) for x in substring_dedup(rows, chunk_bytes=chunk).collect())
+        assert got == Counter((i, *want[k]) for k, (i, _) in enumerate(texts))
+
+
 # --- HTML ---------------------------------------------------------------------------------------------------------
 
 
@@ -234,6 +295,23 @@ def test_decontamination(spark, docs, nothing, width, num):
     assert contaminations(nothing, benchmark).count() == 0 and decontaminate(docs, benchmark.limit(0)).count() == len(texts)
 
 
+def test_decontamination_repeats_and_long_texts(spark):
+    """Repeated rows repeat their pairs; short items are found anywhere in a very long text; many items share shingles."""
+    r = random.Random(12)
+    vocabulary = [f"t{k}" for k in range(3000)]
+    long = [r.choice(vocabulary) for _ in range(60_000)]
+    texts = [(1, " ".join(long)), (1, " ".join(long)), (None, " ".join(long[500:540])), (2, " ".join(r.choice(vocabulary) for _ in range(300)))]
+    items = [(k, " ".join(long[at : at + n])) for k, (at, n) in enumerate([(0, 5), (59_990, 10), (30_000, 6), (501, 30), (20_000, 4000)])]
+    items += [(10, items[3][1]), (10, items[3][1]), (None, items[0][1]), (11, " ".join([*long[700:712], "x", *long[713:730]]))]
+    got = Counter(tuple(x) for x in contaminations(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect())
+    want = Counter()
+    for k, (i, _) in enumerate(texts):
+        for q, (j, _) in enumerate(items):
+            for _, _, n, m in brute_contaminations([(k, texts[k][1])], [(q, items[q][1])], 5, 80, 100):
+                want[i, j, n, m] += 1
+    assert got == want and len(want) >= 10
+
+
 # --- WARC ---------------------------------------------------------------------------------------------------------
 
 
