@@ -3,6 +3,10 @@
 The reader takes a record for good only if its header parses, its block has the stated length, the record's end
 follows, and its digests fit. After a failed check it searches for the next valid gzip member or version line, goes on
 there, and logs the bytes in between as a quarantined gap. Text inside a valid record is never taken for a record.
+A gzip member that breaks off, or holds bad records among good ones, gives its good ones.
+
+Archives are written as files of ``records_per_file`` records, each record a gzip member of its own, so that damage costs
+the records it touches. The reader holds one archive at a time in a task.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import tidy
+from tarn.llm.common import slices, tidy
 
 #: Payloads from this many bytes on are written once and revisited.
 REVISIT_BYTES = 1000
@@ -26,8 +30,11 @@ RECORDS_PER_FILE = 500
 _MAGIC = b"\x1f\x8b\x08"
 _END = b"\r\n\r\n"
 _HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
-#: Packed bytes that are unpacked at once; what comes before damage is lost by so much at most.
-_PIECE = 4096
+#: Packed bytes that are unpacked at once; a piece that turns out to be damaged is unpacked again byte by byte.
+_PIECE = 1 << 16
+#: Unpacked bytes of a member whose records are larger than this end in an empty member (see ``write``).
+_SMALL = 1 << 24
+_EMPTY = gzip.compress(b"", mtime=0)
 _START = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 _URN = "urn:page:"
 _SCHEMA = "path string, offset long, inner long, length long, kind string, reason string, record_type string, record_id string, target_uri string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -66,14 +73,6 @@ class _Bad(Exception):
     reason: str = field(default="")
 
 
-class _Damaged(Exception):
-    """A gzip member that breaks off after some valid records."""
-
-    def __init__(self, reason: str, records: list[Record]):
-        super().__init__(reason)
-        self.reason, self.records = reason, records
-
-
 def _digest_fits(stated: str, data: bytes) -> bool:
     name, _, value = stated.partition(":")
     if name.lower() != "sha1":
@@ -126,25 +125,23 @@ def _plain(data: bytes, at: int) -> Record:
 
 
 def _unpack(data: bytes, at: int) -> tuple[bytes, int, str]:
-    """What the gzip member at ``at`` unpacks to, its end, and what is wrong with it ('' if nothing)."""
+    """What the gzip member at ``at`` unpacks to, where it ends (or fails), and what is wrong with it ('' if nothing)."""
     unpack, pieces, pos = zlib.decompressobj(31), [], at
-    try:
-        while not unpack.eof and pos < len(data):
-            pieces.append(unpack.decompress(data[pos : pos + _PIECE]))
-            pos += _PIECE
-    except zlib.error:
-        return b"".join(pieces), pos, "gzip member is damaged"
+    while not unpack.eof and pos < len(data):
+        before, piece = unpack.copy(), data[pos : pos + _PIECE]
+        try:
+            pieces.append(unpack.decompress(piece))
+        except zlib.error:
+            for k in range(len(piece)):
+                try:
+                    pieces.append(before.decompress(piece[k : k + 1]))
+                except zlib.error:
+                    return b"".join(pieces), pos + k, "gzip member is damaged"
+            raise
+        pos += len(piece)
     if not unpack.eof:
         return b"".join(pieces), len(data), "gzip member has no end"
-    return b"".join(pieces), min(pos, len(data)) - len(unpack.unused_data), ""
-
-
-def _inside(plain: bytes, at: int, length: int) -> list[Record | Gap]:
-    """Records and gaps of an unpacked member; their offset is the member's, ``inner`` their place in it."""
-    out = list(_salvage_plain(plain))
-    for x in out:
-        x.inner, x.offset, x.length = x.offset, at, length
-    return out
+    return b"".join(pieces), pos - len(unpack.unused_data), ""
 
 
 def _salvage_plain(data: bytes) -> Iterator[Record | Gap]:
@@ -167,47 +164,62 @@ def _salvage_plain(data: bytes) -> Iterator[Record | Gap]:
             at = record.offset + record.length
 
 
-def _at(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
-    """Records that begin at ``at`` (one, or those of a gzip member) and where they end."""
+def _at(data: bytes, at: int) -> tuple[list[Record | Gap], int, str]:
+    """What begins at ``at``: a record, or records and gaps of a gzip member; where that ends; and what cut it short ('' if nothing).
+
+    Raises _Bad if there is nothing good. A member's records all have its place and length, and ``inner`` says where they were in it.
+    """
     if not data.startswith(_MAGIC, at):
         record = _plain(data, at)
-        return [record], at + record.length
+        return [record], at + record.length, ""
     plain, end, wrong = _unpack(data, at)
-    found = _inside(plain, at, end - at)
-    if not found or not isinstance(found[0], Record):
-        raise _Bad(wrong or "gzip member doesn't begin with a record")
-    if wrong:  # whole records before the damage are good; the rest of the member is searched for other starts
-        raise _Damaged(wrong, [x for x in found if isinstance(x, Record)])
-    return found, end
+    if not plain and not wrong:
+        return [], end, ""  # an empty member
+    found = list(_salvage_plain(plain))
+    if wrong and found and isinstance(found[-1], Gap):
+        found.pop()  # cut off by the damage, which is reported in the archive's own bytes
+    if not any(isinstance(x, Record) for x in found):
+        raise _Bad(wrong or found[0].reason)
+    for x in found:
+        x.inner, x.offset, x.length = x.offset, at, end - at
+    return found, end, wrong
 
 
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """Valid records and gaps of an archive, in order; together they cover every byte.
 
-    Plain records, members of one record (as the standard has it) and members of many are read.
+    Plain records, members of one record (as the standard has it) and members of many are read. Of a damaged member the
+    records before the damage are good, and a gap follows; an empty member counts as the end of what is before it.
     """
     at, size = 0, len(data)
     while at < size:
-        begin, reason = at, ""
-        saved: list[Record | Gap] = []
-        found: list[Record | Gap] = []
-        end = size
+        begin, reason, found, end = at, "", [], size
         while at < size:
             try:
-                found, end = _at(data, at)
+                found, end, wrong = _at(data, at)
                 break
-            except _Damaged as damaged:
-                saved += damaged.records
-                reason = reason or damaged.reason
             except _Bad as bad:
                 reason = reason or bad.reason
-            m = _START.search(data, at + 1)
-            at = m.start() if m else size
-        yield from saved
+                m = _START.search(data, at + 1)
+                at = m.start() if m else size
         if at > begin:
             yield Gap(begin, at - begin, reason)
+        if at == size:
+            return
+        while not wrong and data.startswith(_EMPTY, end):  # take empty members with what is before them
+            end += len(_EMPTY)
+        for x in found:
+            if x.offset + x.length < end:
+                x.length = end - x.offset
         yield from found
-        at = end if found else size
+        if not found:
+            yield Gap(at, end - at, "empty gzip member")
+        at = end
+        if wrong:  # the rest of the member is searched for other starts
+            m = _START.search(data, at)
+            begin, at = at, m.start() if m else size
+            if at > begin:
+                yield Gap(begin, at - begin, wrong)
 
 
 def record_bytes(kind: str, record_id: str, uri: str, payload: bytes, refers_to: str | None = None, compress: bool = False) -> bytes:
@@ -236,10 +248,24 @@ def plan_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, salts: in
     return found.select("page_id", "url", "payload", "digest", "size", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 
 
+def _packed(batches):
+    """Each record as a gzip member without its last byte, which is 0 (the upper byte of a size below 16 MB)."""
+    for batch in batches:
+        for part in slices(batch, 4 << 20, "value"):
+            out = []
+            for record in part.column("value").to_pylist():
+                plain = record.encode()
+                member = gzip.compress(plain, 6, mtime=0) + (_EMPTY if len(plain) >= _SMALL else b"")
+                out.append(member[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+
+
 def write(planned: DataFrame, path: str, records_per_file: int = RECORDS_PER_FILE, compression: str = "none") -> None:
-    """Write planned records as WARC 1.1 files under ``path``, through Spark's own writer (any store it can write to).
+    """Write planned records as WARC 1.1 files under ``path``, through Spark's own text sink (any store it can write to).
 
-    ``compression`` "gzip" makes a file one gzip member of ``records_per_file`` records.
+    ``compression`` "gzip" makes each record a gzip member of its own. Null and empty payloads are records of no bytes; repeated
+    rows are repeated records; a null page_id is written as ``none``, a null url as ``about:blank``. An empty table
+    writes no record.
     """
     line = "\r\n"
     revisit = F.col("record_type") == "revisit"
@@ -251,14 +277,34 @@ def write(planned: DataFrame, path: str, records_per_file: int = RECORDS_PER_FIL
         F.when(revisit, F.concat(F.lit(f"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest{line}WARC-Refers-To: <{_URN}"), F.col("refers_to").cast("string"), F.lit(f">{line}"))).otherwise(""),
         F.lit(f"Content-Type: application/http; msgtype=response{line}Content-Length: "), F.octet_length(block).cast("string"), F.lit(line + line), block, F.lit(line),
     )
-    planned.select(head.alias("value")).write.option("lineSep", line).option("maxRecordsPerFile", records_per_file).option("compression", compression).text(path)
+    records, end = planned.select(head.alias("value")), line
+    if compression == "gzip":  # a binary column cast to a string keeps its bytes, and the sink writes them as they are
+        whole = records.select(F.concat("value", F.lit(line)).alias("value"))
+        records, end = whole.mapInArrow(tidy(_packed), "value binary").select(F.col("value").cast("string").alias("value")), "\x00"
+    elif compression != "none":
+        raise ValueError(f"compression: none or gzip, not {compression}")
+    records.write.option("lineSep", end).option("maxRecordsPerFile", records_per_file).text(path)
+
+
+def _row(name: str, x: Record | Gap, payloads: bool) -> dict:
+    if isinstance(x, Gap):
+        return {"path": name, "offset": x.offset, "inner": x.inner, "length": x.length, "kind": "gap", "reason": x.reason}
+    f, payload = x.fields, x.payload
+    again = f["warc-type"] == "revisit"
+    stated = f.get("payload-length", "")
+    digest = f.get("warc-payload-digest", "").rpartition(":")[2] or None
+    return {
+        "path": name, "offset": x.offset, "inner": x.inner, "length": x.length, "kind": "record", "record_type": f["warc-type"], "record_id": f["warc-record-id"].strip("<>"), "target_uri": f.get("warc-target-uri"), "refers_to": f.get("warc-refers-to", "").strip("<>") or None,
+        "payload_digest": digest if again else hashlib.sha1(payload).hexdigest(), "payload_bytes": (int(stated) if re.fullmatch("[0-9]{1,18}", stated) else None) if again else len(payload), "payload": payload if payloads and not again else None,
+    }
 
 
 def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records and gaps (``kind``) of all archives under ``path``.
 
-    Of a record: where it is, its fields, payload digest (of the payload itself, or as stated by a revisit) and size.
-    Of a gap: where it is and the first check that failed. Empty files give no rows.
+    Of a record: where it is, its fields, payload digest and size: of the payload itself, or of a revisit as it states them (null
+    where it doesn't, or not as a number). Of a gap: where it is and the first check that failed. Repeated records give repeated
+    rows. Empty files, and folders without files of records, give no rows.
     """
 
     def run(batches):
@@ -266,12 +312,7 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
             for name, data in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 rows = []
                 for x in salvage(data.as_py()):
-                    if isinstance(x, Gap):
-                        rows.append({"path": name, "offset": x.offset, "inner": x.inner, "length": x.length, "kind": "gap", "reason": x.reason})
-                        continue
-                    f, payload = x.fields, x.payload
-                    again = f["warc-type"] == "revisit"
-                    rows.append({"path": name, "offset": x.offset, "inner": x.inner, "length": x.length, "kind": "record", "record_type": f["warc-type"], "record_id": f["warc-record-id"].strip("<>"), "target_uri": f.get("warc-target-uri"), "refers_to": f.get("warc-refers-to", "").strip("<>") or None, "payload_digest": f.get("warc-payload-digest", "").rpartition(":")[2] if again else hashlib.sha1(payload).hexdigest(), "payload_bytes": int(f.get("payload-length", 0)) if again else len(payload), "payload": payload if payloads and not again else None})
+                    rows.append(_row(name, x, payloads))
                     if len(rows) >= 200:
                         yield pa.RecordBatch.from_pylist(rows, schema=schema)
                         rows = []

@@ -315,6 +315,17 @@ def test_decontamination_repeats_and_long_texts(spark):
 # --- WARC ---------------------------------------------------------------------------------------------------------
 
 
+def covered(found, size):
+    """Whether records and gaps, in order, cover every byte; records of one member share its place."""
+    position = 0
+    for x in found:
+        if isinstance(x, warc.Record) and x.offset + x.length == position or x.inner:
+            continue  # inside the member that was counted
+        assert x.offset == position, (x.offset, position)
+        position += x.length
+    return position == size
+
+
 @pytest.mark.parametrize("packed", ["plain", "member", "members"])
 def test_warc_salvage(packed):
     r = random.Random(packed)
@@ -322,7 +333,8 @@ def test_warc_salvage(packed):
     payloads[3] = warc.record_bytes("response", "urn:page:99", "u", b"inner") * 2
     records = [warc.record_bytes("response", f"urn:page:{k}", "http://x/", p, compress=packed == "member") for k, p in enumerate(payloads)]
     data = b"".join(records) if packed != "members" else gzip.compress(b"".join(records[:6])) + gzip.compress(b"".join(records[6:]))
-    assert [x.payload for x in warc.salvage(data)] == payloads
+    whole = list(warc.salvage(data))
+    assert [x.payload for x in whole] == payloads and covered(whole, len(data))
     assert list(warc.salvage(b"")) == [] and isinstance(next(warc.salvage(b"nothing")), warc.Gap)
     for _ in range(150):
         bad, at = bytearray(data), r.randrange(len(data))
@@ -336,13 +348,32 @@ def test_warc_salvage(packed):
         found = list(warc.salvage(bytes(bad)))
         good = [x.payload for x in found if isinstance(x, warc.Record)]
         assert all(p in payloads or p == b"inner" for p in good)
-        if packed != "members":
-            assert len(good) >= 9
-            position = 0
-            for x in found:
-                assert x.offset == position
-                position += x.length
-            assert position == len(bad)
+        assert covered(found, len(bad))
+        # what the damage doesn't touch is found: all but its records, or but the member's records behind it
+        assert len(good) >= (9 if packed != "members" else 12 - 2 * 6 if kind == 1 else 6)
+
+
+def test_warc_keeps_records_behind_bad_ones():
+    """A member keeps its good records wherever the bad one stands; damage costs what it touches."""
+    records = [warc.record_bytes("response", f"urn:page:{k}", "u", b"x%d" % k * 50) for k in range(5)]
+    for k in range(5):
+        wrong = [*records[:k], records[k].replace(b"Content-Length: ", b"Content-Length: 9"), *records[k + 1 :]]
+        for data in (gzip.compress(b"".join(wrong)), b"".join(wrong), b"".join(map(gzip.compress, wrong))):
+            found = list(warc.salvage(data))
+            assert [x.fields["warc-record-id"] for x in found if isinstance(x, warc.Record)] == [f"<urn:page:{i}>" for i in range(5) if i != k]
+            assert sum(isinstance(x, warc.Gap) for x in found) == 1
+    noise = random.Random(2).randbytes
+    records = [warc.record_bytes("response", f"urn:page:{k}", "u", noise(3000)) for k in range(40)]
+    data = gzip.compress(b"".join(records))
+    for at in (len(data) // 3, len(data) * 9 // 10):
+        bad = bytearray(data)
+        bad[at] ^= 85
+        good = [x for x in warc.salvage(bytes(bad)) if isinstance(x, warc.Record)]
+        assert len(good) >= 40 * at // len(data) - 1
+    # other writers' revisits may state no size, or none that is a number
+    for stated, want in ((b"Payload-Length: x7", None), (b"X: 1", None), (b"Payload-Length: 12", 12)):
+        revisit = warc.record_bytes("revisit", "urn:page:1", "u", b"", "urn:page:2").replace(b"Payload-Length: 0", stated)
+        assert warc._row("a", next(warc.salvage(revisit)), True)["payload_bytes"] == want
 
 
 def test_warc_round_trip(spark, tmp_path):
@@ -362,6 +393,28 @@ def test_warc_round_trip(spark, tmp_path):
             again = len(body) >= 1000 and i != max(same)
             want["urn:page:" + ("none" if i is None else str(i)), len(body), hashlib.sha1(body).hexdigest(), "revisit" if again else "response", f"urn:page:{max(same)}" if again else None] += 1
         assert got == want
+        empty = str(tmp_path / f"{compression}-empty")
+        warc.write(warc.plan_records(pages.limit(0)), empty, compression=compression)
+        assert warc.read(spark, empty).count() == 0
+
+
+def test_warc_damaged_archives(spark, tmp_path):
+    """Of archives that the writer made, a flipped byte in each file costs one record of it, and the gaps name the places."""
+    pages = spark.createDataFrame([(k, "u", f"{k} " * 400) for k in range(90)] + [(1000, "u", "L" * (17 << 20))], "page_id long, url string, html string")
+    path = tmp_path / "a"
+    warc.write(warc.plan_records(pages).coalesce(2), str(path), records_per_file=30, compression="gzip")
+    files = sorted(path.glob("part-*"))
+    assert len(files) >= 4 and all(gzip.decompress(f.read_bytes()).count(b"WARC/1.1\r\n") <= 30 for f in files)
+    r = random.Random(3)
+    for f in files:
+        bad = bytearray(f.read_bytes())
+        bad[r.randrange(len(bad))] ^= 7
+        f.write_bytes(bad)
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    rows = warc.read(spark, str(path), payloads=False).collect()
+    good = {x["record_id"] for x in rows if x["kind"] == "record"}
+    assert 91 - len(files) <= len(good) < 91 and good <= {f"urn:page:{k}" for k in [*range(90), 1000]}
+    assert len([x for x in rows if x["kind"] == "gap"]) == 91 - len(good)
 
 
 # --- toxicity -----------------------------------------------------------------------------------------------------
