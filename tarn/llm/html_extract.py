@@ -255,8 +255,9 @@ def _weigh(reader: _Reader, blocks: list[_Block]) -> None:
         e.owner = e if e.named == 2 and not e.holds_article else e.parent.owner
     prose: dict[_Element | None, int] = {}
     for b in blocks:
-        if _fused(b.size, b.marks, b.linked / b.size) >= PROSE:
-            prose[b.element.owner] = prose.get(b.element.owner, 0) + 1
+        e = b.element
+        if _fused(b.size, b.marks, b.linked / b.size) >= PROSE or e.home and e.owner is None:
+            prose[e.owner] = prose.get(e.owner, 0) + 1
     wrappers = set()
     if prose and None not in prose:
         e = max(prose, key=prose.get)

@@ -209,6 +209,8 @@ def test_html_selects_by_path_not_by_name():
     assert main_text(f"<body><article>{named}</article></body>") == f"{long} W {long} D {long} R"
     assert main_text(f"<body><article><p>{long}</p>{named}<div class=ad>Buy it, now.</div><div id=comments><p>{long} NO</p></div></article></body>") == f"{long} {long} W {long} D {long} R"
     assert main_text(f"<body class='has-sidebar'><div id='menu-page' class='banner'><p>{long}</p></div><ul><li><a href=x>one</a><li><a href=y>two</a></ul></body>") == long
+    # an article that is shorter than the advert beside it
+    assert main_text("<body><div class=ad>Buy this thing, now. It is cheap, it is good, it is here.</div><article><h1>Short.</h1><p><b>Very short.<br></article></body>") == "Short. Very short."
 
 
 def test_html_depth_costs_nothing():
