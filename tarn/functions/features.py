@@ -101,6 +101,8 @@ def fact_error(facts: Column) -> Column:
             out = out.when((f[name] < 0) | F.isnan(f[name]) | (f[name] == float("inf")), F.lit(f"fact_encoding_error:{name}"))
         for name, (_, missing) in BITS.items():
             out = out.when(~f[name].between(0, missing), F.lit(f"fact_encoding_error:{name}"))
+        for name, names in SEMANTIC_ENUMS.items():  # a value of the decoders' own that has no column
+            out = out.when(~F.lower(f[name]).isin(*names), F.lit(f"fact_encoding_error:{name}"))
         return out
 
     return let(facts, wrong)

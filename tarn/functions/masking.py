@@ -38,15 +38,16 @@ _ADDRESS = 9  # the rank whose numbers must be 255 at most
 _FLOW_TOKENS = {1: "identity", 2: "identity", 10: "absolute_clock", 11: "absolute_clock"}
 
 
+#: Fields of a flow record that say it is one, by their place, and their forms; and the fields that are masked.
+_FLOW_FORMS = {0: "2", 1: r"(?i:[0-9]{12}|-|unknown)", 2: rf"eni-.*|-|{_MARKER}", 12: "ACCEPT|REJECT|-"}
+_FLOW_COMPILED = {k: re.compile(form, re.S) for k, form in _FLOW_FORMS.items()}
+
+
 def _flow_spans(raw: str):
-    """Account, interface and times of a flow record of fourteen fields."""
-    tokens = [m.span() for m in re.finditer(r"\S+", raw)] if raw.count(" ") + raw.count("\t") + raw.count("\n") >= 13 else []
-    if len(tokens) != 14:
-        return
-    word = [raw[a:b] for a, b in tokens]
-    if word[0] == "2" and re.fullmatch(r"\d{12}|-|unknown", word[1], re.I) and (word[2].startswith("eni-") or word[2] == "-" or re.fullmatch(_MARKER, word[2])) and word[12] in ("ACCEPT", "REJECT", "-"):
-        for k, kind in _FLOW_TOKENS.items():
-            yield *tokens[k], kind
+    """Account, interface and times of a flow record: fourteen fields, of which four have forms of their own."""
+    fields = list(re.finditer(r"\S+", raw)) if len(raw.split(None, 14)) == 14 else []
+    if fields and all(form.fullmatch(fields[k][0]) for k, form in _FLOW_COMPILED.items()):
+        yield from ((*fields[k].span(), kind) for k, kind in _FLOW_TOKENS.items())
 
 
 def spans(raw: str) -> list[tuple[int, int, str]]:
@@ -75,37 +76,58 @@ def spans(raw: str) -> list[tuple[int, int, str]]:
     return taken
 
 
-@lru_cache(maxsize=4096)  # logs repeat themselves
-def mask(raw: str) -> str:
+def _replaced(raw: str, found: list[tuple[int, int, str]]) -> str:
     """The message with each span replaced by its kind."""
     out, at = [], 0
-    for a, b, kind in spans(raw):
+    for a, b, kind in found:
         out += [raw[at:a], f" <{kind.upper()}> "]
         at = b
     return "".join([*out, raw[at:]])
 
 
+def _covered(raw: str, found: list[tuple[int, int, str]]) -> list[dict]:
+    """A complete cover by spans, in code points; what isn't masked is behavior_or_unresolved."""
+    out, at = [], 0
+    for a, b, kind in [*found, (len(raw), len(raw), "")]:
+        if a > at:
+            out.append({"start": at, "stop": a, "kind": "behavior_or_unresolved"})
+        if b > a:
+            out.append({"start": a, "stop": b, "kind": kind})
+        at = b
+    return out
+
+
+#: Messages that are remembered, and the longest of them: logs repeat themselves, documents don't.
+_REMEMBERED, _SHORT = 4096, 2048
+_mask_short = lru_cache(maxsize=_REMEMBERED)(lambda raw: _replaced(raw, spans(raw)))
+
+
+def mask(raw: str) -> str:
+    """The message with each span replaced by its kind."""
+    return _mask_short(raw) if len(raw) <= _SHORT else _replaced(raw, spans(raw))
+
+
 @F.pandas_udf(StringType())
 def masked(messages: pd.Series) -> pd.Series:
     """The masked message; null is an empty message."""
     return messages.map(lambda raw: mask(raw) if raw else "")
 
 
-@F.pandas_udf(ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType()), StructField("kind", StringType())])))
+_LEDGER = ArrayType(StructType([StructField("start", IntegerType()), StructField("stop", IntegerType()), StructField("kind", StringType())]))
+
+
+@F.pandas_udf(_LEDGER)
 def span_ledger(messages: pd.Series) -> pd.Series:
     """A complete cover of each message by spans, in code points; what isn't masked is behavior_or_unresolved."""
+    return messages.map(lambda raw: _covered(raw or "", spans(raw or "")))
+
 
-    def cover(raw):
-        out, at = [], 0
-        for a, b, kind in [*spans(raw or ""), (len(raw or ""), len(raw or ""), "")]:
-            if a > at:
-                out.append({"start": at, "stop": a, "kind": "behavior_or_unresolved"})
-            if b > a:
-                out.append({"start": a, "stop": b, "kind": kind})
-            at = b
-        return out
-
-    return messages.map(cover)
+@F.pandas_udf(StructType([StructField("text", StringType()), StructField("ledger", _LEDGER)]))
+def masked_with_ledger(messages: pd.Series) -> pd.DataFrame:
+    """``masked`` and ``span_ledger`` of one search."""
+    raw = [m or "" for m in messages]
+    found = [spans(m) for m in raw]
+    return pd.DataFrame({"text": list(map(_replaced, raw, found)), "ledger": list(map(_covered, raw, found))})
 
 
 # Identities inside of words, and placeholders with remains of their prefix.

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Separates captures; it occurs in no log line that a pattern with \\S or a fixed vocabulary captures.
-_CUT = "\x01"
+#: Separates captures. Where a text holds this control character itself, the next one stands for it: no pattern tells them apart.
+_CUT, _INSTEAD = "\x01", "\x02"
 # Redacted identities as they stand in sanitised messages.
 MARKER = r"(?i:(?:USER|ORG|CRED)(?:-(?:USER|ORG|CRED))*-\d+(?:-\d+)*)"
 MONTH = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
@@ -30,9 +30,12 @@ def matches(text: Column, pattern: str) -> Column:
 
 
 def captures(text: Column, pattern: str, groups: int) -> Column:
-    """The groups of a pattern that matches the whole text, as an array ('' for a group that took no part); else null."""
-    whole = rf"\A(?:{pattern})\z"
-    return F.when(text.rlike(whole), F.split(F.regexp_replace(text, whole, _CUT.join(f"${k}" for k in range(1, groups + 1))), _CUT, -1))
+    """The groups of a pattern that matches the whole text, as an array ('' for a group that took no part); else null.
+
+    One pass of the pattern: the replacement begins with a separator, so that it shows whether there was a match.
+    """
+    marked = F.regexp_replace(F.translate(text, _CUT, _INSTEAD), rf"\A(?:{pattern})\z", "".join(f"{_CUT}${k}" for k in range(1, groups + 1)))
+    return let(F.split(marked, _CUT, -1), lambda parts: F.when(F.size(parts) > 1, F.slice(parts, 2, groups)))
 
 
 def given(value: Column) -> Column:
@@ -75,7 +78,11 @@ def is_address(value: Column) -> Column:
     return matches(value, f"{IPV4}|{IPV6}")
 
 
+def port_digits(token: Column) -> Column:
+    """The number of a token of digits, however many zeros lead it; null for other tokens and numbers of more than nine digits."""
+    return F.when(matches(token, "[0-9]+"), F.regexp_extract(token, r"\A0*([0-9]{1,9})\z", 1).try_cast("int"))
+
+
 def endpoint_port(endpoint: Column) -> Column:
     """The port of interface:address/port, or null: absent, redacted or invalid."""
-    found = let(F.regexp_extract(endpoint, r"(?s)\A[^:]*:.*/([0-9]{1,9})\z", 1), lambda d: d.try_cast("int"))
-    return let(found, lambda n: F.when(n <= 65535, n))
+    return let(port_digits(F.regexp_extract(endpoint, r"(?s)\A[^:]*:.*/([0-9]+)\z", 1)), lambda n: F.when(n <= 65535, n))

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tarn.contract import facts
-from tarn.functions.values import MARKER, MONTH, captures, endpoint_port, given, is_address, let, matches, number, port, port_range, protocol_name, role
+from tarn.functions.values import MARKER, MONTH, captures, endpoint_port, given, is_address, let, matches, number, port, port_digits, port_range, protocol_name, role
 
 _I = "(?iuUd)"
 _U = "(?Ud)"
@@ -121,14 +121,24 @@ def _audit(body: Column) -> Column:
     return F.when(F.contains(body, F.lit("msg=audit(")), let(parts, fields))
 
 
+# The layouts of other denials, of aggregate and PAM authentication, and of literal denial sentences.
+_ACL = r"(TCP|UDP|ICMP)\s+\S+\s+denied by ACL from (?:\S+)/(\S+) to ([^:\s]+):(?:\S+)/(\S+)\s*"
+_PROTOCOL = r'Deny protocol ([0-9]{1,3}) src ([^:\s]+):\S+ dst ([^:\s]+):\S+ by \S+-group "[^"]+" \[[^\]]+\]\s*'
+_AGGREGATE = r"\S+\s+Duration:\s*(\S+)\s+Count:\s*([^;]+);\s+[^:;]+:\s+Authentication (failure|success)\.\s*\x00?"
+_PAM_FAILURE = r"\Apam_unix\([^:()]+:auth\):\s+authentication failure(?:;|\s|$)"
+_PAM_SESSION = r"\Apam_unix\([^:()]+:session\):\s+session (opened|closed)\b"
+_SENTENCE = r"Deny\s+(?:inbound|outbound)\s+(TCP|UDP)\s+from\s+([^\s/]+)/([^\s/]+)\s+to\s+([^\s/]+)/([^\s/]+)(?:\s+on\s+[^\r\n]+| due to DNS Response)"
+_ROLE_SENTENCE = r'Deny (tcp|udp) src (inside|outside|dmz):([^/\s]+)/([^\s]+) dst (inside|outside|dmz):([^/\s]+)/([^\s]+) by \S+-group "[^"\r\n]+" \[[^\]\r\n]+\]'
+
+
 def _acl_denial(body: Column) -> Column:
-    parts = captures(body, _I + r"(TCP|UDP|ICMP)\s+\S+\s+denied by ACL from (?:\S+)/(\S+) to ([^:\s]+):(?:\S+)/(\S+)\s*", 4)
+    parts = captures(body, _I + _ACL, 4)
     found = lambda c: F.when(c.isNotNull(), let(F.array(port(c[1]), port(c[3])), lambda p: decoded("asa_acl", action=F.lit("deny"), outcome=F.lit("blocked"), transport_protocol=F.lower(c[0]), dst_role=role(c[2]), **_endpoints(p[0], p[1]))))
     return F.when(F.contains(F.lower(body), F.lit(" denied by acl from ")), let(parts, found))
 
 
 def _protocol_denial(body: Column) -> Column:
-    parts = captures(body, _I + r'Deny protocol ([0-9]{1,3}) src ([^:\s]+):\S+ dst ([^:\s]+):\S+ by \S+-group "[^"]+" \[[^\]]+\]\s*', 3)
+    parts = captures(body, _I + _PROTOCOL, 3)
     found = lambda c: F.when(c[0].try_cast("int") <= 255, decoded("asa_protocol", action=F.lit("deny"), outcome=F.lit("blocked"), transport_protocol=F.concat(F.lit("ipproto_"), c[0].try_cast("int").cast("string")), src_role=role(c[1]), dst_role=role(c[2])))
     return F.when(body.rlike("(?i)\\Adeny protocol "), let(parts, found))
 
@@ -140,12 +150,11 @@ def _format_payload(body: Column) -> Column:
 
 def _authentication(body: Column) -> Column:
     other = body.rlike(_I + r"\A(?:Site:|\[|Category\s*=)")
-    parts = captures(body, _I + r"\S+\s+Duration:\s*(\S+)\s+Count:\s*([^;]+);\s+[^:;]+:\s+Authentication (failure|success)\.\s*\x00?", 3)
+    parts = captures(body, _I + _AGGREGATE, 3)
     seconds = lambda t: let(F.split(F.when(matches(t, r"\d+:[0-5]\d:[0-5]\d(?:\.\d+)?"), t), ":"), lambda k: k[0].cast("double") * 3600 + k[1].cast("double") * 60 + k[2].cast("double"))
     aggregate = let(parts, lambda c: F.when(c.isNotNull(), decoded("syslog_auth", outcome=F.lower(c[2]), attempt_count=number(c[1]), duration_seconds=seconds(c[0]))))
-    failed = F.when(body.rlike(_I + r"\Apam_unix\([^:()]+:auth\):\s+authentication failure(?:;|\s|$)"), decoded("syslog_body", outcome=F.lit("failure")))
-    session = _I + r"\Apam_unix\([^:()]+:session\):\s+session (opened|closed)\b"
-    turned = F.when(body.rlike(session), decoded("syslog_body", action=F.when(F.contains(F.lower(body), F.lit("session opened")), "open").otherwise("close")))
+    failed = F.when(body.rlike(_I + _PAM_FAILURE), decoded("syslog_body", outcome=F.lit("failure")))
+    turned = F.when(body.rlike(_I + _PAM_SESSION), decoded("syslog_body", action=F.when(F.contains(F.lower(body), F.lit("session opened")), "open").otherwise("close")))
     return F.when(~other, first_of(F.when(F.contains(F.lower(body), F.lit("authentication ")), first_of(aggregate, failed)), turned))
 
 
@@ -221,7 +230,7 @@ def _token_port(token: Column, mixed: bool) -> Column:
     hidden = matches(token, rf"(?i:{_NAMED})") | (token == "-")
     if mixed:
         hidden = hidden | (matches(token, r"(?:[0-9]+|(?:CRED|USER|HOST|ORG)-[0-9]+(?:-[0-9]+)*)+") & token.rlike("(?:CRED|USER|HOST|ORG)-"))
-    n = F.when(matches(token, "[0-9]{1,9}"), token.try_cast("int"))
+    n = port_digits(token)
     return let(F.struct(hidden.alias("hidden"), n.alias("n")), lambda v: F.struct(F.coalesce(v["hidden"] | (v["n"] <= 65535), F.lit(False)).alias("ok"), F.when(~v["hidden"], v["n"]).alias("port")))
 
 
@@ -239,20 +248,25 @@ def firewall_patch(text: Column) -> Column:
 
 
 def _sentence(body: Column) -> Column:
-    parts = captures(body, _I + r"Deny\s+(?:inbound|outbound)\s+(TCP|UDP)\s+from\s+([^\s/]+)/([^\s/]+)\s+to\s+([^\s/]+)/([^\s/]+)(?:\s+on\s+[^\r\n]+| due to DNS Response)", 5)
+    parts = captures(body, _I + _SENTENCE, 5)
     address = lambda a: matches(a, rf"(?i:{_NAMED})") | is_address(a)
     made = lambda c: _with_ports(_token_port(c[2], False), _token_port(c[4], False), lambda a, b: facts(action=F.lit("deny"), outcome=F.lit("blocked"), transport_protocol=F.lower(c[0]), **_endpoints(a, b)))
     return let(parts, lambda c: F.when(c.isNotNull() & address(c[1]) & address(c[3]), made(c)))
 
 
 def _role_sentence(body: Column) -> Column:
-    parts = captures(body, _I + r'Deny (tcp|udp) src (inside|outside|dmz):([^/\s]+)/([^\s]+) dst (inside|outside|dmz):([^/\s]+)/([^\s]+) by \S+-group "[^"\r\n]+" \[[^\]\r\n]+\]', 7)
+    parts = captures(body, _I + _ROLE_SENTENCE, 7)
     made = lambda c: _with_ports(_token_port(c[3], True), _token_port(c[6], True), lambda a, b: facts(action=F.lit("deny"), outcome=F.lit("blocked"), transport_protocol=F.lower(c[0]), src_role=F.lower(c[1]), dst_role=F.lower(c[4]), **_endpoints(a, b)))
     return let(parts, lambda c: F.when(c.isNotNull() & is_address(c[2]) & is_address(c[5]), made(c)))
 
 
+#: A cell of a CSV row behind its comma: quoted up to its closing quote (or the row's end), or up to the next comma.
+_CELL = r',("[^"]*+(?:""[^"]*+)*+(?:"[^,]*+|\z)|[^,]*+)'
+
+
 def _traffic(row: Column) -> Column:
-    cells = F.transform(F.split(row, r',(?=(?:[^"]*"[^"]*")*[^"]*\z)', -1), lambda v: F.when(v.rlike(r'\A".*"\z'), F.regexp_replace(F.substring(v, F.lit(2), F.length(v) - 2), '""', '"')).otherwise(v))
+    unquoted = lambda v: F.when(v.startswith('"'), F.replace(F.regexp_replace(v, r'(?s)\A"([^"]*+(?:""[^"]*+)*+)"?(.*)\z', "$1$2"), F.lit('""'), F.lit('"'))).otherwise(v)
+    cells = F.transform(F.regexp_extract_all(F.concat(F.lit(","), row), F.lit(_CELL), F.lit(1)), unquoted)
 
     def found(f: Column) -> Column:
         at = lambda k: F.get(f, F.lit(k))

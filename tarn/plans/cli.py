@@ -23,6 +23,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     for name in ("train", "validation", "bundle"):
         p.add_argument(name)
     p.add_argument("--limit-rows", type=int)
+    p.add_argument("--unsupported", choices=("error", "router"), default="error")
     p = commands.add_parser("validate")
     for name in ("input", "submission"):
         p.add_argument(name)
@@ -36,11 +37,9 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             model = load_bundle(a.bundle)
             out = predict_table(spark, a.input, a.output, model, a.strict) if a.folder else predict_file(spark, a.input, a.output, model, a.strict, a.report)
         elif a.command == "train":
-            from tarn.operators.prepare import prepare
-            from tarn.plans.train import train_bundle
-            from tarn.sources.raw import read_labelled
+            from tarn.plans.train import read_training, train_bundle
 
-            out = train_bundle(spark, *[prepare(read_labelled(spark, path, a.limit_rows)) for path in (a.train, a.validation)], a.bundle)
+            out = train_bundle(spark, *[read_training(spark, path, a.limit_rows, a.unsupported) for path in (a.train, a.validation)], a.bundle)
         else:
             from tarn.plans.validate import validate_submission
 

@@ -63,3 +63,35 @@ def winlog(events: DataFrame) -> DataFrame:
 def icmp(lineitem: DataFrame) -> DataFrame:
     line = "concat('<134>Original Address=10.0.0.1 1 1600000000.1 fw l7_firewall src=10.1.1.1 dst=10.2.2.2 protocol=icmp type=', pmod(l_orderkey, 14), ' code=', pmod(l_partkey, 15), ' decision=', case when l_linenumber = 1 then 'blocked' else 'allowed' end)"
     return lineitem.select("l_orderkey", "l_linenumber", F.expr(line).alias("message_sanitized"))
+
+
+def acl(orders: DataFrame) -> DataFrame:
+    line = "concat('<134>Jan  2 11:22:33 fw asa: ', case pmod(o_orderkey, 3) when 0 then 'TCP' when 1 then 'UDP' else 'icmp' end, ' access denied by ACL from 10.1.2.3/', case when pmod(o_orderkey, 7) = 0 then '00' else '' end, pmod(o_custkey, 70000), ' to ', case pmod(o_custkey, 3) when 0 then 'outside' when 1 then 'dmz_2' else 'vlan9' end, ':10.9.8.7/', case when pmod(o_orderkey, 5) = 0 then 'USER-0001' else cast(pmod(o_orderkey, 65536) as string) end)"
+    return orders.select("o_orderkey", F.expr(line).alias("message_sanitized"))
+
+
+def protocol(lineitem: DataFrame) -> DataFrame:
+    line = "concat('<134>Jan  2 11:22:33 fw Deny protocol ', pmod(l_partkey, 300), ' src ', case pmod(l_suppkey, 3) when 0 then 'inside' when 1 then 'DMZ' else 'vlan1' end, ':10.0.0.1 dst outside:10.0.0.2 by access-group \"acl\" [0x0, 0x0]', case when pmod(l_orderkey, 11) = 0 then concat(char(1), ' not a denial') else '' end)"
+    return lineitem.select("l_orderkey", "l_linenumber", F.expr(line).alias("message_sanitized"))
+
+
+def category(part: DataFrame) -> DataFrame:
+    line = "concat('<134>Jan  2 11:22:33 fw app: [ Category = ', p_brand, ' ] [ FORMAT_MESSAGE = size ', p_size, ' ]', case when pmod(p_partkey, 6) = 0 then '[FORMAT_USER-1 = again]' else '' end)"
+    return part.select("p_partkey", F.expr(line).alias("message_sanitized"))
+
+
+def rendered(events: DataFrame) -> DataFrame:
+    line = "concat('<Event xmlns=\"x\"><System><Provider Name=\"S\" Guid=\"{54849625-5478-4994-a5ba-3e3b0328c30d}\"/><EventID>', case pmod(event_id, 4) when 0 then '4624' when 1 then '4625' else '4688' end, '</EventID><Version>1</Version></System><RenderingInfo Culture=\"en\">', case pmod(event_id, 3) when 0 then 'An account failed to log on.' when 1 then 'An account was successfully logged on.' else 'A process has exited, and it said so.' end, '\\\\n\\\\nSubject: user ', user_id, case when pmod(event_id, 7) = 0 then '<Message>open' else '</RenderingInfo></Event>' end)"
+    return events.select("event_id", F.expr(line).alias("message_sanitized"))
+
+
+def bounded(events: DataFrame) -> DataFrame:
+    line = "case pmod(event_id, 4) when 0 then concat('{\"message\": \"user ', user_id, ' did it\"}') when 1 then concat('{\"behaviors\": [{\"cmdline\": \"run ', event_id, '\", \"broken\": \"\\\\q\"}]') when 2 then concat('{\"behaviors\": [{\"user\": ', user_id, '}]}') else concat('{\"other\": {\"message\": \"', event_type, '\"}}') end"
+    return events.select("event_id", "user_id", F.expr(line).alias("message_sanitized"))
+
+
+def registered(orders: DataFrame) -> DataFrame:
+    """Denials as the sequence model reads them, some of which it can't: another header, a long name, another event."""
+    line = "concat('<166>Jan 02 USER-0021 11:22:33: ', case when pmod(o_orderkey, 10) = 3 then '%ASA-4-106023:' else 'USER-0010-0324' end, ' Deny ', case when pmod(o_orderkey, 10) = 4 then 'gre' else 'tcp' end, ' src outside:10.1.2.3/', pmod(o_orderkey, 65536), ' dst inside:10.9.8.7/', pmod(o_custkey, 65536), ' by access-group \"', case when pmod(o_orderkey, 10) = 5 then repeat('a', 150) else 'acl' end, '\" [0x0, 0x0]')"
+    port = "case pmod(o_orderkey, 4) when 0 then cast(pmod(o_orderkey, 65536) as string) when 1 then concat('00', pmod(o_custkey, 65536)) when 2 then ' 1' end"
+    return orders.select(F.col("o_orderkey").cast("string").alias("event_id"), F.expr(line).alias("message_sanitized"), F.expr(port).alias("src_port"))

@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.functions import features, masking, text
+from tarn.functions.payloads import authentication_fields, payloads
 from tarn.operators import coverage, metrics, scoring, summaries
 from tarn.operators.decode import classify
 from tarn.plans import lines
 from tarn.plans.lines import table
+from tarn.sources.raw import read_ids, read_raw
+from tarn.sources.scratch import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -163,15 +166,59 @@ def icmp_semantics(spark, sf_dir):
     return _decoded(lines.icmp(table(spark, sf_dir, "lineitem")), "action", "icmp_type", "icmp_code", "icmp_message", "icmp_unreachable")
 
 
+@query(f"""
+SELECT *, {_RANGE.format("src_port_fixed")} AS src_port_range FROM (
+  SELECT o_orderkey, 'asa_acl' AS route, 'deny' AS action, 'blocked' AS outcome, CASE o_orderkey % 3 WHEN 0 THEN 'tcp' WHEN 1 THEN 'udp' ELSE 'icmp' END AS transport_protocol, CASE o_custkey % 3 WHEN 0 THEN 'outside' WHEN 1 THEN 'dmz' END AS dst_role,
+         CAST(CASE WHEN o_custkey % 70000 <= 65535 THEN o_custkey % 70000 END AS INT) AS src_port_fixed, CAST(CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey % 65536 END AS INT) AS dst_port_fixed FROM orders)
+""")
+def asa_acl_roundtrip(spark, sf_dir):
+    return _decoded(lines.acl(table(spark, sf_dir, "orders")), "action", "outcome", "transport_protocol", "dst_role", "src_port_fixed", "dst_port_fixed", "src_port_range")
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, CASE WHEN ok THEN 'asa_protocol' ELSE 'unsupported' END AS route, CASE WHEN ok THEN 'deny' END AS action, CASE WHEN ok THEN 'blocked' END AS outcome,
+       CASE WHEN ok THEN 'ipproto_' || (l_partkey % 300) END AS transport_protocol, CASE WHEN ok THEN CASE l_suppkey % 3 WHEN 0 THEN 'inside' WHEN 1 THEN 'dmz' END END AS src_role, CASE WHEN ok THEN 'outside' END AS dst_role
+FROM (SELECT *, l_partkey % 300 <= 255 AND l_orderkey % 11 <> 0 AS ok FROM lineitem)
+""")
+def asa_protocol_roundtrip(spark, sf_dir):
+    return _decoded(lines.protocol(table(spark, sf_dir, "lineitem")), "action", "outcome", "transport_protocol", "src_role", "dst_role")
+
+
+@query("SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'unsupported' ELSE 'format_payload' END AS route FROM part")
+def format_payload_routes(spark, sf_dir):
+    return _decoded(lines.category(table(spark, sf_dir, "part")))
+
+
+@query("""
+SELECT event_id, CASE WHEN ok THEN 'windows_rendered' ELSE 'unsupported' END AS route, CASE WHEN ok THEN CASE WHEN t IS NULL THEN c WHEN c IS NULL OR c = t THEN t END END AS outcome, CASE WHEN ok THEN CASE WHEN t IS NULL THEN c WHEN c IS NULL OR c = t THEN t END END AS auth_result
+FROM (SELECT *, event_id % 7 <> 0 AS ok, CASE event_id % 3 WHEN 0 THEN 'failure' WHEN 1 THEN 'success' END AS t, CASE event_id % 4 WHEN 0 THEN 'success' WHEN 1 THEN 'failure' END AS c FROM events)
+""")
+def windows_rendered_roundtrip(spark, sf_dir):
+    return _decoded(lines.rendered(table(spark, sf_dir, "events")), "outcome", "auth_result")
+
+
+@query("""
+SELECT event_id, CASE WHEN event_id % 4 < 2 THEN 'bounded_payload' ELSE 'unsupported' END AS route, CASE event_id % 4 WHEN 0 THEN 'message' WHEN 1 THEN 'behaviors.[].cmdline' END AS path,
+       CASE event_id % 4 WHEN 0 THEN 'user ' || user_id || ' did it' WHEN 1 THEN 'run ' || event_id END AS payload FROM events
+""")
+def bounded_payloads(spark, sf_dir):
+    rows = lines.bounded(table(spark, sf_dir, "events"))
+    found = classify(rows).select("event_id", "route", "message_sanitized").withColumn("p", payloads(F.when(F.col("route") == "bounded_payload", F.col("message_sanitized"))))
+    return found.select("event_id", "route", F.get("p", F.lit(0))["path"].alias("path"), F.get("p", F.lit(0))["value"].alias("payload"))
+
+
 @query("""
 SELECT route, count(*) AS n FROM (
   SELECT 'vpc_v2' AS route FROM lineitem UNION ALL SELECT 'asa' FROM orders UNION ALL SELECT 'cef_fields' FROM events UNION ALL SELECT CASE WHEN event_id % 9 <> 0 THEN 'authentication' ELSE 'unsupported' END FROM events
   UNION ALL SELECT 'windows_message' FROM events UNION ALL SELECT CASE WHEN c_custkey % 4 = 3 THEN 'syslog_auth' ELSE 'syslog_body' END FROM customer
-  UNION ALL SELECT CASE WHEN p_partkey % 11 = 0 THEN 'unsupported' ELSE 'audit_fields' END FROM part UNION ALL SELECT 'native_flow' FROM supplier UNION ALL SELECT 'unsupported' FROM orders UNION ALL SELECT 'empty' FROM region) GROUP BY route
+  UNION ALL SELECT CASE WHEN p_partkey % 11 = 0 THEN 'unsupported' ELSE 'audit_fields' END FROM part UNION ALL SELECT 'native_flow' FROM supplier UNION ALL SELECT 'unsupported' FROM orders UNION ALL SELECT 'empty' FROM region
+  UNION ALL SELECT 'asa_acl' FROM orders UNION ALL SELECT CASE WHEN l_partkey % 300 <= 255 AND l_orderkey % 11 <> 0 THEN 'asa_protocol' ELSE 'unsupported' END FROM lineitem UNION ALL SELECT CASE WHEN p_partkey % 6 = 0 THEN 'unsupported' ELSE 'format_payload' END FROM part
+  UNION ALL SELECT CASE WHEN event_id % 7 <> 0 THEN 'windows_rendered' ELSE 'unsupported' END FROM events UNION ALL SELECT CASE WHEN event_id % 4 < 2 THEN 'bounded_payload' ELSE 'unsupported' END FROM events UNION ALL SELECT 'native_firewall' FROM lineitem) GROUP BY route
 """)
 def route_precedence_counts(spark, sf_dir):
     t = lambda name: table(spark, sf_dir, name)
     made = [lines.vpc(t("lineitem")), lines.asa(t("orders")), lines.cef(t("events")), lines.auth(t("events")), lines.winlog(t("events")), lines.pam(t("customer")), lines.audit(t("part")), lines.flow(t("supplier")), lines.sentence(t("orders"))]
+    made += [lines.acl(t("orders")), lines.protocol(t("lineitem")), lines.category(t("part")), lines.rendered(t("events")), lines.bounded(t("events")), lines.icmp(t("lineitem"))]
     messages = t("region").select(F.lit(" ").alias("message_sanitized"))
     for m in made:
         messages = messages.unionAll(m.select("message_sanitized"))
@@ -234,18 +281,19 @@ WITH h AS (SELECT doc_id, hex(encode(text)) AS h FROM documents),
 b AS (SELECT doc_id, unnest(range(0, len(h) // 2)) AS p, h FROM h),
 v AS (SELECT doc_id, p, CAST(('0x' || substr(h, 2 * p + 1, 2)) AS INT) AS a, CASE WHEN 2 * p + 4 <= len(h) THEN CAST(('0x' || substr(h, 2 * p + 3, 2)) AS INT) END AS n FROM b),
 c AS (SELECT doc_id, code, count(*) AS k FROM (SELECT doc_id, a AS code FROM v UNION ALL SELECT doc_id, 256 + 256 * a + n FROM v WHERE n IS NOT NULL) GROUP BY doc_id, code)
-SELECT doc_id, count(*) AS entries, CAST(sum(code) AS BIGINT) AS codes, round(sum(1 + ln(k)) / sqrt(sum((1 + ln(k)) * (1 + ln(k)))), 2) AS total FROM c GROUP BY doc_id
+SELECT doc_id, coalesce(entries, 0) AS entries, coalesce(codes, 0) AS codes, coalesce(total, 0) AS total FROM documents LEFT JOIN
+  (SELECT doc_id, count(*) AS entries, CAST(sum(code) AS BIGINT) AS codes, round(sum(1 + ln(k)) / sqrt(sum((1 + ln(k)) * (1 + ln(k)))), 2) AS total FROM c GROUP BY doc_id) USING (doc_id)
 """)
 def byte_ngram_weights(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").where("octet_length(text) > 0").select("doc_id", features.byte_vector(F.col("text")).alias("v"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", features.byte_vector(F.col("text")).alias("v"))
     return rows.select("doc_id", F.size("v").cast("long").alias("entries"), F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e["i"]).alias("codes"), F.round(F.aggregate("v", F.lit(0.0), lambda a, e: a + e["v"]), 2).alias("total"))
 
 
 @query()
 def mask_documents(spark, sf_dir):
     """Masked text and span ledger of every document; tests hold it against brute force."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", masking.masked(F.coalesce("text", F.lit(""))).alias("masked"), masking.span_ledger(F.coalesce("text", F.lit(""))).alias("ledger"))
-    return rows.select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), F.size(F.filter("ledger", lambda s: s["kind"] == "identity")).alias("identities"), F.size("ledger").alias("spans"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", masking.masked_with_ledger(F.col("text")).alias("m"))
+    return rows.select("doc_id", F.sha2("m.text", 256).alias("masked_sha256"), F.size(F.filter("m.ledger", lambda s: s["kind"] == "identity")).alias("identities"), F.size("m.ledger").alias("spans"))
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -289,7 +337,10 @@ def class_support(spark, sf_dir):
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def label_counts(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """As a run report states them."""
+    from tarn.plans.publish import counts
+
+    return spark.createDataFrame(list(counts(table(spark, sf_dir, "events"), "event_type").items()), "event_type string, n long")
 
 
 @query("SELECT count(*) AS rows, count(DISTINCT user_id) AS \"unique\", count(user_id) - count(DISTINCT user_id) AS duplicates FROM events")
@@ -298,17 +349,18 @@ def distinct_check(spark, sf_dir):
 
 
 def _ids(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Input ids, and a result that lacks some, has some twice and some of its own."""
+    """Input ids, and a result that lacks some, has many more than once and some of its own."""
     expected = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("event_id"))
-    lined = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2 and l_orderkey % 5 <> 0")
-    emitted = lined.select(F.when(F.pmod("l_orderkey", F.lit(50)) == 1, F.concat(F.lit("x"), "l_orderkey")).otherwise(F.col("l_orderkey").cast("string")).alias("event_id"), F.when(F.col("l_returnflag") == "A", "benign").when(F.col("l_returnflag") == "R", "malicious").otherwise("other").alias("pred_label"))
+    key = F.col("l_orderkey")
+    own = F.when(F.pmod(key, F.lit(5)) == 0, F.concat(F.lit("x"), key)).when((F.pmod(key, F.lit(50)) == 1) & (F.col("l_linenumber") == 1), " ").otherwise(key.cast("string"))
+    emitted = table(spark, sf_dir, "lineitem").select(own.alias("event_id"), F.when(F.col("l_returnflag") == "A", "benign").when(F.col("l_returnflag") == "R", "malicious").otherwise("other").alias("pred_label"))
     return expected, emitted
 
 
 _EXPECTED = "(SELECT CAST(o_orderkey AS VARCHAR) AS event_id FROM orders)"
-_EMITTED = "(SELECT CASE WHEN l_orderkey % 50 = 1 THEN 'x' || l_orderkey ELSE CAST(l_orderkey AS VARCHAR) END AS event_id, CASE l_returnflag WHEN 'A' THEN 'benign' WHEN 'R' THEN 'malicious' ELSE 'other' END AS pred_label FROM lineitem WHERE l_linenumber <= 2 AND l_orderkey % 5 <> 0)"
+_EMITTED = "(SELECT CASE WHEN l_orderkey % 5 = 0 THEN 'x' || l_orderkey WHEN l_orderkey % 50 = 1 AND l_linenumber = 1 THEN ' ' ELSE CAST(l_orderkey AS VARCHAR) END AS event_id, CASE l_returnflag WHEN 'A' THEN 'benign' WHEN 'R' THEN 'malicious' ELSE 'other' END AS pred_label FROM lineitem)"
 _MISSING = f"(SELECT DISTINCT event_id FROM {_EXPECTED} WHERE event_id NOT IN (SELECT event_id FROM {_EMITTED}))"
-_EXTRA = f"(SELECT DISTINCT event_id FROM {_EMITTED} WHERE event_id NOT IN (SELECT event_id FROM {_EXPECTED}))"
+_EXTRA = f"(SELECT DISTINCT event_id FROM {_EMITTED} WHERE event_id <> ' ' AND event_id NOT IN (SELECT event_id FROM {_EXPECTED}))"
 
 
 @query(f"SELECT event_id FROM {_MISSING}")
@@ -328,16 +380,16 @@ def duplicate_ids(spark, sf_dir):
 
 @query(f"""
 SELECT *, FALSE AS passed FROM (SELECT count(*) AS input_rows, CAST(0 AS BIGINT) AS invalid_input_ids, count(*) - count(DISTINCT event_id) AS duplicate_input_ids, count(DISTINCT event_id) AS unique_input_ids FROM {_EXPECTED}),
-(SELECT count(*) AS output_rows, CAST(0 AS BIGINT) AS invalid_output_ids, count(*) - count(DISTINCT event_id) AS duplicate_output_ids, count(DISTINCT event_id) AS unique_output_ids, count(CASE WHEN pred_label = 'other' THEN 1 END) AS invalid_labels FROM {_EMITTED}),
+(SELECT count(*) AS output_rows, count(CASE WHEN event_id = ' ' THEN 1 END) AS invalid_output_ids, count(nullif(event_id, ' ')) - count(DISTINCT nullif(event_id, ' ')) AS duplicate_output_ids, count(DISTINCT nullif(event_id, ' ')) AS unique_output_ids, count(CASE WHEN pred_label = 'other' THEN 1 END) AS invalid_labels FROM {_EMITTED}),
 (SELECT count(*) AS missing_ids FROM {_MISSING}), (SELECT count(*) AS extra_ids FROM {_EXTRA}), (SELECT CAST(0 AS BIGINT) AS malformed_rows)
 """)
 def coverage_report(spark, sf_dir):
     return coverage.coverage_report(*_ids(spark, sf_dir))
 
 
-@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT p_partkey FROM part WHERE p_size <= 5)")
+@query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey IN (SELECT 7 * p_partkey FROM part)")
 def shared_rows(spark, sf_dir):
-    train = table(spark, sf_dir, "part").where("p_size <= 5").select(F.col("p_partkey").alias("l_partkey"))
+    train = table(spark, sf_dir, "part").select((7 * F.col("p_partkey")).alias("l_partkey"))
     return coverage.shared_rows(train, table(spark, sf_dir, "lineitem"), "l_partkey").select("l_orderkey", "l_linenumber")
 
 
@@ -374,14 +426,217 @@ def fold_mean(spark, sf_dir):
     return rows.select("vec_id", scoring.mean_of([one, flat]).alias("p")).select("vec_id", *[F.round(F.col("p")[c], 6).alias(f"p{c}") for c in range(3)])
 
 
-@query("SELECT doc_id, CAST(strlen(text) AS INT) AS length, CASE WHEN strlen(text) = 0 THEN 'asa_body_empty' WHEN strlen(text) > 176 THEN 'asa_body_too_long:' || strlen(text) || '>176' END AS error FROM documents")
+_BODY = """' <IDENTITY> Deny tcp src outside: <IDENTITY> /' || (o_orderkey % 65536) || ' dst inside: <IDENTITY> /' || (o_custkey % 65536) || ' by access-group "' || CASE WHEN o_orderkey % 10 = 5 THEN repeat('a', 150) ELSE 'acl' END || '" [0x0, 0x0]'"""
+_STATE = "CASE o_orderkey % 4 WHEN 2 THEN 'opaque_or_noncanonical' WHEN 3 THEN 'null' ELSE 'observed' END"
+_CONFLICT = "o_orderkey % 4 = 1 AND o_orderkey % 10 <> 4 AND o_custkey % 65536 <> o_orderkey % 65536"
+
+
+@query(f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS event_id, CAST(CASE WHEN o_orderkey % 10 NOT IN (3, 4, 5) THEN strlen({_BODY}) END AS INT) AS length,
+       CASE o_orderkey % 10 WHEN 3 THEN 'asa_grammar_unsupported' WHEN 4 THEN 'asa_parser_unsupported' WHEN 5 THEN 'asa_body_too_long:' || strlen({_BODY}) || '>176' END AS error, CASE WHEN o_orderkey % 10 NOT IN (3, 4, 5) THEN {_BODY} END AS body FROM orders
+""")
 def body_length_guard(spark, sf_dir):
-    from tarn.contract import MAX_BODY_BYTES
+    """What the sequence model reads of denials, and why it can't read some."""
+    from tarn.operators.prepare import prepare
+
+    return prepare(lines.registered(table(spark, sf_dir, "orders"))).select("event_id", "length", "error", F.col("body").cast("string").alias("body"))
+
+
+@query(f"""
+SELECT CAST(o_orderkey AS VARCHAR) AS event_id, CASE WHEN o_orderkey % 10 = 4 THEN 'unsupported' ELSE 'asa' END AS route, TRUE AS is_asa_source, {_STATE} AS port_state, {_CONFLICT} AS port_conflict,
+       ltrim(CASE WHEN o_orderkey % 10 = 3 THEN replace({_BODY}, ' <IDENTITY> Deny', '%ASA-4-106023: Deny') WHEN o_orderkey % 10 = 4 THEN replace({_BODY}, ' <IDENTITY> Deny tcp', '  <IDENTITY>  Deny gre') ELSE {_BODY} END) AS text FROM orders
+""")
+def prepared_records(spark, sf_dir):
+    from tarn.operators.prepare import prepare
+
+    made = prepare(lines.registered(table(spark, sf_dir, "orders")))
+    return made.select("event_id", "route", "is_asa_source", "port_state", "port_conflict", F.ltrim(F.regexp_replace("text", "^ <ABSOLUTE_CLOCK>", "")).alias("text"))
+
+
+@query(f"""
+SELECT count(CASE WHEN s = 'observed' THEN 1 END) AS observed, count(CASE WHEN s = 'observed' AND o_orderkey % 10 = 4 THEN 1 END) AS message_unobserved_record_observed, count(CASE WHEN c THEN 1 END) AS conflicting_observations
+FROM (SELECT *, {_STATE} AS s, {_CONFLICT} AS c FROM orders)
+""")
+def port_summary(spark, sf_dir):
+    from tarn.operators import prepare
+
+    return prepare.port_summary(prepare.prepare(lines.registered(table(spark, sf_dir, "orders"))))
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, '2  <IDENTITY>   <IDENTITY>   <IDENTITY>   <IDENTITY>  ' || (l_orderkey * 7 % 65536) || ' ' || (l_partkey * 13 % 65536) || ' ' || (l_suppkey % 256) || ' ' || CAST(floor(l_quantity) AS INT) || ' ' || CAST(floor(l_extendedprice) AS BIGINT)
+       || '  <ABSOLUTE_CLOCK>   <ABSOLUTE_CLOCK>  ' || CASE l_returnflag WHEN 'A' THEN 'ACCEPT' WHEN 'R' THEN 'REJECT' ELSE '-' END || ' OK' AS masked, CAST(13 AS INT) AS spans, CAST(4 AS INT) AS identities FROM lineitem
+""")
+def mask_flows(spark, sf_dir):
+    made = masking.masked_with_ledger(F.col("message_sanitized"))
+    rows = lines.vpc(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", made.alias("m"))
+    return rows.select("l_orderkey", "l_linenumber", F.col("m.text").alias("masked"), F.size("m.ledger").alias("spans"), F.size(F.filter("m.ledger", lambda s: s["kind"] == "identity")).alias("identities"))
+
+
+_RECORDS = """(SELECT CAST(o_orderkey AS VARCHAR) AS event_id, o_orderpriority || ', "quoted"' || chr(10) || 'line ' || o_custkey AS message_sanitized, CASE WHEN o_orderkey % 3 > 0 THEN CAST(o_custkey AS VARCHAR) END AS src_port,
+   CAST(o_orderkey % 3 AS INT) AS label FROM orders)"""
+
+
+def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = "concat(o_orderpriority, ', \"quoted\"\\nline ', o_custkey)"
+    label = F.element_at(F.array(F.lit("benign"), F.lit("malicious"), F.lit("suspicious")), (F.pmod("o_orderkey", F.lit(3)) + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("event_id"), F.expr(made).alias("message_sanitized"), F.when(F.pmod("o_orderkey", F.lit(3)) > 0, F.col("o_custkey")).alias("src_port"), label.alias("label_binary"), F.lit("x").alias("other"))
+
+
+@query(f"SELECT event_id, message_sanitized, coalesce(src_port, '') AS src_port, label FROM {_RECORDS}")
+def read_raw_csv(spark, sf_dir):
+    """Records written as CSV and read back under the contract; an empty cell is the empty string."""
+    at = new_path(spark, "records.csv")
+    _records(spark, sf_dir).write.option("header", True).option("quote", '"').option("escape", '"').csv(at)
+    return read_raw(spark, at, labels=True)
+
+
+@query(f"SELECT event_id, message_sanitized, src_port, label FROM {_RECORDS}")
+def read_raw_parquet(spark, sf_dir):
+    at = new_path(spark, "records.parquet")
+    _records(spark, sf_dir).write.parquet(at)
+    return read_raw(spark, at, labels=True)
 
-    size = F.octet_length("text")
-    error = F.when(size == 0, "asa_body_empty").when(size > MAX_BODY_BYTES, F.concat(F.lit("asa_body_too_long:"), size, F.lit(f">{MAX_BODY_BYTES}")))
-    return table(spark, sf_dir, "documents").select("doc_id", size.alias("length"), error.alias("error"))
 
+@query(f"SELECT event_id FROM {_RECORDS}")
+def read_id_scan(spark, sf_dir):
+    at = new_path(spark, "records.parquet")
+    _records(spark, sf_dir).write.parquet(at)
+    return read_ids(spark, at)
+
+
+def _flows(spark: SparkSession, sf_dir: str) -> str:
+    """A source of flow records with ids of their own."""
+    at = new_path(spark, "flows.parquet")
+    made = lines.vpc(table(spark, sf_dir, "lineitem"))
+    made.select(F.concat_ws("-", "l_orderkey", "l_linenumber", F.monotonically_increasing_id()).alias("event_id"), "message_sanitized", F.lit(None).cast("string").alias("src_port")).write.parquet(at)
+    return at
+
+
+def action_model():
+    """Two folds that read the action: allowed is benign, denied malicious, anything else suspicious."""
+    import numpy as np
+
+    from tarn.contract import BYTE_FEATURES, WIDTH, fact_names
+    from tarn.plans.predict import Ensemble, Fold
+
+    names, folds = fact_names(), []
+    for strength in (200.0, 300.0):
+        weights = np.zeros((WIDTH, 3))
+        weights[BYTE_FEATURES + names.index("action=allow"), 0] = weights[BYTE_FEATURES + names.index("action=deny"), 1] = strength
+        folds.append(Fold(scoring.Router(weights, np.array([0.0, 0.0, 1.0]))))
+    return Ensemble(folds)
+
+
+_FLOW_LABEL = "CASE l_returnflag WHEN 'A' THEN 'benign' WHEN 'R' THEN 'malicious' ELSE 'suspicious' END"
+
+
+@query(f"SELECT {_FLOW_LABEL} AS pred_label, CAST(l_orderkey AS VARCHAR) AS l_orderkey, CAST(l_linenumber AS VARCHAR) AS l_linenumber FROM lineitem")
+def predicted_labels(spark, sf_dir):
+    """A source read, predicted and published as a folder, which is read again."""
+    from tarn.plans.predict import predict_table
+    from tarn.plans.validate import read_submission
+
+    out = new_path(spark, "predicted.csv")
+    predict_table(spark, _flows(spark, sf_dir), out, action_model())
+    rows, _ = read_submission(spark, out)
+    return rows.select("pred_label", F.split_part("event_id", F.lit("-"), F.lit(1)).alias("l_orderkey"), F.split_part("event_id", F.lit("-"), F.lit(2)).alias("l_linenumber"))
+
+
+@query(f"""
+SELECT count(*) AS input_rows, count(*) AS output_rows, CAST(0 AS BIGINT) AS missing_ids, CAST(0 AS BIGINT) AS extra_ids, CAST(0 AS BIGINT) AS duplicate_output_ids, CAST(0 AS BIGINT) AS invalid_labels, TRUE AS passed,
+       count(CASE WHEN {_FLOW_LABEL} = 'malicious' THEN 1 END) AS malicious FROM lineitem
+""")
+def predict_and_validate(spark, sf_dir):
+    """Read, predict, publish and validate: the whole file path."""
+    from tarn.plans.predict import predict_table
+    from tarn.plans.validate import validate_submission
+
+    source, out = _flows(spark, sf_dir), new_path(spark, "predicted.csv")
+    predict_table(spark, source, out, action_model())
+    report = validate_submission(spark, source, out)
+    names = ["input_rows", "output_rows", "missing_ids", "extra_ids", "duplicate_output_ids", "invalid_labels"]
+    row = [*(report[n] for n in names), report["passed"], report["predicted_label_counts"].get("malicious", 0)]
+    return spark.createDataFrame([row], ", ".join(f"{n} long" for n in names) + ", passed boolean, malicious long")
+
+
+_SEGMENT = "(CASE c_mktsegment WHEN 'BUILDING' THEN 0 WHEN 'MACHINERY' THEN 1 ELSE 2 END)"
+
+
+@query(f"""
+SELECT a.label, b.predicted, CASE WHEN a.label = b.predicted THEN coalesce(n, 0) ELSE 0 END AS n FROM (VALUES (0), (1), (2)) a(label), (VALUES (0), (1), (2)) b(predicted)
+LEFT JOIN (SELECT {_SEGMENT} AS label, count(*) AS n FROM customer GROUP BY 1) c ON c.label = a.label
+""")
+def train_and_evaluate(spark, sf_dir):
+    """A router fitted on features that tell the classes, saved, loaded and evaluated: no row is missed."""
+    from tarn.plans.train import train_bundle
+
+    names = ["BUILDING", "MACHINERY"]
+    at = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), F.col("c_mktsegment")), F.lit(0)), F.lit(3)).cast("int")
+    one = lambda i, v: F.struct(i.cast("int").alias("i"), v.cast("float").alias("v"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("event_id"), (at - 1).alias("label"), F.array(one(at * 10, F.lit(1.0)), one(F.lit(100) + F.pmod("c_custkey", F.lit(50)), F.lit(0.5))).alias("full"))
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as folder:  # a bundle is the driver's own
+        result = train_bundle(spark, rows, rows.withColumn("event_id", F.concat(F.lit("v"), "event_id")), f"{folder}/bundle")
+    return spark.createDataFrame([(r["label"], r["predicted"], r["n"]) for r in result["confusion"]], "label int, predicted int, n long")
+
+
+_ADDRESS_SQL = "CASE c_custkey % 8 WHEN 0 THEN TRUE WHEN 1 THEN TRUE WHEN 2 THEN FALSE WHEN 3 THEN FALSE WHEN 4 THEN TRUE WHEN 5 THEN c_custkey % 300 <= 255 WHEN 6 THEN FALSE ELSE TRUE END"
+
+
+@query(f"SELECT c_custkey, {_ADDRESS_SQL} AS valid FROM customer")
+def address_forms(spark, sf_dir):
+    """IPv6 in full, cut short, cut twice, too long, with an IPv4 end; IPv4 with numbers that may be too large; words; the unspecified address."""
+    from tarn.functions.values import is_address
+
+    h = "hex(pmod(c_custkey, 65536))"
+    text = f"case pmod(c_custkey, 8) when 0 then concat('2001:db8:0:1:2:3:4:', {h}) when 1 then concat('fe80::', {h}, ':1') when 2 then concat('fe80::', {h}, '::1') when 3 then concat('1:2:3:4:5:6:7:8:', {h}) when 4 then concat('::ffff:10.0.0.', pmod(c_custkey, 256)) when 5 then concat('10.0.0.', pmod(c_custkey, 300)) when 6 then concat('host', c_custkey) else '::' end"
+    return table(spark, sf_dir, "customer").select("c_custkey", is_address(F.expr(text)).alias("valid"))
+
+
+@query("""
+SELECT event_id, CAST(5 AS INT) AS fields, CASE event_id % 5 WHEN 0 THEN 'SUCCESS' WHEN 1 THEN 'denied' WHEN 2 THEN 'allow' WHEN 3 THEN 'fail' END AS result, CASE WHEN event_id % 5 = 4 THEN 'removed' ELSE 'kept' END AS result_state, 'unknown' AS user_state
+FROM events WHERE event_id % 9 <> 0 UNION ALL SELECT event_id, CAST(NULL AS INT), NULL, NULL, NULL FROM events WHERE event_id % 9 = 0
+""")
+def authentication_field_view(spark, sf_dir):
+    rows = lines.auth(table(spark, sf_dir, "events")).select("event_id", authentication_fields("message_sanitized").alias("f"))
+    field = lambda name: F.get(F.filter("f", lambda v: v["name"] == name), F.lit(0))
+    return rows.select("event_id", F.size("f").alias("fields"), field("result")["value"].alias("result"), field("result")["state"].alias("result_state"), field("user")["state"].alias("user_state")).withColumn("fields", F.when(F.col("fields") > 0, F.col("fields")))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'authentication' WHEN 1 THEN 'authentication' WHEN 2 THEN 'unsupported' ELSE 'bounded_payload' END AS route FROM events")
+def wrapped_objects(spark, sf_dir):
+    """Objects behind an owner's name, behind a name that owns nothing, and behind an exporter's."""
+    auth = "concat('{\"application\": \"app\", \"user\": {}, \"result\": \"x\", \"reason\": \"', event_type, '\", \"txid\": 1}')"
+    made = f"case pmod(event_id, 4) when 0 then concat('ORG-app.', user_id, ' ::: log=', {auth}) when 1 then concat('x ::: USER-1={{ ::: log = ', {auth}) when 2 then concat('x::: USER-1 ', {auth}) else concat('USER-crowdstrike-', user_id, ' ::: ORG-2={{\"behaviors\": [{{\"cmdline\": \"run\"}}]}}') end"
+    return _decoded(table(spark, sf_dir, "events").select("event_id", F.expr(made).alias("message_sanitized")))
+
+
+@query("""
+SELECT c_custkey, 'Logon ID: entity' || chr(10) || '  Account Name:  entity' || chr(10) || 'Process ID: ' || c_custkey || chr(10) || 'by entity end' AS windows, 'at   for ' || c_custkey || ' <EndBoundary>absolute_time</EndBoundary>' AS clocks,
+       CASE c_custkey % 3 WHEN 0 THEN '' WHEN 1 THEN 'a' || c_custkey || ' b' ELSE 'parent command run ' || c_custkey || ' file x' END AS shown FROM customer
+""")
+def payload_views(spark, sf_dir):
+    made = table(spark, sf_dir, "customer").select("c_custkey", F.expr("concat('Logon ID: 0x', hex(c_custkey), '\\n  Account Name:  user ', c_custkey, '\\nProcess ID: ', c_custkey, '\\nby S-1-5-21-', c_custkey, ' end')").alias("w"), F.expr("concat('at 2024-01-02T03:04:05.', c_custkey, 'Z for ', c_custkey, ' <EndBoundary>', c_custkey, '</EndBoundary>')").alias("c"))
+    route = F.when(F.pmod("c_custkey", F.lit(3)) == 0, "vpc_v2").when(F.pmod("c_custkey", F.lit(3)) == 1, "authentication").otherwise("bounded_payload")
+    shown = F.when(F.pmod("c_custkey", F.lit(3)) == 1, F.concat(F.lit("reason a"), "c_custkey", F.lit(" result b"))).otherwise(F.concat(F.lit("message behaviors.[].parent_details.parent_cmdline run "), "c_custkey", F.lit(" behaviors.[].filename x")))
+    return made.select("c_custkey", text.windows_text(F.col("w")).alias("windows"), text.without_clocks(F.col("c")).alias("clocks"), text.route_text(shown, route).alias("shown"))
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda v, i: F.struct(i.cast("int").alias("i"), v.cast("float").alias("v"))).alias("full"))
+    return rows, rows.select(F.size("full").alias("n")).first()["n"]
+
+
+@query(f"SELECT vec_id, round(s0, 4) AS s0, round(s1, 4) AS s1, round(s2, 4) AS s2, round(e0 / (e0 + e1 + e2), 6) AS p0, round(e1 / (e0 + e1 + e2), 6) AS p1 FROM {_score_sql()}")
+def sparse_router(spark, sf_dir):
+    import numpy as np
+
+    rows, size = _sparse(spark, sf_dir)
+    router = scoring.Router(*map(np.array, _weights(size)))
+    done = rows.withColumns({"s": router.scores(spark)(F.col("full")), "p": router.probabilities(spark)(F.col("full"))})
+    return done.select("vec_id", *[F.round(F.col("s")[k], 4).alias(f"s{k}") for k in range(3)], *[F.round(F.col("p")[k], 6).alias(f"p{k}") for k in range(2)])
 
 
 @query()
@@ -391,7 +646,7 @@ def router_fit(spark, sf_dir):
 
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.pmod("label", F.lit(3)).cast("int").alias("label"), F.transform("embedding", lambda v, i: F.struct(i.cast("int").alias("i"), v.cast("float").alias("v"))).alias("full"))
     size = rows.select(F.size("full").alias("n")).first()["n"]
-    router = fit_router(rows, RouterConfig(iterations=20), width=size)
+    router = fit_router(rows, RouterConfig(), width=size)
     done = scoring.decide(rows.withColumn("probabilities", router.probabilities(spark)(F.col("full"))))
     return metrics.confusion(done, predicted="pred_class")
 

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 from tarn.contract import LABELS, WIDTH
 from tarn.operators import coverage, metrics
 from tarn.operators.neural import Base, EnsembleLayer, Residual, SequenceModel
+from tarn.operators.prepare import prepare, refuse_errors
 from tarn.operators.scoring import Router
 from tarn.plans.predict import Ensemble, Fold, score_rows
 from tarn.plans.publish import file_sha256
+from tarn.sources.raw import ORDER, read_labelled, read_raw
 
 #: Name of the bundle's layout.
 SCHEMA = "tarn-bundle-1"
@@ -136,6 +138,14 @@ def fit_router(rows: DataFrame, config: RouterConfig = RouterConfig(), width: in
         rows.unpersist()
 
 
+def read_training(spark: SparkSession, path: str, limit_rows: int | None = None, unsupported: str = "error") -> DataFrame:
+    """Prepared, labelled records. ``unsupported``: ``error`` raises for the first row that has an error, ``router`` leaves it to the router."""
+    if unsupported not in ("error", "router"):
+        raise ValueError(f"unsupported: error or router, not {unsupported}")
+    rows = prepare(read_raw(spark, path, labels=True, order=True) if limit_rows is None else read_labelled(spark, path, limit_rows))
+    return (refuse_errors(rows) if unsupported == "error" else rows).drop(ORDER)
+
+
 def validate_datasets(train: DataFrame, validation: DataFrame) -> dict:
     """Counts of both sets; raises if ids repeat or are shared, if a class is missing from training, or if a set is empty.
 
