@@ -5,37 +5,16 @@ from __future__ import annotations
 import gc
 import inspect
 import math
-import os
-import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, read from the session.
-
-    Only where ``spark.checkpoint.dir`` is unset (tests, local mode) a folder of our own is set.
-    """
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if at:
-        return at
-    set_to = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_to.isDefined():
-        return set_to.get()
-    own = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from tarn.sources.scratch import new_path, written
 
 
 def new_table(spark: SparkSession, name: str) -> str:
-    return os.path.join(shared_dir(spark), f"tarn-{name}-{uuid.uuid4().hex}")
+    return new_path(spark, name)
 
 
 def text_bytes(docs: DataFrame, text: str = "text") -> tuple[int, int]:
@@ -48,32 +27,24 @@ def parts_for(total: int, each: int, least: int = 1) -> int:
     return max(least, math.ceil(total / max(1, each)))
 
 
-def delete_on_exit(spark: SparkSession, path: str) -> None:
-    """Delete a path of the shared folder when the session's JVM ends."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written once as a table in the shared folder; it is deleted when the session's JVM ends."""
-    spark = df.sparkSession
-    path = new_table(spark, name)
-    df.write.parquet(path)
-    delete_on_exit(spark, path)
+    spark, out = df.sparkSession, written(df, name)
     gc.collect()  # so that Spark drops the shuffle files behind the table now, not some time later
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-#: Rows of an Arrow batch of texts; texts of some KB each then stay within some MB.
-TEXT_ROWS = 1000
+    return out
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of whole texts small for the rest of the session: their size is only bounded by rows."""
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most so many rows in what is run inside; the session's own setting is back afterwards."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > TEXT_ROWS:
-        spark.conf.set(key, TEXT_ROWS)
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def release_memory() -> None:
@@ -125,26 +96,50 @@ def slices(batch, limit: int = 1 << 20, text: str = "text"):
         yield batch.slice(a, b - a)
 
 
+#: Keys that are looked up by broadcast, at most: those that hold more than this share of all rows.
+HOT_KEYS = 10_000
+
+
+def lookup(rows: DataFrame, found: DataFrame, keys: list[str], own: Column, total: int) -> DataFrame:
+    """``rows`` left-joined with ``found``: one row for each key, with a column ``rows`` that says how many of ``rows`` have it.
+
+    Keys that hold more than 1 / HOT_KEYS of ``total`` rows (fewer than HOT_KEYS keys, whatever the input) are looked up by
+    broadcast; the others by key, where rows that have been found lie by ``own`` (a hash that tells rows apart, of the type of the
+    first key). So no task gets more than 1 / HOT_KEYS of the rows for one key.
+    """
+    many = max(1, total // HOT_KEYS)
+    values = [c for c in found.columns if c not in (*keys, "rows")]
+    hot = found.where(F.col("rows") > many).select(*keys, F.struct(*values).alias("__hot"))
+    cold = found.where(F.col("rows") <= many).select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*values).alias("__cold"))
+    looked = rows.join(F.broadcast(hot), keys, "left")
+    first, *others = keys
+    looked = looked.withColumns({f"__{first}": F.when(F.col("__hot").isNull(), F.col(first)).otherwise(own), **{f"__{k}": F.col(k) for k in others}})
+    looked = looked.join(cold, [f"__{k}" for k in keys], "left").withColumn("__got", F.coalesce("__hot", "__cold"))
+    return looked.select(*rows.columns, *[F.col("__got")[v].alias(v) for v in values])
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for edges (u, v) of long ids: component is the smallest id reachable.
 
-    Alternating large-star and small-star rounds on the cluster; each round's edges are cut in the shared folder.
-    A node's neighbours are never gathered: minima are aggregated before the shuffle and joined back.
+    Alternating large-star and small-star rounds on the cluster; each round's edges are written in the shared folder.
+    A node's neighbours are never gathered: minima are aggregated before the shuffle and looked up, those of hot nodes by broadcast.
     """
+
     def state(df: DataFrame):
         row = df.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         return row["n"], row["x"]
 
-    now = cut(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct())
+    own = F.xxhash64("u", "v")
+    now = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     last = state(now)
     while last[0]:
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        kept = large.join(least, "u")
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count(F.lit(1)).alias("rows"))
+        large = lookup(both, least, ["u"], own, 2 * last[0]).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("rows"))
+        kept = lookup(large, least, ["u"], own, last[0])
         small = kept.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(kept.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        now = cut(small)
+        now = written(small, "edges")
         new = state(now)
         if new == last:
             break

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarn.llm.common import parts_for, slices, text_batches, text_bytes, tidy
+from tarn.llm.common import parts_for, slices, text_bytes, tidy
 from tarn.llm.words import Words, short_shingle
 
 #: Benchmark text that is searched for at once.
@@ -124,7 +124,6 @@ class Searcher:
 
 def _blocks(benchmark: DataFrame, width: int, num: int, den: int):
     """Searchers over all items, a bounded number of bytes at a time."""
-    text_batches(benchmark.sparkSession)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     _, total = text_bytes(items)
     parts = parts_for(total, BLOCK_BYTES)

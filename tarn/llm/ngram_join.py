@@ -8,16 +8,22 @@ A document's set holds its distinct ``width``-word shingles (hashes of 64 bits).
    hold fewer than ``ceil(t n)`` tokens links with nothing. Any other shares a token with its partner among its first
    ``n - ceil(t n) + 1`` tokens of a fixed order, in which tokens that no other holds come first and tokens that
    very many hold come last. The shared ones among these are the matrix's rows.
-3. *Groups.* A class joins the group of the smallest class that shares such a token with it, so that near
-   copies come together. A group is cut by size (sizes of a link differ by t at most) and by weight
-   into blocks of bounded size; the matrix holds each token once for each block.
-4. *Bound, open.* Two blocks are compared only if the matrix has a token in both and their sizes fit. Then each
-   class of one block is held against the other's token union; only where that bound passes is the
-   overlap with its members counted, exactly and for all members at once.
+3. *Groups.* A class joins the group of the smallest class that shares such a token with it, its leader, so that near
+   copies come together. For components, each class is first held against its leader: those that link with it are
+   settled. A group is cut by size (sizes of a link differ by t at most), by whether its classes are settled, and by
+   weight into blocks of bounded size; the matrix holds each token once for each block.
+4. *Bound, open.* Two blocks are compared only if the matrix has a token in both and their sizes fit, and not if all of their
+   classes are settled with one leader, which joins them already. Then each class of one block is held against
+   the other's token union; only where that bound passes is the overlap with its members counted, exactly and for all
+   members at once.
 5. *Components.* Each comparison gives a spanning forest of its links, so hot groups don't grow by pairs.
 
 Texts are exchanged once, by chunks of documents. No step gathers a key's rows unboundedly: blocks are bounded,
-minima and counts are aggregated before the shuffle.
+minima and counts are aggregated before the shuffle, and rows of a hot token, block or class are spread.
+
+Of M near copies of one text, the k that don't link with the smallest of them make about k M / BLOCK_CLASSES^2 pairs of
+blocks. Sets are compared by 64-bit hashes of their shingles that mix words one into the other (``words``); two texts would have to
+share a colliding pair and miss the threshold by that one shingle to be linked wrongly.
 """
 
 from __future__ import annotations
@@ -32,19 +38,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm import packed
-from tarn.llm.common import connected_components, materialize, slices, text_batches, text_bytes, tidy
+from tarn.llm.common import connected_components, lookup, materialize, slices, small_batches, text_bytes, tidy
 from tarn.llm.words import Words
 
 #: Most tokens that are ordered last, by how many documents hold them; it only affects speed.
 COMMON_TOKENS = 1 << 16
 #: A block holds about so many classes and tokens at most.
 BLOCK_CLASSES, BLOCK_TOKENS = 256, 200_000
-#: Tasks over which the copies of one text are spread.
-SALTS = 16
-#: Classes of a token from which on its rows are spread.
-HOT_TOKEN = 256
+#: Rows of one token or block in a join that are handled together; beyond, they are split and the other side repeated.
+TOGETHER = 64
 #: Pairs of blocks in one Arrow batch; bounds a worker's memory (about 3 MB a pair at most).
 PAIRS_PER_BATCH = 16
+#: Texts in one Arrow batch where their sets are made.
+TEXT_ROWS = 1000
 _BITS = 48
 _LOW = np.uint64((1 << _BITS) - 1)
 _SETS = "doc_id long, th long, n long, k1 long, k2 long"
@@ -229,18 +235,47 @@ def _compare(num: int, den: int, every: bool):
     return run
 
 
-def _with_leaders(matrix: DataFrame) -> DataFrame:
-    """(lo, k1, n, leader) of each row of the matrix: the smallest class that holds its token.
+def _settle(num: int, den: int):
+    """Of each block's classes, those that link with the group's leader."""
 
-    Tokens of more than ``HOT_TOKEN`` classes are looked up by token and salt, the others by token.
-    """
+    def run(batches):
+        for batch in batches:
+            los, ks, heads = [], [], []
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                head = np.frombuffer(row["head"], dtype=np.uint64)
+                for m in row["members"]:
+                    own = np.frombuffer(m["tokens"], dtype=np.uint64)
+                    at = np.minimum(np.searchsorted(head, own), len(head) - 1)
+                    shared = int((head[at] == own).sum())
+                    if shared * den >= num * (len(own) + len(head) - shared):
+                        los.append(m["lo"])
+                        ks.append(m["k1"])
+                        heads.append(row["leader"])
+            yield pa.RecordBatch.from_arrays([pa.array(los, pa.int64()), pa.array(ks, pa.int64()), pa.array(heads, pa.int64())], names=["lo", "k1", "leader"])
+
+    return run
+
+
+def _split(rows: DataFrame, key: str, per_key: DataFrame, own: str, total: int) -> DataFrame:
+    """``rows`` with ``parts`` and ``part``: rows of one key are dealt over ceil(rows / TOGETHER) parts."""
+    counted = per_key.select(key, F.ceil(F.col("rows") / TOGETHER).cast("int").alias("parts"), "rows")
+    found = lookup(rows, counted, [key], F.xxhash64(*rows.columns), total)
+    return found.withColumn("part", F.pmod(F.xxhash64(own), F.col("parts")).cast("int"))
+
+
+def _with_leaders(matrix: DataFrame) -> DataFrame:
+    """(lo, k1, n, leader) of each row of the matrix: the smallest class that holds its token."""
     least = matrix.groupBy("token").agg(F.min("lo").alias("leader"), F.count(F.lit(1)).alias("rows"))
-    hot = least.where(F.col("rows") > HOT_TOKEN).select("token", F.col("leader").alias("hot"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    cold = least.where(F.col("rows") <= HOT_TOKEN).select(F.col("token").alias("look"), "leader")
-    own = F.xxhash64("lo", "k1")
-    rows = matrix.withColumn("salt", F.pmod(own, F.lit(SALTS)).cast("int")).join(hot, ["token", "salt"], "left")
-    rows = rows.withColumn("look", F.when(F.col("hot").isNull(), F.col("token")).otherwise(own))  # found ones are spread, whatever they meet
-    return rows.join(cold, "look", "left").select("lo", "k1", "n", F.coalesce("hot", "leader").alias("leader"))
+    return lookup(matrix, least, ["token"], F.xxhash64("lo", "k1"), matrix.count()).select("lo", "k1", "n", "leader")
+
+
+def _cut(group: DataFrame) -> DataFrame:
+    """(lo, k1, leader, size, settled, block): groups cut into blocks of bounded size."""
+    kind = ["leader", "size", "settled"]
+    weight = group.groupBy(*kind).agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_CLASSES)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS))).cast("long").alias("cuts"), F.count(F.lit(1)).alias("rows"))
+    rows = lookup(group, weight, kind, F.xxhash64("lo", "k1"), group.count())
+    return rows.select("lo", "k1", *kind, F.xxhash64(*kind, F.pmod(F.xxhash64("lo", "k1"), F.col("cuts"))).alias("block"))
 
 
 class NgramJoin:
@@ -257,10 +292,10 @@ class NgramJoin:
     """
 
     def __init__(self, docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, chunk_bytes: int | None = None):
-        text_batches(docs.sparkSession)
         self.width, self.num, self.den, self.chunk_bytes = width, num, den, chunk_bytes
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        self.keys = materialize(self.docs.withColumn("th", F.xxhash64("text")).mapInArrow(tidy(_keys(width)), _SETS), "keys")
+        with small_batches(docs.sparkSession, TEXT_ROWS):
+            self.keys = materialize(self.docs.withColumn("th", F.xxhash64("text")).mapInArrow(tidy(_keys(width)), _SETS), "keys")
         self._links: dict[bool, DataFrame] = {}
 
     def _classes(self) -> DataFrame:
@@ -270,7 +305,8 @@ class NgramJoin:
     def _candidates(self) -> DataFrame:
         spark = self.docs.sparkSession
         often = self.docs.select("text").mapInArrow(tidy(_common(self.width)), "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
-        tokens = [r["token"] for r in often.orderBy(F.desc("times"), "token").limit(COMMON_TOKENS).select("token").collect()]
+        with small_batches(spark, TEXT_ROWS):
+            tokens = [r["token"] for r in often.orderBy(F.desc("times"), "token").limit(COMMON_TOKENS).select("token").collect()]
         common = spark.sparkContext.broadcast(np.sort(np.array(tokens, dtype=np.int64).view(np.uint64)))
         _, total = text_bytes(self.docs)
         tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -291,44 +327,65 @@ class NgramJoin:
         """Pairs (u, v): all links, or only a spanning forest of each comparison's."""
         if every in self._links:
             return self._links[every]
-        found = self._candidates()
+        spark, found = self.docs.sparkSession, self._candidates()
         matrix = found.select("lo", "k1", "n", F.explode("shared").alias("token"))
         step = math.log(self.den / self.num)
         group = _with_leaders(matrix).groupBy("lo", "k1").agg(F.min("leader").alias("leader"), F.first("n").alias("n")).withColumn("size", F.floor(F.log("n") / F.lit(step)).cast("long"))
-        group = materialize(group, "groups")
-        weight = group.groupBy("leader", "size").agg(F.greatest(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_CLASSES)), F.ceil(F.sum("n") / F.lit(BLOCK_TOKENS))).cast("long").alias("cuts"))
-        blocks = group.join(weight, ["leader", "size"]).select("lo", "k1", "size", F.xxhash64("leader", "size", F.pmod(F.xxhash64("lo", "k1"), F.col("cuts"))).alias("block"))
-        blocks = materialize(blocks, "blocks")
-        tokens = matrix.join(blocks, ["lo", "k1"]).select("token", "block", "size").distinct()
-        left, right = tokens.select("token", F.col("block").alias("a"), F.col("size").alias("sa")), tokens.select("token", F.col("block").alias("b"), F.col("size").alias("sb"))
-        pairs = left.join(right, "token").where("(sb = sa and a < b) or sb = sa + 1").select("a", "b").distinct()
-        within = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("block").alias("a"), F.lit(None).cast("long").alias("b"))
+        group = materialize(group.withColumn("settled", F.lit(False)), "groups")
+        links = None
+        if not every:
+            links, group = self._with_settled(found, group)
+        blocks = materialize(_cut(group), "blocks")
+        tokens = materialize(matrix.join(blocks, ["lo", "k1"]).select("token", "block", "size", "leader", "settled").distinct(), "tokens")
+        together = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("rows"))
+        left = _split(tokens.select("token", F.col("block").alias("a"), F.col("size").alias("sa"), F.col("leader").alias("la"), F.col("settled").alias("da")), "token", together, "a", tokens.count())
+        right = _split(tokens.select("token", F.col("block").alias("b"), F.col("size").alias("sb"), F.col("leader").alias("lb"), F.col("settled").alias("db")), "token", together, "b", tokens.count())
+        right = right.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("sa", F.explode(F.array("sb", F.col("sb") - 1))).drop("parts")
+        pairs = left.join(right, ["token", "part", "sa"]).where("(sb <> sa or a < b) and not (la = lb and da and db)").select("a", "b").distinct()
+        within = blocks.where("not settled").groupBy("block").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select(F.col("block").alias("a"), F.lit(None).cast("long").alias("b"))
         todo = materialize(pairs.unionByName(within), "pairs")
         held = found.select("lo", "k1", "tokens").join(blocks.select("lo", "k1", "block"), ["lo", "k1"])
-        members = held.groupBy("block").agg(F.collect_list(F.struct("lo", "tokens")).alias("members"))
-        one, two = members.select(F.col("block").alias("a"), F.col("members").alias("left")), members.select(F.col("block").alias("b"), F.col("members").alias("right"))
-        opened = todo.join(one, "a").join(two, "b", "left").select("left", "right")
-        conf, key = self.docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-        before = conf.get(key)
-        conf.set(key, PAIRS_PER_BATCH)  # a row holds two blocks
-        try:
-            self._links[every] = materialize(opened.mapInArrow(tidy(_compare(self.num, self.den, every)), "u long, v long").distinct(), "links")
-        finally:
-            conf.set(key, before)
+        members = materialize(held.groupBy("block").agg(F.collect_list(F.struct("lo", "tokens")).alias("members")), "members")
+        opened, n = todo, todo.count()
+        for key, other, side in (("a", "b", "left"), ("b", "a", "right")):
+            times = todo.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
+            opened = _split(opened.select(*[c for c in opened.columns if c in ("a", "b")], *[c for c in opened.columns if c == "left"]), key, times, other, n)
+            copies = members.join(times, F.col("block") == F.col(key)).select(key, F.col("members").alias(side), F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / TOGETHER).cast("int") - 1)).alias("part"))
+            opened = opened.join(copies, [key, "part"], "left").drop("part", "parts")
+        with small_batches(spark, PAIRS_PER_BATCH):  # a row holds two blocks
+            compared = opened.select("left", "right").mapInArrow(tidy(_compare(self.num, self.den, every)), "u long, v long")
+            self._links[every] = materialize((compared if links is None else compared.unionAll(links)).distinct(), "links")
         return self._links[every]
 
+    def _with_settled(self, found: DataFrame, group: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Links of classes with their leaders, and the groups with what is settled by them."""
+        spark = self.docs.sparkSession
+        heads = group.groupBy("leader").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
+        heads = found.groupBy("lo").agg(F.min("tokens").alias("head")).join(heads.select(F.col("leader").alias("lo")), "lo")
+        some = _cut(group).join(heads.select(F.col("lo").alias("leader")), "leader", "left_semi")
+        held = found.select("lo", "k1", "tokens").join(some, ["lo", "k1"]).where("lo <> leader")
+        blocks = held.groupBy("block", "leader").agg(F.collect_list(F.struct("lo", "k1", "tokens")).alias("members"))
+        with small_batches(spark, PAIRS_PER_BATCH):
+            settled = materialize(blocks.join(heads.withColumnRenamed("lo", "leader"), "leader").select("leader", "members", "head").mapInArrow(tidy(_settle(self.num, self.den)), "lo long, k1 long, leader long"), "settled")
+        # a leader is settled with itself where it is the only class of its id
+        alone = group.where("lo = leader").groupBy("lo").agg(F.count(F.lit(1)).alias("c"), F.min("k1").alias("k1")).where("c = 1").select("lo", "k1")
+        marks = settled.select("lo", "k1").unionAll(alone).withColumn("mark", F.lit(True))
+        group = group.drop("settled").join(marks, ["lo", "k1"], "left").withColumn("settled", F.coalesce("mark", F.lit(False))).drop("mark")
+        return settled.select(F.col("lo").alias("u"), F.col("leader").alias("v")), materialize(group, "groups")
+
     def members(self) -> DataFrame:
         """(doc_id, n_shingles, representative), one row a document row.
 
-        Only classes of two rows or more are looked up, by key and salt, so the copies of one text spread over ``SALTS`` tasks.
+        Only classes of two rows or more are looked up.
         """
         own = self.keys.where("n > 0 and doc_id is not null")
         several = own.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-        several = several.select("k1", "k2", "lo", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        found = self.keys.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(several, ["k1", "k2", "salt"], "left")
+        found = lookup(self.keys, several, ["k1", "k2"], F.xxhash64("doc_id", "th"), self.keys.count())
         return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.coalesce("lo", "doc_id")).alias("representative"))
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id), one row a document row."""
-        found = connected_components(self.links(every=False))
-        return self.members().join(found, F.col("representative") == F.col("node"), "left").select("doc_id", "n_shingles", F.coalesce("component", "representative").alias("component_id"))
+        found, members = connected_components(self.links(every=False)), materialize(self.members(), "members")
+        times = members.groupBy("representative").agg(F.count(F.lit(1)).alias("rows")).join(found, F.col("representative") == F.col("node")).select("representative", "rows", "component")
+        done = lookup(members, times, ["representative"], F.xxhash64("doc_id", "n_shingles"), members.count())
+        return done.select("doc_id", "n_shingles", F.coalesce("component", "representative").alias("component_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarn.llm import bpe_codec, warc
-from tarn.llm.common import delete_on_exit, new_table
+from tarn.llm.common import new_table
 from tarn.llm.decontamination import contaminations
 from tarn.llm.html_extract import extract
 from tarn.llm.ngram_join import NgramJoin
@@ -66,7 +66,6 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table(spark, "warc")
-    delete_on_exit(spark, path)
     warc.write(warc.plan_records(table(spark, sf_dir, "pages")), path, compression="gzip")
     found = warc.read(spark, path, payloads=False).where("kind = 'record'")
     return found.select(F.regexp_extract("record_id", r"^urn:page:(-?\d+)$", 1).try_cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.regexp_extract("refers_to", r"^urn:page:(-?\d+)$", 1).try_cast("long").alias("refers_to"))

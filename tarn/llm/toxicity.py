@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tarn.llm.common import materialize, slices, text_batches, tidy
+from tarn.llm.common import materialize, slices, tidy
 from tarn.llm.words import Words, mix
 
 #: Labelled rows that are fitted on, at most.
@@ -142,7 +142,6 @@ class ToxicityModel:
         Rows with a null label or id are left out; a doc_id labelled more than once counts as positive if any label is.
         Without rows of both classes the score is the smoothed share of positives.
         """
-        text_batches(docs.sparkSession)
         eligible = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("label")).where(~held_out())
         sample = eligible.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labels)
         chosen = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(sample), "doc_id")  # max_labels rows of two numbers
@@ -166,7 +165,6 @@ class ToxicityModel:
 
     def score(self, docs: DataFrame, into: str = "score") -> DataFrame:
         """All columns of ``docs`` and the score (0 to 1) in ``into``, which replaces a column of that name. Null and empty texts have no features: the bias scores them."""
-        text_batches(docs.sparkSession)
         own = docs.sparkSession.sparkContext.broadcast(self.machine)
         plain = docs.drop(into)
 

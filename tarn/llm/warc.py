@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.llm.common import slices, tidy
+from tarn.llm.common import lookup, slices, tidy
 
 #: Payloads from this many bytes on are written once and revisited.
 REVISIT_BYTES = 1000
@@ -233,17 +233,17 @@ def record_bytes(kind: str, record_id: str, uri: str, payload: bytes, refers_to:
     return gzip.compress(whole, mtime=0) if compress else whole
 
 
-def plan_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, salts: int = 16) -> DataFrame:
+def plan_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
     """``pages`` with the payload, its digest and size, record_type and refers_to (a page_id).
 
     Of rows with equal payloads of at least ``revisit_bytes``, the ones with the largest page_id are responses and
     the others revisit it. A null html is an empty payload. A null page_id is never the largest; if a group has no other,
-    all are responses. Groups are looked up by (digest, size, salt), so one payload's pages spread over ``salts`` tasks.
+    all are responses. Repeated rows each give a row, an empty table none. Only payloads that repeat are looked up, those of very many pages by broadcast.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
-    rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long"), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")})
-    groups = rows.where(F.col("size") >= revisit_bytes).groupBy("digest", "size").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("first")).where("n > 1").select("digest", "size", "first", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    found = rows.join(groups, ["digest", "size", "salt"], "left")
+    rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
+    groups = rows.where(F.col("size") >= revisit_bytes).groupBy("digest", "size").agg(F.count(F.lit(1)).alias("rows"), F.max("page_id").alias("first")).where("rows > 1")
+    found = lookup(rows, groups, ["digest", "size"], F.xxhash64("page_id", "url").cast("string"), pages.count())
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return found.select("page_id", "url", "payload", "digest", "size", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))
 

@@ -21,7 +21,7 @@ from tarn.llm.decontamination import contaminations, decontaminate
 from tarn.llm.html_extract import extract, main_text
 from tarn.llm.ngram_join import NgramJoin
 from tarn.llm.quality import base_counts, fits, quality
-from tarn.llm.sharding import shard
+from tarn.llm.sharding import find_splitters, shard
 from tarn.llm.substring_dedup import substring_dedup
 from tarn.llm.token_count import token_counts
 from tarn.llm.toxicity import ToxicityModel, held_out
@@ -577,6 +577,42 @@ def test_shards(spark, docs, nothing):
     assert len({x["shard"] for x in placed if x["text"] == "hot text " * 10}) >= 3  # 2.3 shards' worth of one text
 
 
+def byte_sizes(placed):
+    size = Counter()
+    for x in placed:
+        size[x["shard"]] += len((x["text"] or "").encode()) + 8
+    return size
+
+
+@pytest.mark.parametrize("hot", [4000, 70_000])
+def test_shards_split_equal_rows(spark, hot):
+    """Rows that are equal in all columns, null ids among them, are split like others."""
+    rows = spark.range(hot).select(F.lit(None if hot > 4000 else 7).cast("long").alias("doc_id"), F.lit("the same text").alias("text")).unionAll(spark.range(100).select("id", F.concat(F.lit("text "), "id")))
+    placed = shard(rows, shards=8).collect()
+    check_shards(placed, 8)
+    size = byte_sizes(placed)
+    assert len(placed) == hot + 100 and len(size) == 8 and max(size.values()) - min(size.values()) <= 0.04 * sum(size.values()) / 8 + 2 * 21
+
+
+def test_splitters_are_the_best_boundaries(spark):
+    """Against all boundaries of the sorted keys: each is within tolerance of its target, or as near as a boundary can be."""
+    r = random.Random(14)
+    texts = ["w" * r.randrange(1, 300) for _ in range(40)] + ["big " * 4000, "hot " * 50]
+    rows = [(i if r.random() < 0.8 else None, r.choice(texts)) for i in range(700)] + [(3, "hot " * 50)] * 120 + [(5, None)] * 9
+    keys = spark.createDataFrame(rows, "doc_id long, text string").select(F.xxhash64("text").alias("__h"), F.xxhash64("doc_id").alias("__d"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 8).cast("long").alias("__size"))
+    got, n, _ = find_splitters(keys.cache(), 9, 0.01)
+    every = sorted((k["__h"], k["__d"], k["__size"]) for k in keys.collect())
+    below, at = {}, 0
+    for h, d, size in every:
+        below.setdefault((h, d), at)
+        at += size
+    assert n == len(every) and len(got) == 8
+    for i, s in enumerate(got, 1):
+        target = at * i // 9
+        own = sum(size for h, d, size in every if (h, d) < s)
+        assert abs(own - target) <= max(0.01 * at / 9, min(abs(b - target) for b in below.values()))
+
+
 def test_shards_keep_small_groups(spark):
     rows = [(i, f"text of group {i // 4} " * 3) for i in range(4000)]
     placed = shard(spark.createDataFrame(rows, "doc_id long, text string"), shards=8).collect()
