@@ -7,7 +7,7 @@ are counted in Arrow batches: as expressions they would need a row for each byte
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, IntegerType, StructField, StructType
@@ -16,6 +16,7 @@ from tarn.contract import BITS, BYTE_FEATURES, ENUMS, FACT_FEATURES, NUMERIC, PO
 from tarn.functions.values import let
 
 VECTOR = "array<struct<i:int,v:float>>"
+VECTOR_TYPE = ArrayType(StructType([StructField("i", IntegerType()), StructField("v", FloatType())]))
 _DOUBLES = "array<struct<i:int,v:double>>"
 
 
@@ -33,20 +34,23 @@ def byte_weights(text: str) -> tuple[np.ndarray, np.ndarray]:
     return i.astype(np.int32), (w / norm if norm else w).astype(np.float32)
 
 
-@F.pandas_udf(StructType([StructField("i", ArrayType(IntegerType())), StructField("v", ArrayType(FloatType()))]))
-def _byte_vector(texts: pd.Series) -> pd.DataFrame:
-    codes, weights = [], []
-    for text in texts:
-        i, w = byte_weights(text or "")
-        codes.append(i)
-        weights.append(w)
-    return pd.DataFrame({"i": codes, "v": weights})
+def arrow_vectors(rows: list[tuple[np.ndarray, np.ndarray] | None]) -> pa.ListArray:
+    """(codes, weights) of each row as sparse vectors; a null vector for None."""
+    some = [r for r in rows if r is not None]
+    flat = [np.concatenate([r[k] for r in some]) if some else np.zeros(0) for k in range(2)]
+    ends = np.concatenate(([0], np.cumsum([0 if r is None else len(r[0]) for r in rows]))).astype(np.int32)
+    values = pa.StructArray.from_arrays([pa.array(flat[0], pa.int32()), pa.array(flat[1], pa.float32())], names=["i", "v"])
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
+@F.arrow_udf(VECTOR_TYPE)
+def _byte_vector(texts: pa.Array) -> pa.Array:
+    return arrow_vectors([byte_weights(t or "") for t in texts.to_pylist()])
 
 
 def byte_vector(text: Column) -> Column:
     """Byte and byte-pair weights 1 + ln(count), of length 1 together; an empty text has none."""
-    found = _byte_vector(text)
-    return F.arrays_zip(found["i"].alias("i"), found["v"].alias("v")).cast(VECTOR)
+    return _byte_vector(text).cast(VECTOR)
 
 
 def _entry(index: Column, value: Column) -> Column:
@@ -66,30 +70,32 @@ def _transport(value: Column, base: int) -> Column:
 
 
 def _bits(value: Column, width: int, missing: int, base: int) -> Column:
-    n = F.coalesce(value.cast("long"), F.lit(missing).cast("long"))
-    return F.transform(F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.call_function("getbit", n, k) == 1), lambda k: _entry(k + base, F.lit(1.0)))
+    """Entries of the bits that are set; of a fact that wasn't observed those of its sentinel, which are constant."""
+    sentinel = F.array(*[_entry(F.lit(base + k), F.lit(1.0)) for k in range(width) if missing >> k & 1])
+    set_ = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.call_function("getbit", value.cast("long"), k) == 1)
+    return F.when(value.isNull(), sentinel).otherwise(F.transform(set_, lambda k: _entry(k + base, F.lit(1.0))))
 
 
 def raw_fact_vector(facts: Column) -> Column:
-    """Non-zero parsed-fact columns before normalisation. Facts that weren't observed set the bits of their sentinels."""
-    parts, base = [], 0
-    single = []
+    """Non-zero parsed-fact columns before normalisation, in order of their index. Facts that weren't observed set the bits of their sentinels."""
+    base = 0
+    before, bits, after = [], [], []
     for name, names in ENUMS.items():
-        single.append(_transport(facts[name], base) if name == "transport_protocol" else _one_hot(facts[name], names, base))
+        before.append(_transport(facts[name], base) if name == "transport_protocol" else _one_hot(facts[name], names, base))
         base += len(names)
     for name in NUMERIC:
-        single.append(F.when(facts[name].isNotNull(), _entry(F.lit(base), 1 + F.log1p(facts[name]))))
+        before.append(F.when(facts[name].isNotNull(), _entry(F.lit(base), 1 + F.log1p(facts[name]))))
         base += 1
     for name, (width, missing) in BITS.items():
-        parts.append(_bits(facts[name], width, missing, base))
+        bits.append(_bits(facts[name], width, missing, base))
         base += width
     leave = facts["exit_category"]
-    single.append(F.when(leave != 0, _entry(F.lit(base), F.signum(leave) * F.log1p(F.abs(leave)))))
+    after.append(F.when(leave != 0, _entry(F.lit(base), F.signum(leave) * F.log1p(F.abs(leave)))))
     base += 2
     for name, names in SEMANTIC_ENUMS.items():
-        single.append(_one_hot(facts[name], names, base))
+        after.append(_one_hot(facts[name], names, base))
         base += len(names)
-    return F.array_sort(F.concat(F.filter(F.array(*single), lambda e: e.isNotNull()), *parts)).cast(_DOUBLES)
+    return F.concat(F.array_compact(F.array(*before)), *bits, F.array_compact(F.array(*after))).cast(_DOUBLES)
 
 
 def fact_error(facts: Column) -> Column:
@@ -153,5 +159,5 @@ def shifted(vector: Column, by: int) -> Column:
 
 
 def full_vector(text: Column, facts: Column, port: Column) -> Column:
-    """The whole vector: byte n-grams, facts and port, in this order."""
+    """The whole vector: byte n-grams, facts and port, in this order; null for a null text."""
     return F.concat(text, shifted(facts, BYTE_FEATURES), shifted(port, BYTE_FEATURES + FACT_FEATURES)).cast(VECTOR)

@@ -19,7 +19,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 _VALUE = r'(?:"(?:\\.|[^"\\])*"|[^\s,;}]+)'
 _MONTHS = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
 _MARKER = r"\b(?:USER|HOST|CRED|ORG)-[0-9]+(?:-[0-9]+)*\b"
-# Kinds of spans and their forms, by rank.
+# Kinds of spans and their forms, by rank; below, strings of which a form needs one (looked for first).
 _FORMS = [
     ("device_assertion", r'(?i)(?:"(?:classification|severity|riskScore|threatScore|quarantineRule|quarantineFolder|ruleName|attackType)"\s*:\s*|\b(?:severityCode|ruleName|attackType)=)' + _VALUE),
     ("absolute_clock", r'(?i)(?:"(?:timestamp|isotimestamp|created_at)"\s*:\s*|\b(?:created_at|start|rt)=)' + _VALUE),
@@ -33,6 +33,7 @@ _FORMS = [
     ("identity", r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w.])"),
     ("identity", _MARKER),
 ]
+_NEEDS = ['"=', '"=', "<", "<", ":", '"=', "@", ["domain-"], "-", ".", ["USER-", "HOST-", "CRED-", "ORG-"]]
 _COMPILED = [(kind, re.compile(form)) for kind, form in _FORMS]
 _ADDRESS = 9  # the rank whose numbers must be 255 at most
 _FLOW_TOKENS = {1: "identity", 2: "identity", 10: "absolute_clock", 11: "absolute_clock"}
@@ -70,6 +71,8 @@ def spans(raw: str) -> list[tuple[int, int, str]]:
         if len(bars) >= 7:
             claim([(start, start + bars[6], "device_assertion")])
     for rank, (kind, form) in enumerate(_COMPILED):
+        if not any(n in raw for n in _NEEDS[rank]):
+            continue
         found = [(*m.span(), kind) for m in form.finditer(raw) if rank != _ADDRESS or all(int(n) <= 255 for n in m[0].split("."))]
         if found:
             claim(found)

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 from tarn.contract import FACTS, facts, with_facts
 from tarn.functions.values import let
 from tarn.operators import decoders
+from tarn.sources.spread import spread
 
 _NESTED = StructType([StructField("nested_route", StringType()), *FACTS.fields])
 
@@ -67,7 +68,7 @@ def classify(rows: DataFrame, message: str = "message_sanitized", beside: Callab
     an access-list denial; worker functions among them run in the same pass as the decoder of nested payloads.
     """
     raw = F.coalesce(F.col(message).cast("string"), F.lit(""))
-    rows = rows.drop("route", "supported", "facts").withColumn("__raw", raw)
+    rows = spread(rows).drop("route", "supported", "facts").withColumn("__raw", raw)
     raw = F.col("__raw")
     line = F.coalesce(decoders.asa_deny(raw), decoders.syslog_body(raw), decoders.vpc_flow(raw), decoders.flow_line(raw))
     maybe = F.contains(raw, F.lit('"')) | F.contains(raw, F.lit("CEF:")) | raw.rlike(r"(?U)\A<[\w-]+\s+xmlns=")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, FloatType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 
 from tarn.contract import MAX_BODY_BYTES
 from tarn.functions import features, masking
@@ -23,27 +23,26 @@ _PLAIN_HEADER = rf"(?Ud)\A{_LEAD}(?:(?:\d{{4}}|USER-\d+)\s+)?\d{{2}}:\d{{2}}:\d{
 _HIDDEN_END = rf"(?Ud){_HIDDEN_CLOCK}:?\s*\z"
 
 
-_TEXTS = StructType(
-    [StructField("text", StringType()), StructField("body", BinaryType()), StructField("gi", ArrayType(IntegerType())), StructField("gv", ArrayType(FloatType())), StructField("hi", ArrayType(IntegerType())), StructField("hv", ArrayType(FloatType()))]
-)
+_TEXTS = StructType([StructField("text", StringType()), StructField("body", BinaryType()), StructField("full", features.VECTOR_TYPE), StructField("header", features.VECTOR_TYPE)])
 
 
-@F.pandas_udf(_TEXTS)
-def _texts(raw: pd.Series, asa: pd.Series, behind: pd.Series, plain: pd.Series) -> pd.DataFrame:
+@F.arrow_udf(_TEXTS)
+def _texts(raw: pa.Array, asa: pa.Array, behind: pa.Array, plain: pa.Array) -> pa.Array:
     """Masked text and its byte n-grams; of an ASA body (null: none) also its bytes and its header's n-grams."""
-    out = {f.name: [] for f in _TEXTS.fields}
-    for message, is_asa, body, is_plain in zip(raw, asa, behind, plain, strict=True):
+    texts, bodies, full, header = [], [], [], []
+    for message, is_asa, body, is_plain in zip(raw.to_pylist(), asa.to_pylist(), behind.to_pylist(), plain.to_pylist(), strict=True):
         masked = masking.stable_text(masking.mask(message))
         text = masking.collapse_text(masked) if is_asa else masked
-        gi, gv = features.byte_weights(text)
-        clean = header = None
-        if body is not None:
-            hidden = masking.mask(body)
-            clean = masking.collapse_text(masking.stable_text(hidden)).encode("utf-8", "surrogatepass")
-            header = features.byte_weights(text if is_plain else masking.collapse_text(masking.stable_text(f" <ABSOLUTE_CLOCK> {hidden}")))
-        for name, v in zip(out, (text, clean, gi, gv, *(header or (None, None))), strict=True):
-            out[name].append(v)
-    return pd.DataFrame(out)
+        texts.append(text)
+        full.append(features.byte_weights(text))
+        if body is None:
+            bodies.append(None)
+            header.append(None)
+            continue
+        hidden = masking.mask(body)
+        bodies.append(masking.collapse_text(masking.stable_text(hidden)).encode("utf-8", "surrogatepass"))
+        header.append(full[-1] if is_plain else features.byte_weights(masking.collapse_text(masking.stable_text(f" <ABSOLUTE_CLOCK> {hidden}"))))
+    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(bodies, pa.binary()), features.arrow_vectors(full), features.arrow_vectors(header)], names=["text", "body", "full", "header"])
 
 
 #: So that a filter on what is made from it isn't pushed below it, into a lambda that can't hold a worker's function.
@@ -82,12 +81,12 @@ def prepare(records: DataFrame) -> DataFrame:
     problem = F.when(F.col("is_asa_source") & ~asa, "asa_parser_unsupported").when(asa & texts["body"].isNull(), "asa_grammar_unsupported").when(size == 0, "asa_body_empty").when(size > MAX_BODY_BYTES, F.concat(F.lit("asa_body_too_long:"), size, F.lit(f">{MAX_BODY_BYTES}")))
     rows = rows.withColumns({"error": F.coalesce("__fact_error", problem), "__ports": features.port_vector(F.col("__port")["port"], F.col("facts")["src_port_fixed"])})
     good = asa & F.col("error").isNull()
-    vector = lambda i, v: features.full_vector(F.arrays_zip(texts[i].alias("i"), texts[v].alias("v")).cast(features.VECTOR), F.col("__facts"), F.col("__ports"))
+    vector = lambda of_text: features.full_vector(texts[of_text], F.col("__facts"), F.col("__ports"))
     out = rows.withColumns(
         {
             "text": texts["text"],
-            "full": vector("gi", "gv"),
-            "header": F.when(good, vector("hi", "hv")),
+            "full": vector("full"),
+            "header": F.when(good, vector("header")),
             "body": F.when(good, texts["body"]),
             "length": F.when(good, size),
             "port_state": F.col("__port")["state"],

@@ -6,7 +6,8 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
@@ -63,11 +64,16 @@ class Router:
     weights: np.ndarray  # features x classes
     intercept: np.ndarray
 
-    def apply(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Probabilities of rows of (indices, values)."""
-        z = np.stack([v @ self.weights[i] for i, v in rows]) + self.intercept if rows else np.zeros((0, len(self.intercept)))
-        e = np.exp(z - z.max(axis=1, keepdims=True)) if rows else z
-        return e / e.sum(axis=1, keepdims=True) if rows else e
+    def flat_scores(self, first: np.ndarray, index: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Scores of rows whose entries are index[first[k]:first[k + 1]] with these values, all at once."""
+        row = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        index, value = index[first[0] : first[-1]], value[first[0] : first[-1]]
+        return np.stack([np.bincount(row, value * self.weights[index, c], len(first) - 1) for c in range(len(self.intercept))], axis=1) + self.intercept
+
+    def flat_probabilities(self, first: np.ndarray, index: np.ndarray, value: np.ndarray) -> np.ndarray:
+        z = self.flat_scores(first, index, value)
+        e = np.exp(z - z.max(axis=1, keepdims=True))
+        return e / e.sum(axis=1, keepdims=True)
 
     def probabilities(self, spark: SparkSession):
         """A function of a sparse vector column to an array of class probabilities (the softmax of the scores)."""
@@ -79,26 +85,23 @@ class Router:
 
     def _udf(self, spark: SparkSession, probabilities: bool):
         # The weights are of fixed size (66,287 x 3) and sent to executors once.
-        shared = spark.sparkContext.broadcast((self.weights, self.intercept))
-
-        @F.pandas_udf(ArrayType(DoubleType()))
-        def run(vectors: pd.Series) -> pd.Series:
-            weights, intercept = shared.value
-            out = np.tile(intercept, (len(vectors), 1))
-            for k, v in enumerate(vectors):
-                if v is None or not len(v):
-                    continue
-                i = np.fromiter((e["i"] for e in v), dtype=np.int64, count=len(v))
-                x = np.fromiter((e["v"] for e in v), dtype=np.float64, count=len(v))
-                out[k] += x @ weights[i]
-            if probabilities:
-                out = np.exp(out - out.max(axis=1, keepdims=True))
-                out /= out.sum(axis=1, keepdims=True)
-            return pd.Series(out.tolist())
+        shared = spark.sparkContext.broadcast(self)
+
+        @F.arrow_udf(ArrayType(DoubleType()))
+        def run(vectors: pa.Array) -> pa.Array:
+            scored = shared.value.flat_probabilities if probabilities else shared.value.flat_scores
+            return pa.array(list(scored(*flat_vectors(vectors))), pa.list_(pa.float64()))
 
         return run
 
 
+def flat_vectors(vectors: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, index, value) of a column of sparse vectors; a null one has no entries."""
+    sizes = pc.fill_null(pc.list_value_length(vectors), 0).to_numpy(zero_copy_only=False)
+    flat = vectors.flatten()
+    return np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), flat.field("i").to_numpy(zero_copy_only=False), flat.field("v").to_numpy(zero_copy_only=False).astype(np.float64)
+
+
 def routed(asa: Column, linear: Column) -> Column:
     """The sequence model's probabilities where it has any, else the linear model's."""
     return F.coalesce(asa, linear)

@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
@@ -17,7 +18,7 @@ from tarn.contract import LABELS
 from tarn.operators import coverage, scoring
 from tarn.operators.neural import SequenceModel
 from tarn.operators.prepare import prepare, refuse_errors
-from tarn.operators.scoring import Router
+from tarn.operators.scoring import Router, flat_vectors
 from tarn.plans.publish import counts, file_sha256, publish_csv, publish_table, write_report
 from tarn.sources.raw import ORDER, ContractError, read_raw
 
@@ -35,21 +36,24 @@ class Ensemble:
     folds: Sequence[Fold] = field(default_factory=list)
 
 
-def _rows_of(vectors: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray] | None]:
-    """(indices, values) of each sparse vector; None for a null one."""
-    at, flat = vectors.offsets.to_numpy(), vectors.values
-    i, v = flat.field("i").to_numpy(zero_copy_only=False), flat.field("v").to_numpy(zero_copy_only=False).astype(np.float64)
-    return [(i[a:b], v[a:b]) if ok else None for a, b, ok in zip(at[:-1].tolist(), at[1:].tolist(), vectors.is_valid().to_pylist(), strict=True)]
+def _some(vectors: pa.ListArray, use: list[int]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(indices, values) of the sparse vectors of some rows."""
+    first, i, v = flat_vectors(vectors)
+    return [(i[first[k] : first[k + 1]], v[first[k] : first[k + 1]]) for k in use]
 
 
-def _probabilities(folds: Sequence[Fold], full: list, headers: list, bodies: list) -> np.ndarray:
+def _probabilities(folds: Sequence[Fold], batch: pa.RecordBatch) -> np.ndarray:
     """Mean over folds: the sequence model's probabilities where a row has a header and a body, else the router's."""
-    total = np.zeros((len(full), len(LABELS)))
-    usable = [k for k, (h, b) in enumerate(zip(headers, bodies, strict=True)) if h is not None and b is not None]
+    full, total = flat_vectors(batch.column("full")), np.zeros((batch.num_rows, len(LABELS)))
+    use: list[int] = []
+    if any(f.sequence is not None for f in folds) and "body" in batch.schema.names:
+        use = np.flatnonzero(pc.and_(batch.column("header").is_valid(), batch.column("body").is_valid()).to_numpy(zero_copy_only=False)).tolist()
+    headers = _some(batch.column("header"), use) if use else []
+    bodies = batch.column("body").take(pa.array(use, pa.int64())).to_pylist() if use else []
     for fold in folds:
-        p = fold.router.apply(full)
-        if fold.sequence is not None and usable:
-            p[usable] = fold.sequence.probabilities([headers[k] for k in usable], [bodies[k] for k in usable])
+        p = fold.router.flat_probabilities(*full)
+        if fold.sequence is not None and use:
+            p[use] = fold.sequence.probabilities(headers, bodies)
         total += p
     return total / len(folds)
 
@@ -63,22 +67,23 @@ def score_rows(rows: DataFrame, model: Ensemble) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            empty = [None] * batch.num_rows
-            headers, bodies = (_rows_of(batch.column("header")), batch.column("body").to_pylist()) if "body" in batch.schema.names else (empty, empty)
-            p = _probabilities(shared.value, _rows_of(batch.column("full")), headers, bodies)
+            p = _probabilities(shared.value, batch)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(p), pa.list_(pa.float64()))], names=[*batch.schema.names, "probabilities"])
 
     return scoring.decide(rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("probabilities", ArrayType(DoubleType()))])))
 
 
-def predict(records: DataFrame, model: Ensemble, strict: bool = False) -> DataFrame:
-    """Prepared records with the folds' mean probabilities, class and label; one lazy plan.
+def predict(records: DataFrame, model: Ensemble, strict: bool = False, keep: Sequence[str] | None = None) -> DataFrame:
+    """Prepared records (or of them the columns ``keep`` and the model's inputs) with the folds' mean probabilities, class and label; one lazy plan.
 
     Rows that the sequence model can't read are scored by the router and say why in ``error``; with ``strict`` the first of
     them raises at once.
     """
     rows = prepare(records)
-    return score_rows(refuse_errors(rows) if strict else rows, model)
+    rows = refuse_errors(rows) if strict else rows
+    if keep is not None:
+        rows = rows.select(*dict.fromkeys([*keep, "full", "header", "body"]))
+    return score_rows(rows, model)
 
 
 def fingerprint(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
@@ -100,7 +105,7 @@ def predict_table(spark: SparkSession, source: str, output: str, model: Ensemble
     before, records = fingerprint(spark, source), read_raw(spark, source)
     if coverage.duplicate_ids(records).limit(1).count():
         raise ContractError("event_id repeats")
-    publish_table(predict(records, model, strict).select("event_id", "pred_label"), output)
+    publish_table(predict(records, model, strict, ["event_id"]).select("event_id", "pred_label"), output)
     labels = counts(spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(output), "pred_label")
     if fingerprint(spark, source) != before or not labels:
         raise ContractError("the input changed, or is empty")
@@ -119,7 +124,7 @@ def predict_file(spark: SparkSession, source: str, output: str, model: Ensemble,
     records = read_raw(spark, source, order=True)
     if coverage.duplicate_ids(records).limit(1).count():
         raise ContractError("event_id repeats")
-    done = predict(records, model, strict).select("event_id", "pred_label", "route", "error", "port_state", ORDER).cache()
+    done = predict(records, model, strict, ["event_id", "route", "error", "port_state", ORDER]).select("event_id", "pred_label", "route", "error", "port_state", ORDER).cache()
     try:
         made = {
             "counts_by_label": counts(done, "pred_label"),

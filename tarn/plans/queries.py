@@ -15,6 +15,7 @@ from tarn.plans import lines
 from tarn.plans.lines import table
 from tarn.sources.raw import read_ids, read_raw
 from tarn.sources.scratch import new_path
+from tarn.sources.spread import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -262,18 +263,21 @@ def fact_columns(spark, sf_dir):
     names = {n: i for i, n in enumerate(fact_names())}
     transport = F.when(F.pmod("l_linenumber", F.lit(4)) == 0, F.concat(F.lit("ipproto_"), F.pmod("l_suppkey", F.lit(256)))).when(F.pmod("l_linenumber", F.lit(4)) == 1, "tcp").when(F.pmod("l_linenumber", F.lit(4)) == 2, "udp").otherwise("icmp")
     made = facts(transport_protocol=transport, packets=F.col("l_quantity"), bytes=F.col("l_extendedprice"), src_port_fixed=F.pmod("l_orderkey", F.lit(65536)), dst_port_fixed=F.pmod("l_partkey", F.lit(65536)))
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", made.alias("facts")).withColumn("v", features.raw_fact_vector(F.col("facts")))
+    rows = spread(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", made.alias("facts")).withColumn("v", features.raw_fact_vector(F.col("facts")))
 
-    def count(name: str) -> Column:
-        first = names[f"{name}:bit0"]
-        return F.size(F.filter("v", lambda e: e["i"].between(first, first + 16)))
+    first = {name: names[f"{name}:bit0"] for name in ("src_port_fixed", "dst_port_fixed")}
+    transport = names["transport_protocol=tcp"]
 
-    def value(name: str) -> Column:
-        return F.round(F.get(F.filter("v", lambda e: e["i"] == names[name]), F.lit(0))["v"], 6)
+    def add(seen: Column, e: Column) -> Column:
+        i, v = e["i"], e["v"]
+        bits = lambda name: seen[name] + F.when(i.between(first[name], first[name] + 16), 1).otherwise(0)
+        value = lambda name: F.when(i == names[f"numeric:{name}"], v).otherwise(seen[name])
+        column = F.when(i.between(transport, transport + 259), i - transport).otherwise(seen["column"])
+        return F.struct(bits("src_port_fixed").alias("src_port_fixed"), bits("dst_port_fixed").alias("dst_port_fixed"), value("packets").alias("packets"), value("bytes").alias("bytes"), column.alias("column"))
 
-    first = names["transport_protocol=tcp"]
-    column = F.get(F.filter("v", lambda e: e["i"].between(first, first + 259)), F.lit(0))["i"] - first
-    return rows.select("l_orderkey", "l_linenumber", count("src_port_fixed").alias("src_bits"), count("dst_port_fixed").alias("dst_bits"), value("numeric:packets").alias("packets"), value("numeric:bytes").alias("bytes"), column.alias("transport_column"))
+    none = F.struct(F.lit(0).alias("src_port_fixed"), F.lit(0).alias("dst_port_fixed"), F.lit(None).cast("double").alias("packets"), F.lit(None).cast("double").alias("bytes"), F.lit(None).cast("int").alias("column"))
+    found = rows.select("l_orderkey", "l_linenumber", F.aggregate("v", none, add).alias("f"))
+    return found.select("l_orderkey", "l_linenumber", F.col("f.src_port_fixed").alias("src_bits"), F.col("f.dst_port_fixed").alias("dst_bits"), F.round("f.packets", 6).alias("packets"), F.round("f.bytes", 6).alias("bytes"), F.col("f.column").alias("transport_column"))
 
 
 @query("""
@@ -285,14 +289,14 @@ SELECT doc_id, coalesce(entries, 0) AS entries, coalesce(codes, 0) AS codes, coa
   (SELECT doc_id, count(*) AS entries, CAST(sum(code) AS BIGINT) AS codes, round(sum(1 + ln(k)) / sqrt(sum((1 + ln(k)) * (1 + ln(k)))), 2) AS total FROM c GROUP BY doc_id) USING (doc_id)
 """)
 def byte_ngram_weights(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", features.byte_vector(F.col("text")).alias("v"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", features.byte_vector(F.col("text")).alias("v"))
     return rows.select("doc_id", F.size("v").cast("long").alias("entries"), F.aggregate("v", F.lit(0).cast("long"), lambda a, e: a + e["i"]).alias("codes"), F.round(F.aggregate("v", F.lit(0.0), lambda a, e: a + e["v"]), 2).alias("total"))
 
 
 @query()
 def mask_documents(spark, sf_dir):
     """Masked text and span ledger of every document; tests hold it against brute force."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", masking.masked_with_ledger(F.col("text")).alias("m"))
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", masking.masked_with_ledger(F.col("text")).alias("m"))
     return rows.select("doc_id", F.sha2("m.text", 256).alias("masked_sha256"), F.size(F.filter("m.ledger", lambda s: s["kind"] == "identity")).alias("identities"), F.size("m.ledger").alias("spans"))
 
 
@@ -469,7 +473,7 @@ SELECT l_orderkey, l_linenumber, '2  <IDENTITY>   <IDENTITY>   <IDENTITY>   <IDE
 """)
 def mask_flows(spark, sf_dir):
     made = masking.masked_with_ledger(F.col("message_sanitized"))
-    rows = lines.vpc(table(spark, sf_dir, "lineitem")).select("l_orderkey", "l_linenumber", made.alias("m"))
+    rows = spread(lines.vpc(table(spark, sf_dir, "lineitem"))).select("l_orderkey", "l_linenumber", made.alias("m"))
     return rows.select("l_orderkey", "l_linenumber", F.col("m.text").alias("masked"), F.size("m.ledger").alias("spans"), F.size(F.filter("m.ledger", lambda s: s["kind"] == "identity")).alias("identities"))
 
 
@@ -508,7 +512,7 @@ def read_id_scan(spark, sf_dir):
 def _flows(spark: SparkSession, sf_dir: str) -> str:
     """A source of flow records with ids of their own."""
     at = new_path(spark, "flows.parquet")
-    made = lines.vpc(table(spark, sf_dir, "lineitem"))
+    made = lines.vpc(spread(table(spark, sf_dir, "lineitem")))
     made.select(F.concat_ws("-", "l_orderkey", "l_linenumber", F.monotonically_increasing_id()).alias("event_id"), "message_sanitized", F.lit(None).cast("string").alias("src_port")).write.parquet(at)
     return at
 

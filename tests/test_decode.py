@@ -25,6 +25,12 @@ LINES = [
     ("<134>Original Address=1.1.1.1 1 1.1 dev flows allow src=1.2.3.4 dst=4.5.6.7 protocol=udp sport=1 dport=2 pattern: deny all", "native_flow", {"transport_protocol": "udp", "src_port_fixed": 1, "dst_port_fixed": 2, "src_port_range": "system", "dst_port_range": "system"}),
     ("<134>Original Address=1.1.1.1 1 1.1 dev l7_firewall src=1.2.3.4 dst=4.5.6.7 protocol=tcp", "unsupported", {}),
     ('{"behaviors": [{"cmdline": "x", "broken": "\\q"}]}', "bounded_payload", {}),
+    # control characters, which the engine separates captures by, are text like any other
+    ('<134>Jan  2 11:22:33 fw Deny protocol 47 src inside:1.2.3.4 dst outside:5.6.7.8 by access-group "x" [0x0, 0x0]\x01 not a denial any more', "unsupported", {}),
+    ('<134>Jan  2 11:22:33 fw Deny protocol 47 src ins\x01ide:1.2.3.4 dst outside:5.6.7.8 by access-group "x" [0x0, 0x0]', "asa_protocol", {"action": "deny", "outcome": "blocked", "transport_protocol": "ipproto_47", "dst_role": "outside"}),
+    ("<86>Jan  2 11:22:33 h sshd: pam_unix(sshd:auth): authentication failure; a\x01b", "syslog_body", {"outcome": "failure", "auth_result": "failure"}),
+    ("<134>Jan  2 11:22:33 fw asa: TCP access denied by ACL from 1.2.3.4/0000000000080 to inside:5.6.7.8/99999", "asa_acl", {"action": "deny", "outcome": "blocked", "transport_protocol": "tcp", "dst_role": "inside", "src_port_fixed": 80, "src_port_range": "system"}),
+    ("<134>Jan 02 2024 11:22:33: fw Deny inbound UDP from 10.0.0.1/00053 to 10.0.0.2/4 on interface x", "unsupported", {"action": "deny", "outcome": "blocked", "transport_protocol": "udp", "src_port_fixed": 53, "dst_port_fixed": 4, "src_port_range": "system", "dst_port_range": "system"}),
     ("  \n", "empty", {}),
     (None, "empty", {}),
 ]
@@ -115,3 +121,46 @@ def test_record_port(spark, value, state, port):
 
     r = spark.createDataFrame([(value,)], "p string").select(record_port(F.col("p")).alias("r")).first()["r"]
     assert (r["state"], r["port"]) == (state, port)
+
+
+def csv_cells(row):
+    import csv
+
+    return next(csv.reader([row])) or [""]  # an empty row is one empty cell here
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "b c", "", '"x,y"', '"q""r"', '""', "tail"]), min_size=1, max_size=6), min_size=1, max_size=20))
+def test_csv_cells(spark, rows):
+    """Cells are those of the csv module, in time linear in the row."""
+    from tarn.operators.decoders import _CELL
+
+    made = [",".join(r) for r in rows]
+    found = spark.createDataFrame([(m,) for m in made], "row string").select("row", F.regexp_extract_all(F.concat(F.lit(","), "row"), F.lit(_CELL), F.lit(1)).alias("cells")).collect()
+    for r in found:
+        assert [c[1:-1].replace('""', '"') if c.startswith('"') else c for c in r["cells"]] == csv_cells(r["row"])
+
+
+def test_long_csv_row(spark):
+    row = "<134>Jan 02 11:22:33 fw " + ",".join(['"a,b"', "c"] * 30_000) + ",TRAFFIC,"
+    assert classify(spark.createDataFrame([(row,)], "message_sanitized string")).first()["route"] == "unsupported"
+
+
+def test_payload_views(spark):
+    from tarn.functions.payloads import authentication_fields, payloads
+
+    raw = '{"application": "a", "user": {"name": "x"}, "result": "USER-0001", "reason": "\\q", "txid": 5}'
+    rows = spark.createDataFrame([(raw,), (None,), ("x",), ('{"behaviors": [{"cmdline": "run", "filename": 3, "a": {"parent_filepath": "p"}}]}',)], "m string")
+    got = rows.select(authentication_fields("m").alias("f"), payloads("m").alias("p")).collect()
+    assert [(f["name"], f["value"], f["state"]) for f in got[0]["f"]] == [("application", "a", "kept"), ("user", None, "unknown"), ("result", None, "removed"), ("reason", "\\q", "kept"), ("txid", "5", "kept")]
+    assert got[1]["f"] is got[1]["p"] is got[2]["f"] is None and got[2]["p"] == []
+    assert [(p["path"], p["value"]) for p in got[3]["p"]] == [("behaviors.[].cmdline", "run"), ("behaviors.[].a.parent_filepath", "p")]
+
+
+def test_fact_errors(spark):
+    """Facts that have no column are errors, so are numbers out of their domain."""
+    from tarn.contract import facts
+    from tarn.functions.features import fact_error
+
+    rows = spark.range(1).select(fact_error(facts(policy_decision=F.lit("perhaps"))).alias("a"), fact_error(facts(policy_decision=F.lit("Allowed"), packets=F.lit(1.0))).alias("b"), fact_error(facts(bytes=F.lit(-1.0))).alias("c"))
+    assert tuple(rows.first()) == ("fact_encoding_error:policy_decision", None, "fact_encoding_error:bytes")

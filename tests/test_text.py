@@ -16,6 +16,14 @@ def test_route_text(spark):
 
 
 def test_endpoint_states(spark):
-    rows = spark.createDataFrame([("x",), ("A:1.2.3.4",), ("A:1/USER-1",), ("A:1/70000",), ("A:1/443",), ("A:1/",)], "t string")
+    rows = spark.createDataFrame([("x",), ("A:1.2.3.4",), ("A:1/USER-1",), ("A:1/70000",), ("A:1/443",), ("A:1/",), ("A:1/0000000000080",), ("A:1/0065536",)], "t string")
     got = [tuple(r[0]) for r in rows.select(text.endpoint(F.col("t"))).collect()]
-    assert got == [(None, None, "unparsed"), ("a", None, "absent"), ("a", None, "redacted"), ("a", None, "invalid"), ("a", 443, "observed"), ("a", None, "invalid")]
+    assert got == [(None, None, "unparsed"), ("a", None, "absent"), ("a", None, "redacted"), ("a", None, "invalid"), ("a", 443, "observed"), ("a", None, "invalid"), ("a", 80, "observed"), ("a", None, "invalid")]
+
+
+def test_facts_and_folding(spark):
+    from tarn.contract import facts
+
+    rows = spark.range(1).select(text.facts_text(facts(action=F.lit("deny"), outcome=F.lit("unknown_value"), src_role=F.lit("")), ["outcome", "action", "src_role"]).alias("f"), text.folded(F.lit("STRASSE Stra\u00dfe \u03a3\u03c2 \u0130")).alias("c"))
+    r = rows.first()
+    assert r["f"] == "action deny" and r["c"].split()[:3] == ["strasse", "strasse", "\u03c3\u03c3"]
