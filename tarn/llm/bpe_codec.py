@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import slices, tidy
+from tarn.sources.spread import spread
 
 #: Encoded pre-tokens that a worker keeps.
 CACHE = 250_000
@@ -184,7 +185,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, decoded: bool = False)
         own.older = {}  # the worker may be idle for long
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run), "doc_id long, ids array<int>" + ", decoded binary" * decoded)
+    return spread(rows).mapInArrow(tidy(run), "doc_id long, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(tokens: DataFrame, rank_file: str, pattern: str) -> DataFrame:

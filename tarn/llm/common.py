@@ -105,7 +105,7 @@ def lookup(rows: DataFrame, found: DataFrame, keys: list[str], own: Column, tota
 
     Keys that hold more than 1 / HOT_KEYS of ``total`` rows (fewer than HOT_KEYS keys, whatever the input) are looked up by
     broadcast; the others by key, where rows that have been found lie by ``own`` (a hash that tells rows apart, of the type of the
-    first key). So no task gets more than 1 / HOT_KEYS of the rows for one key.
+    first key). So no task gets more than 1 / HOT_KEYS of the rows for one key, if ``found`` has all keys that many rows hold.
     """
     many = max(1, total // HOT_KEYS)
     values = [c for c in found.columns if c not in (*keys, "rows")]

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import parts_for, slices, text_bytes, tidy
 from tarn.llm.words import Words, short_shingle
+from tarn.sources.spread import spread
 
 #: Benchmark text that is searched for at once.
 BLOCK_BYTES = 32 << 20
@@ -140,7 +141,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, width: int = 5, num: i
     ``width`` has one shingle, its whole sequence, so such an item is found only in documents that are this sequence. Null and wordless texts contain nothing and aren't contained. Repeated
     rows on either side give repeated rows. Null ids are passed on. Empty tables give no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
     out = None
     for block in _blocks(benchmark, width, num, den):
 
@@ -158,6 +159,7 @@ def contaminations(docs: DataFrame, benchmark: DataFrame, width: int = 5, num: i
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of ``docs`` that contain no item, all columns kept; see ``contaminations`` for the rules."""
+    docs = spread(docs)
     for block in _blocks(benchmark, width, num, den):
 
         def run(batches, own=docs.sparkSession.sparkContext.broadcast(block)):

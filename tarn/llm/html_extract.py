@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import slices, tidy
+from tarn.sources.spread import spread
 
 #: Share of the mean ratio that a content path reaches.
 CUT = 0.4
@@ -346,4 +347,4 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array([main_text(p) for p in part.column("html").to_pylist()], pa.string())], names=["page_id", "url", "text"])
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(tidy(run), "page_id long, url string, text string")
+    return spread(rows).mapInArrow(tidy(run), "page_id long, url string, text string")

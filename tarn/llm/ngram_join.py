@@ -40,6 +40,7 @@ from pyspark.sql import functions as F
 from tarn.llm import packed
 from tarn.llm.common import connected_components, lookup, materialize, slices, small_batches, text_bytes, tidy
 from tarn.llm.words import Words
+from tarn.sources.spread import spread
 
 #: Most tokens that are ordered last, by how many documents hold them; it only affects speed.
 COMMON_TOKENS = 1 << 16
@@ -295,7 +296,7 @@ class NgramJoin:
         self.width, self.num, self.den, self.chunk_bytes = width, num, den, chunk_bytes
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         with small_batches(docs.sparkSession, TEXT_ROWS):
-            self.keys = materialize(self.docs.withColumn("th", F.xxhash64("text")).mapInArrow(tidy(_keys(width)), _SETS), "keys")
+            self.keys = materialize(spread(self.docs).withColumn("th", F.xxhash64("text")).mapInArrow(tidy(_keys(width)), _SETS), "keys")
         self._links: dict[bool, DataFrame] = {}
 
     def _classes(self) -> DataFrame:
@@ -304,7 +305,7 @@ class NgramJoin:
 
     def _candidates(self) -> DataFrame:
         spark = self.docs.sparkSession
-        often = self.docs.select("text").mapInArrow(tidy(_common(self.width)), "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+        often = spread(self.docs.select("text")).mapInArrow(tidy(_common(self.width)), "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
         with small_batches(spark, TEXT_ROWS):
             tokens = [r["token"] for r in often.orderBy(F.desc("times"), "token").limit(COMMON_TOKENS).select("token").collect()]
         common = spark.sparkContext.broadcast(np.sort(np.array(tokens, dtype=np.int64).view(np.uint64)))
@@ -378,14 +379,13 @@ class NgramJoin:
 
         Only classes of two rows or more are looked up.
         """
-        own = self.keys.where("n > 0 and doc_id is not null")
-        several = own.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
+        several = self.keys.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
         found = lookup(self.keys, several, ["k1", "k2"], F.xxhash64("doc_id", "th"), self.keys.count())
         return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNull() | (F.col("n") == 0), F.col("doc_id")).otherwise(F.coalesce("lo", "doc_id")).alias("representative"))
 
     def components(self) -> DataFrame:
         """(doc_id, n_shingles, component_id), one row a document row."""
         found, members = connected_components(self.links(every=False)), materialize(self.members(), "members")
-        times = members.groupBy("representative").agg(F.count(F.lit(1)).alias("rows")).join(found, F.col("representative") == F.col("node")).select("representative", "rows", "component")
+        times = members.groupBy("representative").agg(F.count(F.lit(1)).alias("rows")).join(found, F.col("representative") == F.col("node"), "left").where("node is not null or rows > 1").select("representative", "rows", "component")
         done = lookup(members, times, ["representative"], F.xxhash64("doc_id", "n_shingles"), members.count())
         return done.select("doc_id", "n_shingles", F.coalesce("component", "representative").alias("component_id"))

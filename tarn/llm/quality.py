@@ -19,38 +19,37 @@ from pyspark.sql import functions as F
 
 from tarn.llm.common import slices, tidy
 from tarn.llm.words import Words, mix
+from tarn.sources.spread import spread
 
 _SYMBOL = np.zeros(256, dtype=bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
-#: Texts with fewer tokens are judged by the loose band alone.
-LONG = 100
 
 
 @dataclass(frozen=True)
 class Band:
-    """Accepted measures; ``entropy`` is the least for LONG tokens, and rises with the length (see ``fits``)."""
+    """Accepted measures of a very long text; ``fits`` widens them for shorter ones."""
 
     chars_per_token: tuple[float, float]
     fallback: float
     entropy: float
 
 
-#: Bands by main script; a text without letters is "none". Set so that clean prose lies well inside.
+#: Bands by main script; a text without letters is "none". Latin is set by labelled prose (see the README), the others
+#: by the share of the vocabulary that their letters have.
 BANDS = {
-    "latin": Band((1.85, 7.0), 0.10, 5.25),
-    "cyrillic": Band((1.2, 7.0), 0.15, 4.8),
-    "greek": Band((0.6, 6.0), 0.60, 4.5),
-    "arabic": Band((0.5, 6.0), 0.60, 4.5),
-    "hebrew": Band((0.5, 6.0), 0.60, 4.5),
-    "indic": Band((0.3, 6.0), 0.95, 4.0),
-    "cjk": Band((0.3, 4.0), 0.95, 4.0),
-    "other": Band((0.2, 8.0), 1.0, 3.5),
-    "none": Band((0.5, 8.0), 0.50, 3.5),
+    "latin": Band((1.85, 7.0), 0.10, 6.4),
+    "cyrillic": Band((1.2, 7.0), 0.15, 6.0),
+    "greek": Band((0.6, 6.0), 0.60, 5.7),
+    "arabic": Band((0.5, 6.0), 0.60, 5.7),
+    "hebrew": Band((0.5, 6.0), 0.60, 5.7),
+    "indic": Band((0.3, 6.0), 0.95, 5.2),
+    "cjk": Band((0.3, 4.0), 0.95, 5.2),
+    "other": Band((0.2, 8.0), 1.0, 4.7),
+    "none": Band((0.5, 8.0), 0.50, 4.7),
 }
-#: Bits that the least entropy rises for each tenfold length, up to MOST tokens: a longer sample of prose shows more of its vocabulary.
-RISE, MOST = 0.7, 3000
-#: For texts under LONG tokens, whatever the script.
-SHORT = Band((0.2, 12.0), 0.95, 0.0)
+#: How much a sample of n tokens may differ: the bounds of means by SPREAD / sqrt(n), the entropy (which a short sample
+#: can't reach) by ROOT / sqrt(n) + ONE / n bits.
+SPREAD, ROOT, ONE = 2.0, 8.0, 34.0
 # First code points of Unicode ranges and their scripts ("" for no letter).
 _RANGES = [
     (0x0, ""), (0x41, "latin"), (0x5B, ""), (0x61, "latin"), (0x7B, ""), (0xAA, "latin"), (0xAB, ""), (0xB5, "latin"), (0xB6, ""), (0xC0, "latin"), (0xD7, ""), (0xD8, "latin"), (0xF7, ""), (0xF8, "latin"),
@@ -73,12 +72,13 @@ def main_script(text: str) -> str:
 
 
 def fits(script: str, n_tokens: int, chars_per_token: float, fallback: float, entropy: float) -> bool:
-    """The verdict of the bands; a text without tokens doesn't fit."""
+    """The verdict of the bands, by one rule that is continuous in the length; a text without tokens doesn't fit."""
     if not n_tokens:
         return False
-    band = BANDS[script] if n_tokens >= LONG else SHORT
-    least = band.entropy + RISE * math.log10(min(n_tokens, MOST) / LONG) if n_tokens >= LONG else band.entropy
-    return bool(band.chars_per_token[0] <= chars_per_token <= band.chars_per_token[1] and fallback <= band.fallback and entropy >= least)
+    band, spread = BANDS[script], SPREAD / math.sqrt(n_tokens)
+    least, most = band.chars_per_token
+    floor = band.entropy - ROOT / math.sqrt(n_tokens) - ONE / n_tokens
+    return bool(least * (1 - spread) <= chars_per_token <= most * (1 + spread) and fallback <= band.fallback + spread and entropy >= floor)
 
 
 def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
@@ -122,15 +122,20 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
     return {"n_words": words.counts, "word_chars": chars, "n_symbols": symbols, "n_dup_lines": np.array(duplicates, dtype=np.int64), "n_repeat_words": repeat}
 
 
-_models: dict[str, sentencepiece.SentencePieceProcessor] = {}
+_models: dict[str, tuple[sentencepiece.SentencePieceProcessor, np.ndarray]] = {}
+
+
+def _model(model_file: str) -> tuple[sentencepiece.SentencePieceProcessor, np.ndarray]:
+    """One model for each file and worker, and which of its tokens are bytes."""
+    if model_file not in _models:
+        model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        _models[model_file] = model, np.array([model.is_byte(i) for i in range(model.vocab_size())])
+    return _models[model_file]
 
 
 def fertility(texts: list[str], model_file: str) -> list[tuple[int, float, float, float]]:
     """Tokens, characters per token, byte-fallback share and entropy of each text; zeros without tokens."""
-    if model_file not in _models:
-        _models[model_file] = sentencepiece.SentencePieceProcessor(model_file=model_file)
-    model = _models[model_file]
-    is_byte = np.array([model.is_byte(i) for i in range(model.vocab_size())])
+    model, is_byte = _model(model_file)
     out = []
     for text, ids in zip(texts, model.encode(texts, num_threads=1), strict=True):
         ids = np.array(ids, dtype=np.int64)
@@ -169,4 +174,4 @@ def quality(docs: DataFrame, model_file: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _RESULT.split(", ")])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run), _RESULT)
+    return spread(rows).mapInArrow(tidy(run), _RESULT)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarn.llm.common import slices, tidy
+from tarn.sources.spread import spread
 
 #: Counted pre-tokens that a worker keeps.
 CACHE = 400_000
@@ -120,4 +121,4 @@ def token_counts(docs: DataFrame, tokenizer_file: str, pattern: str) -> DataFram
         own.older = {}  # the worker may be idle for long
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long")
+    return spread(rows).mapInArrow(tidy(run), "doc_id long, n_bytes long, n_tokens long")

@@ -23,6 +23,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tarn.llm.common import materialize, slices, tidy
 from tarn.llm.words import Words, mix
+from tarn.sources.spread import spread
 
 #: Labelled rows that are fitted on, at most.
 MAX_LABELS = 30_000
@@ -166,7 +167,7 @@ class ToxicityModel:
     def score(self, docs: DataFrame, into: str = "score") -> DataFrame:
         """All columns of ``docs`` and the score (0 to 1) in ``into``, which replaces a column of that name. Null and empty texts have no features: the bias scores them."""
         own = docs.sparkSession.sparkContext.broadcast(self.machine)
-        plain = docs.drop(into)
+        plain = spread(docs.drop(into))
 
         def run(batches):
             machine = own.value

@@ -242,7 +242,7 @@ def plan_records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFr
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    groups = rows.where(F.col("size") >= revisit_bytes).groupBy("digest", "size").agg(F.count(F.lit(1)).alias("rows"), F.max("page_id").alias("first")).where("rows > 1")
+    groups = rows.groupBy("digest", "size").agg(F.count(F.lit(1)).alias("rows"), F.max(F.when(F.col("size") >= revisit_bytes, F.col("page_id"))).alias("first")).where("rows > 1")
     found = lookup(rows, groups, ["digest", "size"], F.xxhash64("page_id", "url").cast("string"), pages.count())
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return found.select("page_id", "url", "payload", "digest", "size", F.when(again, "revisit").otherwise("response").alias("record_type"), F.when(again, F.col("first")).alias("refers_to"))

@@ -649,6 +649,24 @@ def test_quality_bands():
     assert fits("cjk", 400, 0.8, 0.5, 6.5)
 
 
+def test_quality_bands_have_no_steps():
+    """No length at which the verdict's bounds jump, and none from which on they stay: a text half as long may differ a little more."""
+    for n in range(1, 5000):
+        for script in ("latin", "cjk"):
+            lows = [next(k / 100 for k in range(0, 900) if fits(script, m, 2.0, 0.0, k / 100)) for m in (n, n + 1)] if n % 97 == 1 else []
+            assert not lows or 0 <= lows[1] - lows[0] <= 9 / n + 0.011
+    assert not fits("latin", 90, 2.5, 0.0, 4.0) and not fits("latin", 110, 2.5, 0.0, 4.0) and fits("latin", 90, 2.5, 0.0, 5.3) and fits("latin", 110, 2.5, 0.0, 5.4)
+
+
+def test_quality_repeated_rows(spark):
+    """Rows that repeat each give the same row; so do counts, codes and extractions."""
+    text = " ".join(f"some words of prose number {k} and more" for k in range(30))
+    rows = spark.createDataFrame([(1, text), (1, text), (None, text), (2, None), (2, None)], "doc_id long, text string")
+    for made in (quality(rows, public_tokenizers.path("piece_bpe_32k.model")), token_counts(rows, COUNTS, public_tokenizers.PATTERN), bpe_codec.encode(rows, RANKS, public_tokenizers.PATTERN, decoded=True)):
+        got = [tuple(map(str, r)) for r in made.collect()]
+        assert Counter(g[0] for g in got) == {"1": 2, "None": 1, "2": 2} and len(set(got)) == 3 and len({g[1:] for g in got}) == 2
+
+
 def test_quality_keeps_clean_prose(spark, sf):
     model = public_tokenizers.path("piece_bpe_32k.model")
     labels = spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1")
