@@ -8,6 +8,7 @@ Its parts are those of the ``tarn.llm`` subpackage.
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,13 +32,27 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("__toxicity") < TOXIC).select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a key ``__row`` for each row that is the same in every read.
+
+    Of a Parquet table it is a hash of a row's place (file and row), if no two rows share one; any other table is written first.
+    """
+    try:
+        rows = docs.withColumn("__row", F.xxhash64("_metadata.file_path", "_metadata.row_index"))
+    except AnalysisException:  # rows have no such places
+        rows = None
+    if rows is not None and rows.groupBy("__row").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+        return rows
+    return materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near duplicates one row, unchanged: the one with the smallest doc_id, a null doc_id last.
 
     Each row is a document of its own, so rows that repeat a doc_id and copies without a doc_id meet in a component too.
     Rows without words are in no component; of those with equal doc_id and text one stays.
     """
-    rows = materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")  # written, so that a row's key is the same in every read
+    rows = _numbered(docs)
     found = NgramJoin(rows.select(F.col("__row").alias("doc_id"), "text"), width=SHINGLE, num=SIMILAR, den=100).components()
     found = found.select(F.col("doc_id").alias("__row"), F.when(F.col("n_shingles") > 0, F.col("component_id")).alias("component"))
     blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")) == ""
@@ -73,9 +88,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids) of every document that is left; ids decode to its text."""
-    coded = bpe_codec.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """(doc_id, n_tokens, ids, decoded_sha256) of every document that is left: its ids, and the digest of the bytes they decode to."""
+    coded = bpe_codec.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, decoded=True)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("substrings", substrings), ("decontamination", decontamination), ("encoding", encoding)]
