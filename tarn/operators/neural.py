@@ -85,6 +85,20 @@ class Base:
         return self.head.dense(hidden) + self.direct.sparse(facts)
 
 
+def tokens_of(bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of each body, padded with 256 to the longest, and which of them are real. A byte 0 is data; an empty body is one padding."""
+    tokens = np.full((len(bodies), max(1, *map(len, bodies))), 256)
+    for k, body in enumerate(bodies):
+        tokens[k, : len(body)] = np.frombuffer(body, dtype=np.uint8)
+    return tokens, tokens < 256
+
+
+def positions(n: int) -> np.ndarray:
+    """Sines and cosines of the places 0 to n - 1."""
+    angle = np.arange(n)[:, None] * np.exp(-np.log(10000.0) * np.arange(0, DIM, 2) / DIM)
+    return np.stack((np.sin(angle), np.cos(angle)), axis=-1).reshape(n, DIM)
+
+
 @dataclass
 class Residual:
     """Byte transformer: embedding of 256 bytes and padding, positions, pre-norm layers, masked mean, head."""
@@ -105,16 +119,10 @@ class Residual:
 
     def logits(self, bodies: list[bytes]) -> np.ndarray:
         """rows x classes. Padding never counts, and a byte 0 is data."""
-        w, n = self.weights, max(map(len, bodies))
-        tokens = np.full((len(bodies), n), 256)
-        for k, body in enumerate(bodies):
-            tokens[k, : len(body)] = np.frombuffer(body, dtype=np.uint8)
-        real = tokens < 256
-        rate = np.exp(-np.log(10000.0) * np.arange(0, DIM, 2) / DIM)
-        angle = np.arange(n)[:, None] * rate
-        position = np.empty((n, DIM))
-        position[:, 0::2], position[:, 1::2] = np.sin(angle), np.cos(angle)
-        x = w["embedding"][tokens] + position
+        w = self.weights
+        tokens, real = tokens_of(bodies)
+        n = tokens.shape[1]
+        x = w["embedding"][tokens] + positions(n)
         for k in range(LAYERS):
             h = layer_norm(x, w[f"{k}.norm1.weight"], w[f"{k}.norm1.bias"])
             q, key, v = np.split(h @ w[f"{k}.qkv.weight"].T + w[f"{k}.qkv.bias"], 3, axis=-1)

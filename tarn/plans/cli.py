@@ -23,6 +23,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     for name in ("train", "validation", "bundle"):
         p.add_argument(name)
     p.add_argument("--limit-rows", type=int)
+    p.add_argument("--sequence", action="store_true", help="also fit the sequence model")
     p.add_argument("--unsupported", choices=("error", "router"), default="error")
     p = commands.add_parser("validate")
     for name in ("input", "submission"):
@@ -37,9 +38,11 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
             model = load_bundle(a.bundle)
             out = predict_table(spark, a.input, a.output, model, a.strict) if a.folder else predict_file(spark, a.input, a.output, model, a.strict, a.report)
         elif a.command == "train":
+            from tarn.operators.neural_fit import SequenceConfig
             from tarn.plans.train import read_training, train_bundle
 
-            out = train_bundle(spark, *[read_training(spark, path, a.limit_rows, a.unsupported) for path in (a.train, a.validation)], a.bundle)
+            sets = [read_training(spark, path, a.limit_rows, a.unsupported) for path in (a.train, a.validation)]
+            out = train_bundle(spark, *sets, a.bundle, sequence=SequenceConfig() if a.sequence else None)
         else:
             from tarn.plans.validate import validate_submission
 

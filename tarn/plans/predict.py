@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tarn.contract import LABELS
+from tarn.contract import LABELS, WIDTH
 from tarn.operators import coverage, scoring
 from tarn.operators.neural import SequenceModel
 from tarn.operators.prepare import prepare, refuse_errors
@@ -45,6 +45,8 @@ def _some(vectors: pa.ListArray, use: list[int]) -> list[tuple[np.ndarray, np.nd
 def _probabilities(folds: Sequence[Fold], batch: pa.RecordBatch) -> np.ndarray:
     """Mean over folds: the sequence model's probabilities where a row has a header and a body, else the router's."""
     full, total = flat_vectors(batch.column("full")), np.zeros((batch.num_rows, len(LABELS)))
+    if len(full[1]) and not (0 <= full[1].min() <= full[1].max() < WIDTH and np.isfinite(full[2]).all()):
+        raise ValueError("a feature vector is too wide or isn't finite")
     use: list[int] = []
     if any(f.sequence is not None for f in folds) and "body" in batch.schema.names:
         use = np.flatnonzero(pc.and_(batch.column("header").is_valid(), batch.column("body").is_valid()).to_numpy(zero_copy_only=False)).tolist()

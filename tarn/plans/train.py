@@ -12,9 +12,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarn.contract import LABELS, WIDTH
+from tarn.contract import BYTE_FEATURES, LABELS, WIDTH
 from tarn.operators import coverage, metrics
 from tarn.operators.neural import Base, EnsembleLayer, Residual, SequenceModel
+from tarn.operators.neural_fit import SequenceConfig, fit_sequence
 from tarn.operators.prepare import prepare, refuse_errors
 from tarn.operators.scoring import Router
 from tarn.plans.predict import Ensemble, Fold, score_rows
@@ -239,20 +240,30 @@ def load_bundle(folder: str) -> Ensemble:
     return Ensemble(folds)
 
 
-def train_bundle(spark: SparkSession, train: DataFrame, validation: DataFrame, folder: str, config: RouterConfig = RouterConfig()) -> dict:
-    """Check both sets, fit the router, save, load again and evaluate the loaded bundle.
+def fit_sequence_model(rows: DataFrame, config: SequenceConfig, history: list[dict] | None = None) -> SequenceModel | None:
+    """The sequence model of the rows that it can read (header and body), at most ``config.max_rows`` of them; None without such rows."""
+    usable = rows.where("header is not null and body is not null").select("event_id", "label", "header", "body")
+    chosen = usable.orderBy(F.xxhash64("event_id"), "event_id").limit(config.max_rows).collect()  # a bounded number of rows of some KB
+    if not chosen:
+        return None
+    vectors = [(np.array([e["i"] for e in r["header"]], dtype=np.int64), np.array([e["v"] for e in r["header"]], dtype=np.float64)) for r in chosen]
+    return fit_sequence(vectors, [bytes(r["body"]) for r in chosen], np.array([r["label"] for r in chosen]), WIDTH, BYTE_FEATURES, config, history)
+
+
+def train_bundle(spark: SparkSession, train: DataFrame, validation: DataFrame, folder: str, config: RouterConfig = RouterConfig(), sequence: SequenceConfig | None = None) -> dict:
+    """Check both sets, fit the router and (with ``sequence``) the sequence model, save, load again and evaluate the loaded bundle.
 
     Receipts beside it: plan, history of the fit, and result or failure; an existing folder is an error.
 
     ``train`` and ``validation`` are prepared and labelled. Data that is refused leaves no folder.
     """
     checks = validate_datasets(train, validation)
-    plan = {"checks": checks, "configuration": asdict(config), "train_digest": dataset_digest(train), "validation_digest": dataset_digest(validation)}
+    plan = {"checks": checks, "configuration": asdict(config), "sequence": asdict(sequence) if sequence else None, "train_digest": dataset_digest(train), "validation_digest": dataset_digest(validation)}
     at, history = Path(folder), []
     at.mkdir(parents=True)
     (at / "plan.json").write_text(json.dumps(plan, indent=2) + "\n")
     try:
-        model = Ensemble([Fold(fit_router(train, config, history=history))])
+        model = Ensemble([Fold(fit_router(train, config, history=history), fit_sequence_model(train, sequence, history) if sequence else None)])
         save_bundle(model, folder, config)
         result = evaluate(validation, load_bundle(folder))
     except Exception as error:

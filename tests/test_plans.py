@@ -6,14 +6,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from tarn.contract import LABELS, MAX_BODY_BYTES, WIDTH
-from tarn.operators import metrics, scoring
+from tarn.operators import metrics, neural_fit, scoring
 from tarn.operators.neural import Base, EnsembleLayer, Residual, SequenceModel, erf
 from tarn.operators.prepare import UnsupportedRecord, port_summary, prepare, refuse_errors
 from tarn.operators.scoring import Router
 from tarn.plans import cli
 from tarn.plans.predict import Ensemble, Fold, predict, predict_file, predict_table
 from tarn.plans.publish import publish_csv
-from tarn.plans.train import RouterConfig, TrainingError, dataset_digest, evaluate, fit_router, load_bundle, save_bundle, train_bundle
+from tarn.plans.train import RouterConfig, TrainingError, dataset_digest, evaluate, fit_router, fit_sequence_model, load_bundle, save_bundle, train_bundle
 from tarn.plans.validate import validate_submission
 from tarn.sources.raw import ContractError, read_ids, read_labelled, read_raw
 
@@ -140,6 +140,64 @@ def test_transformer_padding_and_zero_head():
     assert np.allclose(erf(np.array([0.0, 0.5, -2.0])), [math.erf(v) for v in (0.0, 0.5, -2.0)], atol=2e-7)
 
 
+def test_gradients_are_those_of_the_loss():
+    """Each array's gradient against differences of the loss."""
+    g = np.random.default_rng(7)
+    base = Base(layer(g, 5, 40, 3), layer(g, 5, 5, 3), layer(g, 3, 5, 3), layer(g, 3, 10, 3), 30)
+    rows = [(np.array([1, 7, 7, 33]), g.normal(size=4)), (np.array([2, 39]), g.normal(size=2)), (np.array([], dtype=int), np.array([]))]
+    labels = np.array([0, 2, 1])
+    _, grads = neural_fit.base_gradients(base, rows, labels)
+    arrays = {f"{n}.{k}": getattr(getattr(base, n), k) for n in ("first", "second", "head", "direct") for k in ("weight", "r", "s", "b")}
+    assert set(arrays) == set(grads)
+    residual, fixed, bodies = Residual.initial(3), g.normal(size=(3, 3, 3)), [b"abca", b"x", b"\x00yz"]
+    residual.weights["head.weight"] = g.normal(size=(3, 64))
+
+    def slope_of(logits):
+        loss, slope = neural_fit.loss_and_slope(fixed + logits[:, None, :], labels)
+        return loss, slope.sum(axis=1)
+
+    _, more = neural_fit.residual_gradients(residual, bodies, slope_of)
+    assert set(more) == set(residual.weights)
+    for some, own, loss in ((arrays, grads, lambda: neural_fit.base_gradients(base, rows, labels)[0]), (residual.weights, more, lambda: slope_of(residual.logits(bodies))[0])):
+        for name, a in some.items():
+            columns, got = own[name]
+            full = np.zeros_like(a)
+            full[slice(None) if columns is None else (slice(None), columns)] = got
+            for at in {tuple(int(g.integers(n)) for n in a.shape) for _ in range(4)} | {np.unravel_index(np.abs(full).argmax(), a.shape)}:
+                before, step = a[at], 1e-4
+                a[at] = before + step
+                high = loss()
+                a[at] = before - step
+                low = loss()
+                a[at] = before
+                assert math.isclose((high - low) / (2 * step), full[at], rel_tol=2e-3, abs_tol=2e-6), (name, at)
+
+
+def test_sequence_model_learns(spark, tmp_path):
+    """The base learns from headers, the residual from bodies what headers don't tell."""
+    r = np.random.default_rng(5)
+    labels = r.integers(0, 3, 120)
+    rows = [(np.array([10 + 3 * int(min(y, 1)), 45]), np.array([1.0, 0.5])) for y in labels]
+    bodies = [bytes(r.integers(97, 105, 6).tolist()) + b"XYZ"[y : y + 1] for y in labels]
+    config, history = neural_fit.SequenceConfig(base_epochs=15, residual_epochs=25, base_rate=0.02, residual_rate=4e-3, batch=32, members=4, hidden=8), []
+    model = neural_fit.fit_sequence(rows, bodies, labels, 60, 40, config, history)
+    alone = SequenceModel(model.base).probabilities(rows, bodies).argmax(axis=1)
+    assert (alone[labels == 0] == 0).all() and (alone == labels).mean() < 0.9
+    assert (model.probabilities(rows, bodies).argmax(axis=1) == labels).mean() > 0.95
+    assert [h["stage"] for h in history] == ["base"] * 15 + ["residual"] * 25 and history[-1]["loss"] < history[15]["loss"] < history[0]["loss"]
+
+
+def test_train_with_a_sequence_model(spark, tmp_path):
+    made = [(f"t{k}", k % 3, [(100 + 3 * (k % 3), 1.0)], [(100 + 3 * (k % 3), 1.0)] if k < 9 else None, bytes([97 + k % 3]) * 2 if k < 9 else None) for k in range(12)]
+    schema = "event_id string, label int, full array<struct<i:int,v:float>>, header array<struct<i:int,v:float>>, body binary"
+    train = spark.createDataFrame(made, schema)
+    config = neural_fit.SequenceConfig(base_epochs=1, residual_epochs=1, members=2, hidden=4)
+    result = train_bundle(spark, train, train.withColumn("event_id", F.concat(F.lit("v"), "event_id")), str(tmp_path / "b"), RouterConfig(iterations=10), config)
+    assert result["rows"] == 12 and load_bundle(str(tmp_path / "b")).folds[0].sequence.residual is not None
+    assert [json.loads(x)["stage"] for x in (tmp_path / "b" / "history.jsonl").read_text().splitlines()[-2:]] == ["base", "residual"]
+    assert fit_sequence_model(train.where("event_id > 't9'").withColumn("body", F.lit(None).cast("binary")), config) is None
+
+
 def constant(p):
     return Ensemble([Fold(Router(np.zeros((WIDTH, 3)), np.log(np.array(p))))])
 
