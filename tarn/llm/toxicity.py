@@ -21,12 +21,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tarn.llm.common import materialize, slices, tidy
+from tarn.llm.common import materialize, slices, small_batches, tidy
 from tarn.llm.words import Words, mix
 from tarn.sources.spread import spread
 
 #: Labelled rows that are fitted on, at most.
 MAX_LABELS = 30_000
+#: Texts in one Arrow batch where the features of the fit are made.
+TEXT_ROWS = 1000
 #: Terms are hashed into a space of two to this power.
 SPACE_BITS = 20
 #: Weight of all positive rows, as a multiple of the weight of all others.
@@ -140,7 +142,8 @@ class ToxicityModel:
     def fit(cls, docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> ToxicityModel:
         """Fit on labelled rows outside the held-out fold.
 
-        Rows with a null label or id are left out; a doc_id labelled more than once counts as positive if any label is.
+        Rows with a null label or id are left out; a doc_id labelled more than once counts as positive if any label is. Of a labelled
+        doc_id each different text is a row; equal rows count once, and all together at most ``max_labels``.
         Without rows of both classes the score is the smoothed share of positives.
         """
         eligible = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("label")).where(~held_out())
@@ -155,9 +158,15 @@ class ToxicityModel:
                     term = term.astype("<i4")
                     yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("label").cast(pa.int32()), pa.array([term[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["doc_id", "label", "terms"])
 
-        found = materialize(chosen.select("doc_id", "label", "text").mapInArrow(tidy(featured), "doc_id long, label int, terms binary"), "features")
+        with small_batches(docs.sparkSession, TEXT_ROWS):
+            found = materialize(chosen.select("doc_id", "label", "text").mapInArrow(tidy(featured), "doc_id long, label int, terms binary"), "features")
+        rows = found.dropDuplicates(["doc_id", "terms"])  # rows of a labelled id may be many; equal ones teach nothing more
+        order = F.xxhash64("doc_id", "terms")
+        if rows.count() > max_labels:  # several texts of one id: of all those the ones with the smallest hashes
+            last = rows.select(order.alias("h")).orderBy("h").limit(max_labels).agg(F.max("h")).first()[0]
+            rows = rows.where(order <= last)
         labels, sizes, flat = [], [], bytearray()
-        for r in found.orderBy("doc_id", "terms").toLocalIterator():  # a partition at a time, so the driver holds each feature once
+        for r in rows.orderBy("doc_id", "terms").toLocalIterator():  # a partition at a time, so the driver holds each feature once
             labels.append(r["label"])
             sizes.append(len(r["terms"]) // 4)
             flat += r["terms"]

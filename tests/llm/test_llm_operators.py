@@ -24,7 +24,7 @@ from tarn.llm.quality import base_counts, fits, quality
 from tarn.llm.sharding import find_splitters, shard
 from tarn.llm.substring_dedup import substring_dedup
 from tarn.llm.token_count import token_counts
-from tarn.llm.toxicity import ToxicityModel, held_out
+from tarn.llm.toxicity import FactorizationMachine, ToxicityModel, held_out
 from tarn.llm.words import Words
 from tests.oracle import compare, connect
 
@@ -550,6 +550,33 @@ def test_toxicity_learns_a_pair_of_neutral_words(spark):
     assert len(got) > 300 and sum((got[i] >= 0.7) == bool(t) for i, t in labels if i in got) / len(got) > 0.95
 
 
+def test_toxicity_scores_are_the_pairwise_sum():
+    """Linear-time scores against the sum over all pairs of features."""
+    g = np.random.default_rng(4)
+    machine = FactorizationMachine(-0.3, g.normal(size=50), g.normal(size=(50, 4)))
+    doc, term = np.array([0, 0, 0, 0, 2, 2, 3]), np.array([3, 7, 20, 49, 7, 8, 1])
+    got = machine.scores(doc, term, 4)
+    for d in range(4):
+        own = term[doc == d]
+        x = 0.5 * max(len(own), 1) ** -0.35
+        z = machine.bias + x * machine.linear[own].sum() + sum(x * x * machine.factors[a] @ machine.factors[b] for k, a in enumerate(own) for b in own[k + 1 :])
+        assert got[d] == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-4)
+
+
+def test_toxicity_repeated_ids_and_long_texts(spark):
+    """A labelled id that very many rows have stays within the bound; very long texts are scored whole."""
+    r = random.Random(3)
+    rows = [(i, " ".join(f"f{r.randrange(50)}" for _ in range(20)) + (" vermin filth" if i % 2 else "")) for i in range(60)]
+    many = [(1, "the same row of one id, vermin filth")] * 300 + [(3, f"another text {k} of one id, vermin filth") for k in range(300)]
+    docs = spark.createDataFrame([*rows, *many, (1000, "f1 " * 300_000), (1001, "f1 " * 300_000 + "vermin filth " * 100_000), (None, "f1")], "doc_id long, text string")
+    truth = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    model = ToxicityModel.fit(docs, truth, max_labels=100)
+    scored = model.score(docs).collect()
+    assert len(scored) == 60 + 600 + 3 and all(0 <= x["score"] <= 1 for x in scored)
+    by = {x["doc_id"]: x["score"] for x in scored}
+    assert by[1001] > by[1000] and {x["score"] for x in scored if x["doc_id"] == 1 and x["text"].startswith("the same")} == {next(x["score"] for x in scored if x["text"] == many[0][1])}
+
+
 # --- shards -------------------------------------------------------------------------------------------------------
 
 
