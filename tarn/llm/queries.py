@@ -87,6 +87,23 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts of ``op9_quality`` that SQL can state."""
+    return op9_quality(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+QUALITY_BASE_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, {_WORDS} AS w FROM documents),
+s AS (SELECT r, p, array_to_string(w[p:p + 2], ' ') AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS p FROM d)),
+twice AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY r, x) AS c FROM s) WHERE c > 1),
+n AS (SELECT r, count(DISTINCT q) AS n FROM (SELECT r, unnest(range(p, p + 3)) AS q FROM twice) GROUP BY r),
+l AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+c AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+             CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN n USING (r) LEFT JOIN l USING (r))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM c
+"""
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return NgramJoin(table(spark, sf_dir, "documents"), width=3, num=90, den=100).components()
 
@@ -135,6 +152,7 @@ QUERIES = {
     "op8_histogram_shards": op8_histogram_shards,
     "op9_quality": op9_quality,
     "op10_ngram_join": op10_ngram_join,
+    "quality_base_counts": quality_base_counts,
 }
 
 ORACLE_SQL = {
@@ -142,4 +160,5 @@ ORACLE_SQL = {
     "op5_decontamination": OP5_SQL,
     "op6_warc": OP6_SQL,
     "op10_ngram_join": OP10_SQL,
+    "quality_base_counts": QUALITY_BASE_SQL,
 }

@@ -776,7 +776,7 @@ def test_query_equals_its_sql(spark, sf, name):
 CONTRACT = {
     "op1_": "doc_id n_words n_removed kept_sha256", "op2_": "page_id url text n_chars", "op3_": "doc_id n_tokens ids_sha256 decoded_sha256", "op4_": "doc_id n_bytes n_tokens over_limit", "op5_": "doc_id item_id n_shingles n_shared",
     "op6_": "page_id payload_bytes payload_digest record_type refers_to", "op7_": "doc_id held_out score predicted", "op8_": "doc_id size text_crc32 law shard slot grown_shard",
-    "op9_": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op10_": "doc_id n_shingles component_id",
+    "op9_": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept", "op10_": "doc_id n_shingles component_id", "quality_base_counts": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed",
 }
 
 
