@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 #: Bytes of input for each core below which rows are dealt over all cores.
-SMALL = 4 << 20
+SMALL = 8 << 20
 
 
 def spread(rows: DataFrame) -> DataFrame:

@@ -344,6 +344,43 @@ def test_metrics_with_a_class_missing(spark):
     assert metrics.macro(matrix).first()["macro_f1"] is None
 
 
+def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
+    from tarn.sources import scratch
+
+    assert scratch.new_path(spark, "x.csv").endswith(".csv")
+
+    class Cluster:
+        """A session of a cluster without a checkpoint folder."""
+
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://driver:7077"
+
+            class _jsc:  # noqa: N801
+                @staticmethod
+                def sc():
+                    return type("Context", (), {"getCheckpointDir": staticmethod(lambda: type("None_", (), {"isDefined": staticmethod(lambda: False)}))})
+
+    with pytest.raises(RuntimeError, match="checkpoint.dir"):
+        scratch.shared_dir(Cluster)
+
+
+def test_small_inputs_use_all_cores(spark, tmp_path):
+    """A file of one row group is dealt over all cores; as many files as cores, unknown sizes and streams stay."""
+    from tarn.sources.spread import spread
+
+    at = str(tmp_path / "one.parquet")
+    spark.range(1000).coalesce(1).write.parquet(at)
+    cores = spark.sparkContext.defaultParallelism
+    one = spark.read.parquet(at)
+    assert spread(one).rdd.getNumPartitions() == cores and sorted(r[0] for r in spread(one).collect()) == list(range(1000))
+    spark.range(1000).repartition(cores).write.parquet(f"{at}2")
+    for rows in (spark.read.parquet(f"{at}2"), spark.createDataFrame([(1,)], "a int"), spark.readStream.schema("id long").parquet(at)):
+        assert spread(rows) is rows
+
+
 # --- streams ------------------------------------------------------------------------------------------------------
 
 
