@@ -360,14 +360,18 @@ class NgramJoin:
 
     def _with_settled(self, found: DataFrame, group: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Links of classes with their leaders, and the groups with what is settled by them."""
-        spark = self.docs.sparkSession
-        heads = group.groupBy("leader").agg(F.count(F.lit(1)).alias("classes")).where("classes > 1")
-        heads = found.groupBy("lo").agg(F.min("tokens").alias("head")).join(heads.select(F.col("leader").alias("lo")), "lo")
-        some = _cut(group).join(heads.select(F.col("lo").alias("leader")), "leader", "left_semi")
-        held = found.select("lo", "k1", "tokens").join(some, ["lo", "k1"]).where("lo <> leader")
-        blocks = held.groupBy("block", "leader").agg(F.collect_list(F.struct("lo", "k1", "tokens")).alias("members"))
+        spark, total, own = self.docs.sparkSession, group.count(), F.xxhash64("lo", "k1")
+        led = group.groupBy("leader").agg(F.count(F.lit(1)).alias("rows")).withColumn("classes", F.col("rows"))
+        some = lookup(_cut(group), led, ["leader"], own, total).where("classes > 1")
+        several = some.select("leader", "block", "classes").distinct().groupBy("leader").agg(F.first("classes").alias("rows"), F.ceil(F.count(F.lit(1)) / TOGETHER).cast("int").alias("parts"))
+        several = materialize(several, "leaders")
+        some = lookup(some, several, ["leader"], own, total).where("lo <> leader")
+        blocks = found.select("lo", "k1", "tokens").join(some, ["lo", "k1"]).groupBy("block", "leader", "parts").agg(F.collect_list(F.struct("lo", "k1", "tokens")).alias("members"))
+        heads = found.join(several.select(F.col("leader").alias("lo"), "parts"), "lo").groupBy(F.col("lo").alias("leader"), "parts").agg(F.min("tokens").alias("head"))
+        heads = heads.select("leader", "head", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        blocks = blocks.withColumn("part", F.pmod(F.xxhash64("block"), F.col("parts")).cast("int"))
         with small_batches(spark, PAIRS_PER_BATCH):
-            settled = materialize(blocks.join(heads.withColumnRenamed("lo", "leader"), "leader").select("leader", "members", "head").mapInArrow(tidy(_settle(self.num, self.den)), "lo long, k1 long, leader long"), "settled")
+            settled = materialize(blocks.join(heads, ["leader", "part"]).select("leader", "members", "head").mapInArrow(tidy(_settle(self.num, self.den)), "lo long, k1 long, leader long"), "settled")
         # a leader is settled with itself where it is the only class of its id
         alone = group.where("lo = leader").groupBy("lo").agg(F.count(F.lit(1)).alias("c"), F.min("k1").alias("k1")).where("c = 1").select("lo", "k1")
         marks = settled.select("lo", "k1").unionAll(alone).withColumn("mark", F.lit(True))
