@@ -96,8 +96,8 @@ def slices(batch, limit: int = 1 << 20, text: str = "text"):
         yield batch.slice(a, b - a)
 
 
-#: Keys that are looked up by broadcast, at most: those that hold more than this share of all rows.
-HOT_KEYS = 10_000
+#: Keys that are looked up by broadcast, at most (some MB): those that hold more than 1 / HOT_KEYS of all rows.
+HOT_KEYS = 100_000
 
 
 def lookup(rows: DataFrame, found: DataFrame, keys: list[str], own: Column, total: int) -> DataFrame:
@@ -107,7 +107,9 @@ def lookup(rows: DataFrame, found: DataFrame, keys: list[str], own: Column, tota
     broadcast; the others by key, where rows that have been found lie by ``own`` (a hash that tells rows apart, of the type of the
     first key). So no task gets more than 1 / HOT_KEYS of the rows for one key, if ``found`` has all keys that many rows hold.
     """
-    many = max(1, total // HOT_KEYS)
+    if total <= HOT_KEYS:  # so there are no more keys than that
+        return rows.join(F.broadcast(found.drop("rows")), keys, "left").select(*rows.columns, *[c for c in found.columns if c not in (*keys, "rows")])
+    many = total // HOT_KEYS
     values = [c for c in found.columns if c not in (*keys, "rows")]
     hot = found.where(F.col("rows") > many).select(*keys, F.struct(*values).alias("__hot"))
     cold = found.where(F.col("rows") <= many).select(*[F.col(k).alias(f"__{k}") for k in keys], F.struct(*values).alias("__cold"))

@@ -765,6 +765,18 @@ def test_ngram_join_null_ids_and_empty(spark, nothing):
     assert got == {(None, 2, None): 1, (3, 2, 2): 1, (2, 2, 2): 2, (4, 0, 4): 1}
 
 
+def test_lookup_of_hot_and_cold_keys(spark, monkeypatch):
+    """Keys that many rows hold, that few hold, that none has, and nulls: all rows come back with what was found."""
+    from tarn.llm import common
+
+    rows = spark.createDataFrame([(k % 7 if k < 300 else k, k) for k in range(400)] + [(None, -1)], "k long, v long")
+    found = rows.groupBy("k").agg(F.count(F.lit(1)).alias("rows"), F.min("v").alias("least")).where("k is null or k <> 3")
+    want = Counter((k, v, None if k in (3, None) else (k if k < 7 else v)) for k, v in [(r["k"], r["v"]) for r in rows.collect()])
+    for hot_keys in (1000, 50, 10, 1):
+        monkeypatch.setattr(common, "HOT_KEYS", hot_keys)
+        assert Counter(tuple(r) for r in common.lookup(rows, found, ["k"], F.xxhash64("v"), 401).collect()) == want
+
+
 # --- queries ------------------------------------------------------------------------------------------------------
 
 
