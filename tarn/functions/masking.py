@@ -40,7 +40,7 @@ _FLOW_TOKENS = {1: "identity", 2: "identity", 10: "absolute_clock", 11: "absolut
 
 
 #: Fields of a flow record that say it is one, by their place, and their forms; and the fields that are masked.
-_FLOW_FORMS = {0: "2", 1: r"(?i:[0-9]{12}|-|unknown)", 2: rf"eni-.*|-|{_MARKER}", 12: "ACCEPT|REJECT|-"}
+_FLOW_FORMS = {0: "2", 1: r"(?i:\d{12}|-|unknown)", 2: rf"eni-.*|-|{_MARKER}", 12: "ACCEPT|REJECT|-"}
 _FLOW_COMPILED = {k: re.compile(form, re.S) for k, form in _FLOW_FORMS.items()}
 
 
