@@ -446,6 +446,29 @@ def body_length_guard(spark, sf_dir):
     return prepare(lines.registered(table(spark, sf_dir, "orders"))).select("event_id", "length", "error", F.col("body").cast("string").alias("body"))
 
 
+@query(f"""
+SELECT 'unsupported record ' || event_id || ': ' || error AS message FROM (SELECT CAST(o_orderkey AS VARCHAR) AS event_id,
+  CASE o_orderkey % 10 WHEN 3 THEN 'asa_grammar_unsupported' WHEN 4 THEN 'asa_parser_unsupported' WHEN 5 THEN 'asa_body_too_long:' || strlen({_BODY}) || '>176' END AS error FROM orders) WHERE error IS NOT NULL ORDER BY event_id LIMIT 1
+""")
+def strict_mode(spark, sf_dir):
+    """What strict mode says of the first record that it refuses (here by id, as these records have no place in a source)."""
+    from tarn.operators.prepare import UnsupportedRecord, prepare, refuse_errors
+
+    try:
+        refuse_errors(prepare(lines.registered(table(spark, sf_dir, "orders"))))
+        said = []
+    except UnsupportedRecord as error:
+        said = [(str(error),)]
+    return spark.createDataFrame(said, "message string")
+
+
+@query("SELECT c_custkey, 'x <IDENTITY> z' || c_custkey || ' <IDENTITY> -7\u00e9 <IDENTITY> ' AS masked FROM customer")
+def stable_masks(spark, sf_dir):
+    """Identities at the edge of words and inside them, with remains of prefixes around them."""
+    made = F.concat(F.lit("xCRED- USER-"), "c_custkey", F.lit("  z"), "c_custkey", F.lit(" HOST-CRED-USER-"), "c_custkey", F.lit("-7\u00e9ORG-CRED-1"))
+    return table(spark, sf_dir, "customer").select("c_custkey", masking.collapse(masking.stable(masking.masked(made))).alias("masked"))
+
+
 @query(f"""
 SELECT CAST(o_orderkey AS VARCHAR) AS event_id, CASE WHEN o_orderkey % 10 = 4 THEN 'unsupported' ELSE 'asa' END AS route, TRUE AS is_asa_source, {_STATE} AS port_state, {_CONFLICT} AS port_conflict,
        ltrim(CASE WHEN o_orderkey % 10 = 3 THEN replace({_BODY}, ' <IDENTITY> Deny', '%ASA-4-106023: Deny') WHEN o_orderkey % 10 = 4 THEN replace({_BODY}, ' <IDENTITY> Deny tcp', '  <IDENTITY>  Deny gre') ELSE {_BODY} END) AS text FROM orders
@@ -670,6 +693,40 @@ def neural_forward(spark, sf_dir):
     return score_sequences(rows, model, "p").select("vec_id", *[F.round(F.col("p")[c], 6).alias(f"p{c}") for c in range(3)])
 
 
+def _layer_sql(rows: str, outputs: int) -> str:
+    """A layer of the fixed ensemble over rows of (vec_id, m, i, x)."""
+    return f"""(SELECT vec_id, m, o AS i, sum(x * (1 + ((m + i) % 3 - 1) / 4) * (((5 * o + 3 * i) % 7 - 3) / 8)) * (1 + ((m + 2 * o) % 3 - 1) / 8) + ((3 * m + o) % 5 - 2) / 16 AS x
+    FROM {rows}, (SELECT unnest(range({outputs})) AS o) GROUP BY vec_id, m, o)"""
+
+
+_MEMBERS = "(SELECT vec_id, m, i, x FROM (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), (SELECT unnest(range(2)) AS m))"
+_RELU = "(SELECT vec_id, m, i, greatest(x, 0) AS x FROM {0})"
+_HIDDEN = _RELU.format(_layer_sql(_RELU.format(_layer_sql(_MEMBERS, 4)), 4))
+_TAIL = "(SELECT vec_id, m, i - 8 AS i, x FROM " + _MEMBERS + " WHERE i >= 8)"
+
+
+@query(f"""
+WITH z AS (SELECT a.vec_id, a.m, a.i, exp(a.x + b.x) AS e FROM {_layer_sql(_HIDDEN, 3)} a JOIN {_layer_sql(_TAIL, 3)} b ON a.vec_id = b.vec_id AND a.m = b.m AND a.i = b.i),
+p AS (SELECT vec_id, i, avg(e / total) AS p FROM (SELECT *, sum(e) OVER (PARTITION BY vec_id, m) AS total FROM z) GROUP BY vec_id, i)
+SELECT vec_id, round(max(CASE WHEN i = 0 THEN p END), 6) AS p0, round(max(CASE WHEN i = 1 THEN p END), 6) AS p1, round(max(CASE WHEN i = 2 THEN p END), 6) AS p2 FROM p GROUP BY vec_id
+""")
+def ensemble_forward(spark, sf_dir):
+    """A fixed base ensemble of two members over the embeddings, with a direct path from their ninth number on."""
+    import numpy as np
+
+    from tarn.operators.neural import Base, EnsembleLayer, SequenceModel, score_sequences
+
+    rows, size = _sparse(spark, sf_dir)
+
+    def layer(outputs: int, inputs: int) -> EnsembleLayer:
+        o, i, m = np.arange(outputs), np.arange(inputs), np.arange(2)[:, None]
+        return EnsembleLayer(((5 * o[:, None] + 3 * i) % 7 - 3) / 8, 1 + ((m + i) % 3 - 1) / 4, 1 + ((m + 2 * o) % 3 - 1) / 8, ((3 * m + o) % 5 - 2) / 16)
+
+    model = SequenceModel(Base(layer(4, size), layer(4, 4), layer(3, 4), layer(3, size - 8), 8))
+    done = score_sequences(rows.withColumnRenamed("full", "header").withColumn("body", F.lit(b"x")), model, "p")
+    return done.select("vec_id", *[F.round(F.col("p")[c], 6).alias(f"p{c}") for c in range(3)])
+
+
 @query("""
 SELECT event_type AS value, 'action' AS fact, count(*) AS n FROM events WHERE lower(event_type) NOT IN ('allow', 'deny', 'open', 'close') GROUP BY event_type
 """)
