@@ -347,12 +347,15 @@ class NgramJoin:
         todo = materialize(pairs.unionByName(within), "pairs")
         held = found.select("lo", "k1", "tokens").join(blocks.select("lo", "k1", "block"), ["lo", "k1"])
         members = materialize(held.groupBy("block").agg(F.collect_list(F.struct("lo", "tokens")).alias("members")), "members")
-        opened, n = todo, todo.count()
+        n, sides = todo.count(), []
         for key, other, side in (("a", "b", "left"), ("b", "a", "right")):
             times = todo.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("rows"))
-            opened = _split(opened.select(*[c for c in opened.columns if c in ("a", "b")], *[c for c in opened.columns if c == "left"]), key, times, other, n)
-            copies = members.join(times, F.col("block") == F.col(key)).select(key, F.col("members").alias(side), F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / TOGETHER).cast("int") - 1)).alias("part"))
-            opened = opened.join(copies, [key, "part"], "left").drop("part", "parts")
+            todo = _split(todo, key, times, other, n).withColumnRenamed("part", f"part_{key}").drop("parts")
+            copies = members.join(times, F.col("block") == F.col(key)).select(key, F.col("members").alias(side), F.explode(F.sequence(F.lit(0), F.ceil(F.col("rows") / TOGETHER).cast("int") - 1)).alias(f"part_{key}"))
+            sides.append((copies, [key, f"part_{key}"]))
+        opened = todo
+        for copies, keys in sides:  # pairs are dealt while they are two numbers; each side's sets are joined once
+            opened = opened.join(copies, keys, "left")
         with small_batches(spark, PAIRS_PER_BATCH):  # a row holds two blocks
             compared = opened.select("left", "right").mapInArrow(tidy(_compare(self.num, self.den, every)), "u long, v long")
             self._links[every] = materialize((compared if links is None else compared.unionAll(links)).distinct(), "links")
