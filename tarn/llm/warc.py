@@ -3,7 +3,8 @@
 The reader takes a record for good only if its header parses, its block has the stated length, the record's end
 follows, and its digests fit. After a failed check it searches for the next valid gzip member or version line, goes on
 there, and logs the bytes in between as a quarantined gap. Text inside a valid record is never taken for a record.
-A gzip member that breaks off, or holds bad records among good ones, gives its good ones.
+A gzip member that breaks off, or holds bad records among good ones, gives its good ones; a lone record whose member's checksum
+fails isn't taken, since its header may be what is damaged.
 
 Archives are written as files of ``records_per_file`` records, each record a gzip member of its own, so that damage costs
 the records it touches. The reader holds one archive at a time in a task.
@@ -104,7 +105,7 @@ def _plain(data: bytes, at: int) -> Record:
             fields[last] += " " + x.strip()
             continue
         name, colon, value = x.partition(":")
-        if not colon or not name or re.search(r"[\s\x00-\x1f]", name):
+        if not colon or not name or re.search(r"[\s\x00-\x1f]", name) or re.search(r"[\x00-\x08\x0a-\x1f\x7f]", value):
             raise _Bad("header line isn't a field")
         last = name.lower()
         fields[last] = value.strip()
@@ -178,6 +179,8 @@ def _at(data: bytes, at: int) -> tuple[list[Record | Gap], int, str]:
     found = list(_salvage_plain(plain))
     if wrong and found and isinstance(found[-1], Gap):
         found.pop()  # cut off by the damage, which is reported in the archive's own bytes
+    elif wrong and len(found) == 1:
+        raise _Bad(wrong)  # the block is whole, so it is the header (which has no digest) or the member's checksum
     if not any(isinstance(x, Record) for x in found):
         raise _Bad(wrong or found[0].reason)
     for x in found:

@@ -438,6 +438,18 @@ def test_warc_salvage(packed):
         assert len(good) >= (9 if packed != "members" else 12 - 2 * 6 if kind == 1 else 6)
 
 
+def test_warc_takes_no_damaged_header():
+    """Whatever byte is flipped, no record comes back with a header or payload that wasn't written; one is lost at most, or two at a boundary."""
+    r = random.Random(21)
+    records = [warc.record_bytes("response", f"urn:page:{k}", f"http://x/{k}", (f"{k} some text of a payload " * 20).encode(), compress=True) for k in range(12)]
+    data, want = b"".join(records), {(f"<urn:page:{k}>", f"http://x/{k}", (f"{k} some text of a payload " * 20).encode()) for k in range(12)}
+    for _ in range(400):
+        bad = bytearray(data)
+        bad[r.randrange(len(bad))] ^= 1 + r.randrange(255)
+        good = {(x.fields["warc-record-id"], x.fields["warc-target-uri"], x.payload) for x in warc.salvage(bytes(bad)) if isinstance(x, warc.Record)}
+        assert good <= want and len(good) >= 10
+
+
 def test_warc_keeps_records_behind_bad_ones():
     """A member keeps its good records wherever the bad one stands; damage costs what it touches."""
     records = [warc.record_bytes("response", f"urn:page:{k}", "u", b"x%d" % k * 50) for k in range(5)]
@@ -484,11 +496,11 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_warc_damaged_archives(spark, tmp_path):
-    """Of archives that the writer made, a flipped byte in each file costs one record of it, and the gaps name the places."""
+    """Of archives that the writer made, a flipped byte in each file costs one record of it at most, and a gap names the place (also of a record that is whole up to its end)."""
     pages = spark.createDataFrame([(k, "u", f"{k} " * 400) for k in range(90)] + [(1000, "u", "L" * (17 << 20))], "page_id long, url string, html string")
     path = tmp_path / "a"
     warc.write(warc.plan_records(pages).coalesce(2), str(path), records_per_file=30, compression="gzip")
-    files = sorted(path.glob("part-*"))
+    files = sorted(path.glob("part-*"), key=lambda f: f.stat().st_size)
     assert len(files) >= 4 and all(gzip.decompress(f.read_bytes()).count(b"WARC/1.1\r\n") <= 30 for f in files)
     r = random.Random(3)
     for f in files:
@@ -499,7 +511,8 @@ def test_warc_damaged_archives(spark, tmp_path):
     rows = warc.read(spark, str(path), payloads=False).collect()
     good = {x["record_id"] for x in rows if x["kind"] == "record"}
     assert 91 - len(files) <= len(good) < 91 and good <= {f"urn:page:{k}" for k in [*range(90), 1000]}
-    assert len([x for x in rows if x["kind"] == "gap"]) == 91 - len(good)
+    # one gap a file, and one more for the empty member that ends a large record if that record is damaged
+    assert 91 - len(good) <= len([x for x in rows if x["kind"] == "gap"]) <= len(files) + 1
 
 
 # --- toxicity -----------------------------------------------------------------------------------------------------
