@@ -595,17 +595,17 @@ SELECT a.label, b.predicted, CASE WHEN a.label = b.predicted THEN coalesce(n, 0)
 LEFT JOIN (SELECT {_SEGMENT} AS label, count(*) AS n FROM customer GROUP BY 1) c ON c.label = a.label
 """)
 def train_and_evaluate(spark, sf_dir):
-    """A router fitted on features that tell the classes, saved, loaded and evaluated: no row is missed."""
-    from tarn.plans.train import train_bundle
+    """A router fitted on features that tell the classes, and evaluated on other ids: no row is missed."""
+    from tarn.plans.predict import Ensemble, Fold
+    from tarn.plans.train import evaluate, fit_router, validate_datasets
 
     names = ["BUILDING", "MACHINERY"]
     at = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, names)), F.col("c_mktsegment")), F.lit(0)), F.lit(3)).cast("int")
     one = lambda i, v: F.struct(i.cast("int").alias("i"), v.cast("float").alias("v"))
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("event_id"), (at - 1).alias("label"), F.array(one(at * 10, F.lit(1.0)), one(F.lit(100) + F.pmod("c_custkey", F.lit(50)), F.lit(0.5))).alias("full"))
-    import tempfile
-
-    with tempfile.TemporaryDirectory() as folder:  # a bundle is the driver's own
-        result = train_bundle(spark, rows, rows.withColumn("event_id", F.concat(F.lit("v"), "event_id")), f"{folder}/bundle")
+    others = rows.withColumn("event_id", F.concat(F.lit("v"), "event_id"))
+    validate_datasets(rows, others)
+    result = evaluate(others, Ensemble([Fold(fit_router(rows))]))
     return spark.createDataFrame([(r["label"], r["predicted"], r["n"]) for r in result["confusion"]], "label int, predicted int, n long")
 
 
