@@ -20,32 +20,51 @@ VECTOR_TYPE = ArrayType(StructType([StructField("i", IntegerType()), StructField
 _DOUBLES = "array<struct<i:int,v:double>>"
 
 
-def byte_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of a text's UTF-8 bytes and byte pairs (256 + 256 a + b), and how often each occurs."""
-    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), dtype=np.uint8).astype(np.int32)
-    return np.unique(np.concatenate((b, 256 + b[:-1] * 256 + b[1:])), return_counts=True)
-
-
-def byte_weights(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """Codes and weights 1 + ln(count), of length 1 together."""
-    i, n = byte_counts(text)
-    w = 1 + np.log(n)
-    norm = np.sqrt((w**2).sum())
-    return i.astype(np.int32), (w / norm if norm else w).astype(np.float32)
-
-
-def arrow_vectors(rows: list[tuple[np.ndarray, np.ndarray] | None]) -> pa.ListArray:
-    """(codes, weights) of each row as sparse vectors; a null vector for None."""
-    some = [r for r in rows if r is not None]
-    flat = [np.concatenate([r[k] for r in some]) if some else np.zeros(0) for k in range(2)]
-    ends = np.concatenate(([0], np.cumsum([0 if r is None else len(r[0]) for r in rows]))).astype(np.int32)
-    values = pa.StructArray.from_arrays([pa.array(flat[0], pa.int32()), pa.array(flat[1], pa.float32())], names=["i", "v"])
-    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([r is None for r in rows], pa.bool_()))
+#: Sparse entries of many rows at once: row, index and value of each. Inside a row they stand in order of their index.
+Entries = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Rows and bytes of texts that are counted at once: keys of row and code have to fit 32 bits.
+_ROWS, _BYTES = 4096, 4 << 20
+
+
+def _byte_block(texts: list[bytes]) -> Entries:
+    """Codes of each text's bytes and byte pairs (256 + 256 a + b) and their weights 1 + ln(count), of length 1 together."""
+    b = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    base = np.repeat(np.arange(len(texts), dtype=np.uint32) * np.uint32(BYTE_FEATURES), [len(t) for t in texts])
+    pairs = (base[:-1] + np.uint32(256) + b[:-1].astype(np.uint32) * np.uint32(256) + b[1:])[base[:-1] == base[1:]]
+    keys = np.concatenate((base + b, pairs))
+    keys.sort()
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    row, code = np.divmod(keys[first], np.uint32(BYTE_FEATURES))
+    w = 1 + np.log(np.diff(np.append(first, len(keys))))
+    norm = np.sqrt(np.bincount(row, w * w, len(texts)))
+    return row.astype(np.int64), code.astype(np.int32), (w / norm[row]).astype(np.float32)
+
+
+def byte_entries(texts: list[str]) -> Entries:
+    """``_byte_block`` of any number of texts."""
+    encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    ends = np.cumsum([len(t) for t in encoded])
+    found, at = [], 0
+    while at < len(encoded):
+        before = ends[at - 1] if at else 0
+        stop = min(at + _ROWS, max(at + 1, int(np.searchsorted(ends, before + _BYTES, "right"))))
+        row, code, w = _byte_block(encoded[at:stop])
+        found.append((row + at, code, w))
+        at = stop
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
+
+
+def byte_vectors(texts: list[str | None]) -> pa.ListArray:
+    """``byte_entries`` as sparse vectors; a null vector for None."""
+    row, code, w = byte_entries([t or "" for t in texts])
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row, minlength=len(texts))))).astype(np.int32)
+    values = pa.StructArray.from_arrays([pa.array(code), pa.array(w)], names=["i", "v"])
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array([t is None for t in texts], pa.bool_()))
 
 
 @F.arrow_udf(VECTOR_TYPE)
 def _byte_vector(texts: pa.Array) -> pa.Array:
-    return arrow_vectors([byte_weights(t or "") for t in texts.to_pylist()])
+    return byte_vectors([t or "" for t in texts.to_pylist()])
 
 
 def byte_vector(text: Column) -> Column:
@@ -101,17 +120,14 @@ def raw_fact_vector(facts: Column) -> Column:
 def fact_error(facts: Column) -> Column:
     """Why facts can't be encoded, or null."""
 
-    def wrong(f: Column) -> Column:
-        out = F.when(F.lit(False), "")
-        for name in NUMERIC:
-            out = out.when((f[name] < 0) | F.isnan(f[name]) | (f[name] == float("inf")), F.lit(f"fact_encoding_error:{name}"))
-        for name, (_, missing) in BITS.items():
-            out = out.when(~f[name].between(0, missing), F.lit(f"fact_encoding_error:{name}"))
-        for name, names in SEMANTIC_ENUMS.items():  # a value of the decoders' own that has no column
-            out = out.when(~F.lower(f[name]).isin(*names), F.lit(f"fact_encoding_error:{name}"))
-        return out
-
-    return let(facts, wrong)
+    out = F.when(F.lit(False), "")
+    for name in NUMERIC:
+        out = out.when((facts[name] < 0) | F.isnan(facts[name]) | (facts[name] == float("inf")), F.lit(f"fact_encoding_error:{name}"))
+    for name, (_, missing) in BITS.items():
+        out = out.when((facts[name] < 0) | (facts[name] > missing), F.lit(f"fact_encoding_error:{name}"))
+    for name, names in SEMANTIC_ENUMS.items():  # a value of the decoders' own that has no column
+        out = out.when(~F.lower(facts[name]).isin(*names), F.lit(f"fact_encoding_error:{name}"))
+    return out
 
 
 def normalised(vector: Column) -> Column:
@@ -128,6 +144,57 @@ def fact_vector(facts: Column) -> Column:
     return let(facts, lambda f: normalised(raw_fact_vector(f))).cast(VECTOR)
 
 
+def _hot(values: pa.Array, names: list[str], base: int) -> Entries:
+    """``_one_hot`` of a column."""
+    found, at = values.dictionary_encode(), {n: k + base for k, n in enumerate(names)}
+    code = np.array([*(at.get(v.lower(), -1) for v in found.dictionary.to_pylist()), -1])[found.indices.fill_null(len(found.dictionary)).to_numpy(zero_copy_only=False)]
+    row = np.flatnonzero(code >= 0)
+    return row, code[row], np.ones(len(row))
+
+
+def fact_entries(facts: pa.StructArray) -> Entries:
+    """``fact_vector`` of a column of facts in Arrow: entries by field, so not in order of their rows. Null facts have none."""
+    given, column = facts.is_valid().to_numpy(zero_copy_only=False), dict(zip((f.name for f in facts.type), facts.flatten(), strict=True))
+    found, base = [], 0
+
+    def some(name: str) -> tuple[np.ndarray, np.ndarray]:
+        row = np.flatnonzero(column[name].is_valid().to_numpy(zero_copy_only=False))
+        return row, column[name].drop_null().to_numpy(zero_copy_only=False)
+
+    for name, names in ENUMS.items():
+        found.append(_hot(column[name], names, base))
+        base += len(names)
+    for name in NUMERIC:
+        row, value = some(name)
+        found.append((row, np.full(len(row), base), 1 + np.log1p(value)))
+        base += 1
+    for name, (width, missing) in BITS.items():
+        value = np.where(given, column[name].cast(pa.int64()).fill_null(missing).to_numpy(zero_copy_only=False), 0)
+        row, bit = np.nonzero(value[:, None] >> np.arange(width) & 1)
+        found.append((row, bit + base, np.ones(len(row))))
+        base += width
+    row, value = some("exit_category")
+    row, value = row[value != 0], value[value != 0].astype(np.float64)
+    found.append((row, np.full(len(row), base), np.sign(value) * np.log1p(np.abs(value))))
+    base += 2
+    for name, names in SEMANTIC_ENUMS.items():
+        found.append(_hot(column[name], names, base))
+        base += len(names)
+    row, index, value = map(np.concatenate, zip(*found, strict=True))
+    norm = np.sqrt(np.bincount(row, value * value, len(facts)))
+    norm[norm == 0] = 1
+    return row, index, (value / norm[row]).astype(np.float32)
+
+
+def port_entries(port: pa.Array, message_port: pa.Array) -> Entries:
+    """``port_vector`` of columns in Arrow: entries by kind, so not in order of their rows."""
+    known, said = (p.cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False) for p in (port, message_port))
+    row, bit = np.nonzero(np.where(known >= 0, known, 0)[:, None] >> np.arange(16) & 1)
+    seen, differ = np.flatnonzero(known >= 0), np.flatnonzero((known >= 0) & (said >= 0) & (known != said))
+    rows = np.concatenate((row, seen, differ))
+    return rows, np.concatenate((bit, np.full(len(seen), 16), np.full(len(differ), 17))), np.full(len(rows), 1 / np.sqrt(PORT_FEATURES), np.float32)
+
+
 def record_port(value: Column) -> Column:
     """(port, state) of a record's port as it was given: digits alone count, without blanks or a decimal point."""
     return let(value.cast("string"), _record_port)

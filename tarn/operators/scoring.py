@@ -57,6 +57,11 @@ def dense_scores(vector: Column, weights: Sequence[Sequence[float]], intercept:
     return F.array(*out)
 
 
+def softmax_rows(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    return e / e.sum(axis=1, keepdims=True)
+
+
 @dataclass
 class Router:
     """The linear model over sparse feature vectors: fitted one against the rest, scored with softmax."""
@@ -64,16 +69,17 @@ class Router:
     weights: np.ndarray  # features x classes
     intercept: np.ndarray
 
+    def entry_scores(self, row: np.ndarray, index: np.ndarray, value: np.ndarray, rows: int) -> np.ndarray:
+        """Scores of so many rows by their entries, which are added up as they stand."""
+        return np.stack([np.bincount(row, value * self.weights[index, c], rows) for c in range(len(self.intercept))], axis=1) + self.intercept
+
     def flat_scores(self, first: np.ndarray, index: np.ndarray, value: np.ndarray) -> np.ndarray:
         """Scores of rows whose entries are index[first[k]:first[k + 1]] with these values, all at once."""
         row = np.repeat(np.arange(len(first) - 1), np.diff(first))
-        index, value = index[first[0] : first[-1]], value[first[0] : first[-1]]
-        return np.stack([np.bincount(row, value * self.weights[index, c], len(first) - 1) for c in range(len(self.intercept))], axis=1) + self.intercept
+        return self.entry_scores(row, index[first[0] : first[-1]], value[first[0] : first[-1]], len(first) - 1)
 
     def flat_probabilities(self, first: np.ndarray, index: np.ndarray, value: np.ndarray) -> np.ndarray:
-        z = self.flat_scores(first, index, value)
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
+        return softmax_rows(self.flat_scores(first, index, value))
 
     def probabilities(self, spark: SparkSession):
         """A function of a sparse vector column to an array of class probabilities (the softmax of the scores)."""

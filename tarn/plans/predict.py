@@ -14,10 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from tarn.contract import LABELS, WIDTH
+from tarn.contract import BYTE_FEATURES, FACT_FEATURES, LABELS, MAX_BODY_BYTES, WIDTH
+from tarn.functions import features
 from tarn.operators import coverage, scoring
 from tarn.operators.neural import SequenceModel
-from tarn.operators.prepare import prepare, refuse_errors
+from tarn.operators.prepare import OF_TEXTS, model_texts, prepare, refuse_errors, scored_texts
 from tarn.operators.scoring import Router, flat_vectors
 from tarn.plans.publish import counts, file_sha256, publish_csv, publish_table, write_report
 from tarn.sources.raw import ORDER, ContractError, read_raw
@@ -75,17 +76,54 @@ def score_rows(rows: DataFrame, model: Ensemble) -> DataFrame:
     return scoring.decide(rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("probabilities", ArrayType(DoubleType()))])))
 
 
+def _score_texts(folds: Sequence[Fold], batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes | None]]:
+    """``_probabilities`` of messages that aren't prepared yet (see ``scored_texts``), and their bodies."""
+    n = batch.num_rows
+    raw, asa, behind, plain = (batch.column(c).to_pylist() for c in ("raw", "asa", "behind", "plain"))
+    texts, bodies, headers = model_texts(raw, asa, behind, plain)
+    facts = batch.column("facts")
+    given = facts.is_valid().to_numpy(zero_copy_only=False)
+    row, index, value = features.fact_entries(facts)
+    if not np.isfinite(value).all():
+        raise ValueError("a feature vector isn't finite")
+    ported = features.port_entries(batch.column("port"), pc.struct_field(facts, "src_port_fixed"))
+    behind_text = [(row, index + BYTE_FEATURES, value), (ported[0], ported[1] + BYTE_FEATURES + FACT_FEATURES, ported[2])]
+
+    def whole(of_text: features.Entries) -> features.Entries:
+        """Entries of the whole vectors; a row whose facts can't be encoded has none."""
+        row, index, value = map(np.concatenate, zip(of_text, *behind_text, strict=True))
+        value = value.astype(np.float64)
+        return (row, index, value) if given.all() else (row[given[row]], index[given[row]], value[given[row]])
+
+    use = [k for k in range(n) if asa[k] and given[k] and bodies[k] is not None and 0 < len(bodies[k]) <= MAX_BODY_BYTES] if any(f.sequence is not None for f in folds) else []
+    if use:
+        row, index, value = whole(features.byte_entries([headers[k] if headers[k] is not None else "" for k in range(n)]))
+        order = np.lexsort((index, row))
+        first = np.searchsorted(row[order], [*range(n + 1)])
+        pairs = [(index[order[first[k] : first[k + 1]]], value[order[first[k] : first[k + 1]]]) for k in use]
+    full, total = whole(features.byte_entries(texts)), np.zeros((n, len(LABELS)))
+    for fold in folds:
+        p = scoring.softmax_rows(fold.router.entry_scores(*full, n))
+        if fold.sequence is not None and use:
+            p[use] = fold.sequence.probabilities(pairs, [bodies[k] for k in use])
+        total += p
+    return total / len(folds), bodies
+
+
 def predict(records: DataFrame, model: Ensemble, strict: bool = False, keep: Sequence[str] | None = None) -> DataFrame:
-    """Prepared records (or of them the columns ``keep`` and the model's inputs) with the folds' mean probabilities, class and label; one lazy plan.
+    """Prepared records (or of them the columns ``keep``) with the folds' mean probabilities, class and label; one lazy plan.
 
     Rows that the sequence model can't read are scored by the router and say why in ``error``; with ``strict`` the first of
-    them raises at once.
+    them raises at once. With ``keep``, vectors aren't made as columns: rows are masked, counted and scored in one pass of a worker.
     """
-    rows = prepare(records)
+    rows = prepare(records) if strict or keep is None else None
     rows = refuse_errors(rows) if strict else rows
-    if keep is not None:
-        rows = rows.select(*dict.fromkeys([*keep, "full", "header", "body"]))
-    return score_rows(rows, model)
+    if keep is None:
+        return score_rows(rows, model)
+    if not OF_TEXTS.isdisjoint(keep):
+        return score_rows(prepare(records).select(*dict.fromkeys([*keep, "full", "header", "body"])), model)
+    shared = records.sparkSession.sparkContext.broadcast(list(model.folds))
+    return scoring.decide(scored_texts(records, keep, lambda batch: _score_texts(shared.value, batch)))
 
 
 def fingerprint(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:

@@ -394,3 +394,25 @@ def test_stream(spark, tmp_path):
     query = route_counts(stream, "t").writeStream.outputMode("complete").format("memory").queryName("routes").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert sorted((r["route"], r["n"]) for r in spark.table("routes").collect()) == [("unsupported", 1), ("vpc_v2", 2)]
+
+
+def test_one_pass_scores_as_prepared_vectors(spark, monkeypatch):
+    """Rows of each kind, with both models: scores without vectors as columns are those of the vectors, and no vector is made."""
+    g = np.random.default_rng(5)
+    small = Base(layer(g, 4, WIDTH, 2), layer(g, 4, 4, 2), layer(g, 3, 4, 2), layer(g, 3, WIDTH - 65792, 2), 65792)
+    model = Ensemble([Fold(Router(g.normal(size=(WIDTH, 3)), g.normal(size=3)), SequenceModel(small)), Fold(Router(g.normal(size=(WIDTH, 3)), np.zeros(3)))])
+    flow = "2 123456789012 eni-1 10.0.0.1 - 80 443 {} 1 2 3 4 ACCEPT OK"
+    messages = [ASA, ASA.replace("acl_in", "a" * 150), ASA.replace("USER-0010-0324", "%ASA-4-106023:"), ASA.replace("tcp", "gre"), None, "", "é😀", flow.format(6), f" {flow.format(300)} ", "2 - eni-1", "2 x " * 7, '{"a": {"message": "x"}, "b": 1}']
+    messages += ["<86>Jan  2 11:22:33 h sshd: pam_unix(sshd:auth): authentication failure; x", "<134>Jan 02 2024 11:22:33: fw Deny inbound UDP from 10.0.0.1/53 to 10.0.0.2/4 on interface x", '<86>Jan  2 11:22:33 h a: type=SYSCALL msg=audit(1.1:1): success=no exit=-7 argc=1', "CEF:0|V|P|1|1|n|5|act=Deny in=7 out=9"]
+    rows = records(spark, [(m, p) for m in messages for p in (None, "443", "080", "x", "65535")])
+    keep = ["event_id", "route", "error", "port_state", "port_conflict"]
+    want = by_id(predict(rows, model))
+    monkeypatch.setattr("tarn.plans.predict.score_rows", None)
+    made = predict(rows, model, keep=keep)
+    got = by_id(made)
+    assert made.columns == [*keep, "probabilities", "pred_class", "pred_label"] and len(got) == len(want) == 5 * len(messages)
+    for k, r in want.items():
+        assert [got[k][c] for c in (*keep, "pred_label")] == [r[c] for c in (*keep, "pred_label")], messages[k // 5]
+        assert np.allclose(got[k]["probabilities"], r["probabilities"], rtol=0, atol=1e-6), messages[k // 5]
+    assert len({r["error"] for r in got.values()}) == 4
+    assert predict(rows.limit(0), model, keep=keep).count() == 0
